@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import exposure_queries
+
+_MODULES = [exposure_queries]
+
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
