@@ -59,8 +59,8 @@ def is_disclosure(sentence: Column, verbs: list[str] = VERBS) -> Column:
     """Reads as a sentence: six words, few numbers, four lower-case words, a verb (FLT-07)."""
     parts = F.filter(F.split(sentence, r"\s+"), lambda p: p != "")
     numbers = F.size(F.filter(parts, lambda p: p.rlike(r"^\(?[$£€]?\d[\d,.–/%-]*\)?$")))
-    words = F.regexp_extract_all(F.lower(sentence), F.lit(r"\b([a-z][a-z']+)\b"), F.lit(1))
-    verb = F.exists(words, lambda w: w.isin(verbs)) | F.lower(sentence).rlike(r"\b[a-z]{3,}(?:ed|ing)\b")
+    words = F.regexp_extract_all(F.lower(sentence), F.lit(r"(?U)\b([a-z][a-z']+)\b"), F.lit(1))
+    verb = F.exists(words, lambda w: w.isin(verbs)) | F.lower(sentence).rlike(r"(?U)\b[a-z]{3,}(?:ed|ing)\b")
     return (F.size(parts) >= 6) & (numbers / F.size(parts) <= 0.4) & (F.size(words) >= 4) & verb
 
 
