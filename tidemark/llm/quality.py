@@ -40,6 +40,7 @@ RULES = [
     ("stop_share", 0.02, None),
     ("dup_line_share", None, 0.50),
     ("repeat_share", None, 0.30),
+    ("same_share", None, 0.30),
 ]
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -95,6 +96,7 @@ def measures(text: Column) -> Column:
             letters.alias("letters"),
             upper.alias("upper"),
             F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop"),
+            F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))).alias("n_same"),
         )
         return base
 
@@ -111,6 +113,7 @@ def measures(text: Column) -> Column:
             (x["n_stop"] / words).alias("stop_share"),
             (x["n_dup_lines"] / F.greatest(x["n_lines"], F.lit(1))).alias("dup_line_share"),
             (x["n_repeat_words"] / words).alias("repeat_share"),
+            (x["n_same"] / words).alias("same_share"),
         )
 
     return F.transform(F.array(b), ratios)[0]

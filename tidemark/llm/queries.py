@@ -129,13 +129,13 @@ m as (
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
     coalesce(cov.n, 0) as n_repeat_words, length(regexp_replace(text, '[^!?]+', '', 'g')) as n_marks,
     length(regexp_replace(text, '\P{{L}}+', '', 'g')) as letters, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) as upper_,
-    len(list_filter(w, lambda x: lower(x) in ({_STOPS}))) as n_stop
+    len(list_filter(w, lambda x: lower(x) in ({_STOPS}))) as n_stop, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_same
   from d left join cov using (r)),
 n as (select *, len(lines) - len(list_distinct(lines)) as n_dup_lines, greatest(n_words, 1) as k from m),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from n)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words, base_failed,
   not base_failed and n_words <= 1000000 and word_chars / k between 2.0 and 14.0 and n_symbols / k <= 0.10 and n_marks / k <= 0.20
-  and upper_ / greatest(letters, 1) <= 0.50 and n_stop / k >= 0.02 and n_dup_lines / greatest(len(lines), 1) <= 0.50 and n_repeat_words / k <= 0.30 as kept
+  and upper_ / greatest(letters, 1) <= 0.50 and n_stop / k >= 0.02 and n_dup_lines / greatest(len(lines), 1) <= 0.50 and n_repeat_words / k <= 0.30 and n_same / k <= 0.30 as kept
 from b"""
 
 _CHAT = r"""
