@@ -85,7 +85,7 @@ class Transducer:
         pair = (before + 1) << 24 | token
         known = self.valid.get(pair)
         if known is None:
-            if len(self.valid) > 1_000_000:
+            if len(self.valid) > 500_000:
                 self.valid.clear()
             text = self.bytes_of[token] if before < 0 else self.bytes_of[before] + self.bytes_of[token]
             known = self.valid[pair] = self.merge(text) == ([token] if before < 0 else [before, token])
@@ -179,18 +179,34 @@ class Utf8Stream:
         return data.decode("utf-8", self.errors)
 
 
-class Bpe:
+class Vocabulary:
+    """Ids to bytes and text."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = {i: t for t, i in ranks.items()}
+        tokens = [by_id.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        return self.flat[ranges(self.begins[ids], self.sizes[ids])].tobytes()
+
+    def decode(self, ids: np.ndarray, errors: str = "strict", portion: int = 1 << 16) -> Iterator[str]:
+        """Text in portions; characters that tokens split are put together again."""
+        stream = Utf8Stream(errors)
+        for at in range(0, len(ids), portion):
+            yield stream.feed(self.decode_bytes(ids[at : at + portion]))
+        yield stream.finish()
+
+
+class Bpe(Vocabulary):
     """Texts to ids and back with one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks)
         self.machine = Transducer(ranks)
         self.matches = regex.compile(pattern).findall
-        size = max(ranks.values()) + 1
-        tokens = [self.machine.bytes_of.get(i, b"") for i in range(size)]
-        self.tokens = tokens
-        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
-        self.sizes = np.fromiter(map(len, tokens), np.int64, size)
-        self.begins = np.cumsum(self.sizes) - self.sizes
         self.cache = PieceCache(self._encode, "<u4")
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -203,20 +219,11 @@ class Bpe:
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and how many each text has."""
         return self.cache.ids(texts)
 
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        return self.flat[ranges(self.begins[ids], self.sizes[ids])].tobytes()
-
-    def decode(self, ids: np.ndarray, errors: str = "strict", portion: int = 1 << 16) -> Iterator[str]:
-        """Text in portions; characters that tokens split are put together again."""
-        stream = Utf8Stream(errors)
-        for at in range(0, len(ids), portion):
-            yield stream.feed(self.decode_bytes(ids[at : at + portion]))
-        yield stream.finish()
 
-
-_MADE: dict[tuple[str, str], Bpe] = {}
+_MADE: dict[tuple, Vocabulary] = {}
 
 
 def bpe(path: str, pattern: str) -> Bpe:
@@ -226,36 +233,49 @@ def bpe(path: str, pattern: str) -> Bpe:
     return _MADE[path, pattern]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids) of every whole text; ids as little-endian unsigned 32-bit integers."""
+def vocabulary(path: str) -> Vocabulary:
+    """The decoding half alone."""
+    if path not in _MADE:
+        _MADE[path] = Vocabulary(load_ranks(path))
+    return _MADE[path]
+
+
+Derived = Callable[[Vocabulary, np.ndarray], tuple]
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", columns: str | None = None, of: Derived | None = None) -> DataFrame:
+    """(id, n_tokens, ids) of every whole text; ids as little-endian unsigned 32-bit integers.
+
+    With ``columns`` (a DDL list of strings) and ``of``, its values for the ids of each row come instead of
+    the ids, so that they need not leave the worker.
+    """
+    names = ["ids"] if columns is None else [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = bpe(ranks, pattern)
         for whole in batches:
             for part in slices(whole, "text"):
                 ids, counts = made.encode(part.column(1))
-                data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
-                rows = [data[b - 4 * n : b] for b, n in zip(ends, counts.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
+                ends = np.cumsum(counts).tolist()
+                runs = [ids[b - n : b] for b, n in zip(ends, counts.tolist())]
+                if of is None:
+                    values = [pa.array([r.tobytes() for r in runs], pa.binary())]
+                else:
+                    values = [pa.array(v, pa.string()) for v in zip(*(of(made, r) for r in runs))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *values], ["id", "n_tokens", *names])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, {columns or 'ids binary'}")
 
 
-def per_ids(encoded: DataFrame, ranks: str, pattern: str, columns: str, of: Callable[[Bpe, np.ndarray], tuple]) -> DataFrame:
-    """(id, n_tokens, *columns): ``of`` gives the values of the columns for the ids of one row."""
-    names = [c.split()[0] for c in columns.split(", ")]
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
+    """(id, n_tokens, text) from (id, n_tokens, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = bpe(ranks, pattern)
+        made = vocabulary(ranks)
         for b in batches:
-            rows = [of(made, np.frombuffer(x, "<u4")) for x in b.column(2).to_pylist()]
-            values = list(zip(*rows)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, pa.string()) for v in values)], ["id", "n_tokens", *names])
+            texts = ["".join(made.decode(np.frombuffer(x, "<u4"))) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "n_tokens", "text"])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "n_tokens", "ids").mapInArrow(run, f"id {kind}, n_tokens long, {columns}")
-
-
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(id, n_tokens, text) from (id, n_tokens, ids)."""
-    return per_ids(encoded, ranks, pattern, "text string", lambda made, ids: ("".join(made.decode(ids)),))
+    return encoded.select("id", "n_tokens", "ids").mapInArrow(run, f"id {kind}, n_tokens long, text string")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_DIRS: dict[str, str] = {}
 
 #: The text bytes that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -95,7 +95,7 @@ class PieceCache:
     together from both, as a run of letters always ends a match.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, limit: int = 300_000):
         self.encode, self.dtype = encode, np.dtype(dtype)
         self.known, self.words = Generations(limit), Generations(limit)
 

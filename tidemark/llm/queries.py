@@ -38,7 +38,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(formatted)
 
 
-def _decoded(made: bpe.Bpe, ids: np.ndarray) -> tuple[str, str]:
+def _decoded(made: bpe.Vocabulary, ids: np.ndarray) -> tuple[str, str]:
     text = hashlib.sha256()
     for portion in made.decode(ids):
         text.update(portion.encode())
@@ -47,8 +47,8 @@ def _decoded(made: bpe.Bpe, ids: np.ndarray) -> tuple[str, str]:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe.per_ids(encoded, ranks, pattern, "ids_sha256 string, decoded_sha256 string", _decoded).withColumnRenamed("id", "doc_id")
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode(docs, ranks, pattern, columns="ids_sha256 string, decoded_sha256 string", of=_decoded).withColumnRenamed("id", "doc_id")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
