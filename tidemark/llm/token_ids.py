@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import ranges, slices, stored
+from .common import discard, slices, stored
 from .pieces import PieceCache
 
 MAX_LENGTH = 20
@@ -78,22 +78,29 @@ def _tokenizer_cache(path: str) -> PieceCache:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): ids as little-endian unsigned 32-bit integers of the whole text, then ``end_id``."""
+    """(id, n_tokens, ids): ids of the whole text, then ``end_id``; little-endian, of 16 bits if the vocabulary allows, else 32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _tokenizer_cache(tokenizer)
-        tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+        width = cache.dtype.itemsize
+        tail = np.array([] if end_id is None else [end_id], cache.dtype).tobytes()
         for whole in batches:
             for part in slices(whole, "text"):
                 ids, counts = cache.ids(part.column(1))
-                data, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
-                rows = [data[b - 4 * n : b] + tail for b, n in zip(ends, counts.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts + len(tail) // 4, pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
+                data, ends = ids.tobytes(), (np.cumsum(counts) * width).tolist()
+                rows = [data[b - width * n : b] + tail for b, n in zip(ends, counts.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts + len(tail) // width, pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "id long, n_tokens long, ids binary")
 
 
+def _ids(rows: list[bytes], n: int) -> np.ndarray:
+    """All ids of some rows, ``n`` together, of either width."""
+    data = b"".join(rows)
+    return np.frombuffer(data, "<u2" if len(data) < 4 * n else "<u4")
+
+
 def count_ids(tokens: DataFrame) -> DataFrame:
     """(token, n) over all rows: each task adds up its own ids before the shuffle."""
 
@@ -101,14 +108,14 @@ def count_ids(tokens: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for b in batches:
             for part in slices(b, "ids"):
-                own = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), "<u4"))
+                own = np.bincount(_ids(part.column(0).to_pylist(), sum(part.column(1).to_pylist())))
                 if len(own) > len(total):
                     own, total = total, own
                 total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "n_tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_LENGTH) -> np.ndarray:
@@ -225,26 +232,27 @@ def write(tokens: DataFrame, path: str) -> None:
         code, shard, start = Code(sizes), TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
         held: list[bytes] = []
+        counts: list[int] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            counts = np.fromiter(map(len, held), np.int64, len(held)) // 4
-            own = frame(code, np.array(doc_ids, np.int64), counts, np.frombuffer(b"".join(held), "<u4"))
+            own = frame(code, np.array(doc_ids, np.int64), np.array(counts, np.int64), _ids(held, size))
             values = [[shard], [start], [size], [len(held)], [own]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "start", "n_ids", "n_docs", "block"])
 
         for b in batches:
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, n, data in zip(*(c.to_pylist() for c in b.columns)):
                 doc_ids.append(_NO_ID if i is None else i)
                 held.append(data)
-                size += len(data) // 4
+                counts.append(n)
+                size += n
                 if size >= BLOCK_IDS:
                     yield block()
-                    doc_ids, held, start, size = [], [], start + size, 0
+                    doc_ids, held, counts, start, size = [], [], [], start + size, 0
         if held:
             yield block()
 
-    ordered = tokens.repartitionByRange("id").sortWithinPartitions("id", "ids").select("id", "ids")
+    ordered = tokens.repartitionByRange("id").sortWithinPartitions("id", "ids").select("id", "n_tokens", "ids")
     ordered.mapInArrow(run, "shard long, start long, n_ids long, n_docs long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -281,4 +289,5 @@ def roundtrip(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = N
     """Tokenize ``docs`` once, write them under ``path`` and read them back."""
     tokens = stored(tokenize(docs, tokenizer, end_id, id_col, text_col), "token-ids")
     write(tokens, path)
+    discard(tokens)
     return read(docs.sparkSession, path)
