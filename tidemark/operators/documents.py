@@ -37,8 +37,9 @@ HEADINGS = {
 def split_sections(text: Column, heading: str, fallback: str) -> Column:
     """Sections between headings as (order, title, content); text before the first is dropped, empty ones too; else one section of the whole text (DOC-02, DOC-03)."""
     whole = F.coalesce(text, F.lit(""))
-    titles = F.transform(F.regexp_extract_all(whole, F.lit(heading), F.lit(1)), lambda t: F.trim(t))
-    bodies = F.transform(F.split(whole, heading), lambda b: F.trim(b))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    titles = F.transform(F.regexp_extract_all(whole, F.lit(heading), F.lit(1)), strip)
+    bodies = F.transform(F.split(whole, heading), strip)
     pairs = F.filter(F.zip_with(titles, F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))), lambda t, b: F.struct(t.alias("title"), b.alias("content"))), lambda s: F.coalesce(s["content"], F.lit("")) != "")
     pairs = F.when(F.size(pairs) > 0, pairs).otherwise(F.array(F.struct(F.lit(fallback).alias("title"), whole.alias("content"))))
     return F.transform(pairs, lambda s, i: F.struct((i + 1).alias("order"), s["title"].alias("title"), s["content"].alias("content")))
