@@ -125,12 +125,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, url_col: str = "url", rules: list = RULES, key: Column | None = None, label_key: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``pages`` with host, path, template, purity, rule and verdict.
+    """``pages`` with host, path, template, purity, rule and verdict, in place of columns of these names.
 
     ``labels`` is joined by ``key`` (an expression over the pages) = ``label_key``; repeated keys count with their mean.
     """
     path = path_of(F.col(url_col))
-    row = pages.select(F.struct("*").alias("page"), host_of(F.col(url_col)).alias("host"), path.alias("path"), signature(path).alias("sig"), (F.lit(None).cast("long") if key is None else key.cast("long")).alias("key"))
+    made = ("host", "path", "template", "purity", "rule", "verdict")
+    row = pages.select(F.struct(*(F.col(c) for c in pages.columns if c not in made)).alias("page"), host_of(F.col(url_col)).alias("host"), path.alias("path"), signature(path).alias("sig"), (F.lit(None).cast("long") if key is None else key.cast("long")).alias("key"))
     if labels is None:
         marked = row.select("host", "sig", F.lit(None).cast("double").alias("label"))
     else:
