@@ -302,7 +302,7 @@ def agg22_change_sets(spark, sf):
 
 @query(f"""with c as (select source as company, ch.kind, category, norm from {_CHANGES} ch join documents on doc = doc_id), k as (select company, count_if(category in ('risk', 'litigation') and kind = 'added') as r, count_if(category = 'guidance') as g from c group by 1),
 e as (select source as company, count(distinct (doc, sentence)) as r from {_GOOD} join documents on doc = doc_id where category = 'litigation' group by 1), n as (select source as company, count(distinct lang) as c from documents where text is not null group by 1)
-select company, type, strength from (
+select company, type, strength::double as strength from (
  select n.company, 'emerging_risk' as type, round_even(least(0.8, 0.55 + 0.05 * least(3, coalesce(k.r, 0) + coalesce(e.r, 0))), 2) as strength, coalesce(k.r, 0) + coalesce(e.r, 0) > 0 as ok from n left join k using (company) left join e using (company)
  union all select company, 'geopolitical', round_even(least(0.8, 0.5 + 0.05 * c), 2), true from n) where ok""")
 def doc12_signals(spark, sf):

@@ -110,7 +110,7 @@ def prj05_neighbourhood(spark, sf):
     return P.neighbourhood(e, D.companies(spark, sf), "3")
 
 
-@query("select doc_id as doc, source as p_source, case when source = 'src1' then 0.9 else 0.5 end as authority from documents")
+@query("select doc_id as doc, source as p_source, (case when source = 'src1' then 0.9 else 0.5 end)::double as authority from documents")
 def prj06_provenance(spark, sf):
     d = D.table(spark, sf, "documents").select("doc_id", "source", F.lit("u").alias("uri"), F.lit("2024-01-01").alias("retrieved_at"), F.lit("p").alias("publisher"))
     a = d.where("source = 'src1'").select("source", F.lit(0.9).alias("authority")).distinct()
