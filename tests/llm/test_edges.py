@@ -279,3 +279,38 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         void = stage(spark, void, sf)
     assert void.count() == 0
+
+
+def test_similar_groups_find_every_pair(spark):
+    import duckdb
+
+    from tidemark.llm import simhash
+
+    rows = duckdb.execute("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    sets = {d: set(simhash.shingle_set(t).tolist()) for d, t in rows}
+    r = random.Random(4)
+    base = rows[3][1].split()
+    for k in range(60):  # a crowd of near copies of one text
+        w = list(base)
+        for _ in range(3):
+            w[r.randrange(len(w))] = f"w{k}{r.random()}"
+        rows.append((100_000 + k, " ".join(w)))
+        sets[100_000 + k] = set(simhash.shingle_set(rows[-1][1]).tolist())
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    by = {}
+    for d, s in sets.items():
+        for h in s or {None}:
+            by.setdefault(h, []).append(d)
+    seen = {(a, b) for ds in by.values() for i, a in enumerate(ds) for b in ds[:i]}
+    for a, b in seen:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: root(d) for d in sets}
