@@ -250,6 +250,9 @@ def test_merkle(spark):
     p = a.where("key = 13").select(warc.parse(F.col("data")).alias("p")).first().p
     assert (p.uri, p.size, bytes(p.payload)) == ("http://x/13", 6, b"pppppp")
     assert warc.audit(a.limit(0), a.limit(0)).count() == 0
+    lost = spark.createDataFrame([(None, "http://n/1", "a"), (None, "http://n/2", None), (None, None, None)], "page_id long, url string, html string")
+    n = warc.records(lost, "page_id", "url", "html")
+    assert warc.audit(n, n).count() == 0 and warc.audit(n, n.limit(0)).count() == 3
 
 
 def test_pipeline(spark):

@@ -52,7 +52,9 @@ def parse(data: Column) -> Column:
 def records(pages: DataFrame, key: str, uri: str, payload: str, per_file: int = 1000) -> DataFrame:
     """(file, place, key, data): keys in ranges of ``per_file`` numbers make a file, ordered by key."""
     k = F.col(key).cast("long")
-    return pages.select(F.floor(F.coalesce(k, F.lit(-1)) / per_file).alias("file"), k.alias("key"), record(F.col(uri), F.col(payload)).alias("data"))
+    # pages without a key are spread by a hash of their address, below all others
+    spread = -1 - F.pmod(F.xxhash64(uri), F.lit(1 << 30))
+    return pages.select(F.coalesce(F.floor(k / per_file), spread).alias("file"), k.alias("key"), record(F.col(uri), F.col(payload)).alias("data"))
 
 
 def leaves(recs: DataFrame) -> DataFrame:
