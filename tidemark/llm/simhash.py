@@ -151,7 +151,7 @@ def fp_hex(fp: Column) -> Column:
 #: Min-wise samples of a text for groups by similarity: bands of so many values.
 BANDS, ROWS = 24, 6
 #: A band key with more sketches is compared with so many leaders instead of pair by pair.
-CROWD, LEADERS = 32, 8
+CROWD, LEADERS = 32, 6
 
 _RNG = np.random.default_rng(20240101)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -202,9 +202,11 @@ def sketches(text: Column, shingle: int = 5) -> Column:
 
 
 def _sets(text: Column, shingle: int) -> Column:
+    """The shingle set of a text, by the low 32 bits of its hashes."""
+
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).tobytes() for t in texts], dtype=object)
+        return pd.Series([np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in texts], dtype=object)
 
     return of(text)
 
@@ -214,7 +216,7 @@ def _jaccard(a: Column, b: Column) -> Column:
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(both / max(1, len(p) + len(q) - both))
         return pd.Series(out, dtype="float64")
@@ -229,7 +231,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     on the test tables 1.5 % of such pairs differ in at most 4 bits. So candidates come from the fingerprint's blocks
     and from blocks of min-wise samples as well (24 bands of 6; a pair at 0.8 shares one with probability 0.999),
     and every candidate is verified exactly. Equal sketches are one node. In a band key of
-    over ``CROWD`` nodes each is compared with 8 leaders chosen by a hash for that key, so that the work stays in proportion.
+    over ``CROWD`` nodes each is compared with 6 leaders chosen by a hash for that key, so that the work stays in proportion.
     Texts without words are one group. A group that has no id is left alone.
     """
     made = docs.select(F.col(id_col).alias("id"), sketches(F.col(text_col), shingle).alias("s"))
