@@ -83,7 +83,8 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
     height = 0 if largest is None else max(1, math.ceil(math.log(largest + 1, FAN) - 1e-12))
     levels = [leaf]
     for _ in range(height):
-        levels.append(level_above(levels[-1].select("file", "place", "hash")))
+        # each level is read by the one above and again on the way down
+        levels.append(stored(level_above(levels[-1].select("file", "place", "hash")), "merkle"))
     return levels
 
 
