@@ -23,8 +23,9 @@ def match(items: DataFrame, changes: DataFrame, events: DataFrame, companies: Da
     land = i.where("type = 'country'").join(exposed.select(F.lower("country").alias("v"), "company").distinct(), "v").join(sets, "company")
     field = i.where("type = 'industry'").join(companies.select(F.lower("industry").alias("v"), "company"), "v").join(sets, "company")
     chain = changes.where((F.col("category") == "supply_chain") | F.lower("statement").contains("supply chain")).select("doc").distinct()
-    # a constant key: an item of this type matches every such set, which its cap bounds below
-    supply = i.where("type = 'supply_chain'").withColumn("one", F.lit(1)).join(sets.join(chain, "doc").withColumn("k", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("seq", "doc"))).where(F.col("k") <= per_item).drop("k").withColumn("one", F.lit(1)), "one")
+    # an item of this type takes the first sets of the same list, which its cap bounds
+    first = sets.join(chain, "doc").orderBy("seq", "doc").limit(per_item).withColumn("one", F.lit(1))
+    supply = i.where("type = 'supply_chain'").withColumn("one", F.lit(1)).join(F.broadcast(first), "one")
     words = i.where(~F.col("type").isin("company", "country", "industry", "supply_chain")).withColumn("key", F.get(F.split("v", " "), F.lit(0)))
     text = lambda d, c: d.withColumn("key", F.explode(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+"))))
     said = text(changes, "statement").join(words, "key").where(F.lower("statement").contains(F.col("v")))

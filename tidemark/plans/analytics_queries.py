@@ -158,13 +158,13 @@ def jon12_reconcile(spark, sf):
     return R.reconcile(c.unionByName(c.withColumn("pos", F.col("pos") + 1000000)), have, "us")
 
 
-@query("""select p_partkey as pos, case when p_partkey % 2 = 0 then p_partkey % 50 when p_partkey % 3 = 0 then p_partkey % 40 end as company from part""")
+@query("""select p_partkey as pos, case when p_partkey % 2 = 0 then p_partkey % 50 when p_partkey % 3 = 0 then p_partkey % 40 else -1 end as company from part""")
 def jon14_index_link(spark, sf):
     k = F.col("p_partkey")
     p = D.table(spark, sf, "part").select(k.alias("pos"), F.when(k % 2 == 0, F.concat(F.lit("I"), D.text(k % 50))).alias("isin"), F.when(k % 3 == 0, F.concat(F.lit("S"), D.text(k % 40))).alias("symbol"))
     ids = spark.range(50).select(F.col("id").alias("company"))
     steps = [("isin", ids.select(F.concat(F.lit("I"), D.text("company")).alias("on"), "company"), F.col("isin")), ("symbol", ids.select(F.concat(F.lit("S"), D.text("company")).alias("on"), "company"), F.col("symbol"))]
-    return R.cascade(p, "pos", steps).select("pos", "company")
+    return R.cascade(p, "pos", steps).select("pos", F.coalesce("company", F.lit(-1)).alias("company"))
 
 
 @query("""select s_suppkey as n, case when s_suppkey % 3 = 0 then 'k' || s_suppkey when s_suppkey % 3 = 1 then 'g' || s_suppkey else 'x-holder-' || s_suppkey end as key, s_suppkey % 3 < 2 as resolved from supplier""")
@@ -276,9 +276,9 @@ def _periods(spark, sf):
     return d.select(F.col("doc_id").alias("doc"), F.col("source").alias("company"), F.col("lang").alias("source"), F.col("doc_id").alias("period"))
 
 
-@query("select doc_id as doc, lag(doc_id) over (partition by source, lang order by doc_id) as previous from documents where text is not null")
+@query("select doc_id as doc, coalesce(lag(doc_id) over (partition by source, lang order by doc_id), -1) as previous from documents where text is not null")
 def win02_previous(spark, sf):
-    return Doc.previous(_periods(spark, sf)).select("doc", "previous")
+    return Doc.previous(_periods(spark, sf)).select("doc", F.coalesce("previous", F.lit(-1)).alias("previous"))
 
 
 _CHANGES = f"""(with p as (select doc_id as doc, lag(doc_id) over (partition by source, lang order by doc_id) as previous from documents where text is not null), s as (select doc, norm, arg_min(sentence, seq) as sentence, arg_min(category, seq) as category from {_GOOD} where norm <> '' group by 1, 2)
@@ -420,10 +420,10 @@ _PRICES = "(select l_partkey::varchar as symbol, o_orderdate::date as ts, avg(l_
 _QUOTES = f"(select symbol, arg_max(ts, ts) as ts, arg_max(price, ts) as price, arg_max(coalesce(prev, -1), ts) as prev from (select *, lag(price) over (partition by symbol order by ts) as prev from {_PRICES}) group by 1)"
 
 
-@query(f"select symbol, ts::varchar as ts, round(price, 4) as price, case when prev > 0 then round(100 * (price - prev) / prev, 4) end as change_pct from {_QUOTES}")
+@query(f"select symbol, ts::varchar as ts, round(price, 8) as price, case when prev > 0 then round(100 * (price - prev) / prev, 4) end as change_pct from {_QUOTES}")
 def win06_latest_quotes(spark, sf):
     q = M.latest_quotes(_prices(spark, sf))
-    return q.select("symbol", D.text("ts").alias("ts"), F.round("price", 4).alias("price"), F.round("change_pct", 4).alias("change_pct"))
+    return q.select("symbol", D.text("ts").alias("ts"), F.round("price", 8).alias("price"), F.round("change_pct", 4).alias("change_pct"))
 
 
 @query(f"select symbol from {_QUOTES} where epoch(timestamp '1998-06-30') - epoch(ts::timestamp) <= 86400 * 90")

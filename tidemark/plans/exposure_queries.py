@@ -306,14 +306,14 @@ def agg08_portfolio_profile(spark, sf):
     return out.withColumn("value", F.round("value", 2))
 
 
-@query("""select o_custkey as fund, l_suppkey as company, round(sum(l_extendedprice), 2) as value, nullif(sum(case when l_quantity > 25 then l_quantity::bigint else 0 end), 0)::bigint as shares,
+@query("""select o_custkey as fund, l_suppkey as company, round(sum(l_extendedprice), 2) as value, coalesce(nullif(sum(case when l_quantity > 25 then l_quantity::bigint else 0 end), 0), -1)::bigint as shares,
 min_by('C' || l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as cusip, min_by('I' || l_linenumber, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as issuer from lineitem join orders on l_orderkey = o_orderkey group by 1, 2""")
 def agg09_fold_lines(spark, sf):
     li = D.lines(spark, sf).select(
         F.col("o_custkey").alias("fund"), F.col("l_suppkey").alias("company"), F.col("l_extendedprice").alias("value"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("long")).otherwise(0).alias("shares"),
         F.concat(F.lit("C"), D.text("l_partkey")).alias("cusip"), F.concat(F.lit("I"), D.text("l_linenumber")).alias("issuer"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("pos"),
     )
-    return P.fold_lines(li, ["fund", "company"]).withColumn("value", F.round("value", 2))
+    return P.fold_lines(li, ["fund", "company"]).withColumns({"value": F.round("value", 2), "shares": F.coalesce("shares", F.lit(-1))})
 
 
 @query("""select r_name as market, count(*) as total, count_if(s_acctbal > 0)::bigint as in_universe, count_if(s_acctbal > 0 and s_suppkey % 2 = 0)::bigint as main, count_if(s_acctbal > 0 and s_suppkey % 2 = 1)::bigint as second

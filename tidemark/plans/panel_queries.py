@@ -80,10 +80,10 @@ def top11_connected(spark, sf):
     return P.connected(D.references(spark, sf))
 
 
-@query("""select l_suppkey as company, l_orderkey as person, case when l_quantity % 2 = 0 then (l_quantity / 2)::bigint end as shares, case when l_returnflag = 'A' then 'A' when l_linestatus = 'O' then 'Director' when l_linenumber = 1 then 'Officer' else 'Insider' end as role from lineitem""")
+@query("""select l_suppkey as company, l_orderkey as person, case when l_quantity % 2 = 0 then (l_quantity / 2)::bigint else -1 end as shares, case when l_returnflag = 'A' then 'A' when l_linestatus = 'O' then 'Director' when l_linenumber = 1 then 'Officer' else 'Insider' end as role from lineitem""")
 def jon23_person_holdings(spark, sf):
     li = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("company"), F.col("l_orderkey").alias("person"), (F.col("l_quantity") / 2).alias("shares"), F.when(F.col("l_returnflag") == "A", " A ").otherwise(" ").alias("title"), (F.col("l_linestatus") == "O").alias("is_director"), (F.col("l_linenumber") == 1).alias("is_officer"))
-    return P.person_holdings(li)
+    return P.person_holdings(li).withColumn("shares", F.coalesce("shares", F.lit(-1)))
 
 
 @query("select relation, count(*) as n, count(distinct target_key) as targets from (select 'affects_sector' as relation, unnest([p_type, p_brand]) as target_key from part where p_size <= 25 union all select 'issued_by', n_name from part join nation on p_partkey % 25 = n_nationkey where p_size > 25) group by 1")
