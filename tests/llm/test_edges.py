@@ -317,3 +317,46 @@ def test_similar_groups_find_every_pair(spark):
             parent[max(x, y)] = min(x, y)
     got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: root(d) for d in sets}
+
+
+def stars(count, seed=4, words=300, changed=6):
+    """A text and copies of it: each is similar to the text (0.8 or more), but not to the other copies."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, count + 1):
+        w = list(base)
+        for i in range(changed):
+            w[3 + i * (words // changed) + r.randrange(words // changed - 4)] = f"w{k}x{i}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_similar_groups_of_a_star(spark):
+    from tidemark.llm import simhash
+
+    rows = stars(1200)
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows[:200]]
+    assert min(len(sets[0] & s) / len(sets[0] | s) for s in sets) >= 0.8
+    assert sorted(len(a & b) / len(a | b) for i, a in enumerate(sets[1:]) for b in sets[1 : i + 1])[5000] < 0.8
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1201 and {x.component_id for x in got} == {0}
+
+
+def test_similar_groups_without_the_cheap_links(spark, monkeypatch):
+    """The prefixes alone find every pair, in salted keys and with common shingles put last."""
+    from tidemark.llm import simhash
+
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    monkeypatch.setattr(simhash, "sketch", lambda hashes: np.frombuffer(hashes.tobytes() + bytes(8), np.int64)[:1])
+    rows = stars(70) + [(1000 + i, t) for i, t in stars(70, 9, 120, 2)] + [(2000, ""), (2001, None), (2002, "b1 b2 b3")]
+    sets = {d: set(simhash.shingle_set(t).tolist()) for d, t in rows}
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = group[a], group[b]
+                group = {d: min(x, y) if g in (x, y) else g for d, g in group.items()}
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == group

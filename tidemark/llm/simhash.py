@@ -150,8 +150,10 @@ def fp_hex(fp: Column) -> Column:
 
 #: Min-wise samples of a text for groups by similarity: bands of so many values.
 BANDS, ROWS = 24, 6
-#: A band key with more sketches is compared with so many leaders instead of pair by pair.
+#: A band key with more sets is first compared with so many leaders; the pairs that this leaves open are found by prefixes.
 CROWD, LEADERS = 32, 6
+#: Texts that tell which shingles are common, and the most common shingles to know. They only order the prefixes.
+SAMPLE_DOCS, COMMON = 20_000, 1 << 17
 
 _RNG = np.random.default_rng(20240101)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,24 +191,59 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
-def sketches(text: Column, shingle: int = 5) -> Column:
-    """A struct of the fingerprint and the band keys."""
+def prefix_length(size: int, similarity: float) -> int:
+    """So many of the first values of a set, in an order that all sets share, meet those of every set that is similar enough."""
+    return size - int(np.ceil(similarity * size - 1e-9)) + 1 if size else 0
 
-    @F.pandas_udf("fp long, bands array<long>")
+
+def prefix(values: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first values of a set, rare ones first: those not in ``common`` (sorted), then those in it, each by value."""
+    known = np.zeros(len(values), bool)
+    if len(common) and len(values):
+        known = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
+    return np.concatenate([values[~known], values[known]])[: prefix_length(len(values), similarity)]
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """The shingles that occur in two or more of a bounded sample of texts, sorted; at most ``COMMON``."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    chosen = docs.where(F.pmod(F.xxhash64(text_col, F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = chosen.select(F.explode(of(F.col(text_col))).alias("h")).groupBy("h").count().where("count > 1")
+    top = counts.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def sketches(text: Column, common: np.ndarray, shingle: int = 5, similarity: float = 0.8) -> Column:
+    """A struct of the set's hash and size, the fingerprint, the band keys and the prefix."""
+
+    @F.pandas_udf("node long, size int, fp long, bands array<long>, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        hashes = [shingle_hashes(t, shingle) for t in texts]
-        fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fps, "bands": pd.Series([sketch(np.unique(h)) for h in hashes], dtype=object)})
+        rows = []
+        for t in texts:
+            hashes = shingle_hashes(t, shingle)
+            own = np.unique(hashes)
+            ids = np.array([xxhash.xxh64_intdigest(own.tobytes(), 42), majority(hashes)], np.uint64).view(np.int64)
+            rows.append((ids[0], len(own), ids[1], sketch(own), prefix(own, common, similarity).view(np.int64)))
+        return pd.DataFrame(rows, columns=["node", "size", "fp", "bands", "prefix"])
 
     return of(text)
 
 
 def _sets(text: Column, shingle: int) -> Column:
-    """The shingle set of a text, by the low 32 bits of its hashes."""
+    """The hash of a text's shingle set, and the set by the low 32 bits of its hashes."""
 
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in texts], dtype=object)
+    @F.pandas_udf("node long, set binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            own = shingle_set(t, shingle)
+            rows.append((np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).astype(np.int64), np.unique(own.astype(np.uint32)).tobytes()))
+        return pd.DataFrame(rows, columns=["node", "set"])
 
     return of(text)
 
@@ -224,19 +261,41 @@ def _jaccard(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+def _open_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of sets in different groups that may be similar enough.
+
+    Two such sets share a value of their prefixes, differ in size by no more than the similarity allows,
+    and have values enough from the first shared one on. Keys of one group make no pair; crowded keys are salted.
+    """
+    grouped = nodes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
+    keyed = grouped.select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("at", "key"))
+    of_key = W.partitionBy("key")
+    mixed = keyed.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).withColumn("n", F.count("*").over(of_key))
+    mixed = stored(mixed.where("low < high").drop("low", "high"), "sketch-open")
+    parts = F.least(F.lit(256), F.ceil(F.col("n") / CROWD)).cast("int")
+    a = mixed.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("at").alias("ia"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("pa"))
+    b = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("at").alias("ib"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("pb"))
+    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
+    met = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("pa") == F.col("pb")) & (F.col("ra") < F.col("rb")) & sizes & left)
+    return met.select("a", "b").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): groups of texts whose sets of word shingles overlap by at least ``similarity``.
 
-    A similarity of 0.8 is a difference of ten bits or so in a fingerprint of 64, too many for blocks of a fingerprint:
-    on the test tables 1.5 % of such pairs differ in at most 4 bits. So candidates come from the fingerprint's blocks
-    and from blocks of min-wise samples as well (24 bands of 6; a pair at 0.8 shares one with probability 0.999),
-    and every candidate is verified exactly. Equal sketches are one node. In a band key of
-    over ``CROWD`` nodes each is compared with 6 leaders chosen by a hash for that key, so that the work stays in proportion.
+    Equal sets are one node. First come cheap candidates: the fingerprint's blocks, and blocks of min-wise samples (24 bands
+    of 6), where in a band key of over ``CROWD`` nodes each is compared with leaders only: some chosen by a hash, and the node
+    that shares most. These links make most groups. Then every pair of nodes in different groups that shares a value of its
+    prefixes is a candidate as well (``_open_pairs``), so that no pair is missed. All candidates are verified.
     Texts without words are one group. A group that has no id is left alone.
     """
-    made = docs.select(F.col(id_col).alias("id"), sketches(F.col(text_col), shingle).alias("s"))
-    rows = stored(made.select("id", "s.fp", "s.bands", F.xxhash64("s.bands").alias("node")), "sketch")
-    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "sketch-nodes")
+    common = common_shingles(docs, text_col, shingle)
+    made = stored(docs.select(F.col(id_col).alias("id"), sketches(F.col(text_col), common, shingle, similarity).alias("s")).select("id", "s.*"), "sketch")
+    first = [F.first(c).alias(c) for c in ("size", "fp", "bands", "prefix")]
+    nodes = stored(made.groupBy("node").agg(F.min("id").alias("least"), *first), "sketch-nodes")
+    rows = stored(made.select("id", "node"), "sketch-ids")
+    discard(made)
     of_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(of_fp, "fp").where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
     fa, fb = of_fp.select(F.col("fp").alias("a"), F.col("first").alias("na")), of_fp.select(F.col("fp").alias("b"), F.col("first").alias("nb"))
@@ -246,19 +305,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small = shared.where(F.col("n") <= CROWD)
     a, b = small.select("key", F.col("node").alias("a")), small.select(F.col("key").alias("k"), F.col("node").alias("b"))
     pairs = a.join(b, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b")
-    crowd = shared.where(F.col("n") > CROWD).select("key", "node")
+    crowd = shared.where(F.col("n") > CROWD)
     order = F.xxhash64("node", "key")
-    lead = crowd.groupBy("key", F.pmod(F.xxhash64("key", "node"), F.lit(LEADERS)).alias("slot")).agg(F.min_by("node", order).alias("leader"))
-    led = crowd.join(lead, "key").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    pairs = stored(pairs.unionByName(led).unionByName(same).unionByName(close).distinct(), "sketch-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").where("least is not null")
-    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(wanted, "least")
-    sets = stored(texts.dropDuplicates(["node"]).select("node", _sets(F.col("text"), shingle).alias("set")), "sketch-sets")
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    roots = components(x.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
+    lead = crowd.groupBy("key", F.pmod(F.xxhash64("key", "node"), F.lit(LEADERS)).alias("slot")).agg(F.min_by("node", order).alias("leader")).drop("slot")
+    weight = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
+    heavy = crowd.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    led = crowd.join(lead.unionByName(heavy), "key").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        pairs = stored(candidates, "sketch-pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct().join(nodes.select(F.col("node").alias("want"), "least"), "want").where("least is not null")
+        texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(wanted, "least")
+        # an id may stand for several texts
+        sets = texts.select("want", _sets(F.col("text"), shingle).alias("s")).where("s.node = want").select(F.col("want").alias("node"), "s.set")
+        sets = stored(sets.dropDuplicates(["node"]), "sketch-sets")
+        x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        return x.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+
+    roots = components(verified(pairs.unionByName(led).unionByName(same).unionByName(close).distinct()))
+    rest = verified(_open_pairs(nodes, roots, similarity))
+    roots = components(rest.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     grouped = nodes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "node").join(grouped.join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
+    return rows.join(grouped.join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
