@@ -360,3 +360,21 @@ def test_similar_groups_without_the_cheap_links(spark, monkeypatch):
                 group = {d: min(x, y) if g in (x, y) else g for d, g in group.items()}
     got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == group
+
+
+def test_long_clean_texts_stay(spark):
+    """The margin doesn't fall with the length, and no number of words is too many."""
+    from tidemark.llm import langid, quality
+
+    r = random.Random(5)
+    words = {x: ["".join(r.choice(signs) for _ in range(r.randint(2, 9))) for _ in range(3000)] for x, signs in (("en", "aeiouthnsrdlw"), ("de", "aeiuchnsrdgbzk"))}
+    weights = [1 / (i + 5) for i in range(3000)]
+    text = lambda lang, n: " ".join(r.choices(words[lang], weights, k=n))
+    model = langid.fit(spark.createDataFrame([(text(x, 250), x) for x in words for _ in range(60)], "text string, lang string"))
+    made = langid._encoders(model)
+    for x in words:
+        short, long = made.predict(text(x, 300)), made.predict(text(x, 700_000))
+        assert short[0] == long[0] == x and long[2] > 0.5 * short[2] > langid.MARGIN
+    # over a million words, none of them a repeat of a passage
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_100)), lambda i: F.when(i % 9 == 0, "the").otherwise(F.translate(i.cast("string"), "0123456789", "abcdefghij"))), " ").alias("text"))
+    assert quality.keep_good(long).count() == 1

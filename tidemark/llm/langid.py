@@ -3,8 +3,10 @@
 Each language has a zstandard raw-content dictionary made of training text. A
 text is encoded with every dictionary; the language of the smallest result
 wins. Texts are lower-cased and reduced to runs of letters first, so that signs,
-digits and capitals don't count. The margin is the share by which the best beats
-the second; a narrow one is a rejection. Equal sizes are settled by encoding
+digits and capitals don't count. A text is encoded in chunks of fixed size, each with
+the fresh dictionary, so that the dictionary helps the end of a long text as much as its
+beginning. The margin is the share by which the best beats
+the second, over all chunks; a narrow one is a rejection. Equal sizes are settled by encoding
 with parts of the dictionaries, then by the order of names.
 
 The model is fitted on a bounded sample: at most ``DOCS_PER_LANG`` distinct texts for
@@ -33,6 +35,8 @@ DOCS_PER_LANG = 400
 SNIPPET = 1500
 DICT_BYTES = 1 << 16
 PART_BYTES = 1 << 13
+#: Texts are encoded in chunks of so many bytes.
+CHUNK_BYTES = 1 << 13
 #: A narrower share between best and second is a rejection.
 MARGIN = 0.01
 
@@ -76,7 +80,8 @@ class _Encoders:
         if not self.langs or text is None or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         data = normal(text)
-        sizes = [len(e.compress(data)) - self.empty for e in self.whole]
+        chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+        sizes = [sum(len(e.compress(c)) - self.empty for c in chunks) for e in self.whole]
         low = min(sizes)
         best = [i for i, n in enumerate(sizes) if n == low]
         if len(best) > 1 and len(data) <= PART_BYTES:

@@ -43,6 +43,9 @@ RULES = [
     ("same_share", None, 0.30),
 ]
 
+#: The same without an upper limit of words: a long clean text is a good text.
+CORPUS_RULES = [r for r in RULES if r[0] != "n_words" or r[2] is None]
+
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -135,7 +138,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: list = RULES, into: st
     return docs.withColumn(into, measures(F.col(text_col))).withColumn(into, F.struct(F.col(f"{into}.*"), base_failed(m).alias("base_failed"), (~base_failed(m) & passes(m, rules)).alias("kept")))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", rules: list = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", rules: list = CORPUS_RULES) -> DataFrame:
     """The rows that are kept, with their own columns only."""
     m = F.transform(F.array(measures(F.col(text_col))), lambda x: ~base_failed(x) & passes(x, rules))[0]
     return docs.where(m)
