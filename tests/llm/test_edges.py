@@ -378,3 +378,21 @@ def test_long_clean_texts_stay(spark):
     # over a million words, none of them a repeat of a passage
     long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_100)), lambda i: F.when(i % 9 == 0, "the").otherwise(F.translate(i.cast("string"), "0123456789", "abcdefghij"))), " ").alias("text"))
     assert quality.keep_good(long).count() == 1
+
+
+def test_mixing_keeps_languages_without_a_target(spark):
+    from tidemark.llm import langid, mixing
+
+    langs = ["en"] * 11 + ["de"] * 3 + ["fr"] * 3 + ["es"] * 3 + ["it", None]
+    rows = [(i, "some plain words of a text", langs[i % 22], "src0" if i % 20 == 7 else "src1") for i in range(4400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(df, mixing.TARGETS, mixing.document_values(), mixing.n_words(F.col("text"))).collect()
+    rest = [r for r in out if r.lang in (None, "it")]
+    assert len(rest) == 400 and min(r.mix.probability for r in rest) > 0.3
+    # src0 has 5 % of the words, less than its limit: nothing is taken from the other sources for it
+    assert min(r.mix.probability for r in out) > 0.5 and sum(r.mix.kept for r in out) > 0.7 * len(out)
+    hot = mixing.shares([0.15], np.array([0.4, 0.6]), True)
+    assert np.allclose(hot, [0.15, 0.85]) and np.allclose(mixing.shares([0.5, 0.5], np.array([0.6, 0.2, 0.2]), False), [0.4, 0.4, 0.2])
+    model = langid.fit(spark.createDataFrame([(f"the cat and the dog are in the house number {i} of that street", "en") for i in range(60)] + [(f"der hund und die katze sind in dem haus nummer {i} von dieser straße", "de") for i in range(60)], "text string, lang string"))
+    filled = langid.accepted(spark.createDataFrame([(1, "the dog and the cat in that street", None), (2, "die katze und der hund in dieser straße", "nl")], "doc_id long, text string, lang string"), model, fill="lang").collect()
+    assert sorted((r.doc_id, r.lang) for r in filled) == [(1, "en"), (2, "nl")]

@@ -132,9 +132,9 @@ def identify(text: Column, model: Model) -> Column:
     return of(text)
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows whose language is clear; all columns as they were."""
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", margin: float = MARGIN, fill: str | None = None) -> DataFrame:
+    """The rows whose language is clear; all columns as they were, but nulls of the column ``fill`` are the predicted language."""
     names = docs.columns
     judged = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), identify(F.col(text_col), model).alias("guess"))
     kept = judged.where((F.col("guess.lang_pred") != "und") & (F.col("guess.margin") >= margin))
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    return kept.select(*((F.coalesce(f"c{i}", "guess.lang_pred") if c == fill else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)))
