@@ -312,6 +312,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heavy = crowd.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
     led = crowd.join(lead.unionByName(heavy), "key").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
 
+    used = [shared]
+
     def verified(candidates: DataFrame) -> DataFrame:
         pairs = stored(candidates, "sketch-pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct().join(nodes.select(F.col("node").alias("want"), "least"), "want").where("least is not null")
@@ -319,12 +321,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # an id may stand for several texts
         sets = texts.select("want", _sets(F.col("text"), shingle).alias("s")).where("s.node = want").select(F.col("want").alias("node"), "s.set")
         sets = stored(sets.dropDuplicates(["node"]), "sketch-sets")
+        used.extend([pairs, sets])
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
         return x.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
     roots = components(verified(pairs.unionByName(led).unionByName(same).unionByName(close).distinct()))
+    while used:
+        discard(used.pop())
     rest = verified(_open_pairs(nodes, roots, similarity))
     roots = components(rest.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    while used:
+        discard(used.pop())
     grouped = nodes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(grouped.join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
