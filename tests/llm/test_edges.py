@@ -396,3 +396,12 @@ def test_mixing_keeps_languages_without_a_target(spark):
     model = langid.fit(spark.createDataFrame([(f"the cat and the dog are in the house number {i} of that street", "en") for i in range(60)] + [(f"der hund und die katze sind in dem haus nummer {i} von dieser straße", "de") for i in range(60)], "text string, lang string"))
     filled = langid.accepted(spark.createDataFrame([(1, "the dog and the cat in that street", None), (2, "die katze und der hund in dieser straße", "nl")], "doc_id long, text string, lang string"), model, fill="lang").collect()
     assert sorted((r.doc_id, r.lang) for r in filled) == [(1, "en"), (2, "nl")]
+
+
+def test_language_made_of_copies_is_learned(spark):
+    from tidemark.llm import langid
+
+    copies = spark.range(50_000).select(F.concat(F.lit("il gatto e il cane sono nella casa numero "), F.array(*(F.lit(f"x{chr(97 + i)}y") for i in range(3)))[(F.col("id") % 3).cast("int")]).alias("text"), F.lit("it").alias("lang"))
+    other = spark.createDataFrame([(f"the cat and the dog are in the house number {i} of that street", "en") for i in range(60)], "text string, lang string")
+    model = langid.fit(copies.unionByName(other))
+    assert model.langs == ("en", "it") and model.contents[1].count(b"gatto") == 3

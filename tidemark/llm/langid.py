@@ -11,7 +11,8 @@ with parts of the dictionaries, then by the order of names.
 
 The model is fitted on a bounded sample: at most ``DOCS_PER_LANG`` distinct texts for
 each of at most ``MAX_LANGS`` languages, ``SNIPPET`` characters of each, chosen by a
-hash of the text. Predictions read whole texts.
+hash of the text, of which the first 64 KB are the dictionary. Copies of a text count
+once. Predictions read whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0. Rows without a language, and languages beyond the bound (smallest first),
@@ -103,15 +104,16 @@ def _encoders(model: Model) -> _Encoders:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from rows with a text and a language; the sample of a language is at most 400 rows of 1,500 characters."""
+    """A model from rows with a text and a language; the sample of a language is at most 400 different texts of 1,500 characters and 64 KB."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"), F.min(spread).alias("least"))
+    counts = counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return Model((), ())
-    # four times what is needed, as copies of a text count once
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * DOCS_PER_LANG / r["count"])))))
-    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    some = rows.where(spread < share[F.col("lang")]).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SNIPPET).alias("t"))
+    # four times what is needed of the different texts, and one at least
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(max(r["least"], 4.0 * DOCS_PER_LANG / r["texts"])))))
+    some = rows.where(spread <= share[F.col("lang")]).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SNIPPET).alias("t"))
     some = some.groupBy("lang", "h").agg(F.min("t").alias("t"))
     some = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= DOCS_PER_LANG)
     by: dict[str, list[tuple[int, bytes]]] = {}
