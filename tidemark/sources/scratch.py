@@ -11,26 +11,49 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder. Where none is set, one machine alone (a ``local`` master, as in tests) gets a temporary one; a cluster is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _OWN[app]
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
+        context.setCheckpointDir(_OWN[context.applicationId])
+    return _OWN[context.applicationId]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the application ends."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
     return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet and read back."""
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs only the tasks that it ran, and the
+    rows are computed once. The table goes with ``discard`` or when the application ends.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_path", None)
+        if path:
+            fs, p = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
