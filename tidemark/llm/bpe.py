@@ -19,6 +19,7 @@ vocabulary raise an error (public byte-level vocabularies have all 256).
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranges, slices
-from .pieces import PieceCache
+from .pieces import PieceCache, by_pattern
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +41,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one match to ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.below: dict[int, int] = {}
@@ -60,8 +61,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.hypotheses, self.index = [(0, -1, ())], {(0, -1, ()): 0}
-        self.states, self.number = [(0,)], {(0,): 0}
+        self.states, self.number = [((0, -1, ()),)], {((0, -1, ()),): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.last: list[tuple[int, ...]] = [()]
 
@@ -85,43 +85,40 @@ class Transducer:
         pair = (before + 1) << 24 | token
         known = self.valid.get(pair)
         if known is None:
-            if len(self.valid) > 500_000:
+            if len(self.valid) > 200_000:
                 self.valid.clear()
             text = self.bytes_of[token] if before < 0 else self.bytes_of[before] + self.bytes_of[token]
             known = self.valid[pair] = self.merge(text) == ([token] if before < 0 else [before, token])
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        open_ones, done = [], None
-        for number in self.states[state]:
-            node, before, held = self.hypotheses[number]
-            below = self.below.get(node << 8 | byte)
-            if below is None:
+        below, tokens, inner = self.below.get, self.token, self.inner
+        new, done, sure = [], None, ()
+        for node, before, held in self.states[state]:
+            node = below(node << 8 | byte)
+            if node is None:
                 continue
-            token = self.token[below]
+            token = tokens[node]
             if done is None and token >= 0 and self.follows(before, token):
-                done = (0, token, (*held, token))
-            if self.inner[below]:
-                open_ones.append((below, before, held))
+                done = (*held, token)
+            if inner[node]:
+                new.append((node, before, held))
         if done is None:
             raise ValueError("bytes that the vocabulary can't encode")
-        open_ones.append(done)
-        sure, shortest = 0, min(len(held) for _, _, held in open_ones)
-        while sure < shortest and all(held[sure] == done[2][sure] for _, _, held in open_ones):
-            sure += 1
-        new = []
-        for node, before, held in open_ones:
-            one = (node, before, held[sure:])
-            number = self.index.setdefault(one, len(self.hypotheses))
-            if number == len(self.hypotheses):
-                self.hypotheses.append(one)
-            new.append(number)
+        new.append((0, done[-1], done))
+        if new[0][2]:
+            n, shortest = 0, min([len(h[2]) for h in new])
+            while n < shortest and all([h[2][n] == done[n] for h in new]):
+                n += 1
+            if n:
+                sure = done[:n]
+                new = [(node, before, held[n:]) for node, before, held in new]
         key = tuple(new)
         number = self.number.setdefault(key, len(self.states))
         if number == len(self.states):
             self.states.append(key)
-            self.last.append(done[2][sure:])
-        move = self.moves[state << 8 | byte] = (number, done[2][:sure])
+            self.last.append(new[-1][2])
+        move = self.moves[state << 8 | byte] = (number, sure)
         return move
 
     def stream(self, text: Iterable[int]) -> Iterator[int]:
@@ -207,7 +204,7 @@ class Bpe(Vocabulary):
         super().__init__(ranks)
         self.machine = Transducer(ranks)
         self.matches = regex.compile(pattern).findall
-        self.cache = PieceCache(self._encode, "<u4")
+        self.cache = PieceCache(self._encode, "<u4", by_pattern(pattern))
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         out = []
@@ -215,7 +212,7 @@ class Bpe(Vocabulary):
             ids: list[int] = []
             for match in self.matches(piece):
                 ids += self.machine.encode(match.encode())
-            out.append(np.array(ids, "<u4").tobytes())
+            out.append(array("I", ids).tobytes())
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

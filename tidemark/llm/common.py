@@ -2,60 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-
-#: The text bytes that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+from ..sources.scratch import discard, new_path, stored
 
+__all__ = ["discard", "new_path", "ranges", "repeated", "slices", "spread", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
-    return _OWN_DIRS[app]
+#: The text bytes that a Python worker handles at once.
+SLICE_BYTES = 8 << 20
 
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has, where few bytes would otherwise meet much work in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def repeated(keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keyed`` whose ``key`` occurs twice or more, with the count ``n``, and the table of these keys; both stored.
 
-    This cuts the lineage: a lost executor costs only the tasks it ran, and the
-    rows are computed once. The table goes when the application ends.
+    Counts are partial sums before their shuffle, and the join is one that Spark can split, so a key
+    that a third of all rows have never meets in one task.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    fs, p = _hadoop(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``stored`` that nothing reads any more."""
-    path = getattr(df, "_stored_path", None)
-    if path:
-        fs, p = _hadoop(df.sparkSession, path)
-        fs.delete(p, True)
+    many = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
+    return stored(keyed.join(many, "key"), name), many
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

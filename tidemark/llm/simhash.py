@@ -24,9 +24,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import discard, stored
+from ..operators.linked import components
+from .common import discard, repeated, spread, stored
 
 BITS, BLOCKS, MAX_BITS = 64, 8, 4
 #: A block key with more distinct fingerprints is linked through values near them.
@@ -81,10 +81,9 @@ def _near_values() -> list[int]:
 
 
 def links(fingerprints: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b, over distinct values of the column ``fp``: every pair within 4 bits, or pairs that join the same groups."""
-    distinct = fingerprints.select("fp").distinct()
-    keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"))).alias("key"))
-    shared = stored(keyed.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1"), "simhash-shared")
+    """(a, b), a < b, over distinct values of the column ``fp``: every pair within 4 bits, or pairs that join the same groups. Stored."""
+    distinct = spread(fingerprints.select("fp").distinct())
+    shared, many = repeated(distinct.select("fp", F.explode(_block_keys(F.col("fp"))).alias("key")), "simhash-shared")
     cold = shared.where(F.col("n") <= hot)
     a, b = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -95,52 +94,34 @@ def links(fingerprints: DataFrame, hot: int = HOT) -> DataFrame:
     # a pair counts once, under the first blocks that it agrees in
     first = F.shiftright("key", 32) == agree.bitwiseXOR(rest)
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS)).select(a["key"], "a", "b").where(first).select("a", "b")
-    dense = shared.where(F.col("n") > hot).select("fp").distinct()
-    near = dense.select("fp", F.explode(F.transform(F.lit(_near_values()), lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    near = near.withColumn("a", F.min("fp").over(W.partitionBy("value"))).where("a < fp").select("a", F.col("fp").alias("b")).distinct()
-    return pairs.unionByName(near)
+    dense = spread(shared.where(F.col("n") > hot).select("fp").distinct())
+    near = stored(dense.select("fp", F.explode(F.transform(F.lit(_near_values()), lambda m: F.col("fp").bitwiseXOR(m))).alias("value")), "simhash-near")
+    # at most 2081 different fingerprints lie within 2 bits of a value
+    low = near.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("value", "a")
+    near_pairs = near.join(low, "value").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    out = stored(pairs.unionByName(near_pairs), "simhash-links")
+    discard(shared, many, near)
+    return out
 
 
-def _marks(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node reachable; roots have no row.
-
-    Alternates large-star and small-star: each round is two aggregations and joins
-    over the edges, their number falls, and rounds grow with the logarithm of the longest path.
-    """
-    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    marks = _marks(edges)
-    for _ in range(max_rounds):
-        if not marks[0]:
-            break
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m")
-        small = large.join(low, F.col("b") == F.col("u")).select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("a").alias("y")), F.struct(F.col("m").alias("x"), F.col("b").alias("y")))).alias("e"))
-        new = stored(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct(), "stars")
-        discard(edges)
-        edges, before = new, marks
-        marks = _marks(edges)
-        if marks == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+def _labelled(nodes: DataFrame, node: str, least: str, roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, component_id) of the nodes in groups of several (their number is that of the links, not of all rows), and the tables behind it."""
+    both = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = stored(nodes.select(F.col(node).alias("node"), F.col(least).alias("least")).join(both, "node"), "group-members")
+    # stored, so that the next join has a shuffle of its own, which Spark splits where one root has many members
+    ids = stored(members.groupBy("root").agg(F.min("least").alias("component_id")), "group-ids")
+    return members.join(ids, "root").select("node", "component_id"), [members, ids]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: the id, ``fp`` (signed) and ``component_id``, the smallest id of its group."""
     fps = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash-fp")
-    smallest = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(fps, hot))
-    grouped = smallest.join(roots, smallest["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    group = grouped.join(ids, "root").select("fp", "component_id")
-    return fps.join(group, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    smallest = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-least")
+    found = links(fps, hot)
+    group, _ = _labelled(smallest, "fp", "least", components(found))
+    discard(found)
+    own = smallest.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(stored(own, "simhash-groups"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def fp_hex(fp: Column) -> Column:
@@ -150,8 +131,8 @@ def fp_hex(fp: Column) -> Column:
 
 #: Min-wise samples of a text for groups by similarity: bands of so many values.
 BANDS, ROWS = 24, 6
-#: A band key with more sets is first compared with so many leaders; the pairs that this leaves open are found by prefixes.
-CROWD, LEADERS = 32, 6
+#: A band key with more sets is compared with so many leaders first; the pairs that this leaves open are found by prefixes.
+CROWD, LEADERS = 32, 3
 #: Texts that tell which shingles are common, and the most common shingles to know. They only order the prefixes.
 SAMPLE_DOCS, COMMON = 20_000, 1 << 17
 
@@ -235,14 +216,14 @@ def sketches(text: Column, common: np.ndarray, shingle: int = 5, similarity: flo
 
 
 def _sets(text: Column, shingle: int) -> Column:
-    """The hash of a text's shingle set, and the set by the low 32 bits of its hashes."""
+    """The hash of a text's shingle set, and the set, sorted."""
 
     @F.pandas_udf("node long, set binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             own = shingle_set(t, shingle)
-            rows.append((np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).astype(np.int64), np.unique(own.astype(np.uint32)).tobytes()))
+            rows.append((np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).astype(np.int64), own.tobytes()))
         return pd.DataFrame(rows, columns=["node", "set"])
 
     return of(text)
@@ -253,41 +234,63 @@ def _jaccard(a: Column, b: Column) -> Column:
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            both = len(np.intersect1d(p, q, assume_unique=True))
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            p, q = (p, q) if len(p) <= len(q) else (q, p)
+            both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
             out.append(both / max(1, len(p) + len(q) - both))
         return pd.Series(out, dtype="float64")
 
     return of(a, b)
 
 
-def _open_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every pair of sets in different groups that may be similar enough.
+def _cheap_pairs(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): pairs that are probably similar, a number of them in proportion to the nodes; and the tables behind it.
+
+    Equal or near fingerprints, and in every band key each node with the one that shares most; in crowded keys also with a few chosen by a hash.
+    """
+    of_fp = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "sketch-fps")
+    same = nodes.join(of_fp, "fp").where("node <> first").select("node", F.col("first").alias("leader"))
+    fa, fb = of_fp.select(F.col("fp").alias("a"), F.col("first").alias("node")), of_fp.select(F.col("fp").alias("b"), F.col("first").alias("leader"))
+    near = links(nodes)
+    close = near.join(fa, "a").join(fb, "b").select("node", "leader")
+    shared, many = repeated(nodes.select("node", F.explode("bands").alias("key")), "sketch-shared")
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    heavy = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    slot = F.pmod(F.xxhash64("key", "node"), F.lit(LEADERS))
+    more = shared.where(F.col("n") > CROWD).groupBy("key", slot.alias("slot")).agg(F.min_by("node", F.xxhash64("node", "key")).alias("leader")).drop("slot")
+    leaders = stored(heavy.unionByName(more), "sketch-leaders")
+    led = shared.join(leaders, "key").where("leader <> node").select("node", "leader")
+    pairs = same.unionByName(close).unionByName(led)
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), [of_fp, near, shared, many, leaders]
+
+
+def _open_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): every pair of sets in different groups that may be similar enough; and the tables behind it.
 
     Two such sets share a value of their prefixes, differ in size by no more than the similarity allows,
     and have values enough from the first shared one on. Keys of one group make no pair; crowded keys are salted.
     """
     grouped = nodes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
-    keyed = grouped.select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("at", "key"))
-    of_key = W.partitionBy("key")
-    mixed = keyed.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).withColumn("n", F.count("*").over(of_key))
-    mixed = stored(mixed.where("low < high").drop("low", "high"), "sketch-open")
-    parts = F.least(F.lit(256), F.ceil(F.col("n") / CROWD)).cast("int")
+    keyed = stored(grouped.select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"), "sketch-grouped")
+    keyed_rows = keyed.select("node", "root", "size", F.posexplode("prefix").alias("at", "key"))
+    mixed_keys = stored(keyed_rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "sketch-open-keys")
+    mixed = stored(keyed_rows.join(mixed_keys, "key"), "sketch-open")
+    parts = F.ceil(F.col("n") / CROWD).cast("int")
     a = mixed.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("at").alias("ia"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("pa"))
     b = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("at").alias("ib"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("pb"))
     sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
     met = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("pa") == F.col("pb")) & (F.col("ra") < F.col("rb")) & sizes & left)
-    return met.select("a", "b").distinct()
+    return met.select("a", "b").distinct(), [keyed, mixed_keys, mixed]
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): groups of texts whose sets of word shingles overlap by at least ``similarity``.
 
-    Equal sets are one node. First come cheap candidates: the fingerprint's blocks, and blocks of min-wise samples (24 bands
-    of 6), where in a band key of over ``CROWD`` nodes each is compared with leaders only: some chosen by a hash, and the node
-    that shares most. These links make most groups. Then every pair of nodes in different groups that shares a value of its
-    prefixes is a candidate as well (``_open_pairs``), so that no pair is missed. All candidates are verified.
+    Shingles are compared by 64-bit hashes; texts whose sets have the same 64-bit hash are one node. First come cheap candidates:
+    the fingerprint's blocks, and blocks of min-wise samples (24 bands of 6), where each node is compared with leaders of its key
+    only. These links make most groups. Then every pair of nodes in different groups that shares a value of its
+    prefixes is a candidate as well (``_open_pairs``), so that no pair is missed. All candidates are verified on their whole sets.
     Texts without words are one group. A group that has no id is left alone.
     """
     common = common_shingles(docs, text_col, shingle)
@@ -296,45 +299,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = stored(made.groupBy("node").agg(F.min("id").alias("least"), *first), "sketch-nodes")
     rows = stored(made.select("id", "node"), "sketch-ids")
     discard(made)
-    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    same = nodes.join(of_fp, "fp").where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
-    fa, fb = of_fp.select(F.col("fp").alias("a"), F.col("first").alias("na")), of_fp.select(F.col("fp").alias("b"), F.col("first").alias("nb"))
-    close = links(nodes).join(fa, "a").join(fb, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = stored(keyed.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1"), "sketch-shared")
-    small = shared.where(F.col("n") <= CROWD)
-    a, b = small.select("key", F.col("node").alias("a")), small.select(F.col("key").alias("k"), F.col("node").alias("b"))
-    pairs = a.join(b, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b")
-    crowd = shared.where(F.col("n") > CROWD)
-    order = F.xxhash64("node", "key")
-    lead = crowd.groupBy("key", F.pmod(F.xxhash64("key", "node"), F.lit(LEADERS)).alias("slot")).agg(F.min_by("node", order).alias("leader")).drop("slot")
-    weight = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
-    heavy = crowd.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-    led = crowd.join(lead.unionByName(heavy), "key").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-
-    used = [shared]
-
-    def verified(candidates: DataFrame) -> DataFrame:
+
+    def verified(candidates: DataFrame, used: list[DataFrame]) -> DataFrame:
         pairs = stored(candidates, "sketch-pairs")
+        discard(*used)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct().join(nodes.select(F.col("node").alias("want"), "least"), "want").where("least is not null")
         texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(wanted, "least")
-        # an id may stand for several texts
+        # an id may stand for several texts; any text of a node will do, as their sets are equal
         sets = texts.select("want", _sets(F.col("text"), shingle).alias("s")).where("s.node = want").select(F.col("want").alias("node"), "s.set")
         sets = stored(sets.dropDuplicates(["node"]), "sketch-sets")
-        used.extend([pairs, sets])
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        return x.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
-
-    roots = components(verified(pairs.unionByName(led).unionByName(same).unionByName(close).distinct()))
-    while used:
-        discard(used.pop())
-    rest = verified(_open_pairs(nodes, roots, similarity))
-    roots = components(rest.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-    while used:
-        discard(used.pop())
-    grouped = nodes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(grouped.join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
+        out = stored(x.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), "sketch-similar")
+        discard(pairs, sets)
+        return out
+
+    likely = verified(*_cheap_pairs(nodes))
+    roots = components(likely)
+    rest = verified(*_open_pairs(nodes, roots, similarity))
+    done = components(rest.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    group, used = _labelled(nodes, "node", "least", done)
+    own = stored(nodes.select("node", "least").join(group, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "sketch-groups")
+    discard(likely, roots, rest, done, nodes, *used)
+    return rows.join(own, "node").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -15,6 +15,7 @@ are ignored. A block whose checksum is wrong raises an error.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import discard, slices, stored
-from .pieces import PieceCache
+from .pieces import KEEP, PieceCache, byte_level, uncut
 
 MAX_LENGTH = 20
 BLOCK_IDS = 1 << 18
@@ -36,57 +38,87 @@ STEP = 128
 _HEAD = struct.Struct("<4sIIIIII")
 _NO_ID = -(1 << 63)
 
-_CACHES: dict[tuple, PieceCache] = {}
+_CACHES: dict[tuple, tuple[PieceCache, list[str]]] = {}
 
 
-def _tokenizer_cache(path: str) -> PieceCache:
-    """The pieces of one tokenizer file; unknown ones go through the library as one long text."""
-    if path not in _CACHES:
+def _tokenizer_cache(path: str, special_as_text: bool) -> tuple[PieceCache, list[str]]:
+    """The pieces of one tokenizer file, and the strings that it cuts out before all else; unknown pieces go through the library as one long text."""
+    if (path, special_as_text) not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok.encode_special_tokens = special_as_text
         size = tok.get_vocab_size()
         dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         opens = np.zeros(size, bool)
         for piece, i in tok.get_vocab().items():
             opens[i] = piece.startswith("Ġ")
+        made = json.loads(tok.to_str())
+        plain = made["pre_tokenizer"] or {}
+        level = made["normalizer"] is None and plain.get("type") == "ByteLevel" and plain.get("use_regex") and not plain.get("add_prefix_space")
+        added = [t.content for t in tok.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
+
+        line = tok.encode("\n", add_special_tokens=False).ids
+        breaks = np.zeros(size, bool)
+        breaks[line[:1]] = len(line) == 1
+
+        def joined(new: list[str], chosen: list[int], sign: str, begins: np.ndarray, out: list[bytes]) -> list[int]:
+            """Encodes pieces as one text, ``sign`` before each; gives back those whose ids can't be told apart."""
+            left, skip, width = [], len(sign), dtype.itemsize
+            for at in range(0, len(chosen), 512):
+                run = chosen[at : at + 512]
+                ids = np.array(tok.encode_batch_fast([sign + sign.join([new[i] for i in run])], add_special_tokens=False)[0].ids, dtype)
+                starts = np.flatnonzero(begins[ids])
+                if len(starts) != len(run) or starts[0]:
+                    left += run
+                    continue
+                data = ids.tobytes()
+                cuts = [*(starts * width).tolist(), len(data)]
+                for i, a, b in zip(run, cuts, cuts[1:]):
+                    out[i] = data[a + skip * width : b]
+            return left
 
         def encode(new: list[str]) -> list[bytes]:
             out: list[bytes] = [b""] * len(new)
-            alone = [i for i, p in enumerate(new) if p[:1] != " " or " " in p[1:]]
-            joint = [i for i, p in enumerate(new) if p[:1] == " " and " " not in p[1:]]
-            for at in range(0, len(joint), 512):
-                run = joint[at : at + 512]
-                ids = np.array(tok.encode_batch_fast(["".join([new[i] for i in run])], add_special_tokens=False)[0].ids, dtype)
-                begins = np.flatnonzero(opens[ids])
-                if len(begins) != len(run) or begins[0]:
-                    alone += run
-                    continue
-                data, width = ids.tobytes(), dtype.itemsize
-                cuts = [*(begins * width).tolist(), len(data)]
-                for i, a, b in zip(run, cuts, cuts[1:]):
-                    out[i] = data[a:b]
-            if alone:
-                for i, e in zip(alone, tok.encode_batch_fast([new[i] for i in alone], add_special_tokens=False)):
+            spaced, solid, alone = [], [], []
+            for i, p in enumerate(new):
+                words = p.split(None, 1) if level and len(p) <= KEEP else ()
+                if len(words) == 1 and words[0] == p:
+                    solid.append(i)
+                elif len(words) == 1 and p[0] == " " and words[0] == p[1:]:
+                    spaced.append(i)
+                else:
+                    alone.append(i)
+            alone += joined(new, spaced, "", opens, out)
+            alone += joined(new, solid, "\n", breaks, out)
+            for at in range(0, len(alone), 512):
+                run = alone[at : at + 512]
+                for i, e in zip(run, tok.encode_batch_fast([new[i] for i in run], add_special_tokens=False)):
                     out[i] = np.array(e.ids, dtype).tobytes()
             return out
 
-        _CACHES[path] = PieceCache(encode, dtype.str)
-    return _CACHES[path]
+        _CACHES[path, special_as_text] = PieceCache(encode, dtype.str, byte_level if level else uncut), added
+    return _CACHES[path, special_as_text]
+
 
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """(id, n_tokens, ids): ids of the whole text, then ``end_id``; little-endian, of 16 bits if the vocabulary allows, else 32.
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): ids of the whole text, then ``end_id``; little-endian, of 16 bits if the vocabulary allows, else 32."""
+    As in the library, the string of a special token in a text is that token, unless ``special_as_text``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _tokenizer_cache(tokenizer)
+        cache, added = _tokenizer_cache(tokenizer, special_as_text)
         width = cache.dtype.itemsize
         tail = np.array([] if end_id is None else [end_id], cache.dtype).tobytes()
-        for whole in batches:
-            for part in slices(whole, "text"):
-                ids, counts = cache.ids(part.column(1))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = pc.fill_null(part.column(1), "")
+                whole = np.zeros(len(texts), bool)
+                for token in added:
+                    whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+                ids, counts = cache.ids(texts, whole)
                 data, ends = ids.tobytes(), (np.cumsum(counts) * width).tolist()
                 rows = [data[b - width * n : b] + tail for b, n in zip(ends, counts.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts + len(tail) // width, pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
