@@ -122,7 +122,7 @@ def screen(persons: DataFrame, records: DataFrame, floor: float = 0.85, scorer:
     persons (key, name, country, birth, insider), names normalised; records (id, name, topics, countries, births), one row for each name.
     A confirmed match gives ``sanctioned`` and ``pep`` edges by its topics, others ``screening_candidate``.
     """
-    pairs = R.blocked_pairs(persons.select("key", "name"), records.select(F.col("id").alias("key"), "name"))
+    pairs = R.blocked_pairs(persons.select("key", "name"), records.select(F.col("id").alias("key"), "name"), 0.0 if scorer else floor)
     best = (scorer or (lambda p: R.best_name(p, floor)))(pairs)
     facts = records.groupBy(F.col("id").alias("record")).agg(F.first("topics").alias("topics"), F.first("countries").alias("countries"), F.first("births").alias("births"))
     x = best.join(persons.select(F.col("key").alias("query"), "country", "birth", "insider"), "query").join(facts, "record")
@@ -141,7 +141,7 @@ def anchor(nodes: DataFrame, records: DataFrame, floor: float = 0.97, review_flo
 
     nodes (key, name, country, subsidiary); records (id, name, country, active), one row for each name.
     """
-    pairs = R.blocked_pairs(nodes.select("key", "name"), records.select(F.col("id").alias("key"), "name"))
+    pairs = R.blocked_pairs(nodes.select("key", "name"), records.select(F.col("id").alias("key"), "name"), 0.0 if scorer else review_floor, organisations=True)
     best = R.best_record((scorer or (lambda p: R.best_name(p, review_floor, organisations=True)))(pairs))
     facts = records.groupBy(F.col("id").alias("record")).agg(F.first("country").alias("rc"), F.first("active").alias("active"))
     x = nodes.join(best.join(facts, "record"), F.col("key") == F.col("query"), "left")

@@ -9,27 +9,34 @@ from pyspark.sql import Window as W
 
 from ..functions import names as N
 from ..sources.scratch import stored
+from .linked import components
 
 
-def blocked_pairs(queries: DataFrame, records: DataFrame, hot: int = 10_000) -> DataFrame:
-    """(query, record, name, qname): pairs that share a word of their normalised names (JON-10).
+def blocked_pairs(queries: DataFrame, records: DataFrame, floor: float = 0.0, organisations: bool = False) -> DataFrame:
+    """(query, record, qname, name): pairs of names that share a word and may score ``floor`` or more (JON-10).
 
-    ``queries`` is (key, name), ``records`` is (key, name), one row for each name. A word is a block key;
-    pairs are found under their rarest shared word only, so common words cost nothing unless no other is shared,
-    and no pair comes twice. Words in over ``hot`` records are used together with the next word, as (word, word) keys; a name of that one word is matched by equality.
+    ``queries`` and ``records`` are (key, name), one row for each normalised name. A score that isn't certain needs a Jaccard similarity of
+    2 floor - 1, so two names meet only in their prefixes: the rarest words of each, of which such a pair shares
+    one. No word is too common to count, and with a floor of 0.5 or less all words are keys. Organisations also
+    meet by equal cores, and where all words of the query are in the record, by its rarest one.
     """
-    q = queries.select(F.col("key").alias("query"), F.col("name").alias("qname"), N.tokens(F.col("name")).alias("qt"))
-    r = records.select(F.col("key").alias("record"), "name", N.tokens(F.col("name")).alias("rt"))
-    count = r.select(F.explode("rt").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    common = count.where(F.col("n") > hot).select("t")
-    qx, rx = q.withColumn("t", F.explode("qt")), r.withColumn("t", F.explode("rt"))
-    rare = qx.join(common, "t", "left_anti").join(rx.join(common, "t", "left_anti"), "t")
-    # common words: only in company of another word
-    pair = lambda d, a: d.join(common, "t", "left_semi").withColumn("u", F.explode(a)).where("u <> t").withColumn("t", F.concat_ws(" ", F.least("t", "u"), F.greatest("t", "u")))
-    both = pair(qx, F.col("qt")).drop("u").join(pair(rx, F.col("rt")).drop("u"), "t")
-    alone = q.join(r, F.col("qname") == F.col("name"))
+    both = queries.select(F.lit(0).alias("side"), "key", "name").unionByName(records.select(F.lit(1).alias("side"), "key", "name"))
+    words = both.distinct().select("side", "key", "name", F.explode(N.tokens(F.col("name"))).alias("t"))
+    often = words.where("side = 1").groupBy("t").agg(F.count("*").alias("often"))
+    ranked = words.join(often, "t", "left").groupBy("side", "key", "name").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "t"))).alias("w"))
+    ranked = stored(ranked.select("side", "key", "name", F.transform("w", lambda x: x["t"]).alias("w")), "block-names")
+    least = 2 * floor - 1.0001
+    size = F.size("w")
+    prefix = F.slice("w", F.lit(1), (F.least(size, size - F.ceil(least * size) + 1) if least > 0 else size).cast("int"))
+    q = ranked.where("side = 0").select(F.col("key").alias("query"), F.col("name").alias("qname"), "w", prefix.alias("p"))
+    r = ranked.where("side = 1").select(F.col("key").alias("record"), "name", "w", prefix.alias("p"))
     cols = ["query", "record", "qname", "name"]
-    return rare.select(*cols).union(both.select(*cols)).union(alone.select(*cols)).distinct()
+    met = q.withColumn("t", F.explode("p")).drop("w", "p").join(r.withColumn("t", F.explode("p")).drop("w", "p"), "t").select(*cols)
+    if organisations:
+        inside = q.select("query", "qname", F.element_at("w", 1).alias("t")).join(r.select("record", "name", F.explode("w").alias("t")), "t").select(*cols)
+        core = q.select("query", "qname", N.org_core(F.col("qname")).alias("c")).join(r.select("record", "name", N.org_core(F.col("name")).alias("c")), "c").where("c <> ''").select(*cols)
+        met = met.unionByName(inside).unionByName(core)
+    return met.distinct()
 
 
 def best_name(pairs: DataFrame, floor: float, organisations: bool = False) -> DataFrame:
@@ -139,35 +146,20 @@ def current_judgements(log: DataFrame) -> DataFrame:
     return rows.groupBy("pair").agg(F.max_by(F.struct(*rest), F.struct("decided_at", "seq")).alias("j")).select("j.*")
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(key, root) of the nodes in (a, b): smallest key reachable, by labels and their labels' labels."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")), "cc")
-    for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("root").alias("m"))
-        new = labels.join(near, F.col("key") == F.col("a"), "left").select("key", F.least("root", F.coalesce("m", "root")).alias("root"))
-        jump = new.select(F.col("key").alias("k2"), F.col("root").alias("r2"))
-        new = stored(new.join(jump, F.col("root") == F.col("k2"), "left").select("key", F.least("root", F.coalesce("r2", "root")).alias("root")), "cc")
-        changed = new.join(labels.withColumnRenamed("root", "old"), "key").where("root <> old").isEmpty()
-        labels = new
-        if changed:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def cluster(current: DataFrame, min_score: float = 0.0, largest: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """((key, cluster, id), (left_key, right_key)): greedy clusters under "different" judgements, and refused unions (ERS-05, WIN-10).
 
-    The order of unions matters only inside a connected component of "same" pairs, so each component is folded
-    alone. A component of over ``largest`` judgements raises, as the fold needs it in one task.
+    The order of unions matters only inside a connected component of "same" pairs, and there only if a "different" pair lies inside as well. All
+    other components are clusters as they are; each contested one is folded alone, in one task, and raises if it holds over ``largest`` judgements.
     """
-    same = current.where(f"verdict = 'same' and score >= {min_score}").select(F.col("left_key").alias("a"), F.col("right_key").alias("b"), "score", "seq")
-    labels = components(same)
-    rows = same.join(labels, F.col("a") == F.col("key")).select("root", "a", "b", "score", "seq", F.lit(True).alias("same"))
+    same = stored(current.where(f"verdict = 'same' and score >= {min_score}").select(F.col("left_key").alias("a"), F.col("right_key").alias("b"), "score", "seq"), "same")
+    roots = components(same)
+    labels = stored(roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct()), "labels")
     apart = current.where("verdict = 'different'").select(F.col("left_key").alias("a"), F.col("right_key").alias("b"), "score", "seq")
     x = apart.join(labels, F.col("a") == F.col("key")).select("a", "b", "score", "seq", "root")
-    y = x.join(labels.withColumnRenamed("root", "other"), F.col("b") == F.col("key")).where("root = other")
-    rows = rows.unionByName(y.select("root", "a", "b", "score", "seq", F.lit(False).alias("same")))
+    inside = stored(x.join(labels.withColumnRenamed("root", "other"), F.col("b") == F.col("key")).where("root = other").select("root", "a", "b", "score", "seq", F.lit(False).alias("same")), "apart")
+    contested = inside.select("root").distinct()
+    rows = same.join(labels.join(contested, "root", "left_semi"), F.col("a") == F.col("key")).select("root", "a", "b", "score", "seq", F.lit(True).alias("same")).unionByName(inside)
     top = rows.groupBy("root").count().agg(F.max("count")).first()[0] or 0
     if top > largest:
         raise ValueError(f"a component holds {top} judgements")
@@ -204,7 +196,8 @@ def cluster(current: DataFrame, min_score: float = 0.0, largest: int = 1_000_000
         return pd.DataFrame(out, columns=["key", "other", "refused"])
 
     done = stored(rows.groupBy("root").applyInPandas(fold, "key string, other string, refused boolean"), "clusters")
-    made = done.where("not refused").select("key", F.col("other").alias("cluster"), F.concat(F.lit("cid-"), N.hash_id(F.col("other"), length=12)).alias("id"))
+    plain = labels.join(contested, "root", "left_anti").select("key", F.col("root").alias("other"))
+    made = done.where("not refused").select("key", "other").unionByName(plain).select("key", F.col("other").alias("cluster"), F.concat(F.lit("cid-"), N.hash_id(F.col("other"), length=12)).alias("id"))
     return made, done.where("refused").select(F.col("key").alias("left_key"), F.col("other").alias("right_key"))
 
 
