@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import names as N
 
 
+#: Signs at the beginning of an item that a text must have somewhere before the whole item is looked for.
+GRAM = 3
+
+
+def _containing(rows: DataFrame, text: Column, words: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` joined with the items whose value is anywhere in ``text``: an equi-join on the first signs, then the whole value."""
+    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1))), lambda i: F.substring("_low", i, n)) for n in sizes]  # noqa: B023
+    keyed = rows.withColumn("_low", text).withColumn("key", F.explode(F.array_distinct(F.flatten(F.array(*grams))) if grams else F.array().cast("array<string>")))
+    return keyed.join(words, "key").where(F.col("_low").contains(F.col("v"))).drop("_low", "key")
+
+
 def match(items: DataFrame, changes: DataFrame, events: DataFrame, companies: DataFrame, exposed: DataFrame, per_item: int = 25) -> DataFrame:
     """(id, type, value, kind, doc, detail): notifications of all items, at most ``per_item`` each (JON-25, WIN-05).
 
     items (type, value); changes (doc, company, statement, category, first_statement, seq), one row for each change
-    of material sets; events (doc, company, description, headline, seq); companies (company, name, industry); exposed (country, company).
+    of material sets; events (doc, company, description, headline, seq), of which both texts are searched; companies (company, name, industry); exposed (country, company).
     """
     low = F.lower(F.trim("value"))
     i = items.withColumn("v", low)
@@ -26,11 +37,12 @@ def match(items: DataFrame, changes: DataFrame, events: DataFrame, companies: Da
     # an item of this type takes the first sets of the same list, which its cap bounds
     first = sets.join(chain, "doc").orderBy("seq", "doc").limit(per_item).withColumn("one", F.lit(1))
     supply = i.where("type = 'supply_chain'").withColumn("one", F.lit(1)).join(F.broadcast(first), "one")
-    words = i.where(~F.col("type").isin("company", "country", "industry", "supply_chain")).withColumn("key", F.get(F.split("v", " "), F.lit(0)))
-    text = lambda d, c: d.withColumn("key", F.explode(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+"))))
-    said = text(changes, "statement").join(words, "key").where(F.lower("statement").contains(F.col("v")))
+    words = i.where(~F.col("type").isin("company", "country", "industry", "supply_chain") & (F.col("v") != "")).withColumn("key", F.substring("v", 1, GRAM))
+    sizes = [r[0] for r in words.select(F.length("key")).distinct().collect()]
+    said = _containing(changes, F.lower("statement"), words, sizes)
     free = said.groupBy("type", "value", "doc").agg(F.min("company").alias("company"), F.min("seq").alias("seq"), F.min("first_statement").alias("detail"))
-    told = text(events, "description").join(words, "key").where(F.lower("description").contains(F.col("v"))).select("type", "value", "doc", "company", "seq", F.col("description").alias("detail")).distinct()
+    # the sign between both texts is in no item, so nothing is found across them
+    told = _containing(events, F.lower(F.concat_ws("\x1f", "headline", "description")), words, sizes).select("type", "value", "doc", "company", "seq", F.col("description").alias("detail")).distinct()
     cols = ["type", "value", "doc", "seq", "detail"]
     one = lambda d, kind: d.select(*cols, F.lit(kind).alias("kind"))
     all_ = one(own, "change").unionByName(one(land, "change")).unionByName(one(field, "change")).unionByName(one(supply, "change")).unionByName(one(free, "change")).unionByName(one(told, "event"))

@@ -6,6 +6,8 @@ Files are read by Spark with declared schemas; nothing is parsed on the driver b
 from __future__ import annotations
 
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "PERMISSIVE").csv(path)
 
 
+def _files(spark: SparkSession, path: str, rule: Column) -> tuple[list[str], list[str]]:
+    """Files with a line that meets ``rule``, and the others; only their names come to the driver, as in listing a folder."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.coalesce(rule, F.lit(False)).alias("hit"))
+    found = lines.groupBy("file").agg(F.bool_or("hit").alias("hit")).collect()
+    return [unquote(r["file"]) for r in found if r["hit"]], [unquote(r["file"]) for r in found if not r["hit"]]
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Objects of JSON files, each an array, an envelope or lines; the form is found for every file by itself."""
+    value = F.trim("value")
+    whole, lines = _files(spark, path, value.startswith("[") | (value == "{"))
+    parts = [spark.read.schema(schema).option("multiLine", multi).json(files) for multi, files in ((True, whole), (False, lines)) if files]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
 def split_by(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(kept, counts): rows without a reason, and how many had each; kept and counted add up to the rows read."""
     x = rows.withColumn("_why", reason)
@@ -99,15 +116,19 @@ def nse_equities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def bse_scrips(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Active equity of the second Indian list, CSV or JSON by the file's first character (SRC-05)."""
-    first = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).where("c <> ''").limit(1).collect()
-    if first and first[0]["c"] in "[{":
-        raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    """Active equity of the second Indian list, files of CSV or JSON side by side (SRC-05)."""
+    wanted = ["code", "symbol", "name", "status", "isin", "instrument"]
+    value = F.trim("value")
+    lists, tables = _files(spark, path, value.startswith("[") | value.startswith("{"))
+    parts = []
+    if lists:
+        raw = spark.read.text(lists, wholetext=True).select(F.col("value").alias("v"))
         rows = F.coalesce(F.try_variant_get(F.try_parse_json("v"), "$.Table", "array<map<string,string>>"), F.try_variant_get(F.try_parse_json("v"), "$", "array<map<string,string>>"))
         m = raw.select(F.explode(rows).alias("m"))
-        x = m.select(*(N.blank_to_null(_first(F.col("m"), ALIASES[w])).alias(w) for w in ("code", "symbol", "name", "status", "isin", "instrument")))
-    else:
-        x = with_aliases(read_csv(spark, path), ["code", "symbol", "name", "status", "isin", "instrument"])
+        parts.append(m.select(*(N.blank_to_null(_first(F.col("m"), ALIASES[w])).alias(w) for w in wanted)))
+    # every table has its own header
+    parts += [with_aliases(read_csv(spark, t), wanted) for t in tables]
+    x = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ", ".join(f"{w} string" for w in wanted))
     x = x.withColumn("isin", N.clean_isin(F.col("isin")))
     why = F.when(F.col("code").isNull() | F.col("name").isNull(), "malformed").when(F.lower(F.coalesce("status", F.lit(""))) != "active", "not_active").when(~F.lower(F.coalesce("instrument", F.lit("equity"))).contains("equity"), "non_equity").when(F.col("isin").isNull(), "no_isin")
     return split_by(x, why)
@@ -137,8 +158,7 @@ def watchlist(spark: SparkSession, path: str) -> DataFrame:
     """Listed persons and entities with their names, topics, countries and births (SRC-08). Arrays and lines alike."""
     p = "name array<string>, alias array<string>, topics array<string>, country array<string>, birthDate array<string>"
     schema = f"id string, caption string, schema string, datasets array<string>, first_seen string, last_seen string, properties struct<{', '.join(x.replace(' ', ':', 1) for x in p.split(', '))}>"
-    multi = spark.read.text(path).where("ltrim(value) like '[%'").limit(1).count() > 0
-    j = spark.read.schema(schema).option("multiLine", multi).json(path).where("id is not null")
+    j = read_json(spark, path, schema).where("id is not null")
     none = F.array().cast("array<string>")
     get = lambda c: F.coalesce(F.col(f"properties.{c}"), none)
     names = F.array_distinct(F.concat(F.array_compact(F.array("caption")), get("name"), get("alias")))
@@ -150,8 +170,7 @@ def lei_records(spark: SparkSession, path: str) -> DataFrame:
     ent = "struct<legalName:struct<name:string>,otherNames:array<struct<name:string>>,legalAddress:struct<country:string>,jurisdiction:string,status:string>"
     item = f"attributes:struct<lei:string,entity:{ent}>,lei:string,name:string,country:string,status:string"
     schema = T.StructType.fromDDL(f"data array<struct<{item}>>, " + item.replace("attributes:", "attributes ", 1).replace(",lei:string,name:string,country:string,status:string", ", lei string, name string, country string, status string"))
-    multi = spark.read.text(path).where("ltrim(value) like '[%' or trim(value) = '{'").limit(1).count() > 0
-    j = spark.read.schema(schema).option("multiLine", multi).json(path)
+    j = read_json(spark, path, schema)
     one = j.select(F.explode(F.coalesce("data", F.array(F.struct("attributes", "lei", "name", "country", "status")))).alias("r"))
     a = F.col("r.attributes")
     others = F.coalesce(F.transform(a["entity"]["otherNames"], lambda n: n["name"]), F.array().cast("array<string>"))
@@ -196,8 +215,7 @@ def control_register(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """(company_number, name, kind, interest, band, notified, ceased) of a control register, lines or envelopes, and counts of what is no person (SRC-12)."""
     item = "struct<kind:string,name:string,name_elements:struct<forename:string,surname:string>,natures_of_control:array<string>,notified_on:string,ceased_on:string>"
     schema = T.StructType.fromDDL(f"company_number string, company_name string, data {item}, links struct<self:string>, items array<{item}>")
-    multi = spark.read.text(path).where("ltrim(value) like '[%' or trim(value) = '{'").limit(1).count() > 0
-    j = spark.read.schema(schema).option("multiLine", multi).json(path)
+    j = read_json(spark, path, schema)
     number = F.coalesce("company_number", F.regexp_extract("links.self", "/company/([^/]+)", 1))
     x = j.select(number.alias("company_number"), F.explode(F.coalesce("items", F.array("data"))).alias("d")).where("d is not null")
     named = F.coalesce(N.blank_to_null(F.col("d.name")), N.blank_to_null(F.concat_ws(" ", "d.name_elements.forename", "d.name_elements.surname")))
