@@ -120,3 +120,18 @@ def test_documents_skip_bad(spark, tmp_path):
 def test_filing_index(spark, tmp_path):
     p = put(tmp_path, "ix.json", {"directory": {"item": [{"name": "ex21.htm"}, {"name": "main.htm"}]}})
     assert {r.name: r.is_subsidiary_list for r in S.filing_index(spark, p).collect()} == {"ex21.htm": True, "main.htm": False}
+
+
+def test_folders_of_both_forms(spark, tmp_path):
+    """The form is found for each file: lines beside arrays, tables beside lists."""
+    w = tmp_path / "watch"
+    w.mkdir()
+    one = lambda i: {"id": i, "caption": i, "schema": "Person"}
+    put(w, "a.json", "\n".join(json.dumps(one(f"l{i}")) for i in range(3)))
+    put(w, "b.json", [one("x")])
+    assert sorted(r.id for r in S.watchlist(spark, str(w)).collect()) == ["l0", "l1", "l2", "x"]
+    b = tmp_path / "scrips"
+    b.mkdir()
+    put(b, "a.csv", "Security Code,Security Id,Security Name,Status,ISIN No,Instrument\n500,AAA,Alpha,Active,INE1,Equity\n")
+    put(b, "b.json", [{"Security Code": "501", "Security Id": "BBB", "Security Name": "Beta", "Status": "Active", "ISIN No": "INE2", "Instrument": "Equity"}])
+    assert sorted(r.code for r in S.bse_scrips(spark, str(b))[0].collect()) == ["500", "501"]

@@ -189,3 +189,57 @@ def test_streams(spark, tmp_path):
     for k in ("c1", "c2"):  # a second run over the same files adds nothing
         jobs.ingest(stream, str(tmp_path / "out"), project, str(tmp_path / k)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_alerts_find_parts_of_words_and_titles(spark):
+    items = spark.createDataFrame([("keyword", v) for v in ("merge", "M&A deal", "merger", "k", "title", "nothing")], "type string, value string")
+    ch = spark.createDataFrame([(1, "a", "a merger and an m&a deal", "m&a", "first", 1)], "doc long, company string, statement string, category string, first_statement string, seq long")
+    ev = spark.createDataFrame([(2, "a", "plain", "A Title of k", 1)], "doc long, company string, description string, headline string, seq long")
+    co = spark.createDataFrame([], "company string, name string, industry string")
+    ex = spark.createDataFrame([], "country string, company string")
+    got = {(r.value, r.kind, r.doc) for r in A.match(items, ch, ev, co, ex).collect()}
+    assert got == {("merge", "change", 1), ("M&A deal", "change", 1), ("merger", "change", 1), ("k", "event", 2), ("title", "event", 2)}
+
+
+def test_blocking_loses_no_pair(spark):
+    """Against all pairs, with a word that every record has."""
+    from tidemark.functions import names as N
+    from tidemark.operators import resolution as R
+
+    first, last = ["john", "jon", "mary", "anna"], ["smith", "smyth", "acme", "acme widgets", "holdings"]
+    rows = [(f"k{i}", f"common {first[i % 4]} {last[i % 5]}" + (f" {i % 3}" if i % 2 else "")) for i in range(60)] + [("z", "acme inc"), ("y", "acme holdings"), ("x", "acme")]
+    q, r = spark.createDataFrame(rows, "key string, name string"), spark.createDataFrame(rows, "key string, name string")
+    everything = q.select(F.col("key").alias("query"), F.col("name").alias("qname")).crossJoin(r.select(F.col("key").alias("record"), "name"))
+    for floor, orgs in ((0.6, False), (0.85, False), (0.85, True), (0.97, True)):
+        want = {tuple(x) for x in R.best_name(everything, floor, orgs).select("query", "record", "score").collect()}
+        got = {tuple(x) for x in R.best_name(R.blocked_pairs(q, r, floor, orgs), floor, orgs).select("query", "record", "score").collect()}
+        assert got == want and want
+
+
+def test_clusters_of_plain_and_contested_components(spark):
+    """Against one fold over the whole log."""
+    import random
+
+    from tidemark.operators import resolution as R
+
+    r = random.Random(3)
+    log = []
+    for i in range(400):
+        ten = r.randrange(30) * 5
+        log.append((f"n{ten + r.randrange(5)}", f"n{ten + r.randrange(5)}", "different" if r.random() < 0.06 else "same", round(r.random(), 3), i))
+    df = spark.createDataFrame(log, "left_key string, right_key string, verdict string, score double, seq long").withColumn("decided_at", F.lit(1))
+    current = R.current_judgements(df).collect()
+    group, bad = {}, set()
+    for x in current:
+        group.setdefault(x.left_key, {x.left_key}), group.setdefault(x.right_key, {x.right_key})
+        if x.verdict == "different":
+            bad.add(frozenset((x.left_key, x.right_key)))
+    named = {k for x in current if x.verdict == "same" for k in (x.left_key, x.right_key)}
+    for x in sorted((x for x in current if x.verdict == "same"), key=lambda x: (-x.score, x.seq)):
+        a, b = group[x.left_key], group[x.right_key]
+        if a is not b and not any(frozenset((p, q)) in bad for p in a for q in b):
+            a |= b
+            for k in b:
+                group[k] = a
+    got = {x.key: x.cluster for x in R.cluster(R.current_judgements(df))[0].collect()}
+    assert got == {k: min(group[k]) for k in named}

@@ -40,7 +40,8 @@ def shortest_paths(starts: DataFrame, walk: DataFrame, max_hops: int) -> DataFra
     ``walk`` is (a, b, seq, up); the path is an array of (from, to, seq, up). Choosing the smallest path of the
     parent, then the smallest edge, is the order in which a queue would visit.
     """
-    walk = stored(walk, "walk")
+    # of parallel edges only the smallest can be in a smallest path
+    walk = stored(walk.groupBy("a", "b").agg(F.min(F.struct("seq", "up")).alias("e")).select("a", "b", "e.seq", "e.up"), "walk")
     none = F.array().cast("array<struct<from:string,to:string,seq:bigint,up:boolean>>")
     seen = stored(starts.select(F.col("key").alias("start"), "key", F.lit(0).alias("hops"), none.alias("path")), "paths")
     frontier = seen

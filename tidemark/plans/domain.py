@@ -111,14 +111,14 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
 
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").withColumn("next", F.lead("l_suppkey").over(w))
-    e = li.where("next is not null and next <> l_suppkey and l_orderkey % 10 = 3")
+    e = li.where("next is not null and next <> l_suppkey")
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return e.select(F.lit("Company").alias("source_kind"), text("l_suppkey").alias("source_key"), F.lit("references").alias("relation"), F.lit("Company").alias("target_kind"), text("next").alias("target_key"), seq.alias("seq"), F.concat(F.lit("order-"), text("l_orderkey")).alias("source"))
 
 
 REFS = """(select l_suppkey::varchar as a, nxt::varchar as b, l_orderkey * 10 + l_linenumber as seq, 'order-' || l_orderkey as source from
   (select l_orderkey, l_linenumber, l_suppkey, lead(l_suppkey) over (partition by l_orderkey order by l_linenumber, l_suppkey) as nxt from lineitem)
-  where nxt is not null and nxt <> l_suppkey and l_orderkey % 10 = 3)"""
+  where nxt is not null and nxt <> l_suppkey)"""
 
 
 def ownership(spark: SparkSession, sf: str) -> DataFrame:

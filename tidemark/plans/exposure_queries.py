@@ -370,9 +370,9 @@ def top12_sectors(spark, sf):
     return _cells(spark, sf).groupBy("sector").agg(F.sum("companies").alias("total")).orderBy(F.desc("total"), "sector").limit(5)
 
 
-@query(f"""with u as (select fund as a, company as b from {HOLDS} where fund::bigint % 50 = 1 union select company, fund from {HOLDS} where fund::bigint % 50 = 1)
+@query(f"""with u as (select fund as a, company as b from {HOLDS} union select company, fund from {HOLDS})
 select b as key, count(distinct a) as n from u where a in (select s_suppkey::varchar || 's' from supplier where s_suppkey % 2 = 0) or false group by 1 having count(distinct a) >= 2""".replace("fund as a, company as b", "'f' || fund as a, company || 's' as b").replace("select company, fund from", "select company || 's', 'f' || fund from"))
 def agg25_bridges(spark, sf):
-    e = D.holds(spark, sf).where("cast(source_key as bigint) % 50 = 1").select(F.concat(F.lit("f"), "source_key").alias("source_key"), F.concat("target_key", F.lit("s")).alias("target_key"))
+    e = D.holds(spark, sf).select(F.concat(F.lit("f"), "source_key").alias("source_key"), F.concat("target_key", F.lit("s")).alias("target_key"))
     tracked = D.companies(spark, sf).where("seq % 2 = 0").select(F.concat("key", F.lit("s")).alias("key"))
     return G.bridges(e, tracked)

@@ -10,7 +10,7 @@ from ..operators import market as M
 from ..operators import panels as P
 from ..operators import retrieval as Ret
 from . import domain as D
-from .analytics_queries import _CHANGES, _GOOD, _changes, _periods, _sections, _sentences
+from .analytics_queries import _CHANGES, _CUES, _GOOD, _VERBS, _changes, _cut_once, _periods, _sections, _sentences
 from .domain import HOLDS, IN_SECTOR, OWN, RANK, REFS
 
 QUERIES: dict = {}
@@ -32,12 +32,12 @@ def agg13_panel(spark, sf):
     return P.panel(D.ownership(spark, sf), ["owns"], ["beneficial_owner_of"], "legitimate-interest", "1996-06-30")
 
 
-@query("""with h as (select source as company, doc_id as doc, doc_id * 7 % 1000 as seq from documents where source in ('src1', 'src2', 'src3')), k as (select *, row_number() over (partition by company order by seq desc, doc desc) as k from h)
+@query("""with h as (select source as company, doc_id as doc, doc_id * 7 % 1000 as seq from documents), k as (select *, row_number() over (partition by company order by seq desc, doc desc) as k from h)
 select company, doc, seq from k where k <= 5 order by seq desc, doc desc limit 15""")
 def jon28_briefing(spark, sf):
     d = D.table(spark, sf, "documents")
     ev = d.select(F.col("source").alias("company"), F.col("doc_id").alias("doc"), (F.col("doc_id") * 7 % 1000).alias("seq"))
-    held = d.select(F.col("source").alias("company")).where("company in ('src1', 'src2', 'src3')")
+    held = d.select(F.col("source").alias("company"))
     return P.briefing(held, ev)
 
 
@@ -52,7 +52,8 @@ def agg21_dashboard_risks(spark, sf):
 @query(f"""select (select count(*) from documents where text is not null) as documents, (select count(distinct source) from documents where text is not null) as companies, (select string_agg(s, ',' order by s) from (select distinct lang as s from documents where text is not null)) as sources,
 (select count(*) from (select distinct doc, sentence from {_GOOD} where category in ('executive', 'litigation', 'product', 'guidance'))) as events, (select count(distinct doc) from {_CHANGES}) as change_sets, (select count(*) from (select doc from {_CHANGES} group by 1 having bool_or(category not in ('general', 'financial')))) as material""")
 def agg23_run_report(spark, sf):
-    return P.run_report(_periods(spark, sf), Doc.events(_sentences(spark, sf)), Doc.change_sets(_changes(spark, sf)))
+    sent = _cut_once(spark, sf)
+    return P.run_report(_periods(spark, sf), Doc.events(sent), Doc.change_sets(_changes(spark, sf, sent)))
 
 
 @query("select event_id % 50 as company, arg_min(d, (case when d = 'risk' then 0 else 1 end, event_id)) as direction from (select event_id, case when value > 90 then 'risk' when value > 50 then 'event' else 'opportunity' end as d from events) group by 1")
@@ -124,12 +125,12 @@ def flt05_visible_documents(spark, sf):
     return P.visible_documents(d.withColumn("metadata", F.create_map(F.lit("access_tier"), tier))).select(F.col("doc_id").alias("doc"))
 
 
-@query("""select c_custkey as k, case when c_custkey % 2 = 0 then 'sanctioned' else 'screening_candidate' end as relation, case when c_custkey % 2 = 0 then 'confirmed' else 'review' end as review_status from customer where c_custkey % 5 = 0""")
+@query("""select c_custkey as k, case when c_custkey % 2 = 0 then 'sanctioned' else 'screening_candidate' end as relation, case when c_custkey % 2 = 0 then 'confirmed' else 'review' end as review_status from customer where c_custkey % 20 = 0""")
 def ers01_screening(spark, sf):
     c = D.table(spark, sf, "customer")
     k = F.col("c_custkey")
     name = N.normal_ascii(F.col("c_name"))
-    people = c.where("c_custkey % 5 = 0").select(D.text(k).alias("key"), name.alias("name"), F.lit("US").alias("country"), F.lit(None).cast("string").alias("birth"), F.lit(False).alias("insider"))
+    people = c.where("c_custkey % 20 = 0").select(D.text(k).alias("key"), name.alias("name"), F.lit("US").alias("country"), F.lit(None).cast("string").alias("birth"), F.lit(False).alias("insider"))
     recs = c.select(F.concat(F.lit("w"), D.text(k)).alias("id"), name.alias("name"), F.array(F.lit("sanction.linked")).alias("topics"), F.array(F.when(k % 2 == 0, " us ").otherwise("FR")).alias("countries"), F.array().cast("array<string>").alias("births"))
     e = P.screen(people, recs, floor=0.99)["edges"]
     return e.select(F.col("source_key").cast("long").alias("k"), "relation", "review_status")
@@ -182,7 +183,9 @@ def fn26_coarse_sector(spark, sf):
 @query(f"select a.doc, norm, 'added' as kind from (select distinct doc, norm from {_GOOD} where doc = 8 and norm <> '') a where norm not in (select norm from {_GOOD} where doc = 5) union all select 8, norm, 'removed' from (select distinct norm from {_GOOD} where doc = 5 and norm <> '') where norm not in (select norm from {_GOOD} where doc = 8)")
 def set02_compare(spark, sf):
     d = D.table(spark, sf, "documents").where("doc_id = 8").select(F.col("doc_id").alias("doc"), F.lit(5).cast("long").alias("previous"))
-    return Doc.changes(_sentences(spark, sf), d).select("doc", "norm", "kind")
+    # only the two documents are cut into sentences
+    s = Doc.sentence_table(_sections(spark, sf).where("doc in (5, 8)"), _VERBS, _CUES)
+    return Doc.changes(s, d).select("doc", "norm", "kind")
 
 
 @query("select doc_id as doc, substr(title, 1, 5) || ' note ' || s as head from (select doc_id, left(text, 20) as title, string_split(text, chr(10))[1] as s from documents where text is not null)")
