@@ -1,33 +1,36 @@
 """URL filters: explicit rules, then a tree of path templates with labelled purity.
 
-For each host the tree is grown level by level with aggregations. A node is a
-template of the first segments; a child segment that is a number, long
-hexadecimal or a date is already a wildcard by form. At each level a node whose
-children are many for their rows is variable: its children become one ``*``.
-Sibling templates that differ in one constant segment and whose labelled shares
-agree (their 95 % intervals around the smoothed share overlap) are merged into ``+``. A
-template is rejected when its smoothed purity, (good + prior * share) / (labelled +
-prior), falls under ``MIN_PURITY``; the share is that of all labelled rows.
+A template is a host's path with variable segments as wildcards. A segment that is a number, long
+hexadecimal or a date is a wildcard by form. The tree of each host is then grown level by level from the root, with
+aggregations: a node is variable if its children, without the most frequent one, are as diverse as ``MANY`` equally frequent ones
+(by their entropy, which doesn't depend on the number of rows); its children become one ``*``.
+
+From the deepest level up, similar branches are merged. Children of a node with
+``MIN_LABELS`` labels or more are put in order of their smoothed purity, (good + PRIOR * share) / (labelled + PRIOR),
+and neighbours whose difference is within ``WIDTH`` standard errors share one ``+1``, ``+2`` ...; children with fewer labels that
+agree with the rest of their node share a ``+``. A child alone keeps its name. A template is rejected when its smoothed
+purity falls under ``MIN_PURITY`` times the share, which is that of all labelled rows.
 
 Only counts by template move between tasks: rows are summed before each
 shuffle, so a host with a third of all pages costs what its templates cost.
 
 Defined results: a null url or one without ``://`` has an empty host and path and
-the verdict of the empty template. Segments after ``MAX_DEPTH`` are one ``**``. Labels
-of no page, null labels and repeated labels (counted each) do no harm. An empty table gives an empty one.
+the verdict of the empty template. Paths are whole; wildcards are learned in the first ``LEVELS`` segments, and
+further ones stay as they are. Labels of no page, null labels and repeated labels (their mean counts) do no harm. An empty table gives an empty one.
+Columns of the pages that have the name of a result are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import stored
+from .common import discard, stored
 
-MAX_DEPTH = 6
-#: A node with at least so many children, and fewer rows for each than RARE, is variable.
-MANY, RARE = 20, 4.0
-PRIOR, MIN_PURITY = 10.0, 0.5
+#: Learned wildcards: so many first segments, and so many equally frequent children (or as diverse ones).
+LEVELS, MANY = 12, 20.0
+MIN_LABELS, WIDTH, PRIOR, MIN_PURITY = 5, 1.0, 6.0, 0.7
 
 #: Verdict, host, path.
 RULES = [
@@ -71,57 +74,75 @@ def _formed(segment: Column) -> Column:
 
 
 def signature(path: Column) -> Column:
-    """Segments of a path, variable forms replaced, the rest beyond MAX_DEPTH as ``**``."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    short = F.transform(F.slice(parts, 1, MAX_DEPTH), _formed)
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(short, F.array(F.lit("**")))).otherwise(short)
+    """The segments of a path, variable forms replaced."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _formed)
+
+
+def _replaced(sig: Column, level: int, value: Column) -> Column:
+    return F.transform(sig, lambda s, i: F.when(i == level - 1, value).otherwise(s))
 
 
-def _replaced(sig: Column, level: int, value: str) -> Column:
-    return F.transform(sig, lambda s, i: F.when(i == level - 1, F.lit(value)).otherwise(s))
+def _at(tree: DataFrame, level: int) -> DataFrame:
+    """``tree`` with the node above a level (``up``) and the child there; null where a template ends before it."""
+    deep = F.size("template") >= level
+    return tree.withColumn("up", F.when(deep, F.slice("template", 1, level - 1))).withColumn("child", F.when(deep, F.element_at("template", level)))
 
 
 def generalise(counted: DataFrame) -> DataFrame:
-    """Templates for (host, sig, n, labelled, good): adds ``template``, level by level from the root."""
-    tree = counted.withColumn("template", F.col("sig"))
+    """Templates for (host, sig, n, labelled, good): adds ``template``, wildcards found level by level from the root."""
+    tree = stored(counted.withColumn("template", F.col("sig")), "url-tree")
     depth = counted.agg(F.max(F.size("sig"))).first()[0] or 0
-    for level in range(1, min(depth, MAX_DEPTH) + 1):
-        deep = F.size("template") >= level
-        # the node above this level, and how its children spread; rows that end before it are no children
-        node = F.struct(F.col("host"), F.slice("template", 1, level - 1).alias("up"))
-        child = F.when(deep, F.element_at("template", level))
-        own = tree.withColumn("node", node).withColumn("child", child)
-        spread = own.where(deep).groupBy("node", "child").agg(F.sum("n").alias("n")).groupBy("node").agg(F.count("*").alias("children"), F.sum("n").alias("below"))
-        wide = spread.where((F.col("children") >= MANY) & (F.col("below") < RARE * F.col("children"))).select("node", F.lit(True).alias("wide"))
-        tree = own.join(wide, "node", "left").withColumn("template", F.when(deep & F.coalesce("wide", F.lit(False)), _replaced(F.col("template"), level, "*")).otherwise(F.col("template"))).select(*tree.columns)
+    for level in range(1, min(depth, LEVELS) + 1):
+        own = _at(tree, level)
+        child = own.where("child is not null").groupBy("host", "up", "child").agg(F.sum("n").cast("double").alias("n"))
+        node = child.groupBy("host", "up").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.sum(F.col("n") * F.log("n")).alias("bits"))
+        rest = F.col("all") - F.col("top")
+        diversity = F.when(rest > 0, F.log(rest) - (F.col("bits") - F.col("top") * F.log("top")) / rest)
+        wide = node.where(diversity >= F.log(F.lit(MANY)) - 1e-9).select("host", "up", F.lit("*").alias("wild"))
+        made = F.when(F.col("wild").isNotNull(), _replaced(F.col("template"), level, F.lit("*"))).otherwise(F.col("template"))
         # each level is read twice by the next one
-        tree = stored(tree, "url-tree")
+        new = stored(own.join(wide, ["host", "up"], "left").withColumn("template", made).select(*tree.columns), "url-tree")
+        discard(tree)
+        tree = new
     return tree
 
 
 def merge_branches(tree: DataFrame, share: float) -> DataFrame:
-    """Adds ``branch``: templates that differ in their first segment only and whose purities agree share a ``+``."""
-    leaf = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-    purity = (F.col("good") + PRIOR * share) / (F.col("labelled") + PRIOR)
-    spread = 1.96 * F.sqrt(purity * (1 - purity) / (F.col("labelled") + PRIOR))
-    sides = leaf.where(F.size("template") >= 2).select("host", F.slice("template", 2, MAX_DEPTH).alias("tail"), (purity - spread).alias("low"), (purity + spread).alias("high"))
-    groups = sides.groupBy("host", "tail").agg(F.count("*").alias("k"), F.max("low").alias("low"), F.min("high").alias("high"))
-    alike = groups.where((F.col("k") > 1) & (F.col("low") <= F.col("high"))).select("host", "tail", F.lit(True).alias("alike"))
-    t = tree.withColumn("tail", F.when(F.size("template") >= 2, F.slice("template", 2, MAX_DEPTH)))
-    merged = F.when(F.coalesce("alike", F.lit(False)), F.concat(F.array(F.lit("+")), F.col("tail"))).otherwise(F.col("template"))
-    return t.join(alike, ["host", "tail"], "left").withColumn("branch", merged).drop("tail", "alike")
+    """``tree`` with similar children of a node merged, level by level from the deepest one."""
+    depth = tree.agg(F.max(F.size("template"))).first()[0] or 0
+    for level in range(min(depth, LEVELS), 0, -1):
+        own = _at(tree, level)
+        child = own.where("child is not null").groupBy("host", "up", "child").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+        p = (F.col("good") + PRIOR * share) / (F.col("labelled") + PRIOR)
+        child = child.withColumn("p", p).withColumn("error", p * (1 - p) / (F.col("labelled") + PRIOR)).withColumn("sure", F.col("labelled") >= MIN_LABELS)
+        # children are fewer than MANY, or as uneven as fewer ones, else the node is variable
+        order = W.partitionBy("host", "up", "sure").orderBy("p", "child")
+        apart = F.abs(F.col("p") - F.lag("p").over(order)) > WIDTH * F.sqrt(F.col("error") + F.lag("error").over(order))
+        group = child.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+        group = group.withColumn("g", F.when(F.col("sure"), F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)) + 1).otherwise(0))
+        group = group.withColumn("size", F.count("*").over(W.partitionBy("host", "up", "g"))).where("size > 1")
+        names = group.select("host", "up", "child", F.concat(F.lit("+"), F.when(F.col("g") > 0, F.col("g").cast("string")).otherwise("")).alias("name"))
+        made = F.when(F.col("name").isNotNull(), _replaced(F.col("template"), level, F.col("name"))).otherwise(F.col("template"))
+        new = stored(own.join(names, ["host", "up", "child"], "left").withColumn("template", made).select(*tree.columns), "url-tree")
+        discard(tree)
+        tree = new
+    return tree
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, sig, branch, purity, verdict) for (host, sig, label), label 1 good, 0 bad or null."""
+    """(host, sig, template, purity, verdict) for (host, sig, label), label 1 good, 0 bad or null. Stored."""
     known = F.col("label").isNotNull()
     counted = pages.groupBy("host", "sig").agg(F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.sum(F.coalesce("label", F.lit(0.0))).alias("good"))
     counted = stored(counted, "url-counts")
     labelled, good = counted.agg(F.sum("labelled"), F.sum("good")).first()
     share = float(good) / labelled if labelled else 1.0
     tree = merge_branches(generalise(counted), share)
-    leaf = tree.groupBy("host", "branch").agg(((F.sum("good") + PRIOR * share) / (F.sum("labelled") + PRIOR)).alias("purity"))
-    return tree.select("host", "sig", "branch").join(leaf, ["host", "branch"]).withColumn("verdict", F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow"))
+    # stored, so that the joins have shuffles of their own, which Spark splits where one key has many rows
+    leaf = stored(tree.groupBy("host", "template").agg(((F.sum("good") + PRIOR * share) / (F.sum("labelled") + PRIOR)).alias("purity")), "url-leaves")
+    verdict = F.when(F.col("purity") < MIN_PURITY * share, "block").otherwise("allow")
+    out = stored(tree.join(leaf, ["host", "template"]).select("host", "sig", "template", "purity", verdict.alias("verdict")), "url-templates")
+    discard(counted, tree, leaf)
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, url_col: str = "url", rules: list = RULES, key: Column | None = None, label_key: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -137,6 +158,6 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, url_col: str = "url
     else:
         by = labels.groupBy(F.col(label_key).cast("long").alias("key")).agg(F.avg(label_col).alias("label"))
         marked = row.select("host", "sig", "key").join(by, "key", "left").select("host", "sig", "label")
-    found = templates(marked).select("host", "sig", F.array_join("branch", "/").alias("template"), "purity", F.col("verdict").alias("method"))
+    found = templates(marked).select("host", "sig", F.array_join("template", "/").alias("template"), "purity", F.col("verdict").alias("method"))
     exact = explicit(F.col("host"), F.col("path"), rules)
     return row.join(found, ["host", "sig"]).select("page.*", "host", "path", "template", "purity", exact["rule"].alias("rule"), F.coalesce(exact["verdict"], F.col("method")).alias("verdict"))
