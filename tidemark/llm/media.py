@@ -7,8 +7,9 @@ with the next ones. The pairs are two arrays of equal length: the frame of the
 first peak and a hash of both bins and their distance.
 
 Defined results: null bytes give null WAV; null or unreadable WAV gives null
-fingerprints. Sound shorter than a window is padded with its rest level. Silence
-has no peaks and empty arrays. Equal sounds get equal fingerprints.
+fingerprints. After the last samples comes one frame that is filled up with the rest level, so every
+sample counts. Silence has no peaks and empty arrays. Equal sounds, as in repeated rows, get equal fingerprints. All functions
+work on one column: other columns, whatever their names, stay, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -52,27 +53,27 @@ def _spectra(data: bytes):
         if w.getnchannels() != 1 or w.getsampwidth() != 1:
             raise ValueError("8-bit mono is asked for")
         held = np.zeros(0, np.float32)
-        first = True
         while True:
             raw = w.readframes(PORTION)
             if raw:
                 held = np.concatenate([held, (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128])
-            if first and len(held) < SIZE:
+            if not raw:
+                # one more frame, filled up with the rest level, so that the last samples lie well inside a frame
                 held = np.pad(held, (0, SIZE - len(held)))
             if len(held) >= SIZE:
                 frames = np.lib.stride_tricks.sliding_window_view(held, SIZE)[::HOP]
                 held = held[len(frames) * HOP :]
                 f = np.fft.rfft(frames * _WINDOW, axis=1)
                 yield f.real**2 + f.imag**2
-            first = False
             if not raw:
                 return
 
 
-def peak_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(frames, hashes, number of peaks) of a WAV file."""
-    tops, bins = [], []
+def peak_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """(frames, hashes, number of peaks, energy of all frames) of a WAV file."""
+    tops, bins, loud = [], [], 0.0
     for energy in _spectra(data):
+        loud += float(energy.sum(dtype=np.float64))
         top, at = [], []
         for a, b in zip(BANDS, BANDS[1:]):
             band = energy[:, a:b]
@@ -95,7 +96,7 @@ def peak_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         hashes.append((bin_[:-k][near].astype(np.int64) << 16) | (bin_[k:][near] << 8) | gap[near])
     t, h = np.concatenate(starts), np.concatenate(hashes)
     order = np.lexsort((h, t))
-    return t[order].astype(np.int32), h[order].astype(np.int32), len(time)
+    return t[order].astype(np.int32), h[order].astype(np.int32), len(time), loud
 
 
 def to_wav(payload: Column) -> Column:
@@ -119,24 +120,24 @@ def samples(media: Column) -> Column:
 
 
 def fingerprint(media: Column) -> Column:
-    """A struct of time codes, pair hashes and the number of peaks."""
+    """A struct of time codes, pair hashes, the number of peaks and the energy of all frames."""
 
-    @F.pandas_udf("times array<int>, hashes array<int>, n_peaks int")
+    @F.pandas_udf("times array<int>, hashes array<int>, n_peaks int, energy double")
     def of(values: pd.Series) -> pd.DataFrame:
         rows = []
         for v in values:
             try:
-                rows.append((None, None, None) if v is None else peak_pairs(v))
+                rows.append((None,) * 4 if v is None else peak_pairs(v))
             except (wave.Error, EOFError, ValueError):
-                rows.append((None, None, None))
-        return pd.DataFrame({"times": [r[0] for r in rows], "hashes": [r[1] for r in rows], "n_peaks": pd.array([r[2] for r in rows], dtype="Int32")})
+                rows.append((None,) * 4)
+        return pd.DataFrame({"times": [r[0] for r in rows], "hashes": [r[1] for r in rows], "n_peaks": pd.array([r[2] for r in rows], dtype="Int32"), "energy": pd.array([r[3] for r in rows], dtype="Float64")})
 
     return of(media)
 
 
 def digest(print_: Column) -> Column:
-    """A short string for a fingerprint: peaks, pairs and a hash of the arrays."""
-    return F.concat_ws(":", print_["n_peaks"], F.size(print_["times"]), F.lower(F.hex(F.xxhash64(print_["times"], print_["hashes"]))))
+    """A short string for a fingerprint: peaks, pairs, a hash of the arrays and of the energy."""
+    return F.concat_ws(":", print_["n_peaks"], F.size(print_["times"]), F.lower(F.hex(F.xxhash64(print_["times"], print_["hashes"], print_["energy"]))))
 
 
 def padded(text: Column, unit: int = 64) -> Column:
