@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import public_tokenizers as tokenizers
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..deploy import ensure
 from . import bpe, chat, langid, media, mixing, quality, simhash, token_ids, urlfilter, warc
-from .common import shared_dir, stored
+from .common import new_path, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    back = token_ids.roundtrip(docs, tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
+    back = token_ids.roundtrip(docs, tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-files"), end_id=2)
     return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", token_ids.crc32_of(F.col("ids")).alias("ids_crc32"))
 
 
@@ -89,19 +87,28 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, mixing.TARGETS, mixing.document_values(), mixing.n_words(F.col("text")))
+    """All documents with their topic, tokens, probability and whether they are drawn."""
+    marked, targets, values, tokens = mixing.documents(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    # texts are read once: what the mixture needs of a document is a short row
+    rows = stored(marked.select("doc_id", *(v.alias(k) for k, v in values.items()), tokens.alias("tokens")), "mixing")
+    mixed = mixing.mix(rows, targets, {k: F.col(k) for k in values}, F.col("tokens"))
     m = F.col("mix")
-    return mixed.select("doc_id", "source", "lang", mixing.topic(F.col("text")).alias("topic"), m["tokens"].alias("tokens"), F.round(m["probability"], 9).alias("probability"), m["kept"].alias("kept"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round(m["probability"], 9).alias("probability"), m["kept"].alias("kept"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records where a replica of the pages' WARC files, read back from the shared folder, is damaged."""
     pages = _table(spark, sf_dir, "pages")
     primary = warc.records(pages, "page_id", "url", "html")
     # a replica with damage known beforehand: one page in 97 has its first "e" overwritten
     harmed = F.when(F.col("page_id") % 97 == 5, F.regexp_replace("html", "(?s)^(.*?)e", "$1~")).otherwise(F.col("html"))
     replica = warc.records(pages.withColumn("html", harmed), "page_id", "url", "html")
-    return warc.audit(primary, replica)
+    plan, found = stored(warc.layout(primary), "warc-layout"), []
+    for name, rows in (("warc", primary), ("warc-replica", replica)):
+        path = new_path(spark, name)
+        warc.write(rows, plan, path)
+        found.append(stored(warc.nodes(spark, path), "merkle"))
+    return warc.audit(*found)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

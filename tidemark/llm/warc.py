@@ -1,91 +1,126 @@
-"""WARC records and a Merkle fixity audit of replicas.
-
-``records`` writes pages as WARC response records in files, with offsets. The
-audit hashes each record with its offset range into leaves, sixteen nodes in
-order into one above, up to one root for each file. Roots of two replicas are compared
-first; below, only children of nodes that differ are joined, level by level,
-so the parts that agree are never looked at again.
-
-Each level is one aggregation; sixteen hashes at most meet in a group. The
-place of a record within its file comes from running sums in two steps (sums of
-runs, then within runs), so no file has to fit one task.
-
-Defined results: a record that only one replica has is ``missing`` or ``extra``; one
-whose bytes or offset range differ is ``changed``. Null payloads are empty. Records
-of equal key are told apart by their place. Empty tables give no findings.
+"""WARC files and a Merkle fixity audit of replicas.
+
+``write`` puts pages into WARC files in a folder, as response records one after another: a folder of
+gzipped ``.txt`` files whose bytes, unpacked, are plain WARC/1.1. ``nodes`` reads the stored bytes back, walks the
+records by their declared lengths and hashes each one with its ordered offset range; sixteen
+hashes in order make one above, up to one root for each file. ``audit`` compares the roots of two replicas
+first; below, only children of nodes that differ are joined, level by level, so branches that
+agree are never looked at again.
+
+Files are ranges of ``PER_FILE`` keys, so a task reads one bounded file. ``layout`` finds ranges that hold many more records (a key that
+very many pages have) and says into how many files these are dealt, by a hash of the record and its number among equal ones; both
+replicas are written by the layout of the first.
+
+Defined results: a record that only one replica has is ``missing`` or ``extra``; one whose bytes or offset range
+differ is ``changed`` (in a dealt range, where a changed record has another place, it is missing and extra). Bytes that are
+no record end the file: what follows them is one record without a key. Null payloads and addresses are empty. Records of equal key are
+ordered by address and bytes. A key that is null or no number is null; such pages are spread over files by a hash
+of the address. Other columns are ignored, whatever their names. Empty tables give no findings.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
-FAN = 16
+#: Records of a file, files of a crowded range start at CROWDED times as many; children of a node; levels (the top one takes all that is left).
+PER_FILE, CROWDED, FAN, HEIGHT = 256, 4, 16, 4
+_BREAK = "\r\n\r\n"
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\Z")
+_KEY = re.compile(rb"\r\nX-Page-Key: (-?\d+)\r\n")
 
 
-def record(uri: Column, payload: Column, stamp: str = "2024-01-01T00:00:00Z") -> Column:
-    """One WARC/1.1 response record as bytes."""
-    body = F.encode(F.coalesce(payload, F.lit("")), "UTF-8")
-    uri = F.coalesce(uri, F.lit(""))
-    name = F.concat(F.lit("urn:sha256:"), F.sha2(F.concat(F.encode(uri, "UTF-8"), body), 256))
-    head = F.concat(
+def record(key: Column, uri: Column, payload: Column, stamp: str = "2024-01-01T00:00:00Z") -> Column:
+    """One WARC/1.1 response record, without the two line ends that close it."""
+    payload, uri = F.coalesce(payload, F.lit("")), F.regexp_replace(F.coalesce(uri, F.lit("")), "[\r\n]+", " ")
+    name = F.concat(F.lit("urn:sha256:"), F.sha2(F.encode(F.concat(uri, payload), "UTF-8"), 256))
+    return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), uri,
+        F.coalesce(F.concat(F.lit("\r\nX-Page-Key: "), key.cast("string")), F.lit("")),
         F.lit(f"\r\nWARC-Date: {stamp}\r\nWARC-Record-ID: <"), name,
-        F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+        F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(F.encode(payload, "UTF-8")).cast("string"), F.lit(_BREAK), payload,
     )
-    return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
-
-
-def parse(data: Column) -> Column:
-    """A struct of target uri, declared length and payload bytes of a record."""
-    text = F.decode(data, "UTF-8")
-    size = F.regexp_extract(text, r"\r\nContent-Length: (\d+)\r\n\r\n", 1).cast("int")
-    head = F.locate("\r\n\r\n", text) + 3  # heads are ASCII but for the uri
-    start = F.octet_length(F.encode(F.substring(text, F.lit(1), head), "UTF-8"))
-    return F.struct(F.regexp_extract(text, r"\r\nWARC-Target-URI: ([^\r]*)\r\n", 1).alias("uri"), size.alias("size"), F.substring(data, start + 1, size).alias("payload"))
-
-
-def records(pages: DataFrame, key: str, uri: str, payload: str, per_file: int = 1000) -> DataFrame:
-    """(file, place, key, data): keys in ranges of ``per_file`` numbers make a file, ordered by key."""
-    k = F.col(key).cast("long")
-    # pages without a key are spread by a hash of their address, below all others
-    spread = -1 - F.pmod(F.xxhash64(uri), F.lit(1 << 30))
-    return pages.select(F.coalesce(F.floor(k / per_file), spread).alias("file"), k.alias("key"), record(F.col(uri), F.col(payload)).alias("data"))
-
-
-def leaves(recs: DataFrame) -> DataFrame:
-    """(file, place, key, start, size, hash) for (file, key, data): places and offsets by running sums over the keys of a file.
-
-    A file holds a bounded range of keys, so its window is bounded too.
-    """
-    from pyspark.sql import Window as W
-
-    own = recs.select("file", "key", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("content"))
-    order = W.partitionBy("file").orderBy("key", "content")
-    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = own.withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn("start", F.sum("size").over(so_far) - F.col("size"))
-    return placed.select("file", "place", "key", "start", "size", F.sha2(F.concat_ws(":", "start", "size", "content"), 256).alias("hash"))
-
-
-def level_above(nodes: DataFrame) -> DataFrame:
-    """(file, place, hash) of parents: the hashes of up to FAN children in order."""
-    grouped = nodes.groupBy("file", F.floor(F.col("place") / FAN).alias("place")).agg(F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("c"))
-    return grouped.select("file", "place", F.sha2(F.array_join(F.transform("c", lambda x: x["hash"]), ""), 256).alias("hash"))
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels from leaves to roots; the height comes from the largest file."""
-    largest = leaf.agg(F.max("place")).first()[0]
-    height = 0 if largest is None else max(1, math.ceil(math.log(largest + 1, FAN) - 1e-12))
-    levels = [leaf]
-    for _ in range(height):
-        # each level is read by the one above and again on the way down
-        levels.append(stored(level_above(levels[-1].select("file", "place", "hash")), "merkle"))
-    return levels
+def records(pages: DataFrame, key: str, uri: str, payload: str, per_file: int = PER_FILE) -> DataFrame:
+    """(range, key, uri, payload): ranges of ``per_file`` keys; pages without a key below all others."""
+    k = F.col(key).try_cast("long")
+    lost = -1 - F.pmod(F.xxhash64(uri), F.lit(1 << 30))
+    return pages.select(F.coalesce(F.floor(k / per_file), lost).alias("range"), k.alias("key"), F.col(uri).alias("uri"), F.col(payload).alias("payload"))
+
+
+def layout(recs: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """(range, files): the ranges with many more records than keys, and into how many files they are dealt."""
+    n = recs.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * per_file)
+    return n.select("range", F.ceil(F.col("n") / per_file).cast("long").alias("files"))
+
+
+def write(recs: DataFrame, plan: DataFrame, path: str) -> None:
+    """WARC files under ``path``, one folder for each range and number."""
+    placed = recs.join(plan, "range", "left")
+    plain = placed.where("files is null").select("range", F.lit(0).cast("long").alias("part"), "key", "uri", "payload")
+    # equal records of a crowded range are counted before they move, then told apart by their number
+    crowd = placed.where("files is not null").groupBy("range", "files", "key", "uri", "payload").agg(F.count("*").alias("n"))
+    crowd = crowd.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    crowd = crowd.select("range", F.pmod(F.xxhash64("uri", "payload", "i"), F.col("files")).alias("part"), "key", "uri", "payload")
+    rows = plain.unionByName(crowd).withColumn("file", F.concat_ws("-", "range", "part"))
+    ordered = rows.repartition("file").sortWithinPartitions("file", "key", "uri", "payload")
+    made = ordered.select("file", record(F.col("key"), F.col("uri"), F.col("payload")).alias("value"))
+    made.write.partitionBy("file").option("lineSep", _BREAK).option("compression", "gzip").text(path)
+
+
+def walk(data: bytes) -> Iterator[tuple[int | None, int, int]]:
+    """(key, start, size) of every record of a file's bytes."""
+    at = 0
+    while at < len(data):
+        head = data.find(b"\r\n\r\n", at)
+        length = _LENGTH.search(data, at, head) if head >= 0 and data.startswith(b"WARC/1.1\r\n", at) else None
+        end = head + 8 + int(length[1]) if length else len(data)
+        if not length or data[end - 4 : end] != b"\r\n\r\n":
+            yield None, at, len(data) - at
+            return
+        key = _KEY.search(data, at, head)
+        yield int(key[1]) if key else None, at, end - at
+        at = end
+
+
+def tree(data: bytes) -> list[tuple]:
+    """(level, place, hash, key, start, size): the leaves of a file's bytes and all nodes above them."""
+    rows = []
+    for place, (key, start, size) in enumerate(walk(data)):
+        own = hashlib.sha256(data[start : start + size]).hexdigest()
+        rows.append((0, place, hashlib.sha256(f"{start}:{size}:{own}".encode()).hexdigest(), key, start, size))
+    below = [r[2] for r in rows]
+    for level in range(1, HEIGHT + 1):
+        fan = FAN if level < HEIGHT else max(1, len(below))
+        below = [hashlib.sha256("".join(below[i : i + fan]).encode()).hexdigest() for i in range(0, len(below), fan)]
+        rows += [(level, place, h, None, None, None) for place, h in enumerate(below)]
+    return rows
+
+
+def nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, level, place, hash, key, start, size) of all files under ``path``, from the stored bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+    named = files.select(F.regexp_extract("path", "/file=([^/]*)/", 1).alias("file"), "content")
+    names = ["file", "level", "place", "hash", "key", "start", "size"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = tree(zlib.decompress(content.as_py(), 31))
+                columns = [[file] * len(rows), *(zip(*rows) if rows else [[]] * 6)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+    return named.mapInArrow(run, "file string, level int, place long, hash string, key long, start long, size long")
 
 
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -94,20 +129,18 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """(file, place, key, start, size, status) of every record where the replicas differ."""
-    a, b = stored(leaves(primary), "merkle"), stored(leaves(replica), "merkle")
-    up, down = tree(a), tree(b)
-    for short, long in ((up, down), (down, up)):
-        while len(short) < len(long):
-            short.append(level_above(short[-1].select("file", "place", "hash")))
-    bad = _differing(up[-1], down[-1])
-    for x, y in zip(up[-2::-1], down[-2::-1]):
-        of = lambda t: t.withColumn("above", F.floor(F.col("place") / FAN))
-        open_ = bad.select("file", F.col("place").alias("above"))
-        bad = _differing(of(x).join(open_, ["file", "above"], "left_semi"), of(y).join(open_, ["file", "above"], "left_semi"))
-    p = a.join(bad, ["file", "place"], "left_semi").select("file", "place", F.struct("key", "start", "size").alias("p"))
-    r = b.join(bad, ["file", "place"], "left_semi").select("file", "place", F.struct("key", "start", "size").alias("r"))
-    one = p.join(r, ["file", "place"], "full")
+    """(file, place, key, start, size, status) of every record where two tables of ``nodes`` differ."""
+    top = lambda t: t.where(F.col("level") == HEIGHT)
+    bad = stored(_differing(top(primary), top(replica)), "merkle-bad")
+    for level in range(HEIGHT - 1, -1, -1):
+        fan = FAN if level < HEIGHT - 1 else 1 << 62
+        above = bad.select("file", F.col("place").alias("above"))
+        of = lambda t: t.where(F.col("level") == level).withColumn("above", F.floor(F.col("place") / F.lit(fan))).join(above, ["file", "above"], "left_semi")  # noqa: B023, E731
+        lower = stored(_differing(of(primary), of(replica)), "merkle-bad")
+        discard(bad)
+        bad = lower
+    leaf = lambda t, name: t.where("level = 0").join(bad, ["file", "place"], "left_semi").select("file", "place", F.struct("key", "start", "size").alias(name))
+    one = leaf(primary, "p").join(leaf(replica, "r"), ["file", "place"], "full")
     status = F.when(F.col("r").isNull(), "missing").when(F.col("p").isNull(), "extra").otherwise("changed")
     at = F.coalesce("p", "r")
     return one.select("file", "place", at["key"].alias("key"), at["start"].alias("start"), at["size"].alias("size"), status.alias("status"))
