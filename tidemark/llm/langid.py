@@ -9,14 +9,14 @@ beginning. The margin is the share by which the best beats
 the second, over all chunks; a narrow one is a rejection. Equal sizes are settled by encoding
 with parts of the dictionaries, then by the order of names.
 
-The model is fitted on a bounded sample: at most ``DOCS_PER_LANG`` distinct texts for
-each of at most ``MAX_LANGS`` languages, ``SNIPPET`` characters of each, chosen by a
-hash of the text, of which the first 64 KB are the dictionary. Copies of a text count
-once. Predictions read whole texts.
+The model is fitted on a bounded sample: of at most ``DOCS_PER_LANG`` different texts for
+each language, chosen by a hash of the text, the first ``SNIPPET`` characters of each are put together up to ``DICT_BYTES``
+(64 KB: about 45 texts of 1,500 characters, more if they are shorter). Copies of a text count
+once. All languages that rows name are learned. Predictions read whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0. Rows without a language, and languages beyond the bound (smallest first),
-teach nothing. With no training text every prediction is ``und``.
+0. Rows without a language teach nothing. With no training text every prediction is ``und``. Other columns stay
+as they are, whatever their names; repeated rows get equal results; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_LANGS = 64
 DOCS_PER_LANG = 400
 SNIPPET = 1500
 DICT_BYTES = 1 << 16
@@ -67,7 +66,7 @@ class _Encoders:
         short = zstd.ZstdCompressionParameters.from_level(3, min_match=3, strategy=zstd.STRATEGY_BTOPT, search_log=4, window_log=18, chain_log=14, hash_log=14, target_length=16, **_FRAME)
         self.langs = model.langs
         self.whole = [self._made(c, params) for c in model.contents]
-        self.parts = [[self._made(c[i : i + PART_BYTES], short) for i in range(0, len(c), PART_BYTES)] for c in model.contents]
+        self.contents, self.short, self.parts = model.contents, short, {}
         self.empty = len(self.whole[0].compress(b"")) if self.whole else 0
 
     @staticmethod
@@ -76,6 +75,13 @@ class _Encoders:
         d.precompute_compress(compression_params=params)
         return zstd.ZstdCompressor(compression_params=params, dict_data=d)
 
+    def _fine(self, i: int, chunks: list[bytes]) -> float:
+        """Bytes by parts of a dictionary, on average: finer than the whole, for ties."""
+        if i not in self.parts:
+            c = self.contents[i]
+            self.parts[i] = [self._made(c[k : k + PART_BYTES], self.short) for k in range(0, len(c), PART_BYTES)]
+        return sum(len(e.compress(c)) for e in self.parts[i] for c in chunks) / max(1, len(self.parts[i]))
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)."""
         if not self.langs or text is None or not any(map(str.isalpha, text)):
@@ -85,8 +91,8 @@ class _Encoders:
         sizes = [sum(len(e.compress(c)) - self.empty for c in chunks) for e in self.whole]
         low = min(sizes)
         best = [i for i, n in enumerate(sizes) if n == low]
-        if len(best) > 1 and len(data) <= PART_BYTES:
-            total = {i: sum(len(e.compress(data)) for e in self.parts[i]) / max(1, len(self.parts[i])) for i in best}
+        if len(best) > 1:
+            total = {i: self._fine(i, chunks) for i in best}
             best.sort(key=lambda i: (total[i], i))
         rest = sorted(sizes)
         margin = 1 - rest[0] / max(1, rest[1]) if len(rest) > 1 else 1.0
@@ -104,11 +110,11 @@ def _encoders(model: Model) -> _Encoders:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from rows with a text and a language; the sample of a language is at most 400 different texts of 1,500 characters and 64 KB."""
+    """A model from rows with a text and a language. The sample of a language, at most 64 KB, comes to the driver."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"), F.min(spread).alias("least"))
-    counts = counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"), F.min(spread).alias("least"))
+    counts = counts.collect()
     if not counts:
         return Model((), ())
     # four times what is needed of the different texts, and one at least
