@@ -58,3 +58,61 @@ def ids_crc32(ids):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def hashed(words, dims):
+    """Square roots of hashed word counts, of length 1."""
+    x = np.zeros(dims)
+    for w in words:
+        x[zlib.crc32(re.sub("[A-Z]", lambda m: m[0].lower(), w).encode()) % dims] += 1
+    x = np.sqrt(x)
+    return x / max(np.linalg.norm(x), 1e-12)
+
+
+def raked(rows, targets, limits=(), rounds=400):
+    """{id: probability}: weights of rows (cell, tokens) scaled in turn to the targets of every dimension; the largest is 1."""
+    total = sum(t for _, t in rows.values())
+    wanted = []
+    for k, target in enumerate(targets):
+        own = {}
+        for cell, t in rows.values():
+            own[cell[k]] = own.get(cell[k], 0) + t / total
+        want = {v: min(s, own.get(v, 0)) if k in limits else s for v, s in target.items()}
+        left = 1 - sum(want.values())
+        rest = own.get(None, 0)
+        want = {**want, None: left} if left > 1e-9 else {**{v: s / sum(want.values()) * (1 - rest) for v, s in want.items()}, None: rest}
+        there = {v: s for v, s in want.items() if own.get(v, 0) > 0}
+        wanted.append({v: s / sum(there.values()) for v, s in there.items()})
+    cells = {}
+    for cell, t in rows.values():
+        cells[cell] = cells.get(cell, 0) + t
+    weight = dict.fromkeys(cells, 1.0)
+    for _ in range(rounds):
+        for k, want in enumerate(wanted):
+            now = {}
+            for c, t in cells.items():
+                now[c[k]] = now.get(c[k], 0) + t * weight[c]
+            whole = sum(now.values())
+            weight = {c: w * want[c[k]] * whole / now[c[k]] if now[c[k]] > 0 else w for c, w in weight.items()}
+    top = max(w for c, w in weight.items() if cells[c] > 0)
+    return {d: min(1.0, weight[c] / top) for d, (c, _) in rows.items()}
+
+
+def n_peaks(samples, size=256, hop=128, bands=(1, 9, 17, 33, 65, 129), standout=4.0):
+    """Peaks of a sound by one transform at a time: the strongest bin of each band, where it stands out in its band and in time."""
+    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    frames = []
+    at = 0
+    while at + size <= len(x):
+        frames.append(x[at : at + size])
+        at += hop
+    frames.append(np.pad(x[at:], (0, size - len(x[at:]))))
+    window = np.hanning(size).astype(np.float32)
+    value = []
+    for f in frames:
+        z = np.fft.rfft(f * window)
+        e = z.real**2 + z.imag**2
+        value.append([e[a:b].max() if e[a:b].max() > standout * e[a:b].mean() else 0 for a, b in zip(bands, bands[1:])])
+    value = np.array(value)
+    before, after = np.vstack([np.zeros(5), value[:-1]]), np.vstack([value[1:], np.zeros(5)])
+    return int(((value > 1e-6) & (value > before) & (value >= after)).sum())

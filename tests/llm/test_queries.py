@@ -72,6 +72,7 @@ def test_media(spark, docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), brute.sha(pad), zlib.crc32(pad[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(wav), brute.sha(wav))
         assert by_text.setdefault(t, r.feature) == r.feature
+        assert int(r.feature.split(":")[0]) == brute.n_peaks(pad)
 
 
 def test_quality_base(spark, docs):
@@ -117,17 +118,52 @@ def test_language(spark, docs):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
-def test_mixing_meets_targets(spark):
-    from tidemark.llm import mixing
+def test_mixing(spark, docs):
+    """Each document's topic, probability and draw against plain counts, distances and raking."""
+    from tidemark.llm import mixing, topics
 
-    got = rows(spark, "op8_mixing")
-    total = sum(r.tokens * r.probability for r in got)
-    by = {}
-    for r in got:
-        by[r.lang] = by.get(r.lang, 0) + r.tokens * r.probability / total
-    for lang, share in mixing.TARGETS["lang"].items():
-        assert abs(by[lang] - share) < 1e-6
-    assert max(r.probability for r in got) <= 1
+    source, lang = (dict(duckdb.execute(f"select doc_id, {c} from '{SF}/documents.parquet'").fetchall()) for c in ("source", "lang"))
+    model = topics.fit(spark.read.parquet(f"{SF}/documents.parquet"), list(mixing.LANGS))
+    assert set(model.centres) == set(mixing.LANGS)
+    got = {r.doc_id: r for r in rows(spark, "op8_mixing")}
+    assert len(got) == len(docs)
+    topic = {}
+    for d, t in docs.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        assert got[d].tokens == len(words)
+        x = brute.hashed(words, topics.DIMS)
+        far = [((x - c) ** 2).sum() for c in model.centres[lang[d]]]
+        topic[d] = got[d].topic if not words else f"{lang[d]}/{far.index(min(far))}"
+    assert sum(got[d].topic == topic[d] for d in docs) >= len(docs) - 1  # a tie may be broken by rounding
+    targets = mixing.document_targets(model)
+    cell = {d: (source[d] if source[d] in targets["source"] else None, lang[d], got[d].topic if got[d].topic in targets["topic"] else None) for d in docs}
+    want = brute.raked({d: (cell[d], got[d].tokens) for d in docs}, [targets["source"], targets["lang"], targets["topic"]], limits=(0,))
+    for d in docs:
+        assert abs(got[d].probability - want[d]) < 1e-5
+        assert got[d].kept in (True, False) and (got[d].probability > 0 or not got[d].kept)
+    assert 0.3 * len(docs) < sum(r.kept for r in got.values()) < len(docs)
+
+
+def test_language_is_the_smallest_of_plain_compressions(spark, docs):
+    import zstandard
+
+    from tidemark.llm import langid
+
+    taught = spark.read.parquet(f"{SF}/documents.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    model = langid.fit(taught)
+    kinds = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, strategy=zstandard.STRATEGY_LAZY2, search_log=4, window_log=20, chain_log=16, hash_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+    made = [zstandard.ZstdCompressor(compression_params=kinds, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for c in model.contents]
+    wrong = 0
+    for r in rows(spark, "op10_language_id"):
+        t = docs[r.doc_id]
+        if t is None or not any(map(str.isalpha, t)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        data = (" " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " ").encode()
+        sizes = [sum(len(m.compress(data[i : i + 8192])) for i in range(0, len(data), 8192)) for m in made]
+        best = {x for x, n in zip(model.langs, sizes) if n == min(sizes)}
+        wrong += r.lang_pred not in best
+    assert wrong == 0
 
 
 def test_warc_finds_damage(spark):
