@@ -12,13 +12,15 @@ transitions are kept up to a limit and then made anew; that never changes ids.
 Each match of the pattern is encoded alone. A match that is itself in the
 vocabulary is that one token, as in the public library.
 
-Defined results: null and empty texts give no ids. Bytes outside the
+Defined results: null and empty texts give no ids. Repeated rows get equal results, rows keep their id, and other columns, whatever their
+names, are left out. An empty table gives an empty one. Bytes outside the
 vocabulary raise an error (public byte-level vocabularies have all 256).
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,7 +43,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one match to ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.below: dict[int, int] = {}
@@ -230,6 +232,13 @@ def bpe(path: str, pattern: str) -> Bpe:
     return _MADE[path, pattern]
 
 
+def forget(path: str, pattern: str) -> None:
+    """Drop what ``bpe`` keeps in this Python worker."""
+    _MADE.pop((path, pattern), None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def vocabulary(path: str) -> Vocabulary:
     """The decoding half alone."""
     if path not in _MADE:
@@ -240,9 +249,11 @@ def vocabulary(path: str) -> Vocabulary:
 Derived = Callable[[Vocabulary, np.ndarray], tuple]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", columns: str | None = None, of: Derived | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", columns: str | None = None, of: Derived | None = None, release: bool = False) -> DataFrame:
     """(id, n_tokens, ids) of every whole text; ids as little-endian unsigned 32-bit integers.
 
+    With ``release`` a worker forgets states and pieces when a partition ends, which leaves memory for other steps of the same job.
+
     With ``columns`` (a DDL list of strings) and ``of``, its values for the ids of each row come instead of
     the ids, so that they need not leave the worker.
     """
@@ -260,6 +271,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 else:
                     values = [pa.array(v, pa.string()) for v in zip(*(of(made, r) for r in runs))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *values], ["id", "n_tokens", *names])
+            pa.default_memory_pool().release_unused()
+        if release:
+            del made
+            forget(ranks, pattern)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, {columns or 'ids binary'}")

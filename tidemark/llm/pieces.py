@@ -24,7 +24,7 @@ from .common import ranges
 #: Fixed value: the pattern of the public byte-level pre-tokenizer.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A longer text is cut at single spaces between letters or digits, where a match begins in any case.
-PORTION_BYTES = 4 << 20
+PORTION_BYTES = 2 << 20
 _SAFE = re.compile(rb"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 #: Longer pieces aren't kept.
 KEEP = 64
@@ -139,7 +139,7 @@ class PieceCache:
     pieces of texts. Where texts may be cut at safe places (``parts``), long ones never lie open at once.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, cut=byte_level, limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, cut=byte_level, limit: int = 240_000):
         self.encode, self.dtype, self.cut, self.parts = encode, np.dtype(dtype), cut, cut is byte_level
         self.half, self.known, self.older = limit // 2, {}, {}
 

@@ -34,23 +34,22 @@ HOT = 128
 _CHUNK = 1 << 14
 
 
-def fingerprint_bytes(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text, by majority over the hashes of its word shingles."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included (fewer words: the whole sequence; none: empty)."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    begins = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, len(begins), _CHUNK):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(begins[at : at + _CHUNK], ends[at : at + _CHUNK])], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(begins), bitorder="little").view("<u8")[0])
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - shingle + 1)].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, ends)), np.uint64, len(begins))
+
+
+def fingerprint_bytes(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one text, by majority over the hashes of its word shingles."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprint(text: Column, shingle: int = 4, seed: int = 42) -> Column:
@@ -141,18 +140,8 @@ _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """The hashes of a text's word shingles, repeats included (fewer words: the whole sequence; none: empty)."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), np.uint64, n)
-
-
 def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    return np.unique(shingle_hashes(text, shingle, seed))
+    return np.unique(shingle_hashes((text or "").encode(), shingle, seed))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -206,7 +195,7 @@ def sketches(text: Column, common: np.ndarray, shingle: int = 5, similarity: flo
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            hashes = shingle_hashes(t, shingle)
+            hashes = shingle_hashes((t or "").encode(), shingle)
             own = np.unique(hashes)
             ids = np.array([xxhash.xxh64_intdigest(own.tobytes(), 42), majority(hashes)], np.uint64).view(np.int64)
             rows.append((ids[0], len(own), ids[1], sketch(own), prefix(own, common, similarity).view(np.int64)))
@@ -270,18 +259,18 @@ def _open_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> tuple[
     Two such sets share a value of their prefixes, differ in size by no more than the similarity allows,
     and have values enough from the first shared one on. Keys of one group make no pair; crowded keys are salted.
     """
-    grouped = nodes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
-    keyed = stored(grouped.select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"), "sketch-grouped")
-    keyed_rows = keyed.select("node", "root", "size", F.posexplode("prefix").alias("at", "key"))
-    mixed_keys = stored(keyed_rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "sketch-open-keys")
-    mixed = stored(keyed_rows.join(mixed_keys, "key"), "sketch-open")
+    shared, many = repeated(nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")), "sketch-prefix")
+    grouped = stored(shared.drop("n").join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "at"), "sketch-grouped")
+    mixed_keys = stored(grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "sketch-open-keys")
+    mixed = stored(grouped.join(mixed_keys, "key"), "sketch-open")
+    discard(shared, many, grouped, mixed_keys)
     parts = F.ceil(F.col("n") / CROWD).cast("int")
     a = mixed.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("at").alias("ia"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("pa"))
     b = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("at").alias("ib"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("pb"))
     sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
     met = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("pa") == F.col("pb")) & (F.col("ra") < F.col("rb")) & sizes & left)
-    return met.select("a", "b").distinct(), [keyed, mixed_keys, mixed]
+    return met.select("a", "b").distinct(), [mixed]
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -306,11 +295,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct().join(nodes.select(F.col("node").alias("want"), "least"), "want").where("least is not null")
         texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(wanted, "least")
         # an id may stand for several texts; any text of a node will do, as their sets are equal
-        sets = texts.select("want", _sets(F.col("text"), shingle).alias("s")).where("s.node = want").select(F.col("want").alias("node"), "s.set")
-        sets = stored(sets.dropDuplicates(["node"]), "sketch-sets")
+        # stored before the filter, else Spark would make the sets of all documents for the join
+        made = stored(texts.select("want", _sets(F.col("text"), shingle).alias("s")), "sketch-sets")
+        sets = made.where("s.node = want").select(F.col("want").alias("node"), "s.set").dropDuplicates(["node"])
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
         out = stored(x.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), "sketch-similar")
-        discard(pairs, sets)
+        discard(pairs, made)
         return out
 
     likely = verified(*_cheap_pairs(nodes))
