@@ -261,6 +261,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = bpe(ranks, pattern)
+        if not release:
+            # alone in its worker, it may keep twice as many states and pieces
+            made.machine.max_states, made.cache.half = 200_000, 200_000
         for whole in batches:
             for part in slices(whole, "text"):
                 ids, counts = made.encode(part.column(1))
