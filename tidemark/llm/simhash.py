@@ -297,10 +297,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # an id may stand for several texts; any text of a node will do, as their sets are equal
         # stored before the filter, else Spark would make the sets of all documents for the join
         made = stored(texts.select("want", _sets(F.col("text"), shingle).alias("s")), "sketch-sets")
-        sets = made.where("s.node = want").select(F.col("want").alias("node"), "s.set").dropDuplicates(["node"])
+        # stored again, so that the joins have shuffles of their own, which Spark splits where one node has many pairs
+        sets = stored(made.where("s.node = want").select(F.col("want").alias("node"), "s.set").dropDuplicates(["node"]), "sketch-set")
+        discard(made)
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
         out = stored(x.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), "sketch-similar")
-        discard(pairs, made)
+        discard(pairs, sets)
         return out
 
     likely = verified(*_cheap_pairs(nodes))
