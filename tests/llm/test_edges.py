@@ -128,14 +128,23 @@ def test_simhash_groups_with_hot_keys(spark):
     signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
     df = spark.createDataFrame(signed, "id long, fp long")
     back = dict((f, i) for i, f in signed)
-    for hot in (3, 10**6):
-        roots = {x.node: x.root for x in simhash.components(simhash.links(df, hot)).collect()}
+    for hot, blocks in ((3, None), (10**6, None), (10**6, 8)):
+        roots = {x.node: x.root for x in simhash.components(simhash.links(df, hot, blocks)).collect()}
         parts = {}
         for f, i in back.items():
             parts.setdefault(roots.get(f, f), []).append(i)
         assert sorted(map(sorted, parts.values())) == sorted(sorted(i for i in set(back.values()) if want[i] == k) for k in {want[i] for i in set(back.values())})
 
 
+def test_simhash_block_numbers():
+    from tidemark.llm import simhash
+
+    for rows in (0, 1, 10**6, 1 << 25, 1 << 30, 1 << 36, 1 << 45):
+        spans = simhash._blocks(simhash.blocks_for(rows))
+        assert [a + w for a, w in spans] == [a for a, _ in spans[1:]] + [64]
+    assert [simhash.blocks_for(1 << n) for n in (10, 24, 25, 45)] == [7, 7, 8, 8]
+
+
 def test_simhash_edges(spark, docs, empty):
     from tidemark.llm import simhash
 

@@ -1,8 +1,11 @@
 """SimHash near-duplicates: pigeonhole blocks, a join on blocks, then Hamming distance.
 
-Fingerprints of 64 bits that differ in at most 4 bits agree in at least 4 of 8
-blocks of 8 bits. Each distinct fingerprint gets one key for each choice of 4
-blocks (70 keys of 32 bits); only fingerprints that share a key are compared.
+Fingerprints of 64 bits that differ in at most 4 bits agree in all but 4 of any
+blocks that they are cut into. Each distinct fingerprint gets one key for each
+choice of all but 4 blocks; only fingerprints that share a key are compared.
+Seven blocks (35 keys of 27 or 28 bits) do for up to 2^25 rows, more rows take eight
+(70 keys of 32 bits), so that unrelated fingerprints seldom share a key (``blocks_for``).
+The number of blocks decides how many fingerprints are compared, never which are linked.
 A key shared by more than ``HOT`` distinct fingerprints isn't joined, as the pairs
 would grow with its square. Its fingerprints are linked through the values
 within 2 bits of each: two of them are within 4 bits if and only if some value
@@ -28,9 +31,13 @@ from pyspark.sql import functions as F
 from ..operators.linked import components
 from .common import discard, repeated, spread, stored
 
-BITS, BLOCKS, MAX_BITS = 64, 8, 4
+BITS, MAX_BITS = 64, 4
+#: Numbers of blocks to choose from.
+FEWEST, MOST = 7, 8
 #: A block key with more distinct fingerprints is linked through values near them.
 HOT = 128
+#: The bits of a key above this one are the mask of its blocks.
+_MASK_AT = 48
 _CHUNK = 1 << 14
 
 
@@ -63,13 +70,30 @@ def fingerprint(text: Column, shingle: int = 4, seed: int = 42) -> Column:
     return of(text)
 
 
-def _block_keys(fp: Column) -> Column:
-    """70 keys: the mask of the chosen blocks above their 32 bits."""
-    block = [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(BLOCKS)]
+def blocks_for(rows: int) -> int:
+    """The number of blocks whose keys are so long that unrelated fingerprints seldom share one."""
+    return next((b for b in range(FEWEST, MOST) if BITS // b * (b - MAX_BITS) >= rows.bit_length() + 2), MOST)
+
+
+def _blocks(blocks: int) -> list[tuple[int, int]]:
+    """(first bit, number of bits) of each block."""
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _block(fp: Column, start: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _block_keys(fp: Column, blocks: int) -> Column:
+    """A key for each choice of all but 4 blocks: the mask of the chosen ones above their bits."""
+    spans = _blocks(blocks)
     keys = []
-    for chosen in combinations(range(BLOCKS), BLOCKS - MAX_BITS):
-        bits = sum((F.shiftleft(block[b], 8 * k) for k, b in enumerate(chosen[1:], 1)), block[chosen[0]])
-        keys.append(bits + F.lit(sum(1 << b for b in chosen) << 32).cast("long"))
+    for chosen in combinations(range(blocks), blocks - MAX_BITS):
+        key, at = F.lit(sum(1 << b for b in chosen) << _MASK_AT).cast("long"), 0
+        for start, width in (spans[b] for b in chosen):
+            key, at = key + F.shiftleft(_block(fp, start, width), at), at + width
+        keys.append(key)
     return F.array(*keys)
 
 
@@ -79,19 +103,20 @@ def _near_values() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(fingerprints: DataFrame, hot: int = HOT) -> DataFrame:
+def links(fingerprints: DataFrame, hot: int = HOT, blocks: int | None = None) -> DataFrame:
     """(a, b), a < b, over distinct values of the column ``fp``: every pair within 4 bits, or pairs that join the same groups. Stored."""
+    blocks = blocks or blocks_for(fingerprints.count())
     distinct = spread(fingerprints.select("fp").distinct())
-    shared, many = repeated(distinct.select("fp", F.explode(_block_keys(F.col("fp"))).alias("key")), "simhash-shared")
+    shared, many = repeated(distinct.select("fp", F.explode(_block_keys(F.col("fp"), blocks)).alias("key")), "simhash-shared")
     cold = shared.where(F.col("n") <= hot)
     a, b = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    agree = sum((F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long")) == 0, 1 << i).otherwise(0) for i in range(BLOCKS)), F.lit(0))
+    agree = sum((F.when(_block(x, *span) == 0, 1 << i).otherwise(0) for i, span in enumerate(_blocks(blocks))), F.lit(0))
     rest = agree
-    for _ in range(BLOCKS - MAX_BITS):
+    for _ in range(blocks - MAX_BITS):
         rest = rest.bitwiseAND(rest - 1)
     # a pair counts once, under the first blocks that it agrees in
-    first = F.shiftright("key", 32) == agree.bitwiseXOR(rest)
+    first = F.shiftright("key", _MASK_AT) == agree.bitwiseXOR(rest)
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS)).select(a["key"], "a", "b").where(first).select("a", "b")
     dense = spread(shared.where(F.col("n") > hot).select("fp").distinct())
     near = stored(dense.select("fp", F.explode(F.transform(F.lit(_near_values()), lambda m: F.col("fp").bitwiseXOR(m))).alias("value")), "simhash-near")
