@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ensure
-from . import bpe, chat, langid, media, mixing, quality, simhash, token_ids, urlfilter, warc
+from . import bpe, chat, decontam, langid, media, mixing, quality, simhash, token_ids, urlfilter, warc
 from .common import new_path, stored
 
 
@@ -120,7 +120,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), guess.alias("g")).select("doc_id", "held_out", "g.lang_pred", "g.score", "g.margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_chat, op3_bpe, op4_url_filters, op5_simhash, op6_media, op7_quality, op8_mixing, op9_warc, op10_language_id)}
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document shares with the benchmark: all windows of 10 words of its items, looked up in FM-indexes of the documents."""
+    shards = decontam.index(_table(spark, sf_dir, "documents"))
+    items = decontam.phrases(_table(spark, sf_dir, "benchmark"))
+    return decontam.report(decontam.search(shards, items)).drop("spans", "items")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_chat, op3_bpe, op4_url_filters, op5_simhash, op6_media, op7_quality, op8_mixing, op9_warc, op10_language_id, op11_decontaminate)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -157,4 +164,19 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from e group by conv_id"""
 
 
-ORACLE = {"op2_chat": _CHAT, "op7_quality": _QUALITY}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DECONTAM = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (select coalesce(item_id::varchar, '') as item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+iw as (select distinct item, least(len(w), 10) as m, array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') as g
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from i where len(w) > 0)),
+dw as (select r, m, s, array_to_string(list_slice(w, s, s + m - 1), ' ') as g
+  from (select r, w, m, unnest(range(1, len(w) - m + 2)) as s from d, (select distinct m from iw) where len(w) >= m)),
+h as (select distinct r, s, m, item from dw join iw using (m, g)),
+c as (select r, count(distinct p) as n from (select r, unnest(range(s, s + m)) as p from (select distinct r, s, m from h)) group by r),
+n as (select r, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct r, item from h) group by r)
+select doc_id, len(w) as n_words, coalesce(c.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, c.n is not null as contaminated
+from d left join c using (r) left join n using (r)"""
+
+ORACLE = {"op2_chat": _CHAT, "op7_quality": _QUALITY, "op11_decontaminate": _DECONTAM}
