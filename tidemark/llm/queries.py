@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ensure
-from . import bpe, chat, decontam, langid, media, mixing, quality, simhash, token_ids, urlfilter, warc
+from . import bpe, chat, decontam, langid, lexical, media, mixing, quality, simhash, token_ids, urlfilter, warc
 from .common import new_path, stored
 
 
@@ -127,7 +127,13 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.search(shards, items)).drop("spans", "items")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_chat, op3_bpe, op4_url_filters, op5_simhash, op6_media, op7_quality, op8_mixing, op9_warc, op10_language_id, op11_decontaminate)}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of each benchmark item; documents stream through the items' inverted index."""
+    found = lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_chat, op3_bpe, op4_url_filters, op5_simhash, op6_media, op7_quality, op8_mixing, op9_warc, op10_language_id, op11_decontaminate, op12_lexical_search)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -179,4 +185,19 @@ n as (select r, count(*) as n, string_agg(item, ',' order by item) as ids from (
 select doc_id, len(w) as n_words, coalesce(c.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, c.n is not null as contaminated
 from d left join c using (r) left join n using (r)"""
 
-ORACLE = {"op2_chat": _CHAT, "op7_quality": _QUALITY, "op11_decontaminate": _DECONTAM}
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+_LEXICAL = rf"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, {_TERM}) as w from documents),
+d as (select r, doc_id, len(w) as n from w where len(w) > 0),
+c as (select count(*) as n_docs, sum(n)::bigint as n_terms from d),
+i as (select distinct item_id, unnest(regexp_extract_all({_LOW}, {_TERM})) as t from benchmark where item_id is not null),
+tf as (select r, t, count(*) as tf from (select r, unnest(w) as t from w) semi join i using (t) group by r, t),
+df as (select t, count(*) as df, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as wt from tf, c group by t),
+m as (select r, doc_id, 100 - 90 + ((90 * n * n_docs) // n_terms) as m from d, c),
+s as (select item_id, r, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from i join tf using (t) join df using (t) join m using (r) group by item_id, r, doc_id)
+select item_id, rank::int as rank, doc_id, score from
+  (select *, row_number() over (partition by item_id order by score desc, doc_id asc nulls last) as rank from s where score > 0) where rank <= 10"""
+
+ORACLE = {"op2_chat": _CHAT, "op7_quality": _QUALITY, "op11_decontaminate": _DECONTAM, "op12_lexical_search": _LEXICAL}
