@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ensure
-from . import bpe, chat, decontam, langid, lexical, media, mixing, quality, simhash, token_ids, urlfilter, warc
+from . import bpe, chat, decontam, gnat, langid, lexical, media, mixing, quality, simhash, token_ids, urlfilter, warc
 from .common import new_path, stored
 
 
@@ -133,7 +133,15 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_chat, op3_bpe, op4_url_filters, op5_simhash, op6_media, op7_quality, op8_mixing, op9_warc, op10_language_id, op11_decontaminate, op12_lexical_search)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th embedding, by a hyperplane tree with distance ranges."""
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = gnat.negatives(rows.select("vec_id", label.alias("label"), "embedding"), "vec_id", "label", "embedding")
+    return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"), "positive_score", "negative_score")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_chat, op3_bpe, op4_url_filters, op5_simhash, op6_media, op7_quality, op8_mixing, op9_warc, op10_language_id, op11_decontaminate, op12_lexical_search, op13_hard_negatives)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -200,4 +208,14 @@ s as (select item_id, r, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 *
 select item_id, rank::int as rank, doc_id, score from
   (select *, row_number() over (partition by item_id order by score desc, doc_id asc nulls last) as rank from s where score > 0) where rank <= 10"""
 
-ORACLE = {"op2_chat": _CHAT, "op7_quality": _QUALITY, "op11_decontaminate": _DECONTAM, "op12_lexical_search": _LEXICAL}
+_NEGATIVES = """
+with e as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as anchor, b.id as other, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score from e a, e b where a.id % 50 = 0 and a.id <> b.id),
+p as (select * from (select anchor, other as positive, score, row_number() over (partition by anchor order by score desc, other) as k from s where same) where k <= 5),
+n as (select p.anchor, positive, p.score as positive_score, s.other as negative, s.score as negative_score,
+    row_number() over (partition by p.anchor, positive order by s.score desc, s.other) as rank
+  from p join s on s.anchor = p.anchor and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor as anchor_id, positive as positive_id, rank::int as rank, negative as negative_id, positive_score, negative_score from n where rank <= 3"""
+
+ORACLE = {"op2_chat": _CHAT, "op7_quality": _QUALITY, "op11_decontaminate": _DECONTAM, "op12_lexical_search": _LEXICAL, "op13_hard_negatives": _NEGATIVES}
