@@ -9,7 +9,7 @@ A window is ``window`` consecutive words of an item; an item with fewer words, b
 Words: ``words.py``. Every window is looked up in every shard, nothing is sampled; a window
 is found exactly where its words are.
 
-Memory: a shard holds about ``common.SLICE_BYTES`` of text. A longer text lies in several segments that share
+Memory: a shard holds about ``shard_bytes`` of text. A longer text lies in several segments that share
 ``window - 1`` words. Items are cut the same way, made distinct and searched in blocks of about ``BLOCK_WORDS`` words: a block
 is all that is sent to the workers at once, however large the benchmark is.
 
@@ -23,12 +23,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, slices, stored
+from .common import SLICE_BYTES, ranges, stored
 from .fmindex import Index, build
 from .words import of_texts, portions
 
@@ -39,13 +40,13 @@ BLOCK_WORDS = 1 << 20
 _FOUND = "id {id}, row long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, int, int, bool]]:
+def _segments(batches: Iterator[pa.RecordBatch], window: int, limit: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, int, int, bool]]:
     """(rows, words, counts, first, shared, ends): words of whole rows, or of a part of one long row.
 
     A part begins with the last ``shared`` words of the part before, ``window - 1`` or all that there were; ``first`` is the number of its first word.
     """
     held, first = None, 0
-    for rows, found, begins, ends in portions(batches, "text"):
+    for rows, found, begins, ends in portions(batches, "text", limit):
         words, counts, shared = found.words, found.counts, 0
         if begins:
             first = 0
@@ -57,14 +58,14 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[
         first += len(words) - len(held)
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row for each shard, stored: its segments (``id``, ``row``, words of its own, first word) and its FM-index. Finds windows of up to ``window`` words."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     names = ["id", "row", "own", "first", "counts", "vocabulary", "n", "n_symbols", "levels", "marks", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, counts, first, shared, _ in _segments(batches, window):
+        for part, words, counts, first, shared, _ in _segments(batches, window, shard_bytes):
             coded = pc.dictionary_encode(words)
             made = build(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, counts)
             whole = [pa.array([x], pa.list_(t)) for x, t in ((counts - shared, pa.int64()), (np.full(len(counts), first), pa.int64()), (counts, pa.int64()))]
@@ -77,12 +78,12 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return stored(made, "fm-index")
 
 
-def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SLICE_BYTES) -> DataFrame:
     """(item, words): the items' word lists, long ones in parts that share ``window - 1`` words, each once. Stored."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, counts, first, _, ends in _segments(batches, window):
+        for part, words, counts, first, _, ends in _segments(batches, window, shard_bytes):
             if len(counts) == 1 and counts[0] < window and not (ends and first == 0):
                 continue  # the next part holds these words too
             edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
@@ -214,8 +215,6 @@ def cleaned(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
                 keep = [0, *(x for s in at for x in (int(w.starts[s["start"]]), int(w.ends[s["end"] - 1]))), len(raw)]
                 text = b"".join(raw[a:b] for a, b in zip(keep[::2], keep[1::2])).decode()
             out.append(text)
-        import pandas as pd
-
         return pd.Series(out, dtype=object)
 
     kept = [F.col(c) if c != text_col else F.when(F.col("__spans").isNull(), F.col(c)).otherwise(without(F.col(c), F.col("__spans"))).alias(c) for c in docs.columns]

@@ -134,8 +134,9 @@ def leaves_in(nodes: list[Node], seen: Ranges, asks: np.ndarray, lows: np.ndarra
                 continue
             # distance^2 = norm^2 + norm^2 - 2 * product
             near = np.sqrt(np.maximum(norm[at][:, None] ** 2 + low[k, -1] ** 2 - 2 * highs[at], 0)) * (1 - SLACK) - SLACK
-            far = np.sqrt(np.maximum(norm[at][:, None] ** 2 + high[k, -1] ** 2 - 2 * lows[at], -1)) * (1 + SLACK) + SLACK
-            fits = ~np.isnan(far) & (lows[at] <= highs[at])
+            square = norm[at][:, None] ** 2 + high[k, -1] ** 2 - 2 * lows[at]
+            far = np.sqrt(np.maximum(square, 0)) * (1 + SLACK) + SLACK
+            fits = (square >= -SLACK * norm[at][:, None] ** 2) & (lows[at] <= highs[at])
             for j in range(d.shape[1]):
                 own = d[:, j][:, None]
                 fits &= (low[k, j] <= own + far) & (high[k, j] >= np.maximum(near - own, own - far))
@@ -254,8 +255,7 @@ def spread(asks: DataFrame, nodes: list[Node], seen: Ranges) -> DataFrame:
         for b in batches:
             lows, highs = (_matrix(b.column(k), "<i8") for k in (4, 5))
             low, high = np.where(lows == _NEVER, -np.inf, lows), np.where(highs == _ALWAYS, np.inf, highs)
-            with np.errstate(invalid="ignore"):
-                ask, leaf = leaves_in(nodes, seen, _matrix(b.column(3)), low, high)
+            ask, leaf = leaves_in(nodes, seen, _matrix(b.column(3)), low, high)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *(c.take(pa.array(ask)) for c in b.columns)], ["leaf", *b.schema.names])
 
     return asks.select(*_ASK).mapInArrow(run, "leaf long, row long, id long, label long, v binary, lows binary, highs binary")

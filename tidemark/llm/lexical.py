@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, stored
+from .common import SLICE_BYTES, ranges, stored
 from .words import portions
 
 #: Pairs of item and term in a block of items, about; cells of scores that are added up at once.
@@ -51,13 +51,13 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return stored(rows.mapInArrow(run, f"item {kind}, term binary").distinct(), "item-terms")
 
 
-def counts(docs: DataFrame, terms: pa.Array, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def counts(docs: DataFrame, terms: pa.Array, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id, n, terms, tf) of each document with a term: its number of terms, and numbers and counts of those in ``terms`` (int32 arrays as bytes). Stored."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, total, held = max(1, len(terms)), 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for part, found, begins, ends in portions(batches, "text"):
+        for part, found, begins, ends in portions(batches, "text", slice_bytes):
             known = pc.fill_null(pc.index_in(found.words, value_set=terms), -1).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(part.num_rows), found.counts)[known >= 0]
             keys, tf = np.unique(row * size + known[known >= 0], return_counts=True)
@@ -120,12 +120,12 @@ class Heaps:
         self.scores[item[best], rank[best]], self.ids[item[best], rank[best]] = score[best], ids[best]
 
 
-def scored(counted: DataFrame, postings: tuple[np.ndarray, np.ndarray], n_items: int, weights: np.ndarray, n: int, total: int, k: int) -> DataFrame:
+def scored(counted: DataFrame, postings: tuple[np.ndarray, np.ndarray], n_items: int, weights: np.ndarray, n: int, total: int, k: int, cells: int = CELLS) -> DataFrame:
     """(item number, id, score): each task's best ``k`` documents of each item. ``postings``: edges by term, and item numbers."""
     edges, of = postings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps, step = Heaps(n_items, k), max(1, CELLS // max(1, n_items))
+        heaps, step = Heaps(n_items, k), max(1, cells // max(1, n_items))
         for whole in batches:
             for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 terms, tf = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<i4").astype(np.int64) for c in (2, 3))
@@ -146,7 +146,7 @@ def scored(counted: DataFrame, postings: tuple[np.ndarray, np.ndarray], n_items:
     return counted.select("id", "n", "terms", "tf").mapInArrow(run, "item long, id long, score long")
 
 
-def ranked(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def ranked(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(item, rank, id, score): the ``k`` best documents of each item with a score above 0.
 
     A document's m is 100 - 90 + ((90 * n * N) div L); its score sums weight * ((1000000000 * tf) div (1000 * tf + 8 * m)) over the item's distinct terms.
@@ -162,11 +162,11 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
         term, item = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (terms, names))
         by = np.argsort(term, kind="stable")
         edges = np.searchsorted(term[by], np.arange(len(terms.dictionary) + 1))
-        counted = counts(docs, terms.dictionary, id_col, text_col)
+        counted = counts(docs, terms.dictionary, id_col, text_col, slice_bytes)
         n, total, df = frequencies(counted, len(terms.dictionary))
         if not n:
             continue
-        found = scored(counted, (edges, item[by]), len(names.dictionary), weight(n, df), n, total, k)
+        found = scored(counted, (edges, item[by]), len(names.dictionary), weight(n, df), n, total, k, CELLS)
         called = docs.sparkSession.createDataFrame(pa.table({"number": pa.array(np.arange(len(names.dictionary))), "name": names.dictionary}))
         out = out.unionByName(found.join(called, F.col("item") == F.col("number")).select(F.col("name").alias("item"), "id", "score"))
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
