@@ -9,8 +9,8 @@ receives them. Every row of the result is a run of turns of one conversation
 ``mask`` holds the byte ranges (start, end) of assistant texts in ``formatted``.
 
 The end mark is ``</turn>``, a head ``### role:`` and a line end. Inside texts a
-backslash is doubled, ``</turn>`` becomes ``<\\/turn>`` and ``###`` becomes
-``#\\##``, so that neither can appear; ``unescape`` undoes all three.
+backslash is doubled, ``</turn>`` becomes ``<\\/turn>``, ``###`` becomes
+``#\\##``, again for what is still ``###`` in longer runs, so that neither mark can appear; ``unescape`` undoes all of it.
 
 Defined results: a null text or role is empty; rows of equal turn are ordered by role
 and text; repeated rows are repeated turns; a null conversation id is one
@@ -39,7 +39,10 @@ _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 def escape_array(texts: pa.Array) -> pa.Array:
     texts = pc.replace_substring(texts, "\\", "\\\\")
     texts = pc.replace_substring(texts, "</turn>", "<\\/turn>")
-    return pc.replace_substring(texts, "###", "#\\##")
+    # the first pass leaves runs of four signs at most, the second of three, the third of two
+    for _ in range(3):
+        texts = pc.replace_substring(texts, "###", "#\\##")
+    return texts
 
 
 def unescape(text: str) -> str:

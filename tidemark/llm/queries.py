@@ -170,7 +170,7 @@ _CHAT = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e as (select *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##') as x from t)
+e as (select *, replace(replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##'), '###', '#\##'), '###', '#\##') as x from t)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
