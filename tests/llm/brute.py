@@ -100,7 +100,7 @@ def raked(rows, targets, limits=(), rounds=400):
 
 def n_peaks(samples, size=256, hop=128, bands=(1, 9, 17, 33, 65, 129), standout=4.0):
     """Peaks of a sound by one transform at a time: the strongest bin of each band, where it stands out in its band and in time."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    x = np.concatenate([np.zeros(hop, np.float32), (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128])
     frames = []
     at = 0
     while at + size <= len(x):

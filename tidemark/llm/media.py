@@ -7,8 +7,8 @@ with the next ones. The pairs are two arrays of equal length: the frame of the
 first peak and a hash of both bins and their distance.
 
 Defined results: null bytes give null WAV; null or unreadable WAV gives null
-fingerprints. After the last samples comes one frame that is filled up with the rest level, so every
-sample counts. Silence has no peaks and empty arrays. Equal sounds, as in repeated rows, get equal fingerprints. All functions
+fingerprints. Before the first and after the last samples half a frame and more is filled up with the rest level, so every
+sample lies well inside a frame and counts. Silence has no peaks and empty arrays. Equal sounds, as in repeated rows, get equal fingerprints. All functions
 work on one column: other columns, whatever their names, stay, and an empty table gives an empty one.
 """
 
@@ -52,7 +52,7 @@ def _spectra(data: bytes):
     with wave.open(io.BytesIO(data), "rb") as w:
         if w.getnchannels() != 1 or w.getsampwidth() != 1:
             raise ValueError("8-bit mono is asked for")
-        held = np.zeros(0, np.float32)
+        held = np.zeros(HOP, np.float32)
         while True:
             raw = w.readframes(PORTION)
             if raw:
