@@ -7,7 +7,7 @@ and the tokens not yet certain. A token is a valid next one if merging the bytes
 of it and of its predecessor gives just these two; then exactly one token ends
 each prefix. What all hypotheses agree on is emitted, so output follows input
 after a bounded look-ahead, as in determinising a string transducer. States and
-transitions are kept up to a limit and then made anew; that never changes ids.
+transitions are kept up to a limit, within a match too: all but the current state are then dropped and made anew. That never changes ids.
 
 Each match of the pattern is encoded alone. A match that is itself in the
 vocabulary is that one token, as in the public library.
@@ -123,11 +123,25 @@ class Transducer:
         move = self.moves[state << 8 | byte] = (number, sure)
         return move
 
+    def _forget(self, state: int) -> int:
+        """Drops all states but the given one, which gets a new number."""
+        key = self.states[state]
+        self._reset()
+        number = self.number.setdefault(key, len(self.states))
+        if number == len(self.states):
+            self.states.append(key)
+            self.last.append(key[-1][2])
+        return number
+
     def stream(self, text: Iterable[int]) -> Iterator[int]:
         """Ids as soon as they are certain."""
         state = 0
         for byte in text:
-            move = self.moves.get(state << 8 | byte) or self._move(state, byte)
+            move = self.moves.get(state << 8 | byte)
+            if move is None:
+                if len(self.states) > self.max_states:
+                    state = self._forget(state)
+                move = self._move(state, byte)
             state = move[0]
             yield from move[1]
         yield from self.last[state]
@@ -136,12 +150,14 @@ class Transducer:
         whole = self.ranks.get(text)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
-            self._reset()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in text:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                if len(self.states) > self.max_states:
+                    state, moves = self._forget(state), self.moves
+                move = self._move(state, byte)
             state, sure = move
             if sure:
                 out += sure
