@@ -4,6 +4,7 @@ import datetime
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import names as N
@@ -11,6 +12,7 @@ from tidemark.functions import text as T
 from tidemark.operators import alerts as A
 from tidemark.operators import documents as Doc
 from tidemark.operators import graph as G
+from tidemark.operators import panels as P
 from tidemark.operators import resolution as R
 from tidemark.operators import traverse as V
 from tidemark.sources import sinks
@@ -216,30 +218,75 @@ def test_blocking_loses_no_pair(spark):
         assert got == want and want
 
 
-def test_clusters_of_plain_and_contested_components(spark):
-    """Against one fold over the whole log."""
-    import random
-
-    from tidemark.operators import resolution as R
-
-    r = random.Random(3)
-    log = []
-    for i in range(400):
-        ten = r.randrange(30) * 5
-        log.append((f"n{ten + r.randrange(5)}", f"n{ten + r.randrange(5)}", "different" if r.random() < 0.06 else "same", round(r.random(), 3), i))
-    df = spark.createDataFrame(log, "left_key string, right_key string, verdict string, score double, seq long").withColumn("decided_at", F.lit(1))
-    current = R.current_judgements(df).collect()
-    group, bad = {}, set()
-    for x in current:
-        group.setdefault(x.left_key, {x.left_key}), group.setdefault(x.right_key, {x.right_key})
-        if x.verdict == "different":
-            bad.add(frozenset((x.left_key, x.right_key)))
-    named = {k for x in current if x.verdict == "same" for k in (x.left_key, x.right_key)}
-    for x in sorted((x for x in current if x.verdict == "same"), key=lambda x: (-x.score, x.seq)):
-        a, b = group[x.left_key], group[x.right_key]
-        if a is not b and not any(frozenset((p, q)) in bad for p in a for q in b):
-            a |= b
-            for k in b:
-                group[k] = a
-    got = {x.key: x.cluster for x in R.cluster(R.current_judgements(df))[0].collect()}
-    assert got == {k: min(group[k]) for k in named}
+def _clusters(judgements, min_score=0.0):
+    """One fold over a whole log without repeated pairs: {key: smallest member}, refused pairs."""
+    barred, edges = {}, []
+    for a, b, verdict, score in judgements:
+        a, b = sorted((a, b))
+        if verdict == "different":
+            barred.setdefault(a, set()).add(b)
+            barred.setdefault(b, set()).add(a)
+        elif verdict == "same" and (1.0 if score is None else score) >= min_score:
+            edges.append((-(1.0 if score is None else score), a, b))
+    group = {k: {k} for k in {*barred, *(k for _, a, b in edges for k in (a, b))}}
+    refused = set()
+    for _, a, b in sorted(edges):
+        x, y = group[a], group[b]
+        if x is y:
+            continue
+        if any(barred.get(k, set()) & y for k in x):
+            refused.add((a, b))
+            continue
+        x |= y
+        for k in y:
+            group[k] = x
+    return {k: min(g) for k, g in group.items()}, refused
+
+
+def _judged(spark, log):
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(log)], "left_key string, right_key string, verdict string, score double, seq long")
+
+
+def _same_clusters(spark, log, **how):
+    made, refused = R.cluster(_judged(spark, log), **how)
+    want, no = _clusters(log, how.get("min_score", 0.0))
+    assert {r.key: r.cluster for r in made.collect()} == want and made.count() == len(want)
+    assert {tuple(r) for r in refused.collect()} == no
+
+
+@pytest.mark.parametrize("fold_rows", [0, 12, 200_000])
+def test_clusters_are_those_of_one_fold(spark, fold_rows):
+    """200 random logs side by side, with ties, pairs without a score and keys that are only told apart; by rounds alone, in part, and by folds."""
+    r, log = random.Random(5), []
+    for g in range(200):
+        n, pairs = r.randint(2, 9), set()
+        for _ in range(r.randint(1, 22)):
+            a, b = r.randrange(n), r.randrange(n)
+            if a != b and (min(a, b), max(a, b)) not in pairs:
+                pairs.add((min(a, b), max(a, b)))
+                score = None if r.random() < 0.15 else r.choice([0.2, 0.5, 0.9, 1.0, r.random()])
+                log.append((f"{g:03}-{a}", f"{g:03}-{b}", r.choices(["same", "different", "undecided"], [6, 2, 1])[0], score))
+    _same_clusters(spark, log, fold_rows=fold_rows, min_score=0.3)
+
+
+def test_clusters_of_one_large_contested_component(spark):
+    """100,000 judgements in one component, over the size that is folded: rounds first."""
+    r, log, pairs = random.Random(6), [], set()
+    while len(log) < 100_000:
+        a = r.randrange(30_000)
+        b = r.randrange(30_000) if r.random() < 0.5 else (a + r.randint(1, 3)) % 30_000
+        if a != b and (min(a, b), max(a, b)) not in pairs:
+            pairs.add((min(a, b), max(a, b)))
+            log.append((f"n{a:05}", f"n{b:05}", "different" if r.random() < 0.2 else "same", round(r.random(), 2)))
+    _same_clusters(spark, log, fold_rows=90_000)
+
+
+def test_clusters_without_scores_and_pins(spark):
+    log = [("a", "b", "same", 0.9), ("b", "c", "same", 0.9), ("a", "c", "different", None), ("x", "y", "different", 0.1), ("p", "q", "same", None), ("q", "r", "same", 0.2)]
+    made, refused = R.cluster(_judged(spark, log[::-1]))
+    assert {r.key: r.cluster for r in made.collect()} == {"a": "a", "b": "a", "c": "c", "x": "x", "y": "y", "p": "p", "q": "p", "r": "p"}
+    assert [tuple(r) for r in refused.collect()] == [("b", "c")]
+    nodes = spark.createDataFrame([("b", "cid-old"), ("a", "cid-older"), ("x", None), ("r", "cid-1"), ("elsewhere", "cid-2")], "key string, canonical_id string")
+    ids = {r.key: r.id for r in P.with_pins(made, P.pinned(nodes)).collect()}
+    assert ids["a"] == ids["b"] == "cid-old" and ids["p"] == ids["q"] == ids["r"] == "cid-1" and ids["c"].startswith("cid-") and len(ids["c"]) == 16 and len(set(ids.values())) == 5
+    assert R.cluster(_judged(spark, []))[0].count() == 0

@@ -146,59 +146,119 @@ def current_judgements(log: DataFrame) -> DataFrame:
     return rows.groupBy("pair").agg(F.max_by(F.struct(*rest), F.struct("decided_at", "seq")).alias("j")).select("j.*")
 
 
-def cluster(current: DataFrame, min_score: float = 0.0, largest: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def cluster(current: DataFrame, min_score: float = 0.0, fold_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """((key, cluster, id), (left_key, right_key)): greedy clusters under "different" judgements, and refused unions (ERS-05, WIN-10).
 
-    The order of unions matters only inside a connected component of "same" pairs, and there only if a "different" pair lies inside as well. All
-    other components are clusters as they are; each contested one is folded alone, in one task, and raises if it holds over ``largest`` judgements.
+    Unions go by falling score (none counts as 1), then by the pair's smaller and larger key; one is refused if a "different" pair lies between both
+    clusters. Every key of a judgement that counts is in a cluster. The order matters only inside a connected component of "same" pairs, and there only if
+    a "different" pair lies inside as well; all other components are clusters as they are.
+
+    Contested components of up to ``fold_rows`` judgements are folded, each alone. Larger ones shrink by rounds of joins until what is left is
+    that small: see ``_union_round``. The first rounds settle most unions; how many follow depends on how far the order of the scores is a chain.
+    """
+    score = F.coalesce("score", F.lit(1.0))
+    pair = F.least("left_key", "right_key").alias("a"), F.greatest("left_key", "right_key").alias("b")
+    same = stored(current.where(F.col("verdict") == "same").select(*pair, score.alias("score")).where(F.col("score") >= min_score), "same")
+    apart = stored(current.where("verdict = 'different'").select(*pair), "apart")
+    found = components(same)
+    grouped = found.select(F.col("node").alias("key"), "root").unionByName(found.select(F.col("root").alias("key"), "root").distinct())
+    # keys that are only told apart stand alone
+    only = apart.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(grouped, "key", "left_anti").select("key", F.col("key").alias("root"))
+    labels = stored(grouped.unionByName(only), "labels")
+    first = labels.select(F.col("key").alias("a"), "root")
+    enemies = apart.join(first, "a").join(labels.select(F.col("key").alias("b"), F.col("root").alias("other")), "b").where("root = other").select("root", F.col("a").alias("x"), F.col("b").alias("y"))
+    enemies = stored(enemies, "enemies")
+    contested = enemies.select("root").distinct()
+    live = same.join(first, "a").join(contested, "root", "left_semi").select("root", F.col("a").alias("x"), F.col("b").alias("y"), F.struct((-F.col("score")).alias("score"), "a", "b").alias("e"))
+    of = labels.join(contested, "root", "left_semi").select("key", F.col("key").alias("cluster"))
+    done = labels.join(contested, "root", "left_anti").select("key", F.col("root").alias("cluster"))
+    live, of, moves = stored(live, "live"), stored(of, "assigned"), []
+    while not live.isEmpty():
+        sizes = live.select("root").unionByName(enemies.select("root")).groupBy("root").agg(F.count("*").alias("n"))
+        small = stored(sizes.select("root", (F.col("n") <= fold_rows).alias("small")), "sizes")
+        own = small.where("small").select("root")
+        rows = live.join(own, "root").select("root", "x", "y", "e").unionByName(enemies.join(own, "root").select("root", "x", "y", F.lit(None).cast(live.schema["e"].dataType).alias("e")))
+        moves.append(stored(rows.groupBy("root").applyInPandas(_fold, "old string, cluster string"), "moves"))
+        big = small.where("not small").select("root")
+        live, enemies = stored(live.join(big, "root"), "live"), stored(enemies.join(big, "root"), "enemies")
+        if not live.isEmpty():
+            live, enemies, joined = _union_round(live, enemies)
+            moves.append(joined)
+    for move in moves:
+        of = of.join(move.withColumnRenamed("cluster", "new"), F.col("cluster") == F.col("old"), "left").select("key", F.coalesce("new", "cluster").alias("cluster"))
+        of = stored(of, "assigned")
+    made = stored(of.unionByName(done), "clusters")
+    out = made.select("key", "cluster", F.concat(F.lit("cid-"), N.hash_id(F.col("cluster"), length=12)).alias("id"))
+    # a pair that ends in two clusters was refused when its turn came: clusters told apart never meet
+    ends = same.join(made.select(F.col("key").alias("a"), F.col("cluster").alias("ca")), "a").join(made.select(F.col("key").alias("b"), F.col("cluster").alias("cb")), "b")
+    return out, ends.where("ca <> cb").select(F.col("a").alias("left_key"), F.col("b").alias("right_key"))
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One contested component: its unions in order. The cluster is its smallest member."""
+    order = sorted((e["score"], e["a"], e["b"], x, y) for e, x, y in zip(pdf["e"], pdf["x"], pdf["y"]) if e is not None)
+    parent = {k: k for k in {*pdf["x"], *pdf["y"]}}
+    enemies: dict[str, set] = {k: set() for k in parent}
+    for x, y in ((x, y) for e, x, y in zip(pdf["e"], pdf["x"], pdf["y"]) if e is None):
+        enemies[x].add(y)
+        enemies[y].add(x)
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for *_, x, y in order:
+        x, y = sorted((find(x), find(y)))
+        if x == y or y in enemies[x]:
+            continue
+        # enemies are named by their clusters of today
+        parent[y] = x
+        for k in enemies.pop(y):
+            enemies[k].discard(y)
+            enemies[k].add(x)
+            enemies[x].add(k)
+    return pd.DataFrame([(k, find(k)) for k in parent if find(k) != k], columns=["old", "cluster"])
+
+
+def _union_round(live: DataFrame, enemies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(live, enemies, moves): a round of unions that can be made now as they will be made in their turn.
+
+    ``live`` are the pairs that are open between clusters x and y, ``enemies`` the clusters told apart. A pair between enemies is refused for good
+    and goes. The first pair of a cluster in order leads it to its ``target``. A cluster joins its target now
+
+    * if it has no enemies: whatever the target is by then, nothing forbids the union; or
+    * if, before its turn, the target can only meet clusters that it is the target of, and these only each other, and none of those that come before
+      is its enemy. What the target will be by then, and that no enemy will be in it, is then certain. A pair that is the first one of both its clusters is the plain case.
+
+    All of this follows from the first pairs around a cluster, so no component has to be in one place, and a large cluster takes many small ones in one round.
     """
-    same = stored(current.where(f"verdict = 'same' and score >= {min_score}").select(F.col("left_key").alias("a"), F.col("right_key").alias("b"), "score", "seq"), "same")
-    roots = components(same)
-    labels = stored(roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct()), "labels")
-    apart = current.where("verdict = 'different'").select(F.col("left_key").alias("a"), F.col("right_key").alias("b"), "score", "seq")
-    x = apart.join(labels, F.col("a") == F.col("key")).select("a", "b", "score", "seq", "root")
-    inside = stored(x.join(labels.withColumnRenamed("root", "other"), F.col("b") == F.col("key")).where("root = other").select("root", "a", "b", "score", "seq", F.lit(False).alias("same")), "apart")
-    contested = inside.select("root").distinct()
-    rows = same.join(labels.join(contested, "root", "left_semi"), F.col("a") == F.col("key")).select("root", "a", "b", "score", "seq", F.lit(True).alias("same")).unionByName(inside)
-    top = rows.groupBy("root").count().agg(F.max("count")).first()[0] or 0
-    if top > largest:
-        raise ValueError(f"a component holds {top} judgements")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "seq"], ascending=[False, True])
-        parent = {k: k for k in {*pdf["a"], *pdf["b"]}}
-        members = {k: {k} for k in parent}
-        enemies = {k: set() for k in parent}
-        for a, b in pdf.loc[~pdf["same"], ["a", "b"]].itertuples(index=False):
-            enemies[a].add(b)
-            enemies[b].add(a)
-
-        def find(k):
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        out = []
-        for a, b in pdf.loc[pdf["same"], ["a", "b"]].itertuples(index=False):
-            x, y = find(a), find(b)
-            if x == y:
-                continue
-            if enemies[x] & members[y]:
-                out.append((a, b, True))
-                continue
-            x, y = (x, y) if len(members[x]) >= len(members[y]) else (y, x)
-            parent[y] = x
-            members[x] |= members.pop(y)
-            enemies[x] |= enemies.pop(y)
-        for k in parent:
-            out.append((k, min(members[find(k)]), False))
-        return pd.DataFrame(out, columns=["key", "other", "refused"])
-
-    done = stored(rows.groupBy("root").applyInPandas(fold, "key string, other string, refused boolean"), "clusters")
-    plain = labels.join(contested, "root", "left_anti").select("key", F.col("root").alias("other"))
-    made = done.where("not refused").select("key", "other").unionByName(plain).select("key", F.col("other").alias("cluster"), F.concat(F.lit("cid-"), N.hash_id(F.col("other"), length=12)).alias("id"))
-    return made, done.where("refused").select(F.col("key").alias("left_key"), F.col("other").alias("right_key"))
+    x, y = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
+    enemies = stored(enemies.select("root", x, y).distinct(), "enemies")
+    # of several pairs between two clusters the first one counts
+    open_ = stored(live.select("root", x, y, "e").join(enemies, ["root", "x", "y"], "left_anti").groupBy("root", "x", "y").agg(F.min("e").alias("e")), "live")
+    both = lambda t, *more: t.select("x", "y", *more).unionByName(t.select(F.col("y").alias("x"), F.col("x").alias("y"), *more))
+    ways, told = both(open_, "e"), both(enemies)
+    pick = ways.groupBy("x").agg(F.min(F.struct("e", "y")).alias("p")).select("x", F.col("p.e").alias("first"), F.col("p.y").alias("target"))
+    pick = stored(pick.join(told.select("x").distinct().withColumn("hostile", F.lit(True)), "x", "left"), "picks")
+    other = pick.select(F.col("x").alias("y"), F.col("target").alias("there"), F.col("first").alias("its_first"))
+    seen = ways.join(pick.select("x", "target"), "x").join(other, "y")
+    # the first pair by which a target, or a cluster on its way to it, can meet anything else
+    loose = seen.where("there <> x").select(F.col("x").alias("target"), "e").unionByName(seen.where("y <> target and there <> target").select("target", "e"))
+    until = loose.groupBy("target").agg(F.min("e").alias("until"))
+    waits = told.join(pick.select("x", "first", "target"), "x").join(other, "y").where("target = there and its_first < first").select("x").distinct()
+    sure = pick.where("hostile").join(until, "target", "left").where("until is null or first < until").join(waits, "x", "left_anti").select("x", "target")
+    merged = pick.where("hostile is null").select("x", "target").unionByName(sure).select(F.col("x").alias("a"), F.col("target").alias("b"))
+    moves = stored(components(merged).select(F.col("node").alias("old"), F.col("root").alias("cluster")), "moves")
+
+    def moved(table: DataFrame) -> DataFrame:
+        for side in ("x", "y"):
+            new = moves.select(F.col("old").alias(side), F.col("cluster").alias("_new"))
+            table = table.join(new, side, "left").withColumn(side, F.coalesce("_new", side)).drop("_new")
+        return table
+
+    return stored(moved(open_).where("x <> y").select("root", "x", "y", "e"), "live"), stored(moved(enemies).select("root", "x", "y"), "enemies"), moves
 
 
 def canonical(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
