@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -116,3 +117,67 @@ def n_peaks(samples, size=256, hop=128, bands=(1, 9, 17, 33, 65, 129), standout=
     value = np.array(value)
     before, after = np.vstack([np.zeros(5), value[:-1]]), np.vstack([value[1:], np.zeros(5)])
     return int(((value > 1e-6) & (value > before) & (value >= after)).sum())
+
+
+def url_tree(rows, many=20, least=5, width=1.0, grid=200, prior=6.0, floor=0.7):
+    """{(host, segments): (template, purity, verdict)} for rows (host, segments, label or None): the tree built node by node."""
+    marked = [x for *_, x in rows if x is not None]
+    share = sum(marked) / len(marked) if marked else 1.0
+    at = {(h, s): list(s) for h, s, _ in rows}
+    counts = {}
+    for h, s, x in rows:
+        c = counts.setdefault((h, s), [0, 0, 0.0])
+        c[0] += 1
+        c[1] += x is not None
+        c[2] += x or 0.0
+    depth = max((len(s) for _, s in at), default=0)
+
+    def nodes(level):
+        out = {}
+        for key, t in at.items():
+            if len(t) > level:
+                out.setdefault((key[0], tuple(t[:level])), {}).setdefault(t[level], []).append(key)
+        return out
+
+    for level in range(depth):
+        for children in nodes(level).values():
+            n = sorted((sum(counts[k][0] for k in keys) for keys in children.values()), reverse=True)[1:]
+            if n and math.exp(-sum(x / sum(n) * math.log(x / sum(n)) for x in n)) >= many - 1e-6:
+                for keys in children.values():
+                    for k in keys:
+                        at[k][level] = "*"
+    purity = lambda n, g: (g + prior * share) / (n + prior)
+    for level in reversed(range(depth)):
+        for children in nodes(level).values():
+            cells, few = {}, []
+            for keys in children.values():
+                n, g = sum(counts[k][1] for k in keys), sum(counts[k][2] for k in keys)
+                if n < least:
+                    few.append(keys)
+                else:
+                    c = cells.setdefault(math.floor(purity(n, g) * grid), [0, 0.0, []])
+                    c[0], c[1] = c[0] + n, c[1] + g
+                    c[2].append(keys)
+            groups = [cells[c] for c in sorted(cells)]
+            while len(groups) > 1:
+                gaps = []
+                for (n, g, _), (m, f, _) in zip(groups, groups[1:]):
+                    p, q = purity(n, g), purity(m, f)
+                    gaps.append(0 if p == q else abs(p - q) / math.sqrt(p * (1 - p) / (n + prior) + q * (1 - q) / (m + prior)))
+                k = gaps.index(min(gaps))
+                if gaps[k] > width:
+                    break
+                groups[k : k + 2] = [[a + b for a, b in zip(groups[k], groups[k + 1])]]
+            for name, own in [("+", few), *((f"+{i + 1}", g[2]) for i, g in enumerate(groups))]:
+                for keys in own if len(own) > 1 else ():
+                    for k in keys:
+                        at[k][level] = name
+    sums = {}
+    for key, t in at.items():
+        s = sums.setdefault((key[0], tuple(t)), [0, 0.0])
+        s[0], s[1] = s[0] + counts[key][1], s[1] + counts[key][2]
+    out = {}
+    for key, t in at.items():
+        p = purity(*sums[key[0], tuple(t)])
+        out[key] = ("/".join(t), round(p, 9), "block" if p < floor * share else "allow")
+    return out

@@ -5,18 +5,17 @@ hexadecimal or a date is a wildcard by form. The tree of each host is then grown
 aggregations: a node is variable if its children, without the most frequent one, are as diverse as ``MANY`` equally frequent ones
 (by their entropy, which doesn't depend on the number of rows); its children become one ``*``.
 
-From the deepest level up, similar branches are merged. Children of a node with
-``MIN_LABELS`` labels or more are put in order of their smoothed purity, (good + PRIOR * share) / (labelled + PRIOR),
-and neighbours whose difference is within ``WIDTH`` standard errors share one ``+1``, ``+2`` ...; children with fewer labels that
-agree with the rest of their node share a ``+``. A child alone keeps its name. A template is rejected when its smoothed
-purity falls under ``MIN_PURITY`` times the share, which is that of all labelled rows.
+From the deepest level up, similar branches are merged. Children of a node with ``MIN_LABELS`` labels or more are put in order of
+their smoothed purity, (good + PRIOR * share) / (labelled + PRIOR), those that agree to 1 / ``GRID`` together. Then the two neighbours that differ least
+are pooled, again and again, for as long as two pooled groups differ by at most ``WIDTH`` standard errors of their difference: what is tested is
+always the whole of both groups, so that small steps don't add up to a chain. Groups are called ``+1``, ``+2`` ... from the least pure on. Children with fewer labels share a ``+``. A child alone keeps its
+name. A template is rejected when its smoothed purity falls under ``MIN_PURITY`` times the share, which is that of all labelled rows.
 
 Only counts by template move between tasks: rows are summed before each
-shuffle, so a host with a third of all pages costs what its templates cost.
+shuffle, so a host with a third of all pages costs what its templates cost. A node's groups are found in one array of at most ``GRID`` + 1 counts.
 
 Defined results: a null url or one without ``://`` has an empty host and path and
-the verdict of the empty template. Paths are whole; wildcards are learned in the first ``LEVELS`` segments, and
-further ones stay as they are. Labels of no page, null labels and repeated labels (their mean counts) do no harm. An empty table gives an empty one.
+the verdict of the empty template. Paths are whole, however deep; each level at which some host has two segments or more costs a few small jobs. Labels of no page, null labels and repeated labels (their mean counts) do no harm. An empty table gives an empty one.
 Columns of the pages that have the name of a result are replaced.
 """
 
@@ -24,13 +23,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import discard, stored
 
-#: Learned wildcards: so many first segments, and so many equally frequent children (or as diverse ones).
-LEVELS, MANY = 12, 20.0
-MIN_LABELS, WIDTH, PRIOR, MIN_PURITY = 5, 1.0, 6.0, 0.7
+#: A node with so many equally frequent children, or as diverse ones, is variable.
+MANY = 20.0
+MIN_LABELS, WIDTH, GRID, PRIOR, MIN_PURITY = 5, 1.0, 200, 6.0, 0.7
 
 #: Verdict, host, path.
 RULES = [
@@ -88,11 +86,17 @@ def _at(tree: DataFrame, level: int) -> DataFrame:
     return tree.withColumn("up", F.when(deep, F.slice("template", 1, level - 1))).withColumn("child", F.when(deep, F.element_at("template", level)))
 
 
+def branching(counted: DataFrame, least: int) -> list[int]:
+    """The levels at which some host has ``least`` segments or more; no other level can have a node with as many children."""
+    each = counted.select("host", F.posexplode("sig").alias("level", "child")).distinct()
+    wide = each.groupBy("host", "level").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return sorted(r[0] + 1 for r in wide.select("level").distinct().collect())
+
+
 def generalise(counted: DataFrame) -> DataFrame:
     """Templates for (host, sig, n, labelled, good): adds ``template``, wildcards found level by level from the root."""
     tree = stored(counted.withColumn("template", F.col("sig")), "url-tree")
-    depth = counted.agg(F.max(F.size("sig"))).first()[0] or 0
-    for level in range(1, min(depth, LEVELS) + 1):
+    for level in branching(counted, int(MANY)):
         own = _at(tree, level)
         child = own.where("child is not null").groupBy("host", "up", "child").agg(F.sum("n").cast("double").alias("n"))
         node = child.groupBy("host", "up").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.sum(F.col("n") * F.log("n")).alias("bits"))
@@ -107,24 +111,45 @@ def generalise(counted: DataFrame) -> DataFrame:
     return tree
 
 
-def merge_branches(tree: DataFrame, share: float) -> DataFrame:
+def pooled(groups: Column, share: float) -> Column:
+    """Groups (cells, labelled, good) in order of purity, with the closest neighbours pooled until the closest differ by more than ``WIDTH`` standard errors."""
+    purity = lambda g: (g["good"] + PRIOR * share) / (g["labelled"] + PRIOR)
+    error = lambda g: purity(g) * (1 - purity(g)) / (g["labelled"] + PRIOR)
+    union = lambda u, v: F.struct(F.concat(u["cells"], v["cells"]).alias("cells"), (u["labelled"] + v["labelled"]).alias("labelled"), (u["good"] + v["good"]).alias("good"))
+
+    def gap(u: Column, v: Column) -> Column:
+        apart = F.abs(purity(u) - purity(v))
+        return F.when(apart == 0, 0.0).otherwise(apart / F.sqrt(error(u) + error(v)))
+
+    def step(done: Column, _: Column) -> Column:
+        n = F.size(done)
+        gaps = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.when(i < n, gap(F.get(done, i - 1), F.get(done, i))))
+        at = F.array_position(gaps, F.array_min(gaps)).cast("int")
+        joined = F.concat(F.slice(done, 1, at - 1), F.array(union(F.get(done, at - 1), F.get(done, at))), F.slice(done, at + 2, n))
+        return F.when((n > 1) & (F.array_min(gaps) <= WIDTH), joined).otherwise(done)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(groups)), groups, step)
+
+
+def merge_branches(tree: DataFrame, share: float, levels: list[int]) -> DataFrame:
     """``tree`` with similar children of a node merged, level by level from the deepest one."""
-    depth = tree.agg(F.max(F.size("template"))).first()[0] or 0
-    for level in range(min(depth, LEVELS), 0, -1):
+    for level in reversed(levels):
         own = _at(tree, level)
         child = own.where("child is not null").groupBy("host", "up", "child").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
         p = (F.col("good") + PRIOR * share) / (F.col("labelled") + PRIOR)
-        child = child.withColumn("p", p).withColumn("error", p * (1 - p) / (F.col("labelled") + PRIOR)).withColumn("sure", F.col("labelled") >= MIN_LABELS)
-        # children are fewer than MANY, or as uneven as fewer ones, else the node is variable
-        order = W.partitionBy("host", "up", "sure").orderBy("p", "child")
-        apart = F.abs(F.col("p") - F.lag("p").over(order)) > WIDTH * F.sqrt(F.col("error") + F.lag("error").over(order))
-        group = child.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
-        group = group.withColumn("g", F.when(F.col("sure"), F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)) + 1).otherwise(0))
-        group = group.withColumn("size", F.count("*").over(W.partitionBy("host", "up", "g"))).where("size > 1")
-        names = group.select("host", "up", "child", F.concat(F.lit("+"), F.when(F.col("g") > 0, F.col("g").cast("string")).otherwise("")).alias("name"))
+        child = stored(child.withColumn("cell", F.when(F.col("labelled") >= MIN_LABELS, F.floor(p * GRID).cast("int")).otherwise(-1)), "url-children")
+        cells = child.where("cell >= 0").groupBy("host", "up", "cell").agg(F.sum("labelled").cast("double").alias("labelled"), F.sum("good").cast("double").alias("good"))
+        row = F.struct("cell", F.array("cell").alias("cells"), "labelled", "good")
+        found = cells.groupBy("host", "up").agg(F.array_sort(F.collect_list(row)).alias("g"))
+        found = found.select("host", "up", pooled(F.transform("g", lambda x: F.struct(x["cells"].alias("cells"), x["labelled"].alias("labelled"), x["good"].alias("good"))), share).alias("g"))
+        of = found.select("host", "up", F.posexplode("g").alias("k", "x")).select("host", "up", (F.col("k") + 1).alias("k"), F.explode("x.cells").alias("cell"))
+        group = child.join(of, ["host", "up", "cell"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+        # a name is for two children or more
+        several = group.groupBy("host", "up", "k").agg(F.count("*").alias("n")).where("n > 1").select("host", "up", "k", F.concat(F.lit("+"), F.when(F.col("k") > 0, F.col("k").cast("string")).otherwise("")).alias("name"))
+        names = stored(group.join(several, ["host", "up", "k"]).select("host", "up", "child", "name"), "url-names")
         made = F.when(F.col("name").isNotNull(), _replaced(F.col("template"), level, F.col("name"))).otherwise(F.col("template"))
         new = stored(own.join(names, ["host", "up", "child"], "left").withColumn("template", made).select(*tree.columns), "url-tree")
-        discard(tree)
+        discard(tree, child, names)
         tree = new
     return tree
 
@@ -136,7 +161,7 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = stored(counted, "url-counts")
     labelled, good = counted.agg(F.sum("labelled"), F.sum("good")).first()
     share = float(good) / labelled if labelled else 1.0
-    tree = merge_branches(generalise(counted), share)
+    tree = merge_branches(generalise(counted), share, branching(counted, 2))
     # stored, so that the joins have shuffles of their own, which Spark splits where one key has many rows
     leaf = stored(tree.groupBy("host", "template").agg(((F.sum("good") + PRIOR * share) / (F.sum("labelled") + PRIOR)).alias("purity")), "url-leaves")
     verdict = F.when(F.col("purity") < MIN_PURITY * share, "block").otherwise("allow")
