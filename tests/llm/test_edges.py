@@ -191,7 +191,8 @@ def test_media(spark, docs, empty):
     for size in (64, 256, 320, 384, 1 << 18):
         body = bytes(range(1, 65)) * (size // 64)
         assert media.peak_pairs(media.wav_bytes(body))[3] != media.peak_pairs(media.wav_bytes(body[:-1] + b"z"))[3]
-        assert sum(len(e) for e in media._spectra(media.wav_bytes(body))) == max(0, (size - media.SIZE) // media.HOP + 1) + 1
+        assert sum(len(e) for e in media._spectra(media.wav_bytes(body))) == max(0, (size + media.HOP - media.SIZE) // media.HOP + 1) + 1
+        assert media.peak_pairs(media.wav_bytes(body))[3] != media.peak_pairs(media.wav_bytes(b"z" + body[1:]))[3]
     odd = spark.createDataFrame([(None,), (b"no wav",)], "w binary").select(media.fingerprint(F.col("w")).alias("p"), media.to_wav(F.lit(None).cast("binary")).alias("n")).collect()
     assert all(r.p is None or r.p.times is None for r in odd) and all(r.n is None for r in odd)
 
@@ -261,6 +262,69 @@ def test_url_tree_blocks_a_bad_branch_and_merges_alike_ones(spark):
     assert got["users"][0].endswith("*/page") and got["rare"][0] == "rare/deep/{n}"
 
 
+@given(st.text("#\\<>/turn: A\n", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_no_mark_is_left_in_an_escaped_text(text):
+    import pyarrow as pa
+
+    from tidemark.llm import chat
+
+    out = chat.escape_array(pa.array([text])).to_pylist()[0]
+    assert "###" not in out and "</turn>" not in out and chat.unescape(out) == text
+
+
+def test_bpe_states_are_bounded_within_a_match():
+    import random
+
+    import public_tokenizers as p
+
+    from tidemark.llm.bpe import Transducer, load_ranks
+
+    ranks = load_ranks(p.path("byte_bpe_50k.tiktoken"))
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=6000)).encode()
+    small, large = Transducer(ranks, max_states=300), Transducer(ranks)
+    want = large.encode(text)
+    assert len(large.states) > 1000 and small.encode(text) == want == large.merge(text) and len(small.states) <= 302
+    assert list(small.stream(text)) == want and len(small.states) <= 302 and small.encode(b"hello") == large.encode(b"hello")
+
+
+def test_url_siblings_from_bad_to_good_are_no_chain(spark):
+    """20 siblings with 60 labels each whose good share rises from 0 to 95 %: poor ones are blocked, good ones stay."""
+    from tidemark.llm import urlfilter
+
+    rows = [(k * 60 + i, f"http://h.net/b{k:02}q/{i}", int(i < 3 * k)) for k in range(20) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label long")
+    got = {}
+    for r in urlfilter.judge(pages, pages.select(F.col("page_id").alias("doc_id"), F.col("label").alias("quality")), key=F.col("page_id")).collect():
+        got.setdefault((r.template, r.verdict), set()).add(int(r.path[2:4]))
+    blocked = {k for (_, v), ks in got.items() for k in ks if v == "block"}
+    assert blocked >= set(range(5)) and not blocked & set(range(9, 20)) and len(got) >= 5
+    assert all(max(ks) - min(ks) <= 5 for ks in got.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_tree_against_a_plain_one(spark, seed):
+    import random
+
+    from tidemark.llm import urlfilter
+
+    rng, rows = random.Random(seed), []
+    for h in ("a.net", "b.net", "c.net"):
+        rate = {}
+        for _ in range(500):
+            segments = [rng.choice("uvwxyz") + "q" for _ in range(rng.randint(0, 3))]
+            if segments[:1] == ["uq"] or rng.random() < 0.1:
+                segments.insert(min(1, len(segments)), f"slug{rng.randrange(90)}x")
+            if rng.random() < 0.05:
+                segments += ["deep"] * 14 + [rng.choice(["k", "l"])]
+            p = rate.setdefault(tuple(segments[:2]), rng.choice([0.05, 0.3, 0.6, 0.95]))
+            rows.append((h, tuple(segments), float(rng.random() < p) if rng.random() < 0.8 else None))
+    df = spark.createDataFrame([(h, list(s), x) for h, s, x in rows], "host string, sig array<string>, label double")
+    got = {(r.host, tuple(r.sig)): ("/".join(r.template), round(r.purity, 9), r.verdict) for r in urlfilter.templates(df).collect()}
+    want = brute.url_tree(rows)
+    assert got == want and {v for *_, v in want.values()} == {"allow", "block"} and any("*" in t for t, *_ in want.values())
+
+
 def warc_nodes(spark, recs, plan):
     from tidemark.llm import warc
 
@@ -279,10 +343,10 @@ def test_merkle(spark):
 
     rows = [(i, f"http://x/{i}", None if i % 50 == 0 else "p\r\n\r\n" * (i % 7)) for i in range(700)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("own"))
-    a = warc.records(pages, "page_id", "url", "html", per_file=300)
-    plan = warc.layout(a, 300)
+    a = warc.records(pages, "page_id", "url", "html")
+    plan = warc.layout(a, 20_000)
     where, first = warc_nodes(spark, a, plan)
-    assert plan.count() == 0 and warc.audit(first, first).count() == 0
+    assert 5 < plan.n < 30 and plan.crowded.count() == 0 and first.select("file").distinct().count() == plan.n and warc.audit(first, first).count() == 0
     # the stored bytes, by themselves: places, starts, sizes and hashes of all records
     leaves = {(r.file, r.place): r for r in first.where("level = 0").collect()}
     found = 0
@@ -301,10 +365,13 @@ def test_merkle(spark):
             at, place, found = at + size, place + 1, found + 1
     assert found == len(leaves) == 700
     # same length, another byte: only that record; a lost record moves all after it in its file
-    _, changed = warc_nodes(spark, warc.records(pages.withColumn("html", F.when(F.col("page_id") == 13, F.lit("q" * 30)).otherwise(F.col("html"))), "page_id", "url", "html", per_file=300), plan)
+    _, changed = warc_nodes(spark, warc.records(pages.withColumn("html", F.when(F.col("page_id") == 13, F.lit("q" * 30)).otherwise(F.col("html"))), "page_id", "url", "html"), plan)
     assert [(r.key, r.status) for r in warc.audit(first, changed).collect()] == [(13, "changed")]
+    at = next(r for r in leaves.values() if r.key == 598)
+    later = sorted(r.place for r in leaves.values() if r.file == at.file and r.place >= at.place)
     _, lost = warc_nodes(spark, a.where("key <> 598"), plan)
-    assert sorted((r.place, r.status) for r in warc.audit(first, lost).collect()) == [(298, "changed"), (299, "missing")]
+    got = warc.audit(first, lost).collect()
+    assert sorted((r.place, r.status) for r in got) == [(p, "changed") for p in later[:-1]] + [(later[-1], "missing")] and {r.file for r in got} == {at.file}
     _, none = warc_nodes(spark, a.limit(0), plan)
     assert warc.audit(none, none).count() == 0 and warc.audit(none, first).where("status = 'extra'").count() == 700
 
@@ -313,9 +380,9 @@ def test_merkle_of_a_key_that_many_pages_have(spark):
     from tidemark.llm import warc
 
     rows = [(7, "http://x/7", "same")] * 120 + [(7, f"http://x/7?{i}", f"other {i}") for i in range(60)] + [(None, f"http://n/{i}", None) for i in range(3)] + [(None, None, "x")]
-    a = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html", per_file=10)
-    plan = warc.layout(a, 10)
-    assert [r["files"] for r in plan.collect()] == [18]
+    a = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html")
+    plan = warc.layout(a, 3200)
+    assert [r["files"] > 10 for r in plan.crowded.collect()] == [True]
     _, one = warc_nodes(spark, a, plan)
     _, two = warc_nodes(spark, a, plan)
     sizes = [r["count"] for r in one.where("level = 0").groupBy("file").count().collect()]
@@ -324,6 +391,17 @@ def test_merkle_of_a_key_that_many_pages_have(spark):
     assert warc.audit(one, less).where("status = 'missing'").count() == 1
 
 
+@pytest.mark.parametrize("key", ["xxhash64(i)", "case when i % 3 = 0 then null else i end", "cast(null as long)", "7L"])
+def test_files_of_any_keys_are_about_as_large(spark, key):
+    from tidemark.llm import warc
+
+    pages = spark.range(1000).withColumnRenamed("id", "i").selectExpr(f"{key} as page_id", "concat('http://x/', i) as url", "repeat('x', 700) as html")
+    a = warc.records(pages, "page_id", "url", "html")
+    _, nodes = warc_nodes(spark, a, warc.layout(a, 50_000))
+    sizes = [r["count"] for r in nodes.where("level = 0").groupBy("file").count().collect()]
+    assert sum(sizes) == 1000 and 15 < len(sizes) <= 21 and max(sizes) < 120
+
+
 def test_bytes_that_are_no_record(spark):
     from tidemark.llm import warc
 

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from . import brute
 
@@ -167,5 +168,16 @@ def test_language_is_the_smallest_of_plain_compressions(spark, docs):
 
 
 def test_warc_finds_damage(spark):
-    pages = duckdb.execute(f"select page_id from '{SF}/pages.parquet' where page_id % 97 = 5 and contains(html, 'e')").fetchall()
-    assert sorted((r.key, r.status) for r in rows(spark, "op9_warc")) == sorted((p, "changed") for (p,) in pages)
+    from tidemark.llm import warc
+
+    pages = duckdb.execute(f"select page_id, url, html from '{SF}/pages.parquet' where page_id % 97 = 5 and contains(html, 'e')").fetchall()
+    found = rows(spark, "op9_warc")
+    assert sorted((r.key, r.status) for r in found) == sorted((p, "changed") for p, *_ in pages)
+    # place, start and size: of the records in order of the key, as all pages fit into one file here
+    every = sorted(duckdb.execute(f"select page_id, url, html from '{SF}/pages.parquet'").fetchall())
+    made = spark.createDataFrame(every, "page_id long, url string, html string").select("page_id", F.octet_length(F.encode(warc.record(F.col("page_id"), F.col("url"), F.col("html")), "UTF-8")).alias("n"))
+    at, want = 0, {}
+    for place, (key, n) in enumerate(sorted(map(tuple, made.collect()))):
+        want[key] = ("0-0", place, at, n + 4)
+        at += n + 4
+    assert {r.key: (r.file, r.place, r.start, r.size) for r in found} == {p: want[p] for p, *_ in pages}

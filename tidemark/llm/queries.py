@@ -103,7 +103,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a replica with damage known beforehand: one page in 97 has its first "e" overwritten
     harmed = F.when(F.col("page_id") % 97 == 5, F.regexp_replace("html", "(?s)^(.*?)e", "$1~")).otherwise(F.col("html"))
     replica = warc.records(pages.withColumn("html", harmed), "page_id", "url", "html")
-    plan, found = stored(warc.layout(primary), "warc-layout"), []
+    plan, found = warc.layout(primary), []
     for name, rows in (("warc", primary), ("warc-replica", replica)):
         path = new_path(spark, name)
         warc.write(rows, plan, path)

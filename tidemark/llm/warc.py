@@ -7,15 +7,15 @@ hashes in order make one above, up to one root for each file. ``audit`` compares
 first; below, only children of nodes that differ are joined, level by level, so branches that
 agree are never looked at again.
 
-Files are ranges of ``PER_FILE`` keys, so a task reads one bounded file. ``layout`` finds ranges that hold many more records (a key that
-very many pages have) and says into how many files these are dealt, by a hash of the record and its number among equal ones; both
+Records are dealt to as many files as make ``FILE_BYTES`` each, by a hash of key and address, whatever the keys look like, and lie in order of the key inside;
+so a task reads one bounded file, and the number of files follows the bytes. ``layout`` counts them. It also finds files that would hold many more bytes (a page that
+is stored very many times) and says into how many files these are dealt, by a hash of the record and its number among equal ones; both
 replicas are written by the layout of the first.
 
 Defined results: a record that only one replica has is ``missing`` or ``extra``; one whose bytes or offset range
-differ is ``changed`` (in a dealt range, where a changed record has another place, it is missing and extra). Bytes that are
+differ is ``changed`` (in a dealt file, where a changed record has another place, it is missing and extra). Bytes that are
 no record end the file: what follows them is one record without a key. Null payloads and addresses are empty. Records of equal key are
-ordered by address and bytes. A key that is null or no number is null; such pages are spread over files by a hash
-of the address. Other columns are ignored, whatever their names. Empty tables give no findings.
+ordered by address and bytes. A key that is null or no number is null; such pages are spread over files by their address. Other columns are ignored, whatever their names. Empty tables give no findings.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored
 
-#: Records of a file, files of a crowded range start at CROWDED times as many; children of a node; levels (the top one takes all that is left).
-PER_FILE, CROWDED, FAN, HEIGHT = 256, 4, 16, 4
+#: Bytes of a file before compression, about; a file is dealt anew from CROWDED times as many on; children of a node; levels (the top one takes all that is left).
+FILE_BYTES, CROWDED, FAN, HEIGHT = 16 << 20, 4, 16, 4
 _BREAK = "\r\n\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\Z")
 _KEY = re.compile(rb"\r\nX-Page-Key: (-?\d+)\r\n")
@@ -50,28 +51,43 @@ def record(key: Column, uri: Column, payload: Column, stamp: str = "2024-01-01T0
     )
 
 
-def records(pages: DataFrame, key: str, uri: str, payload: str, per_file: int = PER_FILE) -> DataFrame:
-    """(range, key, uri, payload): ranges of ``per_file`` keys; pages without a key below all others."""
-    k = F.col(key).try_cast("long")
-    lost = -1 - F.pmod(F.xxhash64(uri), F.lit(1 << 30))
-    return pages.select(F.coalesce(F.floor(k / per_file), lost).alias("range"), k.alias("key"), F.col(uri).alias("uri"), F.col(payload).alias("payload"))
+def records(pages: DataFrame, key: str, uri: str, payload: str) -> DataFrame:
+    """(key, uri, payload)."""
+    return pages.select(F.col(key).try_cast("long").alias("key"), F.col(uri).alias("uri"), F.col(payload).alias("payload"))
 
 
-def layout(recs: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """(range, files): the ranges with many more records than keys, and into how many files they are dealt."""
-    n = recs.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * per_file)
-    return n.select("range", F.ceil(F.col("n") / per_file).cast("long").alias("files"))
+class Layout(NamedTuple):
+    """The number of files, and (slot, files) of those that are dealt anew."""
 
+    n: int
+    crowded: DataFrame
 
-def write(recs: DataFrame, plan: DataFrame, path: str) -> None:
-    """WARC files under ``path``, one folder for each range and number."""
-    placed = recs.join(plan, "range", "left")
-    plain = placed.where("files is null").select("range", F.lit(0).cast("long").alias("part"), "key", "uri", "payload")
-    # equal records of a crowded range are counted before they move, then told apart by their number
-    crowd = placed.where("files is not null").groupBy("range", "files", "key", "uri", "payload").agg(F.count("*").alias("n"))
+
+def _slot(n: int) -> Column:
+    return F.pmod(F.xxhash64("key", "uri"), F.lit(n)).alias("slot")
+
+
+def layout(recs: DataFrame, file_bytes: int = FILE_BYTES) -> Layout:
+    """How records are dealt to files. Stored."""
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)) + F.coalesce(F.octet_length("uri"), F.lit(0)) + 300
+    # sums by key and address come first: a page that is stored very many times is one row then
+    each = stored(recs.groupBy(F.xxhash64("key", "uri").alias("h")).agg(F.sum(size.cast("long")).alias("bytes")), "warc-sizes")
+    n = max(1, -(-(each.agg(F.sum("bytes")).first()[0] or 0) // file_bytes))
+    by = each.groupBy(F.pmod("h", F.lit(n)).alias("slot")).agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > CROWDED * file_bytes)
+    out = Layout(n, stored(by.select("slot", F.ceil(F.col("bytes") / file_bytes).cast("long").alias("files")), "warc-layout"))
+    discard(each)
+    return out
+
+
+def write(recs: DataFrame, plan: Layout, path: str) -> None:
+    """WARC files under ``path``, one folder for each."""
+    placed = recs.select(_slot(plan.n), "key", "uri", "payload").join(plan.crowded, "slot", "left")
+    plain = placed.where("files is null").select("slot", F.lit(0).cast("long").alias("part"), "key", "uri", "payload")
+    # equal records of a crowded file are counted before they move, then told apart by their number
+    crowd = placed.where("files is not null").groupBy("slot", "files", "key", "uri", "payload").agg(F.count("*").alias("n"))
     crowd = crowd.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    crowd = crowd.select("range", F.pmod(F.xxhash64("uri", "payload", "i"), F.col("files")).alias("part"), "key", "uri", "payload")
-    rows = plain.unionByName(crowd).withColumn("file", F.concat_ws("-", "range", "part"))
+    crowd = crowd.select("slot", F.pmod(F.xxhash64("uri", "payload", "i"), F.col("files")).alias("part"), "key", "uri", "payload")
+    rows = plain.unionByName(crowd).withColumn("file", F.concat_ws("-", "slot", "part"))
     ordered = rows.repartition("file").sortWithinPartitions("file", "key", "uri", "payload")
     made = ordered.select("file", record(F.col("key"), F.col("uri"), F.col("payload")).alias("value"))
     made.write.partitionBy("file").option("lineSep", _BREAK).option("compression", "gzip").text(path)
