@@ -64,6 +64,8 @@ def test_contagion_classes(spark):
     e = edges(spark, [("top", "owns", "a", "public"), ("top", "owns", "b", "public"), ("a", "owns", "s", "public"), ("b", "owns", "q", "aggregator-licensed")])
     members, held = V.contagion(spark.createDataFrame([("a",)], "key string"), e, max_hops=3)
     got = {r.key: (r.hops, r.link, r.shared_owner) for r in members.collect()}
+    paths = {r.key: [(x["from"], x["to"], x["up"]) for x in r.path] for r in V.contagion(spark.createDataFrame([("a",)], "key string"), e, max_hops=3, paths=True)[0].collect()}
+    assert paths["b"] == [("a", "top", True), ("top", "b", False)] and paths["s"] == [("a", "s", False)]
     assert got == {"top": (1, "parent", None), "s": (1, "subsidiary", None), "b": (2, "shares-owner", "top")}
     assert [r.withheld for r in held.collect()] == [1]
 

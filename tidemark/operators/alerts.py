@@ -7,17 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import names as N
+from ..sources.scratch import stored
 
 
-#: Signs at the beginning of an item that a text must have somewhere before the whole item is looked for.
+#: Signs of a gram; shorter items are grams themselves.
 GRAM = 3
 
 
-def _containing(rows: DataFrame, text: Column, words: DataFrame, sizes: list[int]) -> DataFrame:
-    """``rows`` joined with the items whose value is anywhere in ``text``: an equi-join on the first signs, then the whole value."""
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1))), lambda i: F.substring("_low", i, n)) for n in sizes]  # noqa: B023
-    keyed = rows.withColumn("_low", text).withColumn("key", F.explode(F.array_distinct(F.flatten(F.array(*grams))) if grams else F.array().cast("array<string>")))
-    return keyed.join(words, "key").where(F.col("_low").contains(F.col("v"))).drop("_low", "key")
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many signs in a text."""
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)) for n in sizes]  # noqa: B023
+    return F.array_distinct(F.flatten(F.array(*runs))) if runs else F.array().cast("array<string>")
+
+
+def gram_keys(rows: DataFrame, text: Column, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """``items`` (with ``v``) with ``key``, the gram of theirs that the fewest texts have. An item with a gram that no text has is in no text and goes."""
+    own = items.select("v").distinct().withColumn("gram", F.explode(F.when(F.length("v") < GRAM, F.array("v")).otherwise(_grams(F.col("v"), [GRAM]))))
+    used = own.select("gram").distinct()
+    # grams that no item uses end at this join, in the task that made them as long as Spark finds the used ones small enough to send
+    often = rows.select(text.alias("_low")).select(F.explode(_grams(F.col("_low"), sizes)).alias("gram")).join(used, "gram").groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = own.join(often, "gram", "left").groupBy("v").agg(F.min_by("gram", F.struct("often", "gram")).alias("key"), F.bool_and(F.col("often").isNotNull()).alias("all"))
+    return items.join(rarest.where("all").select("v", "key"), "v")
+
+
+def containing(rows: DataFrame, text: Column, items: DataFrame) -> DataFrame:
+    """``rows`` joined with the items whose value ``v`` is anywhere in ``text``.
+
+    Each item is looked up by its rarest gram only, by measured frequency, so a common beginning such as "the" brings no candidates; a candidate's whole value is then compared.
+    The texts are read twice, once to count grams and once to find them; what leaves a task are the grams that some item uses.
+    """
+    sizes = [r[0] for r in items.select(F.least(F.length("v"), F.lit(GRAM)).alias("n")).where("n > 0").distinct().collect()]
+    keyed = stored(gram_keys(rows, text, items, sizes), "gram-keys")
+    found = rows.withColumn("_low", text).withColumn("key", F.explode(_grams(F.col("_low"), sizes)))
+    return found.join(keyed, "key").where(F.col("_low").contains(F.col("v"))).drop("_low", "key")
 
 
 def match(items: DataFrame, changes: DataFrame, events: DataFrame, companies: DataFrame, exposed: DataFrame, per_item: int = 25) -> DataFrame:
@@ -37,12 +59,11 @@ def match(items: DataFrame, changes: DataFrame, events: DataFrame, companies: Da
     # an item of this type takes the first sets of the same list, which its cap bounds
     first = sets.join(chain, "doc").orderBy("seq", "doc").limit(per_item).withColumn("one", F.lit(1))
     supply = i.where("type = 'supply_chain'").withColumn("one", F.lit(1)).join(F.broadcast(first), "one")
-    words = i.where(~F.col("type").isin("company", "country", "industry", "supply_chain") & (F.col("v") != "")).withColumn("key", F.substring("v", 1, GRAM))
-    sizes = [r[0] for r in words.select(F.length("key")).distinct().collect()]
-    said = _containing(changes, F.lower("statement"), words, sizes)
+    words = i.where(~F.col("type").isin("company", "country", "industry", "supply_chain") & (F.col("v") != ""))
+    said = containing(changes, F.lower("statement"), words)
     free = said.groupBy("type", "value", "doc").agg(F.min("company").alias("company"), F.min("seq").alias("seq"), F.min("first_statement").alias("detail"))
     # the sign between both texts is in no item, so nothing is found across them
-    told = _containing(events, F.lower(F.concat_ws("\x1f", "headline", "description")), words, sizes).select("type", "value", "doc", "company", "seq", F.col("description").alias("detail")).distinct()
+    told = containing(events, F.lower(F.concat_ws("\x1f", "headline", "description")), words).select("type", "value", "doc", "company", "seq", F.col("description").alias("detail")).distinct()
     cols = ["type", "value", "doc", "seq", "detail"]
     one = lambda d, kind: d.select(*cols, F.lit(kind).alias("kind"))
     all_ = one(own, "change").unionByName(one(land, "change")).unionByName(one(field, "change")).unionByName(one(supply, "change")).unionByName(one(free, "change")).unionByName(one(told, "event"))

@@ -169,8 +169,16 @@ OPPORTUNITIES = [
 ]
 
 
-def concerns(ch: DataFrame, ev: DataFrame, rules: list = RISKS) -> DataFrame:
-    """(company, title, category, severity, confidence, statement): one for each category and statement, changes before events (DOC-13, TOP-05)."""
+#: Order of severity.
+SEVERITY = ["high", "medium", "low"]
+
+
+def concerns(ch: DataFrame, ev: DataFrame, countries: DataFrame | None = None, rules: list = RISKS) -> DataFrame:
+    """(company, title, category, severity, confidence, statement, rank): one for each category and statement, changes before events (DOC-13).
+
+    ``rules`` are those of a lens, ``RISKS`` or ``OPPORTUNITIES``. With ``countries`` (company, country, supplier), for the risk lens, each country that a company's suppliers
+    work in is one more. ``rank`` orders a company's concerns by severity, then confidence (TOP-05).
+    """
     a = ch.select("company", "category", "statement", F.when(F.col("kind") == "added", 0.05).otherwise(0.0).alias("bonus"), F.lit(0).alias("first"))
     b = ev.select("company", "category", F.col("sentence").alias("statement"), F.lit(0.0).alias("bonus"), F.lit(1).alias("first"))
     x = a.unionByName(b).withColumn("norm", T.normal_statement(F.col("statement")))
@@ -178,11 +186,15 @@ def concerns(ch: DataFrame, ev: DataFrame, rules: list = RISKS) -> DataFrame:
     table = F.create_map(*(y for c, t, s, v in rules for y in (F.lit(c), F.struct(F.lit(t).alias("title"), F.lit(s).alias("severity"), F.lit(v).alias("base")))))
     out = one.withColumn("rule", table[F.col("category")]).where("rule is not null")
     conf = F.bround(F.least(F.lit(0.8), F.col("rule.base") + F.col("r.bonus")), 2)
-    return out.select("company", "rule.title", "category", "rule.severity", conf.alias("confidence"), F.col("r.statement").alias("statement"))
-
-
-#: Order of severity.
-SEVERITY = ["high", "medium", "low"]
+    out = out.select("company", "rule.title", "category", "rule.severity", conf.alias("confidence"), F.col("r.statement").alias("statement"))
+    if countries is not None:
+        # the suppliers of one company in one country, which its own list bounds
+        g = countries.where("country is not null").groupBy("company", "country").agg(F.array_join(F.array_sort(F.collect_set("supplier")), ", ").alias("suppliers"))
+        said = F.concat(F.col("company"), F.lit(" relies on "), F.col("suppliers"), F.lit(" in "), F.col("country"), F.lit("."))
+        out = out.unionByName(g.select("company", F.concat(F.lit("Geopolitical exposure to "), F.col("country")).alias("title"), F.lit("supply_chain").alias("category"), F.lit("medium").alias("severity"), F.lit(0.55).alias("confidence"), said.alias("statement")))
+    place = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("severity"))
+    order = W.partitionBy("company").orderBy(place, F.col("confidence").desc(), "category", "title", "statement")
+    return out.withColumn("rank", F.row_number().over(order))
 
 
 def reliability(docs: DataFrame, errors: DataFrame) -> DataFrame:

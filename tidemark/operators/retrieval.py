@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,21 +30,61 @@ def lexical(docs: DataFrame, query: str) -> DataFrame:
 
 
 def embed_sparse(docs: DataFrame, dims: int = DIMS) -> DataFrame:
-    """(doc, bucket, weight): sign-hashed bag of words of length 1 (SIM-07). Zero vectors have no rows.
+    """(doc, bucket, weight): sign-hashed bag of words of length 1 in ``dims`` buckets (SIM-07). Zero vectors have no rows.
 
-    The bucket is the eighth byte of the word's SHA-256 (256 divides 2^64), the sign the parity of the same byte for ``sign:word``.
+    The bucket is the first eight bytes of the word's SHA-256, as a number, modulo ``dims``; the sign the parity of the same number for ``sign:word``.
     """
-    if dims != 256:
-        raise ValueError("only 256 dimensions follow from one byte")
     w = docs.select("doc", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w"))
     n = w.groupBy("doc", "w").agg(F.count("*").alias("n"))
     byte = lambda x: F.conv(F.substring(F.sha2(x, 256), 15, 2), 16, 10).cast("int")
+    # 256 divides 2^64, so one byte says it all there
+    bucket = byte(F.col("w")) if dims == 256 else (F.conv(F.substring(F.sha2("w", 256), 1, 16), 16, 10).cast("decimal(20,0)") % dims).cast("int")
     sign = F.when(byte(F.concat(F.lit("sign:"), "w")) % 2 == 0, 1).otherwise(-1)
-    v = n.select("doc", byte(F.col("w")).alias("bucket"), (sign * F.col("n")).alias("x")).groupBy("doc", "bucket").agg(F.sum("x").alias("x")).where("x <> 0")
+    v = n.select("doc", bucket.alias("bucket"), (sign * F.col("n")).alias("x")).groupBy("doc", "bucket").agg(F.sum("x").alias("x")).where("x <> 0")
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc")))
     return v.select("doc", "bucket", (F.col("x") / norm).alias("weight"))
 
 
+class HashEmbedder:
+    """Texts to sign-hashed bags of words of length 1: the dense twin of ``embed_sparse``, and the pattern for embedders of one's own."""
+
+    def __init__(self, dims: int = DIMS):
+        self.dims = dims
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dims))
+        number = lambda w: int.from_bytes(sha256(w.encode()).digest()[:8], "big")
+        for row, text in zip(out, texts):
+            for w in re.findall("[a-z0-9]+", text.lower()):
+                row[number(w) % self.dims] += 1 if number(f"sign:{w}") % 2 == 0 else -1
+        norm = np.sqrt((out * out).sum(1, keepdims=True))
+        return np.divide(out, norm, out=out, where=norm > 0)
+
+
+_MADE: dict[str, Callable] = {}
+
+
+def embed(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], id_col: str = "doc", text_col: str = "text") -> DataFrame:
+    """(id, vector): an array of floats for each text by an embedder of one's own (UDF-08).
+
+    ``make`` is called once in each Python worker and gives a function from a list of texts to a matrix with a row for each; every batch of a
+    task goes through that one object. Null texts are empty texts.
+    """
+    name = sha256(cloudpickle.dumps(make)).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embedder = _MADE.get(name)
+        if embedder is None:
+            embedder = _MADE[name] = make()
+        for b in batches:
+            made = np.asarray(embedder([t or "" for t in b.column(1).to_pylist()]), np.float32)
+            edges = pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(edges, pa.array(made.reshape(-1)))], [id_col, "vector"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, vector array<float>")
+
+
 def cosine_sparse(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query, doc, vector) of unit vectors that share a bucket (SIM-08)."""
     q = queries.select(F.col("doc").alias("query"), "bucket", F.col("weight").alias("qw"))

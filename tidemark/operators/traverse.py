@@ -34,44 +34,65 @@ def reachable(starts: DataFrame, edges: DataFrame, max_hops: int, direction: str
     return seen.where("hops > 0")
 
 
-def shortest_paths(starts: DataFrame, walk: DataFrame, max_hops: int) -> DataFrame:
-    """(start, key, hops, path): one shortest path for each node, the smallest by its sequence of edge numbers (TRV-02).
+def shortest_tree(starts: DataFrame, walk: DataFrame, max_hops: int) -> DataFrame:
+    """(start, key, hops, parent, top, order): for each node the last step of one shortest path, the smallest by its sequence of edge numbers (TRV-02).
 
-    ``walk`` is (a, b, seq, up); the path is an array of (from, to, seq, up). Choosing the smallest path of the
-    parent, then the smallest edge, is the order in which a queue would visit.
+    ``walk`` is (a, b, seq, up) and holds every way in both directions, so a level can only meet the last two. ``parent`` is the node before and ``order``
+    the edge numbers from the start, each 2 * seq + up: choosing the smallest one is the order in which a queue would visit. ``top`` is the node
+    where the last upward step arrives. ``with_paths`` makes whole paths of this.
     """
     # of parallel edges only the smallest can be in a smallest path
-    walk = stored(walk.groupBy("a", "b").agg(F.min(F.struct("seq", "up")).alias("e")).select("a", "b", "e.seq", "e.up"), "walk")
-    none = F.array().cast("array<struct<from:string,to:string,seq:bigint,up:boolean>>")
-    seen = stored(starts.select(F.col("key").alias("start"), "key", F.lit(0).alias("hops"), none.alias("path")), "paths")
-    frontier = seen
+    walk = stored(walk.groupBy("a", "b").agg(F.min(F.col("seq").cast("bigint") * 2 + F.col("up").cast("bigint")).alias("code")), "walk")
+    none = F.lit(None).cast("string")
+    frontier = stored(starts.select(F.col("key").alias("start"), "key", F.lit(0).alias("hops"), none.alias("parent"), none.alias("top"), F.array().cast("array<bigint>").alias("order")).distinct(), "paths")
+    found, before = frontier.limit(0), frontier.limit(0)
     for hop in range(1, max_hops + 1):
-        link = F.struct(F.col("key").alias("from"), F.col("b").alias("to"), F.col("seq").cast("bigint").alias("seq"), "up")
-        new = frontier.join(walk, F.col("key") == F.col("a")).select("start", F.col("b").alias("key"), F.concat("path", F.array(link)).alias("path"))
-        order = F.struct(F.transform("path", lambda x: x["seq"]), F.transform("path", lambda x: x["up"]))
-        new = new.join(seen.select("start", "key"), ["start", "key"], "left_anti").groupBy("start", "key").agg(F.min_by("path", order).alias("path"))
-        frontier = stored(new.select("start", "key", F.lit(hop).alias("hops"), "path"), "paths")
-        if frontier.isEmpty():
+        way = frontier.join(walk, F.col("key") == F.col("a")).select(
+            "start", F.col("b").alias("key"), F.col("key").alias("parent"), F.when(F.col("code") % 2 == 1, F.col("b")).otherwise(F.col("top")).alias("top"), F.concat("order", F.array("code")).alias("order")
+        )
+        best = way.groupBy("start", "key").agg(F.min_by(F.struct("parent", "top", "order"), "order").alias("s"))
+        near = frontier.select("start", "key").unionByName(before.select("start", "key"))
+        new = stored(best.join(near, ["start", "key"], "left_anti").select("start", "key", F.lit(hop).alias("hops"), "s.*"), "paths")
+        if new.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen.where("hops > 0")
+        found, before, frontier = found.unionByName(new), frontier, new
+    return found
+
 
+def with_paths(tree: DataFrame, max_hops: int) -> DataFrame:
+    """``tree`` with ``path``, an array of (from, to, seq, up) in place of the columns that it is made from: a join with the level below for each level."""
+    code = F.element_at("order", -1)
+    link = F.struct(F.col("parent").alias("from"), F.col("key").alias("to"), F.shiftright(code, 1).alias("seq"), (code % 2 == 1).alias("up"))
+    rest = [c for c in tree.columns if c not in ("parent", "top", "order")]
+    done = tree.where("hops = 1").select(*rest, F.array(link).alias("path"))
+    out = done
+    for hop in range(2, max_hops + 1):
+        below = done.select("start", F.col("key").alias("parent"), F.col("path").alias("before"))
+        done = stored(tree.where(F.col("hops") == hop).join(below, ["start", "parent"]).select(*rest, F.concat("before", F.array(link)).alias("path")), "paths")
+        out = out.unionByName(done)
+    return out
 
-def network(companies: DataFrame, references: DataFrame, max_hops: int) -> DataFrame:
-    """Undirected co-mention network with one evidence path each; hops are kept within 1 to 6 (TRV-02)."""
-    return shortest_paths(companies, steps(references, "any"), max(1, min(6, max_hops)))
+
+def network(companies: DataFrame, references: DataFrame, max_hops: int, paths: bool = True) -> DataFrame:
+    """Undirected co-mention network, with one evidence path each if asked; hops are kept within 1 to 6 (TRV-02)."""
+    hops = max(1, min(6, max_hops))
+    tree = shortest_tree(companies, steps(references, "any"), hops)
+    return with_paths(tree, hops) if paths else tree.select("start", "key", "hops")
 
 
 #: Terminals of complete chains.
 COMPLETE = ["beneficial_owner", "root"]
 
 
-def ownership_chains(starts: DataFrame, edges: DataFrame, clearance: str = "public", day: str | None = None, max_depth: int = 8, persons: Column | None = None, unresolved: DataFrame | None = None, chain_cap: int = 100_000) -> DataFrame:
-    """(start, holders, terminal, depth, complete, truncated): all upward paths (TRV-03).
+def ownership_chains(starts: DataFrame, edges: DataFrame, clearance: str = "public", day: str | None = None, max_depth: int = 8, persons: Column | None = None, unresolved: DataFrame | None = None, chain_cap: int | None = None) -> DataFrame:
+    """(start, holders, terminal, depth, complete, truncated, chains): all upward paths (TRV-03).
 
     A path ends at a holder already on it (cycle), at the depth limit (max_depth), or where no visible owner is left:
     restricted when owners are withheld there, else beneficial_owner, unresolved or root. A start without
-    owners has no chain. Paths per start beyond ``chain_cap`` are left out and marked, as their number can be exponential.
+    owners has no chain.
+
+    The number of paths can be exponential. With a ``chain_cap`` the paths are counted before any is made (``chain_counts``); a start with more than that is not followed but gets one
+    row, ``truncated``, with their number in ``chains``. Without one every path is listed.
     """
     max_depth = max(1, min(12, max_depth))
     now = as_of(edges, day).withColumn("see", can_see(F.col("access_tier"), clearance))
@@ -79,6 +100,10 @@ def ownership_chains(starts: DataFrame, edges: DataFrame, clearance: str = "publ
     own = stored(own, "owners")
     up = stored(now.where("see").select(F.col("target_key").alias("key"), F.col("source_key").alias("holder"), "relation", "seq"), "upward")
     surrogate = None if unresolved is None else unresolved.select(F.col("key"), F.lit(True).alias("surrogate")).distinct()
+    over = None
+    if chain_cap is not None:
+        over = stored(starts.select("key").distinct().join(chain_counts(up, max_depth).where(F.col("chains") > chain_cap), "key"), "over")
+        starts = starts.join(over.select("key"), "key", "left_anti")
     open_ = starts.select(F.col("key").alias("start"), "key", F.array("key").alias("visited"), F.lit(None).cast("string").alias("last"))
     closed = None
     for depth in range(max_depth + 1):
@@ -97,27 +122,34 @@ def ownership_chains(starts: DataFrame, edges: DataFrame, clearance: str = "publ
         open_ = marked.where("stop is null").select("start", "key", "visited", "last")
         if open_.isEmpty():
             break
-    from pyspark.sql import Window as W
+    out = closed.select("start", "holders", "terminal", F.size("holders").alias("depth"), F.col("terminal").isin(COMPLETE).alias("complete"), F.lit(False).alias("truncated"), F.lit(None).cast("double").alias("chains"))
+    if over is None:
+        return out
+    none = F.lit(None)
+    return out.unionByName(over.select(F.col("key").alias("start"), none.cast("array<string>").alias("holders"), F.lit("truncated").alias("terminal"), none.cast("int").alias("depth"), F.lit(False).alias("complete"), F.lit(True).alias("truncated"), "chains"))
 
-    w = W.partitionBy("start").orderBy(F.size("holders"), "terminal", F.array_join("holders", "\x1f"))
-    out = closed.withColumn("k", F.row_number().over(w)).withColumn("truncated", F.count("*").over(W.partitionBy("start")) > chain_cap)
-    return out.where(F.col("k") <= chain_cap).select("start", "holders", "terminal", F.size("holders").alias("depth"), F.col("terminal").isin(COMPLETE).alias("complete"), "truncated")
 
+def chain_counts(up: DataFrame, max_depth: int) -> DataFrame:
+    """(key, chains): how many chains begin at each key with an owner, from (key, holder), without making any.
 
-def link_class(path: Column) -> Column:
-    """parent, subsidiary, shares-owner or group from the directions of a path (TRV-04)."""
-    ways = F.array_join(F.transform(path, lambda x: F.when(x["up"], "u").otherwise("d")), "")
-    return F.when(ways.rlike("^u+$"), "parent").when(ways.rlike("^d+$"), "subsidiary").when(ways.rlike("^[ud]*u+d+$"), "shares-owner").otherwise("group")
+    From the depth limit down, the chains of a key are the sum of its holders' chains, or 1 for one without owners: one join and one sum for each level, with a row for each
+    key. A chain that would end where it meets itself counts with all that follows, so in a cycle this is a bound from above.
+    """
+    n = stored(up.groupBy("key").agg(F.count("*").cast("double").alias("chains")), "chain-counts")
+    for _ in range(max_depth - 1):
+        below = n.select(F.col("key").alias("holder"), F.col("chains").alias("more"))
+        n = stored(up.select("key", "holder").join(below, "holder", "left").groupBy("key").agg(F.sum(F.coalesce("more", F.lit(1.0))).alias("chains")), "chain-counts")
+    return n
 
 
-def pivot(path: Column) -> Column:
-    """The shared owner: where the last upward step arrives (TRV-04)."""
-    ups = F.filter(path, lambda x: x["up"])
-    return F.when(link_class(path) == "shares-owner", F.element_at(ups, -1)["to"])
+def link_class(order: Column) -> Column:
+    """parent, subsidiary, shares-owner or group from the directions of a path, the last bits of its ``order`` (TRV-04)."""
+    ways = F.array_join(F.transform(order, lambda x: F.when(x % 2 == 1, "u").otherwise("d")), "")
+    return F.when(ways.rlike("^u+$"), "parent").when(ways.rlike("^d+$"), "subsidiary").when(ways.rlike("^[ud]*u+d+$"), "shares-owner").otherwise("group")
 
 
-def contagion(seeds: DataFrame, edges: DataFrame, clearance: str = "public", day: str | None = None, max_hops: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(start, key, hops, link, shared_owner, path) and (start, withheld) (TRV-04).
+def contagion(seeds: DataFrame, edges: DataFrame, clearance: str = "public", day: str | None = None, max_hops: int = 4, paths: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(start, key, hops, link, shared_owner), with ``path`` if asked, and (start, withheld) (TRV-04).
 
     A withheld edge counts once for each expanded end; nodes at the hop limit are not expanded.
     """
@@ -126,9 +158,12 @@ def contagion(seeds: DataFrame, edges: DataFrame, clearance: str = "public", day
     see = can_see(F.col("access_tier"), clearance)
     # owners first, then what a node owns, each in order of insertion
     walk = steps(now.where(see), "any").withColumn("seq", F.when(F.col("up"), F.col("seq")).otherwise(F.col("seq") + (1 << 40)))
-    paths = stored(shortest_paths(seeds, walk, max_hops), "contagion")
-    members = paths.select("start", "key", "hops", link_class(F.col("path")).alias("link"), pivot(F.col("path")).alias("shared_owner"), "path")
-    inside = seeds.select(F.col("key").alias("start"), "key").union(paths.where(F.col("hops") < max_hops).select("start", "key"))
+    tree = shortest_tree(seeds, walk, max_hops)
+    link = link_class(F.col("order"))
+    # the shared owner is where the last upward step arrives
+    members = tree.withColumns({"link": link, "shared_owner": F.when(link == "shares-owner", F.col("top"))})
+    members = with_paths(members, max_hops) if paths else members.select("start", "key", "hops", "link", "shared_owner")
+    inside = seeds.select(F.col("key").alias("start"), "key").union(tree.where(F.col("hops") < max_hops).select("start", "key"))
     hidden = steps(now.where(~see), "any").groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n"))
     held = inside.join(hidden, "key").groupBy("start").agg(F.sum("n").alias("withheld"))
     return members, held

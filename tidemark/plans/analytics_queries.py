@@ -13,6 +13,7 @@ from ..operators import market as M
 from ..operators import resolution as R
 from ..operators import retrieval as Ret
 from ..operators import traverse as V
+from ..operators import vectors as Vec
 from ..sources.scratch import stored
 from . import domain as D
 from .domain import IN_SECTOR, OWN, RANK, REFS
@@ -53,23 +54,40 @@ def trv01_reachable_in(spark, sf):
     return V.reachable(_starts(spark, sf), D.references(spark, sf), 2, "in")
 
 
-@query(_REACH.format(walk=_WALK, hops=2))
+#: A way along an edge (2 seq) or back (2 seq + 1), the smallest of parallel ones; then a level: the smallest sequence of ways to each node that is new.
+_WAYS = "w as (select a, b, min(c) as c from (select {a} as a, {b} as b, {along} as c from {e} union all select {b}, {a}, {back} from {e}) group by 1, 2)"
+_LEVEL = """l{h} as (select s, w.b as k, {h} as hops, min(o || lpad(c::varchar, 20, '0')) as o, arg_min(p || '|' || (c // 2)::varchar || case when c % 2 = 1 then '<' else '>' end || w.b, o || lpad(c::varchar, 20, '0')) as p,
+  arg_min(u || case when c % 2 = 1 then 'u' else 'd' end, o || lpad(c::varchar, 20, '0')) as u, arg_min(case when c % 2 = 1 then w.b else t end, o || lpad(c::varchar, 20, '0')) as t
+  from l{g} join w on w.a = k where not exists (select 1 from ({seen}) x where x.s = l{g}.s and x.k = w.b) group by 1, 2)"""
+
+
+def _levels(start: str, hops: int) -> str:
+    first = f"l0 as (select s_suppkey::varchar as s, s_suppkey::varchar as k, 0 as hops, '' as o, '' as p, '' as u, null::varchar as t from supplier {start})"
+    seen = lambda h: " union all ".join(f"select s, k from l{i}" for i in range(h))
+    return ", ".join([first, *(_LEVEL.format(h=h, g=h - 1, seen=seen(h)) for h in range(1, hops + 1))])
+
+
+_PATH = F.concat(F.lit("|"), F.array_join(F.transform("path", lambda x: F.concat(x["seq"].cast("string"), F.when(x["up"], "<").otherwise(">"), x["to"])), "|"))
+
+
+@query(f"with {_WAYS.format(a='a', b='b', along='2 * seq', back='2 * seq + 1', e=REFS)}, {_levels('where s_suppkey % 20 = 0', 2)} select s as start, k as key, hops, p as path from l1 union all select s, k, hops, p from l2")
 def trv02_network(spark, sf):
-    return V.network(_starts(spark, sf), D.references(spark, sf), 2).select("start", "key", "hops")
+    return V.network(_starts(spark, sf), D.references(spark, sf), 2).select("start", "key", "hops", _PATH.alias("path"))
 
 
 _CHAINS = f"""with recursive e as (select * from {OWN} where valid_from <= date '1998-01-01'),
 v as (select * from e where {RANK.format('access_tier')} = 0), c(s, k, path, last, stop) as (
  select s_suppkey::varchar, s_suppkey::varchar, [s_suppkey::varchar], null::varchar, null::varchar from supplier
  union all select s, holder, list_append(path, holder), relation, case when list_contains(path, holder) then 'cycle' when len(path) >= 6 then 'max_depth' end from c join v on subject = k where stop is null)
-select s as start, array_to_string(path[2:], '>') as holders, coalesce(stop, case when exists (select 1 from e where subject = k) then 'restricted' when last = 'beneficial_owner_of' then 'beneficial_owner' else 'root' end) as terminal, (len(path) - 1)::int as depth
+select s as start, array_to_string(path[2:], '>') as holders, coalesce(stop, case when exists (select 1 from e where subject = k) then 'restricted' when last = 'beneficial_owner_of' then 'beneficial_owner' else 'root' end) as terminal, (len(path) - 1)::int as depth,
+ (stop is null and not exists (select 1 from e where subject = k)) as complete, false as truncated
 from c where stop is not null or (len(path) > 1 and not exists (select 1 from v where subject = k))"""
 
 
 @query(_CHAINS)
 def trv03_ownership_chains(spark, sf):
     out = V.ownership_chains(D.companies(spark, sf).select("key"), D.ownership(spark, sf), "public", "1998-01-01", 6)
-    return out.select("start", F.array_join("holders", ">").alias("holders"), "terminal", "depth")
+    return out.select("start", F.array_join("holders", ">").alias("holders"), "terminal", "depth", "complete", "truncated")
 
 
 @query(f"""with recursive e as (select * from {OWN} where {RANK.format('access_tier')} = 0), w as (select holder as a, subject as b from e union select subject, holder from e),
@@ -79,7 +97,10 @@ def trv04_contagion(spark, sf):
     return V.contagion(D.companies(spark, sf).select("key"), D.ownership(spark, sf), max_hops=2)[0].select("start", "key", "hops")
 
 
-@query()
+@query(f"""with {_WAYS.format(a="holder", b="subject", along="2 * (seq + 1099511627776)", back="2 * seq + 1", e="(select * from " + OWN + " where " + RANK.format("access_tier") + " = 0)")}, {_levels("", 3)},
+r as (select s, k, hops, u, t from l1 union all select s, k, hops, u, t from l2 union all select s, k, hops, u, t from l3),
+c as (select *, case when regexp_matches(u, '^u+$') then 'parent' when regexp_matches(u, '^d+$') then 'subsidiary' when regexp_matches(u, '^[ud]*u+d+$') then 'shares-owner' else 'group' end as link from r)
+select s as start, k as key, hops, link, case when link = 'shares-owner' then t end as shared_owner from c""")
 def trv04_link_classes(spark, sf):
     return V.contagion(D.companies(spark, sf).select("key"), D.ownership(spark, sf), max_hops=3)[0].select("start", "key", "hops", "link", "shared_owner")
 
@@ -331,7 +352,7 @@ def doc13_concerns(spark, sf):
     return Doc.concerns(ch, ev)
 
 
-@query(r"select page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(html, '<!--[^>]*-->|<[^>]*>'), lambda x: trim(x)), lambda x: x <> ''), chr(10)) as text from pages")
+@query()
 def doc01_html_text(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.html_lines(F.col("html")).alias("text"))
 
@@ -400,6 +421,26 @@ def sim08_dense_cosine(spark, sf):
     return q.join(e, "label").select("query", F.col("vec_id").alias("doc"), F.round(Ret.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
 
 
+@query("""with e as (select vec_id, embedding::double[] as v from embeddings), s as (select a.vec_id as query, b.vec_id as doc, round(list_cosine_similarity(a.v, b.v), 6) as cosine from e a, e b where a.vec_id % 20 = 0)
+select query, doc, cosine, rank::int as rank from (select *, row_number() over (partition by query order by cosine desc, doc) as rank from s) where rank <= 10""")
+def top02_vector_search(spark, sf):
+    """The stated query set: every vector whose number is divisible by 20, against all rows."""
+    e = D.table(spark, sf, "embeddings")
+    found = Vec.nearest(e.where("vec_id % 20 = 0"), Vec.build(e, "vec_id", "embedding", cells=64), 10, "vec_id", "embedding")
+    return found.select("query", F.col("key").alias("doc"), F.col("score").alias("cosine"), "rank")
+
+
+@query("""with i as (select distinct lower(w[1] || ' ' || w[2]) as v from (select string_split(text, ' ') as w from benchmark) where len(w) > 1 union select distinct lower(left(p_type, 4)) from part union select distinct lower(left(r_name, 2)) from region)
+select doc_id as doc, v as value from documents join i on contains(lower(text), v)""")
+def jon25_keyword_alerts(spark, sf):
+    """Whole texts that contain a watched value anywhere: the first two words of each benchmark text, part types, short ones."""
+    w = F.split("text", " ")
+    b = D.table(spark, sf, "benchmark").where(F.size(w) > 1).select(F.lower(F.concat_ws(" ", w[0], w[1])).alias("v"))
+    more = D.table(spark, sf, "part").select(F.lower(F.substring("p_type", 1, 4)).alias("v")).unionByName(D.table(spark, sf, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("v")))
+    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return A.containing(docs, F.lower("text"), b.unionByName(more).distinct()).select("doc", F.col("v").alias("value"))
+
+
 @query(f"""with v as (select d.doc, sum(q.weight * d.weight) as vector from {_EMB.format("(select 1 as doc, 'the that with idiot hand' as text)")} q join {_EMB.format(_DOCS)} d using (bucket) group by 1),
 l as (select doc_id as doc, (contains(h, 'the')::int + contains(h, 'that')::int + contains(h, 'with')::int + contains(h, 'idiot')::int + contains(h, 'hand')::int) / 5 as lexical from (select doc_id, lower(source || ' ' || text) as h from documents where text is not null))
 select doc, round(0.5 * coalesce(lexical, 0) + 0.5 * greatest(coalesce(vector, 0), 0), 6) as score from l full join v using (doc) order by 2 desc, 1 limit 20""")
