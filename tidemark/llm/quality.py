@@ -5,9 +5,8 @@ verdict from ``RULES``. Everything is evaluated row by row in the JVM: no
 shuffle, no user function, and each text is cut into words once.
 
 Defined results: a null text has no words, so that it fails the base rule; a
-text without words has ratios 0. Repeated rows get equal results. Other columns pass
-through; a clash with a result column is the caller's (``judge`` works from
-one text column and returns a struct).
+text without words has ratios 0. Repeated rows get equal results. An empty table gives an empty one. Other columns pass
+through; ``judge`` replaces a column that has the name of its one result, ``keep_good`` adds none.
 """
 
 from __future__ import annotations
@@ -46,6 +45,9 @@ RULES = [
 #: The same without an upper limit of words: a long clean text is a good text.
 CORPUS_RULES = [r for r in RULES if r[0] != "n_words" or r[2] is None]
 
+#: The languages of STOP_WORDS. A corpus has others, whose texts can't be held to these words.
+LISTED = ["en", "de", "fr", "es"]
+
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -135,10 +137,20 @@ def passes(m: Column, rules: list = RULES) -> Column:
 def judge(docs: DataFrame, text_col: str = "text", rules: list = RULES, into: str = "quality") -> DataFrame:
     """``docs`` with a struct column: the measures, ``base_failed`` and ``kept``."""
     m = F.col(into)
-    return docs.withColumn(into, measures(F.col(text_col))).withColumn(into, F.struct(F.col(f"{into}.*"), base_failed(m).alias("base_failed"), (~base_failed(m) & passes(m, rules)).alias("kept")))
+    made = docs.withColumn(into, measures(F.col(text_col)))
+    return made.withColumn(into, F.struct(F.col(f"{into}.*"), base_failed(m).alias("base_failed"), (~base_failed(m) & passes(m, rules)).alias("kept")))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: list = CORPUS_RULES, lang_col: str = "lang") -> DataFrame:
+    """The rows that are kept, with their own columns only.
+
+    The share of stop words counts where ``lang_col`` names a language that has a list (``LISTED``); where it is null, another one or missing, all other rules decide.
+    """
+    listed = F.coalesce(F.col(lang_col).isin(LISTED), F.lit(False)) if lang_col in docs.columns else F.lit(False)
+    words, rest = ([r for r in rules if (r[0] == "stop_share") == own] for own in (True, False))
 
+    def good(x: Column) -> Column:
+        ok = ~base_failed(x) & passes(x, rest)
+        return ok & (~listed | passes(x, words)) if words else ok
 
-def keep_good(docs: DataFrame, text_col: str = "text", rules: list = CORPUS_RULES) -> DataFrame:
-    """The rows that are kept, with their own columns only."""
-    m = F.transform(F.array(measures(F.col(text_col))), lambda x: ~base_failed(x) & passes(x, rules))[0]
-    return docs.where(m)
+    return docs.where(F.transform(F.array(measures(F.col(text_col))), good)[0])
