@@ -286,3 +286,67 @@ def test_latest_values_and_stale_ones(spark, tmp_path):
     assert ("C", 100, 7.0, True) in out
     put(spark, src, [("A", at(99), 3.0)], schema)
     assert sorted(itertools.chain(out, go())) == sorted([("C", 100, 7.0, True), ("A", 2, 2.0, False), ("B", 3, 6.0, False), ("A", 99, 3.0, True)])
+
+
+def test_filing_metadata(spark):
+    meta = spark.createDataFrame([({"company_slug": "acme", "company_name": "Acme", "accession_number": "000-1"},), ({"accession_number": "000-2", "title": "10-K"},), ({"company_slug": ""},), (None,)], "m map<string,string>")
+    got = [[tuple(x) for x in r.e] for r in meta.select(Doc.attached(F.col("m")).alias("e")).collect()]
+    assert got == [[("Company", "acme", "Acme"), ("Filing", "000-1", "000-1")], [("Filing", "000-2", "10-K")], [], []]
+    texts = spark.createDataFrame([("See EXHIBIT 31 and exhibit 23.",), ("An exhibit",), ("none",), (None,)], "t string")
+    refs = [r.e and (r.e.number, r.e.url) for r in texts.select(Doc.exhibit_reference(F.col("t"), F.lit("u")).alias("e")).collect()]
+    assert refs == [("23", "u"), (None, "u"), None, None]
+    pages = spark.createDataFrame([("<tr><td>Filing Date:</td><td>x",), ("<b>Filing date</b>: <i>2024 &amp; 5 </i></td><td>no",), ("filing date: 7 Jan</td>",), ("nothing",)], "h string")
+    assert [r.v for r in pages.select(Doc.labelled_cell(F.col("h"), "Filing Date").alias("v")).collect()] == ["Filing Date", None, "filing date: 7 Jan", None]
+    lines = spark.createDataFrame([("a\n Form type :  10-K \nb",), ("Form type:",), (None,)], "t string")
+    assert [r.v for r in lines.select(Doc.labelled_value(F.col("t"), "form type").alias("v")).collect()] == ["10-K", None, None]
+    asked = spark.createDataFrame([("What UPSIDE is left?",), ("Any opportunities?",), ("growing risks, bulletin",), (None,)], "q string")
+    assert [r.f for r in asked.select(T.focus(F.col("q")).alias("f")).collect()] == ["opportunity", "opportunity", "risk", "risk"]
+
+
+def test_mentions_by_company(spark):
+    from tidemark.operators import resolution as R
+
+    texts = spark.createDataFrame([(1, "a", "We use A.I. Tools and Peru mines."), (2, "b", "Peru and ai tools."), (3, "a", "perus AI Tools"), (4, "a", None)], "doc long, company string, text string")
+    names = spark.createDataFrame([("a", "Tech", "ai", "A.I. Tools"), ("a", "Country", "pe", "Peru"), ("b", "Tech", "ai", "AI tools"), ("c", "Country", "pe", "Peru"), ("a", "Odd", "o", "--")], "company string, kind string, key string, name string")
+    assert {tuple(r) for r in R.company_mentions(texts, names).collect()} == {(1, "a", "Tech", "ai"), (1, "a", "Country", "pe"), (2, "b", "Tech", "ai")}
+    hint = spark.createDataFrame([("SEC Form 4 filing",), ("press",), (None,)], "s string").select(R.insider_hint(F.col("s"), ["form 4", "insider"]).alias("h"))
+    assert [r.h for r in hint.collect()] == [True, False, False]
+
+
+def test_signal_feed_and_reports(spark):
+    from tidemark.operators import panels as P
+
+    found = spark.createDataFrame([("a", "hiring", "up", 0.5), ("b", "emerging_risk", "elevated", 0.7), ("c", "hiring", "up", 0.5)], "company string, type string, direction string, strength double")
+    feed = Doc.signal_feed(found, spark.createDataFrame([("a", "Acme"), ("b", "Bolt")], "company string, name string"), spark.createDataFrame([("b", "Peru"), ("b", "Chile")], "company string, country string"))
+    assert [(r.company, r.name, r.country) for r in feed.collect()] == [("b", "Bolt", "Chile"), ("a", "Acme", None), ("c", "c", None)]
+    status = spark.createDataFrame([(s,) for s in ["resolved", "review", "resolved", "unresolved"]], "status string")
+    assert tuple(P.anchor_report(status).first()) == (4, 2, 1, 1, 0.5) and tuple(P.anchor_report(status.limit(0)).first()) == (0, 0, 0, 0, 0.0)
+    log = spark.createDataFrame([("x", "y", "undecided", None, "m"), ("p", "q", "undecided", 0.9, "m"), ("p", "r", "same", 1.0, "m"), ("z", "z2", "undecided", 0.5, "other")], "left_key string, right_key string, verdict string, score double, method string")
+    assert [r.left_key for r in P.pending(log).collect()] == ["p", "z", "x"] and [r.left_key for r in P.pending(log, "m").collect()] == ["p", "x"]
+
+
+def test_scorers_of_ones_own(spark):
+    from tidemark.operators import panels as P
+
+    people = spark.createDataFrame([("k1", "john smith", "US", "1960-01-01", False)], "key string, name string, country string, birth string, insider boolean")
+    records = spark.createDataFrame([("w1", "jon smith", ["sanction"], ["us"], ["1960"]), ("w1", "smith john", ["sanction"], ["us"], ["1960"]), ("w2", "smith", ["role.pep"], [], [])], "id string, name string, topics array<string>, countries array<string>, births array<string>")
+    own = lambda pairs: pairs.groupBy("query", "record").agg(F.lit(0.95).alias("score"), F.min("name").alias("name"))
+    out = P.screen(people, records, floor=0.9, scorer=own)
+    assert {(r.target_key, r.relation, r.review_status) for r in out["edges"].collect()} == {("w1", "sanctioned", "confirmed"), ("w2", "screening_candidate", "review")}
+    firms = spark.createDataFrame([("n1", "acme", "US", False), ("n2", "other", "US", False)], "key string, name string, country string, subsidiary boolean")
+    leis = spark.createDataFrame([("L1", "acme holdings", "US", True)], "id string, name string, country string, active boolean")
+    assert {(r.key, r.lei, r.status) for r in P.anchor(firms, leis, scorer=lambda p: own(p).withColumn("score", F.lit(0.99))).collect()} == {("n1", "L1", "resolved"), ("n2", None, "unresolved")}
+
+
+def test_sinks_keep_what_they_should(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    path = str(tmp_path / "artifacts")
+    rows = lambda *x: spark.createDataFrame(x, "id long, kind string, v string")
+    sinks.save_artifacts(rows((1, "a", "x"), (1, "a", "x"), (2, "b", "y")), path, "id", "kind")
+    sinks.save_artifacts(rows((3, "b", "z")), path, "id", "kind")
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "kind", "v").collect())) == [(1, "a", "x"), (3, "b", "z")]
+    log = str(tmp_path / "log")
+    for _ in range(2):
+        sinks.append(rows((1, "a", "x")), log)
+    assert spark.read.parquet(log).count() == 2

@@ -144,3 +144,13 @@ def html_lines(html: Column) -> Column:
         return pd.Series([None if x is None else page_text(x) for x in pages], dtype=object)
 
     return of(html)
+
+
+def decoded(text: Column) -> Column:
+    """Character references as signs."""
+
+    @F.pandas_udf("string")
+    def of(values: pd.Series) -> pd.Series:
+        return pd.Series([x if x is None or "&" not in x else unescape(x) for x in values], dtype=object)
+
+    return of(text)

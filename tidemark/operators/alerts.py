@@ -15,9 +15,9 @@ GRAM = 3
 
 
 def _grams(text: Column, sizes: list[int]) -> Column:
-    """The distinct runs of so many signs in a text."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)) for n in sizes]  # noqa: B023
-    return F.array_distinct(F.flatten(F.array(*runs))) if runs else F.array().cast("array<string>")
+    """The distinct runs of so many signs in a text, found in one pass for each size."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
 
 
 def gram_keys(rows: DataFrame, text: Column, items: DataFrame, sizes: list[int]) -> DataFrame:

@@ -244,6 +244,38 @@ def signers(text: Column, anchor: str = "pursuant to the requirements", limit: i
     return F.slice(F.filter(found, lambda p: p["role"].isNotNull() & ~p["name"].rlike("(?i)llp|llc|inc")), 1, limit)
 
 
+def signal_feed(found: DataFrame, roster: DataFrame, countries: DataFrame) -> DataFrame:
+    """(company, name, country, type, direction, strength), the strongest first: signals of all companies with their names (company, name) and countries (company, country) (DOC-15, TOP-06)."""
+    names = roster.groupBy("company").agg(F.min("name").alias("name"))
+    lands = countries.groupBy("company").agg(F.min("country").alias("country"))
+    out = found.join(names, "company", "left").join(lands, "company", "left").select("company", F.coalesce("name", "company").alias("name"), "country", "type", "direction", "strength")
+    return out.orderBy(F.desc("strength"), "company", "type")
+
+
+def attached(metadata: Column) -> Column:
+    """The entities that a document's metadata names: its company and its filing, (kind, key, name) each (DOC-17)."""
+    one = lambda kind, key, name: F.when(F.coalesce(metadata[key], F.lit("")) != "", F.struct(F.lit(kind).alias("kind"), metadata[key].alias("key"), F.coalesce(metadata[name], metadata[key]).alias("name")))
+    return F.array_compact(F.array(one("Company", "company_slug", "company_name"), one("Filing", "accession_number", "title")))
+
+
+#: Exhibit numbers that are looked for, in order.
+EXHIBITS = ["21", "23", "31", "32"]
+
+
+def exhibit_reference(text: Column, url: Column) -> Column:
+    """(title, number, url) of the exhibit that a text mentions, null where it mentions none (DOC-18)."""
+    low = F.lower(text)
+    number = F.coalesce(*(F.when(low.contains(f"exhibit {n}"), n) for n in EXHIBITS))
+    return F.when(low.contains("exhibit"), F.struct(F.lit("Exhibit Reference").alias("title"), number.alias("number"), url.alias("url")))
+
+
+def labelled_cell(html: Column, label: str) -> Column:
+    """The value beside a label in a page's table: within 300 signs, up to the cell's end, after the last tag, references decoded (DOC-18)."""
+    at = F.instr(F.lower(html), label.lower())
+    cell = F.element_at(F.split(F.substring_index(html.substr(at, F.lit(300)), "</td>", 1), ">"), -1)
+    return F.when(at > 0, N.blank_to_null(F.regexp_replace(T.decoded(cell), r"^[ :\n\t\r]+|[ :\n\t\r]+$", "")))
+
+
 def labelled_value(text: Column, label: str) -> Column:
     """The rest of a line after ``label:`` (DOC-18)."""
     return N.blank_to_null(F.regexp_extract(text, rf"(?im)^\s*{label}\s*:\s*([^\n]+)$", 1))

@@ -179,3 +179,29 @@ def project_entities(companies: DataFrame) -> DataFrame:
         return own
     tech = companies.select(F.explode("products").alias("source_key"), "technologies").select(F.lit("Product").alias("source_kind"), "source_key", F.lit("uses_technology").alias("relation"), F.lit("Technology").alias("target_kind"), F.explode("technologies").alias("target_key"))
     return own.unionByName(tech)
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nodes, edges): one row (GRF-07)."""
+    both = nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(edges.select(F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("e"), F.lit(0)).alias("edges"))
+
+
+def company_nodes(companies: DataFrame, taxonomy: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """Companies with the classification that ``taxonomy`` has for their ``on``; unknown ones keep nulls (GRF-11)."""
+    return companies.join(taxonomy, on, "left").select("key", "name", *columns)
+
+
+def entities(kinds: dict[str, DataFrame]) -> DataFrame:
+    """(kind, key, name) of all tables of (key, name), by kind, name and key (FLT-16)."""
+    out = None
+    for kind, table in kinds.items():
+        rows = table.select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), "name")
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy("kind", "name", "key")
+
+
+def siblings(members: DataFrame) -> DataFrame:
+    """(key, sibling) of (key, canonical): each pair of one canonical entity's members in both directions; the members of one entity bound the rows (TRV-06)."""
+    m = members.distinct()
+    return m.join(m.select(F.col("key").alias("sibling"), "canonical"), "canonical").where("key <> sibling").select("key", "sibling")

@@ -124,7 +124,7 @@ def screen(persons: DataFrame, records: DataFrame, floor: float = 0.85, scorer:
     """
     pairs = R.blocked_pairs(persons.select("key", "name"), records.select(F.col("id").alias("key"), "name"), 0.0 if scorer else floor)
     best = (scorer or (lambda p: R.best_name(p, floor)))(pairs)
-    facts = records.groupBy(F.col("id").alias("record")).agg(F.first("topics").alias("topics"), F.first("countries").alias("countries"), F.first("births").alias("births"))
+    facts = records.groupBy(F.col("id").alias("record")).agg(F.min(F.struct("topics", "countries", "births")).alias("f")).select("record", "f.*")
     x = best.join(persons.select(F.col("key").alias("query"), "country", "birth", "insider"), "query").join(facts, "record")
     x = x.withColumn("corroborated", R.corroborates(F.col("country"), F.col("countries"), F.col("birth"), F.col("births")))
     x = x.withColumn("confirmed", R.person_gate(F.col("score"), F.col("corroborated"), F.col("insider"), floor))
@@ -143,13 +143,27 @@ def anchor(nodes: DataFrame, records: DataFrame, floor: float = 0.97, review_flo
     """
     pairs = R.blocked_pairs(nodes.select("key", "name"), records.select(F.col("id").alias("key"), "name"), 0.0 if scorer else review_floor, organisations=True)
     best = R.best_record((scorer or (lambda p: R.best_name(p, review_floor, organisations=True)))(pairs))
-    facts = records.groupBy(F.col("id").alias("record")).agg(F.first("country").alias("rc"), F.first("active").alias("active"))
+    facts = records.groupBy(F.col("id").alias("record")).agg(F.max(F.struct("active", "country")).alias("f")).select("record", F.col("f.country").alias("rc"), F.col("f.active").alias("active"))
     x = nodes.join(best.join(facts, "record"), F.col("key") == F.col("query"), "left")
     ok = R.entity_gate(F.col("score"), F.col("active"), F.coalesce(F.col("country") == F.col("rc"), F.lit(False)), F.col("subsidiary"), floor)
     status = F.when(F.col("record").isNull(), "unresolved").when(ok, "resolved").otherwise("review")
     return x.select("key", F.col("record").alias("lei"), "score", status.alias("status"))
 
 
+def anchor_report(anchored: DataFrame) -> DataFrame:
+    """(nodes, resolved, review, unresolved, rate): counters of an anchoring run, the resolved share to four digits (AGG-27)."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    rate = F.when(F.count("*") > 0, F.bround(n("resolved") / F.count("*"), 4)).otherwise(0.0)
+    return anchored.agg(F.count("*").alias("nodes"), n("resolved").alias("resolved"), n("review").alias("review"), n("unresolved").alias("unresolved"), rate.alias("rate"))
+
+
+def pending(current: DataFrame, method: str | None = None) -> DataFrame:
+    """Judgements that nobody has decided yet, those without a score last (AGG-27)."""
+    rows = current.where("verdict = 'undecided'")
+    rows = rows if method is None else rows.where(F.col("method") == method)
+    return rows.orderBy(F.desc_nulls_last("score"), "left_key", "right_key")
+
+
 #: Default tier of each basis of ownership.
 BASIS_TIER = {"owns": "public", "beneficial_owner_of": "legitimate-interest", "consolidates": "public"}
 

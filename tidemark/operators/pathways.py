@@ -154,3 +154,34 @@ def concentration(foot: DataFrame, regions: DataFrame, sectors: DataFrame) -> Da
 def densest(cells: DataFrame) -> DataFrame:
     """The fullest cell; ties by name (JON-30)."""
     return cells.orderBy(F.desc("companies"), "sector", "region").limit(1)
+
+
+def funds(holds: DataFrame) -> DataFrame:
+    """(fund, n, value): holdings of each fund and their value, the largest number first (AGG-06)."""
+    return holds.groupBy(F.col("source_key").alias("fund")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value")).orderBy(F.desc("n"), "fund")
+
+
+def coverage(companies: DataFrame, inside: Column, parts: dict[str, Column]) -> DataFrame:
+    """(market, total, in_universe, one count for each of ``parts``): how many companies of each market count, and by part (AGG-10)."""
+    each = [F.count_if(inside & c).alias(name) for name, c in parts.items()]
+    return companies.groupBy("market").agg(F.count("*").alias("total"), F.count_if(inside).alias("in_universe"), *each)
+
+
+def ranked_cells(cells: DataFrame, k: int = 6) -> DataFrame:
+    """The ``k`` cells (sector, region, companies) with the most companies (WIN-08)."""
+    return cells.orderBy(F.desc("companies"), "sector", "region").limit(k)
+
+
+def top_sectors(cells: DataFrame, k: int = 5) -> DataFrame:
+    """(sector, total): the ``k`` sectors with the most companies over all regions (TOP-12)."""
+    return cells.groupBy("sector").agg(F.sum("companies").alias("total")).orderBy(F.desc("total"), "sector").limit(k)
+
+
+def commodities(links: DataFrame) -> DataFrame:
+    """(commodity, sectors): each commodity with the sorted list of the sectors that it touches, from (commodity, sector) (FLT-17)."""
+    return links.groupBy("commodity").agg(F.array_join(F.array_sort(F.collect_set("sector")), ",").alias("sectors")).orderBy("commodity")
+
+
+def constituents(held: DataFrame, members: DataFrame) -> DataFrame:
+    """(company, idx): the indices that held companies belong to, from (company) and (company, idx) (TRV-05)."""
+    return held.select("company").distinct().join(members.select("company", "idx").distinct(), "company")

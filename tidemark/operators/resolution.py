@@ -96,6 +96,20 @@ def resolve_report(resolved: DataFrame) -> DataFrame:
     return n.withColumn("rate", F.bround(F.col("n") / F.sum("n").over(W.partitionBy()), 4))
 
 
+def link_counts(linked: DataFrame, index: str) -> DataFrame:
+    """(index, linked, unlinked): how many members of each index a cascade has found (JON-14)."""
+    found = F.col("company").isNotNull()
+    return linked.groupBy(index).agg(F.count_if(found).alias("linked"), F.count_if(~found).alias("unlinked"))
+
+
+def insider_hint(source: Column, hints: list[str]) -> Column:
+    """Whether a source's name contains any of the hints, in whatever case (FLT-14)."""
+    out = F.lit(False)
+    for h in hints:
+        out = out | F.lower(F.coalesce(source, F.lit(""))).contains(h.lower())
+    return out
+
+
 def unify(left: DataFrame, right: DataFrame, key: str = "isin") -> DataFrame:
     """Two exchange lists by a shared number: both, left or right; the first row of each side counts (JON-13).
 
@@ -286,3 +300,23 @@ def mentions(texts: DataFrame, gazetteer: DataFrame, longest: int) -> DataFrame:
 
     grams = F.array_distinct(F.flatten(F.array(*map(runs, counts)))) if counts else F.array().cast("array<string>")
     return words.select("doc", F.explode(grams).alias("name")).join(gazetteer, "name").select("doc", "key", "name").distinct()
+
+
+def company_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc, company, kind, key): entities of a document's own company whose name stands in it as whole words (JON-19).
+
+    texts (doc, company, text); names (company, kind, key, name). Runs of words meet the company's names in an equi-join; what is found is then looked for in the text as it
+    is, so that a name with signs in it matches only with them. One document's runs and one company's names bound both sides of a key.
+    """
+    known = names.withColumn("run", N.normal_ascii(F.col("name"))).where("run <> ''")
+    sizes = [r[0] for r in known.select(F.size(F.split("run", " ")).alias("n")).distinct().collect()]
+    words = texts.select("doc", "company", F.lower("text").alias("low"), F.split(N.normal_ascii(F.col("text")), " ").alias("w"))
+
+    def runs(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, made).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(runs, sizes)))) if sizes else F.array().cast("array<string>")
+    met = words.select("doc", "company", "low", F.explode(grams).alias("run")).join(known, ["company", "run"])
+    whole = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower("name"), F.lit(r"\E(?!\w)"))
+    return met.where(F.rlike(F.col("low"), whole)).select("doc", "company", "kind", "key").distinct()

@@ -9,7 +9,9 @@ from ..functions import names as N
 from ..functions import text as T
 from ..operators import alerts as A
 from ..operators import documents as Doc
+from ..operators import graph as G
 from ..operators import market as M
+from ..operators import pathways as PW
 from ..operators import resolution as R
 from ..operators import retrieval as Ret
 from ..operators import traverse as V
@@ -105,17 +107,16 @@ def trv04_link_classes(spark, sf):
     return V.contagion(D.companies(spark, sf).select("key"), D.ownership(spark, sf), max_hops=3)[0].select("start", "key", "hops", "link", "shared_owner")
 
 
-@query(f"select h.company, r_name as idx from (select distinct l_suppkey as company from lineitem where l_quantity > 49) h join supplier on s_suppkey = company join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+@query(f"select h.company, r_name as idx from (select distinct l_suppkey as company from lineitem) h join supplier on s_suppkey = company join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def trv05_constituents(spark, sf):
-    held = D.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("company")).distinct()
-    t = D.in_tier(spark, sf).select(F.col("seq").alias("company"), F.col("target_key").alias("idx"))
-    return held.join(t, "company")
+    held = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("company"))
+    return PW.constituents(held, D.in_tier(spark, sf).select(F.col("seq").alias("company"), F.col("target_key").alias("idx")))
 
 
 @query("select a.s_suppkey as key, b.s_suppkey as sibling from supplier a join supplier b on a.s_suppkey // 4 = b.s_suppkey // 4 and a.s_suppkey <> b.s_suppkey")
 def trv06_siblings(spark, sf):
     e = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.floor(F.col("s_suppkey") / 4).alias("canonical"))
-    return e.join(e.withColumnRenamed("key", "sibling"), "canonical").where("key <> sibling").select("key", "sibling")
+    return G.siblings(e)
 
 
 # ---- resolution
@@ -161,10 +162,10 @@ def jon15_cascade(spark, sf):
     return R.cascade(pos, "pos", steps).select("pos", "method", "company")
 
 
-@query("""with m as (select case when s_suppkey % 4 = 3 then 'unresolved' else 'found' end as method from supplier) select method, count(*) as n, round_even(count(*) / (select count(*) from m), 4) as rate from m group by 1""")
+@query("""with m as (select case when s_suppkey % 4 = 0 then 'ticker' when s_suppkey % 4 = 1 then 'isin' when s_suppkey % 4 = 2 then 'name' else 'unresolved' end as method from supplier)
+select method, count(*) as n, round_even(count(*) / (select count(*) from m), 4) as rate from m group by 1""")
 def agg26_resolve_report(spark, sf):
-    m = D.table(spark, sf, "supplier").select(F.when(F.col("s_suppkey") % 4 == 3, "unresolved").otherwise("found").alias("method"))
-    return R.resolve_report(m)
+    return R.resolve_report(jon15_cascade(spark, sf))
 
 
 @query("""with l as (select 'I' || s_suppkey as isin, min_by(s_name, s_suppkey) as ln from supplier where s_suppkey % 3 <> 0 group by 1), r as (select 'I' || s_suppkey as isin, upper(s_name) as rn from supplier where s_suppkey % 2 = 0)
@@ -190,6 +191,12 @@ def jon14_index_link(spark, sf):
     return R.cascade(p, "pos", steps).select("pos", F.coalesce("company", F.lit(-1)).alias("company"))
 
 
+@query("""select 'index' || (p_partkey % 5) as idx, count_if(p_partkey % 2 = 0 or p_partkey % 3 = 0)::bigint as linked, count_if(p_partkey % 2 <> 0 and p_partkey % 3 <> 0)::bigint as unlinked from part group by 1""")
+def jon14_unlinked(spark, sf):
+    found = jon14_index_link(spark, sf).select(F.concat(F.lit("index"), D.text(F.col("pos") % 5)).alias("idx"), F.when(F.col("company") >= 0, F.col("company")).alias("company"))
+    return R.link_counts(found, "idx")
+
+
 @query("""select s_suppkey as n, case when s_suppkey % 3 = 0 then 'k' || s_suppkey when s_suppkey % 3 = 1 then 'g' || s_suppkey else 'x-holder-' || s_suppkey end as key, s_suppkey % 3 < 2 as resolved from supplier""")
 def jon17_parties(spark, sf):
     k = F.col("s_suppkey")
@@ -349,7 +356,18 @@ def doc13_concerns(spark, sf):
     p, sent = _periods(spark, sf), _cut_once(spark, sf)
     ch = _changes(spark, sf, sent).join(p.select("doc", "company"), "doc")
     ev = Doc.events(sent).join(p.select("doc", "company"), "doc")
-    return Doc.concerns(ch, ev)
+    land = p.select("company", F.col("source").alias("country"), F.col("company").alias("supplier"))
+    return Doc.concerns(ch, ev, land)
+
+
+@query()
+def doc15_signal_feed(spark, sf):
+    p, sent = _periods(spark, sf), _cut_once(spark, sf)
+    ch = _changes(spark, sf, sent).join(p.select("doc", "company"), "doc")
+    ev = Doc.events(sent).join(p.select("doc", "company"), "doc")
+    land = p.select("company", F.col("source").alias("country"))
+    found = Doc.signals(ch, ev, p.select("company", F.lit("filing").alias("document_type")), land)
+    return Doc.signal_feed(found, p.select("company", F.upper("company").alias("name")), land)
 
 
 @query()

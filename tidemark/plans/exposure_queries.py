@@ -82,9 +82,7 @@ def grf06_neighbours(spark, sf):
 
 @query(f"select (select count(*) from supplier) as nodes, (select count(*) from {REFS}) as edges")
 def grf07_counts(spark, sf):
-    n, e = D.companies(spark, sf).agg(F.count("*").alias("nodes")), D.references(spark, sf).agg(F.count("*").alias("edges"))
-    both = n.withColumn("one", F.lit(1)).join(e.withColumn("one", F.lit(1)), "one")
-    return both.select("nodes", "edges")
+    return G.counts(D.companies(spark, sf), D.references(spark, sf))
 
 
 @query(f"select 'in_market_tier' as relation, company as source_key, lower(tier) as target_key from {IN_TIER} union all select 'operates_in', s_suppkey::varchar, n_name from supplier join nation on s_nationkey = n_nationkey")
@@ -125,7 +123,8 @@ def grf10_project_entities(spark, sf):
 @query("select s_suppkey::varchar as key, s_name as name, n_name as country, r_name as tier, substr(s_name, 1, 3) as industry from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
 def grf11_company_nodes(spark, sf):
     n = D.table(spark, sf, "nation").join(D.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"), F.col("r_name").alias("tier"))
-    return D.companies(spark, sf).join(n, "s_nationkey", "left").select("key", "name", "country", "tier", F.substring("name", 1, 3).alias("industry"))
+    named = G.company_nodes(D.companies(spark, sf), n, "s_nationkey", ["country", "tier"])
+    return named.withColumn("industry", F.substring("name", 1, 3))
 
 
 @query(f"select fund, company, {RANK.format('access_tier')}::int as rank, access_tier from {HOLDS} where {RANK.format('access_tier')} <= 1")
@@ -156,14 +155,13 @@ def flt15_list_documents(spark, sf):
 
 @query("select kind, key, name from (select 'Company' as kind, s_suppkey::varchar as key, s_name as name from supplier union all select 'Country', n_nationkey::varchar, n_name from nation)")
 def flt16_list_entities(spark, sf):
-    c = D.companies(spark, sf).select("kind", "key", "name")
-    n = D.table(spark, sf, "nation").select(F.lit("Country").alias("kind"), D.text("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    return c.unionByName(n).orderBy("kind", "name", "key")
+    n = D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    return G.entities({"Company": D.companies(spark, sf), "Country": n})
 
 
 @query("select p_brand as commodity, array_to_string(list_sort(list(distinct p_type)), ',') as sectors from part group by 1")
 def flt17_commodities(spark, sf):
-    return D.table(spark, sf, "part").groupBy(F.col("p_brand").alias("commodity")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("sectors")).orderBy("commodity")
+    return P.commodities(D.table(spark, sf, "part").select(F.col("p_brand").alias("commodity"), F.col("p_type").alias("sector")))
 
 
 @query(f"""select fund, company, case when shares is not null then concat_ws(' · ', format('{{:,}}', shares) || ' shares', case when company::bigint % 2 = 0 then 'Insider' end) end as detail from {HOLDS}""")
@@ -290,7 +288,7 @@ def agg05_bridge_people(spark, sf):
 
 @query(f"select fund, count(*) as n, round(sum(value), 2) as value from {HOLDS} group by 1")
 def agg06_funds(spark, sf):
-    return D.holds(spark, sf).groupBy(F.col("source_key").alias("fund")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value")).orderBy(F.desc("n"), "fund")
+    return P.funds(D.holds(spark, sf))
 
 
 @query(f"select fund, company, value, shares from {_SEEN}")
@@ -321,7 +319,7 @@ from supplier join nation on s_nationkey = n_nationkey join region on n_regionke
 def agg10_coverage(spark, sf):
     t = D.in_tier(spark, sf).select(F.col("target_key").alias("market"), F.col("seq").alias("s_suppkey")).join(D.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey")
     inside = F.col("s_acctbal") > 0
-    return t.groupBy("market").agg(F.count("*").alias("total"), F.count_if(inside).alias("in_universe"), F.count_if(inside & (F.col("s_suppkey") % 2 == 0)).alias("main"), F.count_if(inside & (F.col("s_suppkey") % 2 == 1)).alias("second"))
+    return P.coverage(t, inside, {"main": F.col("s_suppkey") % 2 == 0, "second": F.col("s_suppkey") % 2 == 1})
 
 
 @query(f"select relation, count_if({RANK.format('access_tier')} <= 0)::bigint as visible, count_if({RANK.format('access_tier')} > 0)::bigint as withheld from {OWN} group by 1")
@@ -362,12 +360,12 @@ def jon30_densest(spark, sf):
 
 @query(f"select * from {_CELLS} order by companies desc, sector, region limit 6")
 def win08_ranked_cells(spark, sf):
-    return _cells(spark, sf).orderBy(F.desc("companies"), "sector", "region").limit(6)
+    return P.ranked_cells(_cells(spark, sf))
 
 
 @query(f"select sector, sum(companies)::bigint as total from {_CELLS} group by 1 order by 2 desc, 1 limit 5")
 def top12_sectors(spark, sf):
-    return _cells(spark, sf).groupBy("sector").agg(F.sum("companies").alias("total")).orderBy(F.desc("total"), "sector").limit(5)
+    return P.top_sectors(_cells(spark, sf))
 
 
 @query(f"""with u as (select fund as a, company as b from {HOLDS} union select company, fund from {HOLDS})

@@ -105,10 +105,14 @@ def jon20_classify(spark, sf):
     return P.classify(c, paths, tiers)
 
 
-@query(f"""select 'Fund ' || fund as source_key, 'holds' as relation, company as target_key, s_name as far_name, 'in' as direction from {HOLDS} left join supplier on false where company = '3' and {RANK.format('access_tier')} <= 0""")
+@query(f"""select 'Fund ' || fund as source_key, 'holds' as relation, company as target_key, c_name as far_name, 'in' as direction from {HOLDS} join customer on c_custkey = fund::bigint where company = '3' and {RANK.format('access_tier')} <= 0
+union all select b, 'references', a, s_name, 'out' from (select distinct a as b, b as a from {REFS} where a = '3') join supplier on s_suppkey = a::bigint""")
 def prj05_neighbourhood(spark, sf):
-    e = D.holds(spark, sf).withColumn("source_key", F.concat(F.lit("Fund "), "source_key"))
-    return P.neighbourhood(e, D.companies(spark, sf), "3")
+    cols = ["source_kind", "source_key", "relation", "target_kind", "target_key", "access_tier"]
+    e = D.holds(spark, sf).withColumn("source_key", F.concat(F.lit("Fund "), "source_key")).select(*cols)
+    r = D.references(spark, sf).where("source_key = '3'").withColumn("access_tier", F.lit("public")).select(*cols).distinct()
+    funds = D.table(spark, sf, "customer").select(F.lit("Fund").alias("kind"), F.concat(F.lit("Fund "), D.text("c_custkey")).alias("key"), F.col("c_name").alias("name"))
+    return P.neighbourhood(e.unionByName(r), D.companies(spark, sf).select("kind", "key", "name").unionByName(funds), "3")
 
 
 @query("select doc_id as doc, source as p_source, (case when source = 'src1' then 0.9 else 0.5 end)::double as authority from documents")
@@ -188,17 +192,17 @@ def set02_compare(spark, sf):
     return Doc.changes(s, d).select("doc", "norm", "kind")
 
 
-@query("select doc_id as doc, substr(title, 1, 5) || ' note ' || s as head from (select doc_id, left(text, 20) as title, string_split(text, chr(10))[1] as s from documents where text is not null)")
+@query("""select doc_id as doc, source || ' note ' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: coalesce(lang, '') || ' ' || x), ' ') || ' ' || source as whole from documents where text is not null""")
 def sim12_document_text(spark, sf):
-    s = _sections(spark, sf).where("s_order = 0").select(F.col("doc").alias("doc_id"), F.array(F.struct(F.col("content").alias("title"), F.lit(None).cast("string").alias("content"))).alias("sections"))
-    d = D.table(spark, sf, "documents").where("text is not null").join(s, "doc_id")
-    none = F.array().cast("array<struct<name:string>>")
-    return d.select(F.col("doc_id").alias("doc"), Ret.document_text(F.substring("text", 1, 5), F.lit("note"), F.col("sections"), none).alias("head"))
+    """Whole texts: each line is a section whose title is the language; the source is an entity."""
+    sections = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.coalesce("lang", F.lit("")).alias("title"), x.alias("content")))
+    d = D.table(spark, sf, "documents").where("text is not null")
+    return d.select(F.col("doc_id").alias("doc"), Ret.document_text(F.col("source"), F.lit("note"), sections, F.array(F.struct(F.col("source").alias("name")))).alias("whole"))
 
 
-@query("""with h as (select doc_id, (contains(h, 'idiot')::int + contains(h, 'pathetic')::int) / 2 as score, source from (select doc_id, source, lower(source || ' ' || text) as h from documents where text is not null)), t as (select * from h where score > 0 order by score desc, doc_id limit 3)
-select string_agg('- ' || doc_id || ' [' || source || ']', chr(10) order by score desc, doc_id) as answer from t""")
+@query("""with h as (select doc_id, (contains(h, 'idiot')::int + contains(h, 'pathetic')::int) / 2 as score, source, left(text, 280) as excerpt from (select doc_id, source, text, lower(source || ' ' || text) as h from documents where text is not null)), t as (select * from h where score > 0 order by score desc, doc_id limit 3)
+select string_agg('- ' || excerpt || ' [' || source || ']', chr(10) order by score desc, doc_id) as answer from t""")
 def sim11_answer(spark, sf):
     d = D.table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.col("source").alias("uri"), "text")
-    hits = Ret.lexical(d, "idiot pathetic").withColumnRenamed("lexical", "score").where("score > 0").join(d, "doc").withColumn("excerpt", D.text("doc"))
+    hits = Ret.lexical(d, "idiot pathetic").withColumnRenamed("lexical", "score").where("score > 0").join(d, "doc").withColumn("excerpt", F.substring("text", 1, 280))
     return Ret.answer(hits)
