@@ -69,12 +69,14 @@ def _levels(start: str, hops: int) -> str:
     return ", ".join([first, *(_LEVEL.format(h=h, g=h - 1, seen=seen(h)) for h in range(1, hops + 1))])
 
 
-_PATH = F.concat(F.lit("|"), F.array_join(F.transform("path", lambda x: F.concat(x["seq"].cast("string"), F.when(x["up"], "<").otherwise(">"), x["to"])), "|"))
+def _written(path: str):
+    """A path as text: each step's edge number, its direction and where it arrives."""
+    return F.concat(F.lit("|"), F.array_join(F.transform(path, lambda x: F.concat(x["seq"].cast("string"), F.when(x["up"], "<").otherwise(">"), x["to"])), "|"))
 
 
 @query(f"with {_WAYS.format(a='a', b='b', along='2 * seq', back='2 * seq + 1', e=REFS)}, {_levels('where s_suppkey % 20 = 0', 2)} select s as start, k as key, hops, p as path from l1 union all select s, k, hops, p from l2")
 def trv02_network(spark, sf):
-    return V.network(_starts(spark, sf), D.references(spark, sf), 2).select("start", "key", "hops", _PATH.alias("path"))
+    return V.network(_starts(spark, sf), D.references(spark, sf), 2).select("start", "key", "hops", _written("path").alias("path"))
 
 
 _CHAINS = f"""with recursive e as (select * from {OWN} where valid_from <= date '1998-01-01'),
