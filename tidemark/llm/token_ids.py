@@ -284,7 +284,9 @@ def write(tokens: DataFrame, path: str) -> None:
         if held:
             yield block()
 
-    ordered = tokens.repartitionByRange("id").sortWithinPartitions("id", "ids").select("id", "n_tokens", "ids")
+    # rows of one id, null included, are split as well: by a hash of their ids, equal ones by their number
+    dealt = tokens.select("id", "n_tokens", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("r"))
+    ordered = dealt.repartitionByRange("id", "h", "r").sortWithinPartitions("id", "h", "r").select("id", "n_tokens", "ids")
     ordered.mapInArrow(run, "shard long, start long, n_ids long, n_docs long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
