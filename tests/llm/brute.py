@@ -99,8 +99,8 @@ def raked(rows, targets, limits=(), rounds=400):
     return {d: min(1.0, weight[c] / top) for d, (c, _) in rows.items()}
 
 
-def n_peaks(samples, size=256, hop=128, bands=(1, 9, 17, 33, 65, 129), standout=4.0):
-    """Peaks of a sound by one transform at a time: the strongest bin of each band, where it stands out in its band and in time."""
+def peaks(samples, size=256, hop=128, bands=(1, 9, 17, 33, 65, 129), standout=4.0):
+    """(frame, bin) of the peaks of a sound by one transform at a time: the strongest bin of each band, where it stands out in its band and in time."""
     x = np.concatenate([np.zeros(hop, np.float32), (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128])
     frames = []
     at = 0
@@ -109,14 +109,25 @@ def n_peaks(samples, size=256, hop=128, bands=(1, 9, 17, 33, 65, 129), standout=
         at += hop
     frames.append(np.pad(x[at:], (0, size - len(x[at:]))))
     window = np.hanning(size).astype(np.float32)
-    value = []
+    value, bins = [], []
     for f in frames:
         z = np.fft.rfft(f * window)
         e = z.real**2 + z.imag**2
         value.append([e[a:b].max() if e[a:b].max() > standout * e[a:b].mean() else 0 for a, b in zip(bands, bands[1:])])
+        bins.append([a + int(e[a:b].argmax()) for a, b in zip(bands, bands[1:])])
     value = np.array(value)
     before, after = np.vstack([np.zeros(5), value[:-1]]), np.vstack([value[1:], np.zeros(5)])
-    return int(((value > 1e-6) & (value > before) & (value >= after)).sum())
+    return [(int(t), bins[t][k]) for t, k in np.argwhere((value > 1e-6) & (value > before) & (value >= after))]
+
+
+def n_peaks(samples):
+    return len(peaks(samples))
+
+
+def peak_pairs(samples, fan=3, reach=32):
+    """Sorted (frame, hash) of each peak with the next ones that are near."""
+    p = peaks(samples)
+    return sorted((t, b << 16 | c << 8 | u - t) for i, (t, b) in enumerate(p) for u, c in p[i + 1 : i + 1 + fan] if u - t <= reach)
 
 
 def url_tree(rows, many=20, least=5, width=1.0, grid=200, prior=6.0, floor=0.7):
@@ -181,3 +192,9 @@ def url_tree(rows, many=20, least=5, width=1.0, grid=200, prior=6.0, floor=0.7):
         p = purity(*sums[key[0], tuple(t)])
         out[key] = ("/".join(t), round(p, 9), "block" if p < floor * share else "allow")
     return out
+
+
+def draw(number, seed=7):
+    """A number from 0 to 1 for an id: two rounds of the 64-bit hash, its low 52 bits."""
+    h = xxhash.xxh64_intdigest(number.to_bytes(8, "little", signed=True), 42)
+    return (xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), h) & (1 << 52) - 1) / (1 << 52)

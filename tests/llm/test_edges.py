@@ -536,6 +536,44 @@ def test_long_clean_texts_stay(spark):
     assert quality.keep_good(long).count() == 1
 
 
+def test_quality_of_other_languages(spark):
+    """Clean texts whose language has no list of stop words stay; a listed language is held to its own."""
+    from tidemark.llm import quality
+
+    russian = "Вчера вечером мы долго гуляли по старому городу и смотрели на реку, а потом зашли в маленькое кафе около площади, где пили чай."
+    polish = "Wczoraj wieczorem długo spacerowaliśmy po starym mieście, patrzyliśmy na rzekę, potem wstąpiliśmy do małej kawiarni przy rynku, gdzie piliśmy herbatę przed snem."
+    soup = "kfjd lkwe poqi mnzb xcvo weir alsk djfh gqpw oeir utyz mxnc bvla ksjd hfgp qowi eury tmzn xbcv alsk djfg hpqo wieu ryt"
+    rows = [(1, russian, "ru"), (2, russian, None), (3, polish, "pl"), (4, soup, "en"), (5, soup, "xx"), (6, None, "en"), (7, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {1, 2, 3, 5}
+    assert quality.keep_good(df.drop("lang")).columns == ["doc_id", "text"] and quality.keep_good(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["plain", "long"])
+def test_pipeline_of_odd_rows(spark, odd):
+    """All five stages over nulls, empty and very long texts, copies, repeated ids and extra columns."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    words = {"en": "the of and to in is house water river stone".split(), "de": "der die das und ist haus wasser fluss stein nicht".split()}
+    text = lambda lang, n: " ".join(r.choice(words[lang]) + (str(r.randrange(99)) if r.random() < 0.5 else "") for _ in range(n)) + "."
+    rows = [(i, text(lang, 60), lang if i % 5 else None, f"src{i % 3}" if i % 7 else None) for i, lang in enumerate(["en", "de"] * 40)]
+    rows += [(100, None, None, None), (101, "", "en", "src1"), (102, " \n", None, None), (None, text("en", 60), "en", None), rows[3], (103, rows[4][1], "en", "src2")]
+    if odd == "long":
+        rows += [(104, text("de", 60_000), "de", "src1")]
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), 1, "k") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, key long, quality string")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "").cache()
+        assert name == "bpe_encoding" or out.columns == before.columns
+        docs = out
+        if name == "simhash_dedup":
+            kept = [x.doc_id for x in out.collect()]
+            # of each group of copies the smallest id, with all its rows; a row without an id stays where it is alone
+            assert sorted(map(str, kept)) == sorted(map(str, [*set(kept), 3])) and {3, 4, None} <= set(kept) and not {100, 101, 102, 103} & set(kept) and (odd == "plain" or 104 in kept)
+    assert {x.doc_id for x in docs.collect()} <= set(kept)
+
+
 def test_mixing_keeps_languages_without_a_target(spark):
     from tidemark.llm import langid, mixing
 

@@ -14,7 +14,8 @@ backslash is doubled, ``</turn>`` becomes ``<\\/turn>``, ``###`` becomes
 
 Defined results: a null text or role is empty; rows of equal turn are ordered by role
 and text; repeated rows are repeated turns; a null conversation id is one
-conversation, a null turn comes first. An empty table gives an empty table.
+conversation, a null turn comes first. An empty table gives an empty table. Other columns are ignored, whatever their names. A conversation's turns are
+formatted one after another in one task, in bounded memory, as its digests are running hashes.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts in blocks of canonical Huffman codes, written, read back and summed up for each document."""
     docs = _table(spark, sf_dir, "documents")
     back = token_ids.roundtrip(docs, tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-files"), end_id=2)
     return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", token_ids.crc32_of(F.col("ids")).alias("ids_crc32"))
@@ -30,6 +31,7 @@ EXTRA = "\\### Assistant: </turn> ok"
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with the template's own marks, formatted, stored and read back: digests of turns and of the trained text."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", EXTRA), (-7, 1, "assistant", EXTRA)], turns.schema)
     formatted = stored(chat.format_chat(turns.unionByName(extra)), "chat")
@@ -44,12 +46,14 @@ def _decoded(made: bpe.Vocabulary, ids: np.ndarray) -> tuple[str, str]:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through the merge transducer and back: digests of the ids and of the decoded bytes."""
     ranks, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode(docs, ranks, pattern, columns="ids_sha256 string, decoded_sha256 string", of=_decoded).withColumnRenamed("id", "doc_id")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page: by rule, else by the purity of its path's template among labelled pages."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     # the last number of a page's path is the document that it shows
     key = F.expr(r"try_cast(regexp_extract(url, '/([0-9]+)[^/]*/?(?:[?#].*)?$', 1) as bigint)")
@@ -58,11 +62,13 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and the group of each under links of at most 4 differing bits."""
     groups = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as sound files, stored, read back and fingerprinted by pairs of spectral peaks."""
     docs = _table(spark, sf_dir, "documents")
     n_bytes = F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long")
     wav = stored(docs.select("doc_id", n_bytes.alias("n_bytes"), media.to_wav(media.padded(F.col("text"))).alias("media")), "media")
@@ -81,6 +87,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the threshold table for every document; built-in functions only."""
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in names))
@@ -112,6 +119,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every document by the smallest compressed size; labels of a fifth of the documents are never seen."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     taught = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
