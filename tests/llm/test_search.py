@@ -201,7 +201,7 @@ def test_negatives(spark, monkeypatch, seed):
     rows += [(600, 1, None), (601, None, [1.0] * 5), (602, 1, [1.0, None, 1.0, 1.0, 1.0]), (603, 2, [float("nan")] * 5), (604, 2, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (None, 1, [1.0] * 5), (605, 1, []), (650, 0, [0.0] * 5), (651, 0, [0.5, 0.5])]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, label int, embedding array<double>, row long, leaf string")
     padded = [(i, lab, v if v is None else [*v, *[0.0] * (5 - len(v))]) for i, lab, v in rows]
-    got = gnat.negatives(df, "vec_id", "label", "embedding", every=25)
+    got = gnat.negatives(df, "vec_id", "label", "embedding", every=25, leaf=32)
     assert sorted(map(tuple, got.collect())) == plain_negatives(padded, 25)
     if seed == 1:
         assert gnat.negatives(df.limit(0), "vec_id", "label", "embedding").count() == 0
@@ -221,7 +221,7 @@ def test_tree_loses_no_leaf_and_leaves_out_some():
 
     rng = np.random.default_rng(5)
     rows = (rng.normal(size=(12, 4))[rng.integers(12, size=1500)] * 200 + rng.normal(size=(1500, 4)) * 8).astype(np.int64)
-    nodes = gnat.grow(rows[:600])
+    nodes = gnat.grow(rows[:600], leaf=64)
     leaf, seen = gnat.leaf_of(nodes, rows), gnat.Ranges(nodes)
     seen.add(nodes, rows)
     asks = rows[:40]

@@ -6,6 +6,8 @@ from that point to a row below the child, and from the origin. A search asks for
 With the norms of a subtree, that is an annulus of distances around the vector; by the triangle inequality, a child one of whose ranges the
 annulus misses has no such row. Leaves are read exactly, in whole numbers.
 
+An ask moves to every leaf that can hold an answer, which in many dimensions are most, so leaves are few and large.
+
 The split points are chosen from a sample of at most ``SAMPLE`` rows, so the tree's size is bounded; every row is put into a leaf and the
 ranges are those of all rows. A leaf that holds very many rows is cut into pages of ``PAGE`` rows, which different tasks read. Vectors and
 asks are packed as bytes, so a task multiplies blocks of them.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 #: Split points of a node; rows of the sample; a node of fewer sampled rows is a leaf; rows of a page and asks of a block.
-FAN, SAMPLE, LEAF, PAGE, BLOCK = 8, 8192, 64, 1024, 128
+FAN, SAMPLE, LEAF, PAGE, BLOCK = 8, 8192, 512, 1024, 128
 #: Room for rounding in distances.
 SLACK = 1e-6
 
@@ -189,10 +191,10 @@ def whole_numbers(rows: DataFrame, id_col: str, label_col: str, vector_col: str,
     return taken.mapInArrow(run, "id long, label long, v binary")
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> list[Node]:
+def fit(rows: DataFrame, sample: int = SAMPLE, leaf: int = LEAF) -> list[Node]:
     """The tree for at most ``sample`` rows, those of the smallest hashes of id and vector."""
     taken = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample).toArrow()
-    return grow(_matrix(taken.column("v").combine_chunks())) if taken.num_rows else []
+    return grow(_matrix(taken.column("v").combine_chunks()), leaf=leaf) if taken.num_rows else []
 
 
 def assigned(rows: DataFrame, nodes: list[Node]) -> DataFrame:
@@ -352,7 +354,7 @@ def best_in_windows(pages: DataFrame, asks: DataFrame, windows: DataFrame, n: in
 
 
 def negatives(
-    rows: DataFrame, id_col: str, label_col: str, vector_col: str, every: int = 50, n_positives: int = 5, n_negatives: int = 3, low_percent: int = 50, high_percent: int = 95
+    rows: DataFrame, id_col: str, label_col: str, vector_col: str, every: int = 50, n_positives: int = 5, n_negatives: int = 3, low_percent: int = 50, high_percent: int = 95, leaf: int = LEAF
 ) -> DataFrame:
     """(anchor, positive, rank, negative, positive_score, negative_score): hard negatives of the rows whose id is divisible by ``every``.
 
@@ -364,7 +366,7 @@ def negatives(
     rows give no rows. Other columns are ignored, whatever their names. Components or scores past 32 and 64 bits are an error.
     """
     plain = whole_numbers(rows, id_col, label_col, vector_col)
-    nodes = fit(plain)
+    nodes = fit(plain, leaf=leaf)
     table = assigned(plain, nodes)
     seen = ranges_of(table, nodes)
     pages = packed(table, "row", PAGE, {"id": "<i8", "label": "<i8", "v": "bytes"})
