@@ -518,6 +518,20 @@ def test_similar_groups_without_the_cheap_links(spark, monkeypatch):
     assert got == group
 
 
+def test_parity_bitmaps_differ_no_more_than_their_sets():
+    from tidemark.llm import simhash
+
+    r = np.random.default_rng(8)
+    for n in (0, 1, 7, 200, 3000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for changed in (0, 1, n // 9, n // 2, n):
+            b = np.unique(np.concatenate([a[changed:], r.integers(0, 1 << 63, changed).astype(np.uint64)]))
+            bits = sum((int(x) ^ int(y)).bit_count() for x, y in zip(simhash.parity(a).view(np.uint64), simhash.parity(b).view(np.uint64)))
+            most = len(np.setxor1d(a, b))
+            assert bits <= most and bits % 2 == most % 2
+    assert len(simhash.parity(np.zeros(0, np.uint64))) == simhash.PARITY // 64
+
+
 def test_long_clean_texts_stay(spark):
     """The margin doesn't fall with the length, and no number of words is too many."""
     from tidemark.llm import langid, quality

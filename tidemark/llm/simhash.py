@@ -159,6 +159,8 @@ BANDS, ROWS = 24, 6
 CROWD, LEADERS = 32, 3
 #: Texts that tell which shingles are common, and the most common shingles to know. They only order the prefixes.
 SAMPLE_DOCS, COMMON = 20_000, 1 << 17
+#: Bits of a set's parity bitmap.
+PARITY = 512
 
 _RNG = np.random.default_rng(20240101)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,6 +201,12 @@ def prefix(values: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
     return np.concatenate([values[~known], values[known]])[: prefix_length(len(values), similarity)]
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, as signed numbers: each value flips one bit. Two bitmaps differ in no more bits than their sets in values."""
+    flips = np.bincount((values % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
+
+
 def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     """The shingles that occur in two or more of a bounded sample of texts, sorted; at most ``COMMON``."""
 
@@ -214,17 +222,17 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
 
 def sketches(text: Column, common: np.ndarray, shingle: int = 5, similarity: float = 0.8) -> Column:
-    """A struct of the set's hash and size, the fingerprint, the band keys and the prefix."""
+    """A struct of the set's hash and size, the fingerprint, the band keys, the prefix and the parity bitmap."""
 
-    @F.pandas_udf("node long, size int, fp long, bands array<long>, prefix array<long>")
+    @F.pandas_udf("node long, size int, fp long, bands array<long>, prefix array<long>, bits array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hashes = shingle_hashes((t or "").encode(), shingle)
             own = np.unique(hashes)
             ids = np.array([xxhash.xxh64_intdigest(own.tobytes(), 42), majority(hashes)], np.uint64).view(np.int64)
-            rows.append((ids[0], len(own), ids[1], sketch(own), prefix(own, common, similarity).view(np.int64)))
-        return pd.DataFrame(rows, columns=["node", "size", "fp", "bands", "prefix"])
+            rows.append((ids[0], len(own), ids[1], sketch(own), prefix(own, common, similarity).view(np.int64), parity(own)))
+        return pd.DataFrame(rows, columns=["node", "size", "fp", "bands", "prefix", "bits"])
 
     return of(text)
 
@@ -282,19 +290,22 @@ def _open_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> tuple[
     """(a, b): every pair of sets in different groups that may be similar enough; and the tables behind it.
 
     Two such sets share a value of their prefixes, differ in size by no more than the similarity allows,
-    and have values enough from the first shared one on. Keys of one group make no pair; crowded keys are salted.
+    have values enough from the first shared one on, and parity bitmaps that differ in no more bits than the sets
+    may in values. Keys of one group make no pair; crowded keys are salted.
     """
     shared, many = repeated(nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")), "sketch-prefix")
     grouped = stored(shared.drop("n").join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "at"), "sketch-grouped")
     mixed_keys = stored(grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "sketch-open-keys")
-    mixed = stored(grouped.join(mixed_keys, "key"), "sketch-open")
+    mixed = stored(grouped.join(mixed_keys, "key").join(nodes.select("node", "bits"), "node"), "sketch-open")
     discard(shared, many, grouped, mixed_keys)
     parts = F.ceil(F.col("n") / CROWD).cast("int")
-    a = mixed.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("at").alias("ia"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("pa"))
-    b = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("at").alias("ib"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("pb"))
+    a = mixed.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("at").alias("ia"), F.col("bits").alias("ba"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("pa"))
+    b = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("at").alias("ib"), F.col("bits").alias("bb"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("pb"))
     sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
-    met = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("pa") == F.col("pb")) & (F.col("ra") < F.col("rb")) & sizes & left)
+    differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(PARITY // 64)), F.lit(0))
+    near = differ * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    met = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("pa") == F.col("pb")) & (F.col("ra") < F.col("rb")) & sizes & left & near)
     return met.select("a", "b").distinct(), [mixed]
 
 
@@ -309,7 +320,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     common = common_shingles(docs, text_col, shingle)
     made = stored(docs.select(F.col(id_col).alias("id"), sketches(F.col(text_col), common, shingle, similarity).alias("s")).select("id", "s.*"), "sketch")
-    first = [F.first(c).alias(c) for c in ("size", "fp", "bands", "prefix")]
+    first = [F.first(c).alias(c) for c in ("size", "fp", "bands", "prefix", "bits")]
     nodes = stored(made.groupBy("node").agg(F.min("id").alias("least"), *first), "sketch-nodes")
     rows = stored(made.select("id", "node"), "sketch-ids")
     discard(made)
