@@ -215,6 +215,33 @@ def test_signals_by_all_rules(spark):
     }
 
 
+def test_signals_cite_their_evidence(spark):
+    ch = spark.createDataFrame(
+        [("a", 2, "added", "guidance", "We expect softer sales"), ("a", 1, "removed", "guidance", "Steady"), ("a", 1, "added", "risk", "r2"), ("a", 1, "added", "litigation", "r1"), ("a", 3, "added", "risk", "r3"), ("a", 0, "removed", "risk", "gone"), ("a", 4, "added", "supply_chain", "s1")],
+        "company string, doc long, kind string, category string, statement string",
+    )
+    ev = spark.createDataFrame([("a", 9, 5, "litigation", "later"), ("a", 9, 4, "litigation", "sooner"), ("b", 1, 1, "product", "p")], "company string, doc long, seq long, category string, sentence string")
+    docs = spark.createDataFrame([("b", 8, "patent", None), ("b", 7, "patent", "A valve"), ("b", 1, "job_posting", None)], "company string, doc long, document_type string, title string")
+    land = spark.createDataFrame([("b", "Peru"), ("b", "Chile"), ("b", None), ("c", None)], "company string, country string")
+    out = Doc.cited(Doc.signals(ch, ev, docs, land), Doc.signal_evidence(ch, ev, docs, land))
+    assert {(r.company, r.type): (r.label, r.rationale, r.evidence) for r in out.collect()} == {
+        ("a", "management_confidence"): ("Management confidence", "Guidance language weakened in the latest disclosure.", ["Steady"]),
+        ("a", "emerging_risk"): ("Emerging risk", "5 new risk/regulatory/legal signal(s) versus the prior period.", ["r1", "r2", "sooner"]),
+        ("a", "supply_chain_stress"): ("Supply-chain stress", "Supplier-related changes versus the prior disclosure.", ["s1"]),
+        ("b", "patent_momentum"): ("Patent momentum", "2 patent record(s) indicate ongoing R&D output.", ["A valve"]),
+        ("b", "hiring"): ("Hiring activity", "1 active job posting(s) signal investment in capacity.", ["job_posting"]),
+        ("b", "geopolitical"): ("Geopolitical exposure", "Supply chain spans Chile, Peru.", ["b is exposed to Chile, Peru via its suppliers."]),
+    }
+    assert Doc.cited(Doc.signals(ch.limit(0), ev.limit(0), docs.limit(0), land.limit(0)), Doc.signal_evidence(ch.limit(0), ev.limit(0), docs.limit(0), land.limit(0))).count() == 0
+
+
+def test_concerns_give_their_reasons(spark):
+    ch = spark.createDataFrame([("c", "removed", "litigation", "A court case.", "10-K")], "company string, kind string, category string, statement string, source string")
+    ev = spark.createDataFrame([("c", "executive", "The CEO left.", "8-K")], "company string, category string, sentence string, source string")
+    land = spark.createDataFrame([("c", "Peru", "s1")], "company string, country string, supplier string")
+    assert [r.rationale for r in Doc.concerns(ch, ev, land).orderBy("rank").collect()] == ["Removed in 10-K: A court case.", "Event (8-K): The CEO left.", "c depends on s1 operating in Peru, creating concentration/geopolitical exposure."]
+
+
 def put(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -126,38 +128,79 @@ def change_sets(ch: DataFrame) -> DataFrame:
     return ch.groupBy("doc").agg(F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"), F.bool_or(~F.col("category").isin(IMMATERIAL)).alias("material"))
 
 
-def signals(ch: DataFrame, ev: DataFrame, docs: DataFrame, countries: DataFrame) -> DataFrame:
-    """(company, type, direction, strength) by seven rules over material changes (company, kind, category, statement),
-    events (company, category), documents (company, document_type) and countries (company, country) (DOC-12, TOP-06)."""
-    risk = F.col("category").isin("risk", "regulatory", "litigation")
+#: Signals and their labels.
+SIGNALS = {
+    "management_confidence": "Management confidence", "emerging_risk": "Emerging risk", "supply_chain_stress": "Supply-chain stress", "hiring": "Hiring activity",
+    "patent_momentum": "Patent momentum", "capital_allocation": "Capital allocation trend", "geopolitical": "Geopolitical exposure",
+}
+#: Words of weakened guidance.
+SOFT = ("lower", "soft")
+#: Categories that make a risk.
+RISKY = ["risk", "regulatory", "litigation"]
+
+
+def signals(ch: DataFrame, ev: DataFrame, docs: DataFrame, countries: DataFrame, soft: tuple = SOFT) -> DataFrame:
+    """(company, type, label, direction, strength, rationale) by seven rules over material changes (company, kind, category, statement),
+    events (company, category), documents (company, document_type) and countries (company, country) (DOC-12, TOP-06). ``signal_evidence`` tells what each rests on."""
+    risk = F.col("category").isin(RISKY)
     low = F.lower("statement")
-    soft = low.contains("lower") | low.contains("soft")
+    weak = reduce(lambda a, b: a | b, (low.contains(w) for w in soft))
     c = ch.groupBy("company").agg(
-        F.count_if(F.col("category") == "guidance").alias("guidance"), F.count_if((F.col("category") == "guidance") & soft).alias("lowered"),
+        F.count_if(F.col("category") == "guidance").alias("guidance"), F.count_if((F.col("category") == "guidance") & weak).alias("lowered"),
         F.count_if(risk & (F.col("kind") == "added")).alias("risk_changes"), F.count_if(F.col("category") == "supply_chain").alias("supply"), F.count_if(F.col("category") == "capital_allocation").alias("capital"),
     )
     e = ev.groupBy("company").agg(F.count_if(risk).alias("risk_events"))
     d = docs.groupBy("company").agg(F.count_if(F.col("document_type") == "job_posting").alias("jobs"), F.count_if(F.col("document_type") == "patent").alias("patents"))
-    g = countries.groupBy("company").agg(F.countDistinct("country").alias("countries"))
-    x = d.join(c, "company", "full").join(e, "company", "full").join(g, "company", "full").na.fill(0)
+    g = countries.groupBy("company").agg(F.array_sort(F.collect_set("country")).alias("lands"))
+    x = d.join(c, "company", "full").join(e, "company", "full").join(g, "company", "full").na.fill(0).withColumn("countries", F.greatest(F.size("lands"), F.lit(0)))
     total = F.col("risk_changes") + F.col("risk_events")
 
-    def rule(when: Column, name: str, direction: Column, strength: Column) -> Column:
-        return F.when(when, F.struct(F.lit(name).alias("type"), direction.alias("direction"), F.bround(F.least(F.lit(0.8), strength), 2).alias("strength")))
+    def rule(when: Column, name: str, direction: Column, strength: Column, *said: Column | str) -> Column:
+        rationale = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in said))
+        return F.when(when, F.struct(F.lit(name).alias("type"), F.lit(SIGNALS[name]).alias("label"), direction.alias("direction"), F.bround(F.least(F.lit(0.8), strength), 2).alias("strength"), rationale.alias("rationale")))
 
-    up, elevated = F.lit("up"), F.lit("elevated")
+    up, elevated, lowered = F.lit("up"), F.lit("elevated"), F.col("lowered") > 0
+    # fixed values: strengths, directions and rationales
     rules = F.array_compact(F.array(
-        rule(F.col("guidance") > 0, "management_confidence", F.when(F.col("lowered") > 0, "down").otherwise("up"), F.when(F.col("lowered") > 0, 0.62).otherwise(0.55)),
-        rule(total > 0, "emerging_risk", elevated, 0.55 + 0.05 * F.least(F.lit(3), total)),
-        rule(F.col("supply") > 0, "supply_chain_stress", elevated, F.lit(0.6)),
-        rule(F.col("jobs") > 0, "hiring", up, F.lit(0.5)),
-        rule(F.col("patents") > 0, "patent_momentum", up, F.lit(0.5)),
-        rule(F.col("capital") > 0, "capital_allocation", elevated, F.lit(0.55)),
-        rule(F.col("countries") > 0, "geopolitical", elevated, 0.5 + 0.05 * F.col("countries")),
+        rule(F.col("guidance") > 0, "management_confidence", F.when(lowered, "down").otherwise("up"), F.when(lowered, 0.62).otherwise(0.55), "Guidance language ", F.when(lowered, "weakened").otherwise("held/strengthened"), " in the latest disclosure."),
+        rule(total > 0, "emerging_risk", elevated, 0.55 + 0.05 * F.least(F.lit(3), total), total, " new risk/regulatory/legal signal(s) versus the prior period."),
+        rule(F.col("supply") > 0, "supply_chain_stress", elevated, F.lit(0.6), "Supplier-related changes versus the prior disclosure."),
+        rule(F.col("jobs") > 0, "hiring", up, F.lit(0.5), F.col("jobs"), " active job posting(s) signal investment in capacity."),
+        rule(F.col("patents") > 0, "patent_momentum", up, F.lit(0.5), F.col("patents"), " patent record(s) indicate ongoing R&D output."),
+        rule(F.col("capital") > 0, "capital_allocation", elevated, F.lit(0.55), "Capital-allocation language changed versus the prior disclosure."),
+        rule(F.col("countries") > 0, "geopolitical", elevated, 0.5 + 0.05 * F.col("countries"), "Supply chain spans ", F.array_join("lands", ", "), "."),
     ))
     return x.select("company", F.explode(rules).alias("s")).select("company", "s.*")
 
 
+def signal_evidence(ch: DataFrame, ev: DataFrame, docs: DataFrame, countries: DataFrame) -> DataFrame:
+    """(company, type, place, statement): the first statements that each signal rests on (DOC-12).
+
+    From changes (company, doc, kind, category, statement), events (company, doc, seq, category, sentence), documents (company, doc, document_type, title) and
+    countries (company, country). Guidance and capital allocation cite one change, supply chain two, risk two added changes and one event, hiring and
+    patents one document. First is by document, added before removed, then by sequence or text; Spark keeps so many rows of a company before its shuffle.
+    """
+    category, kind = F.col("category"), F.col("kind")
+    of = F.when(category == "guidance", "management_confidence").when(category.isin(RISKY) & (kind == "added"), "emerging_risk").when(category == "supply_chain", "supply_chain_stress").when(category == "capital_allocation", "capital_allocation")
+    a = ch.select("company", of.alias("type"), F.lit(0).alias("part"), "doc", F.when(kind == "added", 0).otherwise(1).cast("long").alias("at"), "statement")
+    b = ev.where(category.isin(RISKY)).select("company", F.lit("emerging_risk").alias("type"), F.lit(2).alias("part"), "doc", F.col("seq").cast("long").alias("at"), F.col("sentence").alias("statement"))
+    made = F.when(F.col("document_type") == "job_posting", "hiring").when(F.col("document_type") == "patent", "patent_momentum")
+    d = docs.select("company", made.alias("type"), F.lit(0).alias("part"), "doc", F.lit(0).cast("long").alias("at"), F.coalesce("title", "document_type").alias("statement"))
+    order = W.partitionBy("company", "type", "part").orderBy("doc", "at", "statement")
+    first = a.unionByName(b).unionByName(d).where("type is not null").withColumn("k", F.row_number().over(order)).where("k <= 2")
+    two = (F.col("type") == "supply_chain_stress") | ((F.col("type") == "emerging_risk") & (F.col("part") == 0))
+    first = first.where(two | (F.col("k") == 1)).select("company", "type", (F.col("part") + F.col("k")).alias("place"), "statement")
+    g = countries.where("country is not null").groupBy("company").agg(F.array_join(F.array_sort(F.collect_set("country")), ", ").alias("lands"))
+    said = F.concat("company", F.lit(" is exposed to "), "lands", F.lit(" via its suppliers."))
+    return first.unionByName(g.select("company", F.lit("geopolitical").alias("type"), F.lit(1).alias("place"), said.alias("statement")))
+
+
+def cited(found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``signals`` with ``evidence``, an array of at most three statements in order (DOC-12)."""
+    own = evidence.groupBy("company", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "statement"))), lambda x: x["statement"]).alias("evidence"))
+    return found.join(own, ["company", "type"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+
+
 #: Category, title, severity, confidence of the risk lens and of the opportunity lens.
 RISKS = [
     ("guidance", "Forward guidance changed", "high", 0.72), ("executive", "Leadership change", "medium", 0.6), ("regulatory", "Regulatory exposure", "high", 0.72),
@@ -174,24 +217,27 @@ SEVERITY = ["high", "medium", "low"]
 
 
 def concerns(ch: DataFrame, ev: DataFrame, countries: DataFrame | None = None, rules: list = RISKS) -> DataFrame:
-    """(company, title, category, severity, confidence, statement, rank): one for each category and statement, changes before events (DOC-13).
+    """(company, title, category, severity, confidence, statement, rationale, rank): one for each category and statement, changes before events (DOC-13).
 
+    Changes are (company, kind, category, statement), events (company, category, sentence); a column ``source`` of either names the kind of document in the rationale.
     ``rules`` are those of a lens, ``RISKS`` or ``OPPORTUNITIES``. With ``countries`` (company, country, supplier), for the risk lens, each country that a company's suppliers
     work in is one more. ``rank`` orders a company's concerns by severity, then confidence (TOP-05).
     """
-    a = ch.select("company", "category", "statement", F.when(F.col("kind") == "added", 0.05).otherwise(0.0).alias("bonus"), F.lit(0).alias("first"))
-    b = ev.select("company", "category", F.col("sentence").alias("statement"), F.lit(0.0).alias("bonus"), F.lit(1).alias("first"))
+    source = lambda t: F.col("source") if "source" in t.columns else F.lit("filing")
+    a = ch.select("company", "category", "statement", F.when(F.col("kind") == "added", 0.05).otherwise(0.0).alias("bonus"), F.lit(0).alias("first"), F.concat(F.initcap("kind"), F.lit(" in "), source(ch)).alias("how"))
+    b = ev.select("company", "category", F.col("sentence").alias("statement"), F.lit(0.0).alias("bonus"), F.lit(1).alias("first"), F.concat(F.lit("Event ("), source(ev), F.lit(")")).alias("how"))
     x = a.unionByName(b).withColumn("norm", T.normal_statement(F.col("statement")))
-    one = x.groupBy("company", "category", "norm").agg(F.min_by(F.struct("statement", "bonus"), F.struct("first", -F.col("bonus"), "statement")).alias("r"))
+    one = x.groupBy("company", "category", "norm").agg(F.min_by(F.struct("statement", "bonus", "how"), F.struct("first", -F.col("bonus"), "statement", "how")).alias("r"))
     table = F.create_map(*(y for c, t, s, v in rules for y in (F.lit(c), F.struct(F.lit(t).alias("title"), F.lit(s).alias("severity"), F.lit(v).alias("base")))))
     out = one.withColumn("rule", table[F.col("category")]).where("rule is not null")
     conf = F.bround(F.least(F.lit(0.8), F.col("rule.base") + F.col("r.bonus")), 2)
-    out = out.select("company", "rule.title", "category", "rule.severity", conf.alias("confidence"), F.col("r.statement").alias("statement"))
+    out = out.select("company", "rule.title", "category", "rule.severity", conf.alias("confidence"), F.col("r.statement").alias("statement"), F.concat("r.how", F.lit(": "), "r.statement").alias("rationale"))
     if countries is not None:
         # the suppliers of one company in one country, which its own list bounds
         g = countries.where("country is not null").groupBy("company", "country").agg(F.array_join(F.array_sort(F.collect_set("supplier")), ", ").alias("suppliers"))
         said = F.concat(F.col("company"), F.lit(" relies on "), F.col("suppliers"), F.lit(" in "), F.col("country"), F.lit("."))
-        out = out.unionByName(g.select("company", F.concat(F.lit("Geopolitical exposure to "), F.col("country")).alias("title"), F.lit("supply_chain").alias("category"), F.lit("medium").alias("severity"), F.lit(0.55).alias("confidence"), said.alias("statement")))
+        why = F.concat(F.col("company"), F.lit(" depends on "), F.col("suppliers"), F.lit(" operating in "), F.col("country"), F.lit(", creating concentration/geopolitical exposure."))
+        out = out.unionByName(g.select("company", F.concat(F.lit("Geopolitical exposure to "), F.col("country")).alias("title"), F.lit("supply_chain").alias("category"), F.lit("medium").alias("severity"), F.lit(0.55).alias("confidence"), said.alias("statement"), why.alias("rationale")))
     place = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("severity"))
     order = W.partitionBy("company").orderBy(place, F.col("confidence").desc(), "category", "title", "statement")
     return out.withColumn("rank", F.row_number().over(order))

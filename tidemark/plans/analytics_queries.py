@@ -261,19 +261,23 @@ def _sections(spark, sf):
     return d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("s_order", "content")).withColumn("title", F.concat(F.lit("s"), D.text(F.col("s_order") % 3)))
 
 
-def _sentences(spark, sf):
-    return Doc.sentence_table(_sections(spark, sf), _VERBS, _CUES)
+def _sentences(spark, sf, cues=_CUES):
+    return Doc.sentence_table(_sections(spark, sf), _VERBS, cues)
 
 
 _SENT = r"""(select doc, s_order, 's' || (s_order % 3) as title, s_order * 1000000 + i as seq, sentence, lower(sentence) as low, regexp_replace(lower(sentence), '[^\x01-\x7F]', '0', 'g') as plain from (
   select doc, s_order, unnest(range(0, len(p))) as i, unnest(p) as sentence from (
    select doc, s_order, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(content, '\s+', ' ', 'g')), '([.!?])\s+([A-Z("''$\d])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as p from (
     select doc_id as doc, unnest(range(0, len(l))) as s_order, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)))))"""
+#: Cues of the signals' queries, so that all rules have something to find; in the order of the operator's own table.
+_SIGNAL_CUES = {"executive": ["hand"], "capital_allocation": ["this"], "litigation": ["that"], "supply_chain": [" by "], "guidance": ["from"], "product": ["thing"], "risk": ["with"]}
+_SIGNAL_CAT = "case " + " ".join(f"when contains(low, '{w[0]}') then '{c}'" for c, w in _SIGNAL_CUES.items()) + " else 'general' end"
 _CAT = "case when contains(low, 'hand') then 'executive' when contains(low, 'that') then 'litigation' when contains(low, 'with') then 'risk' when contains(low, 'thing') then 'product' when contains(low, 'from') then 'guidance' else 'general' end"
-_GOOD = r"""(select *, {cat} as category, trim(regexp_replace(regexp_replace(low, '[^a-z0-9 ]+', '', 'g'), ' +', ' ', 'g')) as norm from {sent}
+_READS = r"""(select *, {cat} as category, trim(regexp_replace(regexp_replace(low, '[^a-z0-9 ]+', '', 'g'), ' +', ' ', 'g')) as norm from {sent}
   where len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda x: x <> '')) >= 6 and len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda x: regexp_matches(x, '^\(?[$£€]?\d[\d,.–/%-]*\)?$'))) / len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda x: x <> '')) <= 0.4
   and len(regexp_extract_all(plain, '\b[a-z][a-z'']+\b')) >= 4
-  and (len(list_filter(regexp_extract_all(plain, '\b[a-z][a-z'']+\b'), lambda x: x in ('is', 'are', 'was', 'be'))) > 0 or regexp_matches(plain, '\b[a-z]{{3,}}(?:ed|ing)\b')))""".format(cat=_CAT, sent=_SENT)
+  and (len(list_filter(regexp_extract_all(plain, '\b[a-z][a-z'']+\b'), lambda x: x in ('is', 'are', 'was', 'be'))) > 0 or regexp_matches(plain, '\b[a-z]{{3,}}(?:ed|ing)\b')))"""
+_GOOD = _READS.format(cat=_CAT, sent=_SENT)
 
 
 @query(rf"select doc, count(*) as sentences from {_SENT} group by 1")
@@ -315,23 +319,24 @@ def win02_previous(spark, sf):
     return Doc.previous(_periods(spark, sf)).select("doc", F.coalesce("previous", F.lit(-1)).alias("previous"))
 
 
-_CHANGES = f"""(with p as (select doc_id as doc, lag(doc_id) over (partition by source, lang order by doc_id) as previous from documents where text is not null), s as (select doc, norm, arg_min(sentence, seq) as sentence, arg_min(category, seq) as category from {_GOOD} where norm <> '' group by 1, 2)
-select p.doc, previous, 'added' as kind, category, norm from p join s using (doc) where previous is not null and not exists (select 1 from s t where t.doc = p.previous and t.norm = s.norm)
-union all select p.doc, previous, 'removed', category, norm from p join s on s.doc = p.previous where not exists (select 1 from s t where t.doc = p.doc and t.norm = s.norm))"""
+_DIFF = """(with p as (select doc_id as doc, lag(doc_id) over (partition by source, lang order by doc_id) as previous from documents where text is not null), s as (select doc, norm, arg_min(sentence, seq) as sentence, arg_min(category, seq) as category from {good} where norm <> '' group by 1, 2)
+select p.doc, previous, 'added' as kind, category, norm, sentence as statement from p join s using (doc) where previous is not null and not exists (select 1 from s t where t.doc = p.previous and t.norm = s.norm)
+union all select p.doc, previous, 'removed', category, norm, sentence from p join s on s.doc = p.previous where not exists (select 1 from s t where t.doc = p.doc and t.norm = s.norm))"""
+_CHANGES = _DIFF.replace("{good}", _GOOD)
 
 
 def _changes(spark, sf, sent=None):
     return Doc.changes(_sentences(spark, sf) if sent is None else sent, Doc.previous(_periods(spark, sf)))
 
 
-def _cut_once(spark, sf):
+def _cut_once(spark, sf, cues=_CUES):
     """The sentences of all documents, for queries that read them several times."""
-    return stored(_sentences(spark, sf).select("doc", "seq", "title", "sentence", "category", "norm"), "sentences")
+    return stored(_sentences(spark, sf, cues).select("doc", "seq", "title", "sentence", "category", "norm"), "sentences")
 
 
 @query(_CHANGES[1:-1])
 def doc11_changes(spark, sf):
-    return _changes(spark, sf).select("doc", "previous", "kind", "category", "norm")
+    return _changes(spark, sf).select("doc", "previous", "kind", "category", "norm", "statement")
 
 
 @query(f"select doc, count_if(kind = 'added')::bigint as added, count_if(kind = 'removed')::bigint as removed, bool_or(category not in ('general', 'financial')) as material from {_CHANGES} group by 1")
@@ -339,37 +344,69 @@ def agg22_change_sets(spark, sf):
     return Doc.change_sets(_changes(spark, sf))
 
 
-@query(f"""with c as (select source as company, ch.kind, category, norm from {_CHANGES} ch join documents on doc = doc_id), k as (select company, count_if(category in ('risk', 'litigation') and kind = 'added') as r, count_if(category = 'guidance') as g from c group by 1),
-e as (select source as company, count(distinct (doc, sentence)) as r from {_GOOD} join documents on doc = doc_id where category = 'litigation' group by 1), n as (select source as company, count(distinct lang) as c from documents where text is not null group by 1)
-select company, type, strength::double as strength from (
- select n.company, 'emerging_risk' as type, round_even(least(0.8, 0.55 + 0.05 * least(3, coalesce(k.r, 0) + coalesce(e.r, 0))), 2) as strength, coalesce(k.r, 0) + coalesce(e.r, 0) > 0 as ok from n left join k using (company) left join e using (company)
- union all select company, 'geopolitical', round_even(least(0.8, 0.5 + 0.05 * c), 2), true from n) where ok""")
+# ---- signals: languages stand for kinds of documents and for countries
+
+_SIGNAL_SQL = """c as materialized (select source as company, lang, ch.doc, ch.kind, category, statement, norm from {diff} ch join documents on doc = doc_id),
+e as materialized (select source as company, lang, doc, category, norm, seq, sentence from (select doc, sentence, min(seq) as seq, arg_min(category, seq) as category, min(norm) as norm from {good} where category in ('executive', 'capital_allocation', 'litigation', 'supply_chain', 'guidance', 'product') group by 1, 2) join documents on doc = doc_id),
+n as (select source as company, count_if(lang = 'es') as jobs, count_if(lang = 'fr') as patents, count(distinct lang) as lands, string_agg(distinct lang, ', ' order by lang) as land from documents where text is not null group by 1),
+k as (select company, count_if(category in ('risk', 'litigation') and kind = 'added') as r, count_if(category = 'guidance') as g, bool_or(category = 'guidance' and contains(lower(statement), 'with')) as weak, count_if(category = 'supply_chain') as s, count_if(category = 'capital_allocation') as ca from c group by 1),
+x as (select n.*, coalesce(k.r, 0) + coalesce(v.r, 0) as r, g, weak, s, ca from n left join k using (company) left join (select company, count(*) as r from e where category = 'litigation' group by 1) v using (company)),
+sig as (select company, 'management_confidence' as type, 'Management confidence' as label, case when weak then 'down' else 'up' end as direction, (case when weak then 0.62 else 0.55 end)::double as strength, 'Guidance language ' || case when weak then 'weakened' else 'held/strengthened' end || ' in the latest disclosure.' as rationale from x where g > 0
+ union all select company, 'emerging_risk', 'Emerging risk', 'elevated', round_even(least(0.8, 0.55 + 0.05 * least(3, r)), 2)::double, r || ' new risk/regulatory/legal signal(s) versus the prior period.' from x where r > 0
+ union all select company, 'supply_chain_stress', 'Supply-chain stress', 'elevated', 0.6, 'Supplier-related changes versus the prior disclosure.' from x where s > 0
+ union all select company, 'hiring', 'Hiring activity', 'up', 0.5, jobs || ' active job posting(s) signal investment in capacity.' from x where jobs > 0
+ union all select company, 'patent_momentum', 'Patent momentum', 'up', 0.5, patents || ' patent record(s) indicate ongoing R&D output.' from x where patents > 0
+ union all select company, 'capital_allocation', 'Capital allocation trend', 'elevated', 0.55, 'Capital-allocation language changed versus the prior disclosure.' from x where ca > 0
+ union all select company, 'geopolitical', 'Geopolitical exposure', 'elevated', round_even(least(0.8, 0.5 + 0.05 * lands), 2)::double, 'Supply chain spans ' || land || '.' from x where lands > 0)"""
+_SIGNAL_SQL = _SIGNAL_SQL.replace("{diff}", _DIFF).replace("{good}", _READS.format(cat=_SIGNAL_CAT, sent=_SENT))
+
+
+def _signal_inputs(spark, sf):
+    """(changes, events, documents, countries) of each company, from sentences that are cut once."""
+    sent = _cut_once(spark, sf, _SIGNAL_CUES)
+    p = _periods(spark, sf)
+    whose = p.select("doc", "company", "source")
+    ch, ev = _changes(spark, sf, sent).join(whose, "doc"), Doc.events(sent).join(whose, "doc")
+    made = F.when(F.col("source") == "es", "job_posting").when(F.col("source") == "fr", "patent").otherwise("filing")
+    docs = p.select("company", "doc", made.alias("document_type"), F.concat(F.lit("document "), D.text("doc")).alias("title"))
+    return ch, ev, docs, p.select("company", F.col("source").alias("country"), F.concat(F.lit("s"), D.text(F.col("doc") % 7)).alias("supplier"))
+
+
+@query(f"""with {_SIGNAL_SQL},
+ev as (select company, case category when 'guidance' then 'management_confidence' when 'supply_chain' then 'supply_chain_stress' when 'capital_allocation' then 'capital_allocation' else 'emerging_risk' end as type, 0 as part, doc, (kind = 'removed')::int as nr, statement from c
+  where category in ('guidance', 'supply_chain', 'capital_allocation') or (category in ('risk', 'litigation') and kind = 'added')
+ union all select company, 'emerging_risk', 2, doc, seq, sentence from e where category = 'litigation'
+ union all select source, case lang when 'es' then 'hiring' else 'patent_momentum' end, 0, doc_id, 0, 'document ' || doc_id from documents where text is not null and lang in ('es', 'fr')),
+cites as (select company, type, part + k as place, statement from (select *, row_number() over (partition by company, type, part order by doc, nr, statement) as k from ev) where k <= case when type = 'supply_chain_stress' or (type = 'emerging_risk' and part = 0) then 2 else 1 end
+ union all select company, 'geopolitical', 1, company || ' is exposed to ' || land || ' via its suppliers.' from n where lands > 0)
+select sig.company, sig.type, label, direction, strength, rationale, string_agg(statement, ' | ' order by place) as evidence from sig join cites on sig.company = cites.company and sig.type = cites.type group by all""")
 def doc12_signals(spark, sf):
-    p, sent = _periods(spark, sf), _cut_once(spark, sf)
-    ch = _changes(spark, sf, sent).join(p.select("doc", "company"), "doc")
-    ev = Doc.events(sent).join(p.select("doc", "company"), "doc")
-    docs = p.select("company", F.lit("filing").alias("document_type"))
-    out = Doc.signals(ch, ev, docs, p.select("company", F.col("source").alias("country")))
-    return out.where(F.col("type").isin("emerging_risk", "geopolitical")).select("company", "type", "strength")
+    ch, ev, docs, land = _signal_inputs(spark, sf)
+    found = Doc.signals(ch, ev, docs, land, soft=("with",))
+    return Doc.cited(found, Doc.signal_evidence(ch, ev, docs, land)).withColumn("evidence", F.array_join("evidence", " | "))
 
 
-@query()
+_RULE_SQL = "(values " + ", ".join(f"('{c}', '{t}', '{s}', {Doc.SEVERITY.index(s)}, {v})" for c, t, s, v in Doc.RISKS) + ") r(category, title, severity, place, base)"
+
+
+@query(f"""with {_SIGNAL_SQL},
+a as (select company, category, norm, statement, case kind when 'added' then 0.05 else 0.0 end as bonus, 0 as late, case kind when 'added' then 'Added' else 'Removed' end || ' in ' || lang as how from c
+ union all select company, category, norm, sentence, 0.0, 1, 'Event (' || lang || ')' from e),
+one as (select company, category, norm, arg_min((statement, bonus, how), (late, -bonus, statement, how)) as b from a group by 1, 2, 3),
+g as (select source as company, lang as country, string_agg(distinct 's' || (doc_id % 7), ', ' order by 's' || (doc_id % 7)) as suppliers from documents where text is not null group by 1, 2),
+f as (select company, title, category, severity, place, round_even(least(0.8, base + b[2]), 2)::double as confidence, b[1] as statement, b[3] || ': ' || b[1] as rationale from one join {_RULE_SQL} using (category)
+ union all select company, 'Geopolitical exposure to ' || country, 'supply_chain', 'medium', 1, 0.55, company || ' relies on ' || suppliers || ' in ' || country || '.', company || ' depends on ' || suppliers || ' operating in ' || country || ', creating concentration/geopolitical exposure.' from g)
+select company, title, category, severity, confidence, statement, rationale, row_number() over (partition by company order by place, confidence desc, category, title, statement)::int as rank from f""")
 def doc13_concerns(spark, sf):
-    p, sent = _periods(spark, sf), _cut_once(spark, sf)
-    ch = _changes(spark, sf, sent).join(p.select("doc", "company"), "doc")
-    ev = Doc.events(sent).join(p.select("doc", "company"), "doc")
-    land = p.select("company", F.col("source").alias("country"), F.col("company").alias("supplier"))
+    ch, ev, _, land = _signal_inputs(spark, sf)
     return Doc.concerns(ch, ev, land)
 
 
-@query()
+@query(f"with {_SIGNAL_SQL} select sig.company, upper(sig.company) as name, country, type, direction, strength from sig join (select source as company, min(lang) as country from documents where text is not null group by 1) l on sig.company = l.company")
 def doc15_signal_feed(spark, sf):
-    p, sent = _periods(spark, sf), _cut_once(spark, sf)
-    ch = _changes(spark, sf, sent).join(p.select("doc", "company"), "doc")
-    ev = Doc.events(sent).join(p.select("doc", "company"), "doc")
-    land = p.select("company", F.col("source").alias("country"))
-    found = Doc.signals(ch, ev, p.select("company", F.lit("filing").alias("document_type")), land)
-    return Doc.signal_feed(found, p.select("company", F.upper("company").alias("name")), land)
+    ch, ev, docs, land = _signal_inputs(spark, sf)
+    found = Doc.signals(ch, ev, docs, land, soft=("with",))
+    return Doc.signal_feed(found, docs.select("company", F.upper("company").alias("name")), land)
 
 
 @query()
