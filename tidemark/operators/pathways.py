@@ -141,11 +141,21 @@ def owners(edges: DataFrame, clearance: str, day: str | None = None) -> DataFram
 
 
 def proxy_links(edges: DataFrame) -> DataFrame:
-    """(company, other, via): companies that share a leader or supplier (JON-29). Pairs of distinct companies, each once in both directions."""
+    """(company, other, via): companies that share a leader or supplier (JON-29). Pairs of distinct companies, each once in both directions; their number is the square of a hub's companies, which ``proxy_groups`` avoids."""
     e = edges.select(F.col("source_key").alias("company"), F.col("target_key").alias("via")).distinct()
     return e.join(e.select(F.col("company").alias("other"), "via"), "via").where("company <> other")
 
 
+def proxy_groups(edges: DataFrame) -> DataFrame:
+    """(via, company, companies): every leader or supplier of two companies or more with its companies and their number (JON-29).
+
+    Two companies are linked if and only if they are rows of one ``via``, so this says all that ``proxy_links`` says with a row for each edge, however many companies
+    a hub has. The counts are summed before their shuffle, and the join is one that Spark can split.
+    """
+    e = edges.select(F.col("target_key").alias("via"), F.col("source_key").alias("company")).distinct()
+    return e.join(e.groupBy("via").agg(F.count("*").alias("companies")).where("companies > 1"), "via").select("via", "company", "companies")
+
+
 def concentration(foot: DataFrame, regions: DataFrame, sectors: DataFrame) -> DataFrame:
     """(sector, region, companies) of (company, country) rows (JON-30)."""
     return foot.join(regions, "country").join(sectors, "company").groupBy("sector", "region").agg(F.countDistinct("company").alias("companies"))

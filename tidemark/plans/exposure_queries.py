@@ -338,6 +338,12 @@ def jon29_control_by_proxy(spark, sf):
     return P.proxy_links(now.union(then.select("target_key", "source_key")))
 
 
+@query(f"select person as via, company, companies from (select person, company, count(*) over (partition by person) as companies from (select distinct person, company from {_PEOPLE})) where companies > 1")
+def jon29_proxy_groups(spark, sf):
+    now, then = _people(spark, sf)
+    return P.proxy_groups(now.union(then.select("target_key", "source_key")))
+
+
 _CELLS = f"(select s.sector, r_name as region, count(distinct f.company) as companies from (select distinct company, jurisdiction from {SUBS}) f join nation on jurisdiction = n_name join region on n_regionkey = r_regionkey join (select company, min_by(sector, seq) as sector from {IN_SECTOR} group by 1) s on s.company = f.company group by 1, 2)"
 
 
