@@ -292,3 +292,24 @@ def test_clusters_without_scores_and_pins(spark):
     ids = {r.key: r.id for r in P.with_pins(made, P.pinned(nodes)).collect()}
     assert ids["a"] == ids["b"] == "cid-old" and ids["p"] == ids["q"] == ids["r"] == "cid-1" and ids["c"].startswith("cid-") and len(ids["c"]) == 16 and len(set(ids.values())) == 5
     assert R.cluster(_judged(spark, []))[0].count() == 0
+
+
+def test_exposure_by_classes_of_companies(spark):
+    """Companies with equal, different, overlapping and no terms; a null term; repeated links."""
+    from tidemark.operators import pathways as P
+
+    r = random.Random(12)
+    sets = [["a", "b"], ["b", "a"], ["a"], ["a", "b", "c", None], []]
+    links = [(t, f"c{i}") for i in range(40) for t in sets[i % 5]] * 2
+    held = [(f"f{r.randrange(4)}", f"c{r.randrange(42)}", float(r.randrange(100))) for _ in range(300)]
+    got = P.portfolio_exposure(spark.createDataFrame(held, "fund string, company string, value double"), spark.createDataFrame(links, "term string, company string"))
+    terms = {c: {t for t, d in links if d == c} for _, c, _ in held}
+    want = {}
+    for fund, c, v in held:
+        for t in terms[c]:
+            n, total = want.get((fund, t), (0, 0.0))
+            want[fund, t] = (n + 1, total + v)
+    every = {f: (len([1 for x in held if x[0] == f]), sum(x[2] for x in held if x[0] == f)) for f, _, _ in held}
+    assert {(x.fund, x.term): (x.n_exposed, x.exposed_value, x.n_holdings, x.total_value) for x in got.collect()} == {k: (*v, *every[k[0]]) for k, v in want.items()}
+    classes = {x.company: x["class"] for x in P.company_classes(spark.createDataFrame(links, "term string, company string").distinct()).collect()}
+    assert classes["c0"] == classes["c1"] == "c0" and len(set(classes.values())) == 3

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .graph import as_of, can_see, first_by, visible
 
 LEVELS = ["sector", "industry_group", "industry", "sub_industry", "code"]
@@ -69,13 +70,28 @@ def holdings(holds: DataFrame, clearance: str = "public", day: str | None = None
     return visible(as_of(holds, day), clearance).select(F.col("source_key").alias("fund"), F.col("target_key").alias("company"), "value", "shares")
 
 
+def company_classes(links: DataFrame) -> DataFrame:
+    """(company, class): companies with equal sets of terms, by distinct (term, company); the class is the smallest of them.
+
+    Sets are compared by their size and two 64-bit hashes, each the exclusive or over its terms, so no set is ever gathered in one place.
+    """
+    size = links.groupBy("company").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("term")).alias("h1"), F.bit_xor(F.xxhash64("term", F.lit(1))).alias("h2"))
+    least = size.groupBy("size", "h1", "h2").agg(F.min("company").alias("class"))
+    return size.join(least, ["size", "h1", "h2"]).select("company", "class")
+
+
 def portfolio_exposure(held: DataFrame, exposed: DataFrame) -> DataFrame:
     """(fund, term, n_exposed, exposed_value, n_holdings, total_value) for all funds and terms (JON-09, SET-04).
 
-    The totals are one aggregate over the holdings; the exposed part one equi-join and one aggregate.
+    The totals are one aggregate over the holdings. For the exposed part holdings are summed by fund and class of companies first
+    (``company_classes``), and these sums meet the terms of each class: rows grow with holdings, not with holdings times terms, where companies share their terms.
     """
     total = held.groupBy("fund").agg(F.count("*").alias("n_holdings"), F.sum("value").alias("total_value"))
-    part = held.join(exposed.select("term", "company").distinct(), "company").groupBy("fund", "term").agg(F.count("*").alias("n_exposed"), F.sum("value").alias("exposed_value"))
+    links = stored(exposed.select("term", "company").distinct(), "exposed-links")
+    classes = stored(company_classes(links), "exposed-classes")
+    sums = held.join(classes, "company").groupBy("fund", "class").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    terms = links.join(classes.select(F.col("class").alias("company")).distinct(), "company").select("term", F.col("company").alias("class"))
+    part = sums.join(terms, "class").groupBy("fund", "term").agg(F.sum("n").alias("n_exposed"), F.sum("v").alias("exposed_value"))
     return part.join(total, "fund")
 
 
