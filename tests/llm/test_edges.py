@@ -532,6 +532,47 @@ def test_parity_bitmaps_differ_no_more_than_their_sets():
     assert len(simhash.parity(np.zeros(0, np.uint64))) == simhash.PARITY // 64
 
 
+def test_some_part_of_similar_sets_is_as_similar():
+    """Sets around the sizes where the number of parts changes meet in a key, with sizes, places and bitmaps that pass."""
+    from tidemark.llm import simhash
+
+    r = np.random.default_rng(5)
+    common = np.zeros(0, np.uint64)
+    for n in (1, 5, 400, 511, 513, 600, 1025, 1300, 5000):
+        for share in (0.8, 0.83, 0.9, 1.0):
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            b = a[: int(np.ceil(share * n))]
+            assert len(b) / len(a) >= 0.8
+            rows = []
+            for x in (a, b):
+                keys, slots, at, sizes, bits = simhash.parts(x, common, 0.8)
+                assert sum(sizes) == len(x) * len(simhash.part_numbers(len(x), 0.8))
+                rows.append({int(k): (int(sizes[s]), int(p), bits[s].view(np.uint64)) for k, s, p in zip(keys, slots, at)})
+            good = 0
+            for k in rows[0].keys() & rows[1].keys():
+                (na, ia, ba), (nb, ib, bb) = rows[0][k], rows[1][k]
+                differ = sum((int(u) ^ int(v)).bit_count() for u, v in zip(ba, bb))
+                good += min(na, nb) >= 0.8 * max(na, nb) - 1e-6 and min(na - ia, nb - ib) * 1.8 >= 0.8 * (na + nb) - 1e-6 and differ * 1.8 <= 0.2 * (na + nb) + 1e-6
+            assert good
+
+
+def test_similar_groups_of_long_texts(spark, monkeypatch):
+    """Sets of several parts, without the cheap links."""
+    from tidemark.llm import simhash
+
+    monkeypatch.setattr(simhash, "sketch", lambda hashes: np.frombuffer(hashes.tobytes() + bytes(8), np.int64)[:1])
+    rows = stars(20, 3, 1100, 20) + [(1000 + i, t) for i, t in stars(20, 9, 2300, 44)] + [(2000 + k, " ".join(f"b{i}" for i in range(n))) for k, n in enumerate((850, 900, 1000, 1400))]
+    sets = {d: set(simhash.shingle_set(t).tolist()) for d, t in rows}
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = {d: min(x, y) if g in (x, y) else g for d, g in group.items()}
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == group
+
+
 def test_long_clean_texts_stay(spark):
     """The margin doesn't fall with the length, and no number of words is too many."""
     from tidemark.llm import langid, quality

@@ -159,8 +159,8 @@ BANDS, ROWS = 24, 6
 CROWD, LEADERS = 32, 3
 #: Texts that tell which shingles are common, and the most common shingles to know. They only order the prefixes.
 SAMPLE_DOCS, COMMON = 20_000, 1 << 17
-#: Bits of a set's parity bitmap.
-PARITY = 512
+#: Bits of a parity bitmap, and the values of a set that one bitmap stands for; larger sets are cut into parts.
+PARITY, PART = 512, 512
 
 _RNG = np.random.default_rng(20240101)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,6 +207,34 @@ def parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
 
 
+def part_numbers(size: int, similarity: float) -> list[int]:
+    """The numbers of parts (powers of two) to cut a set into: those that the smaller set of any similar pair with it would take."""
+    of = lambda n: 1 << max(0, (max(1, n) - 1) // PART).bit_length()
+    least, most = of(int(np.ceil(similarity * size - 1e-9))), of(size)
+    return [1 << i for i in range(least.bit_length() - 1, most.bit_length())]
+
+
+def parts(values: np.ndarray, common: np.ndarray, similarity: float) -> tuple[list, list, list, list, list]:
+    """The prefixes of a set's parts as (keys, slots, places in the prefix), and the sizes and bitmaps of all slots.
+
+    Parts are cut by the values' lowest bits. Of two similar sets some part is similar as well, since the whole's share is a mean of the parts' shares;
+    so in that part the two share a value of its prefix. Both sets are cut into the number of parts that the smaller takes, which its key tells.
+    """
+    keys, slots, at, sizes, bits = [], [], [], [], []
+    for number in part_numbers(len(values), similarity):
+        place = (values & np.uint64(number - 1)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        for own in np.split(values[order], np.searchsorted(place[order], np.arange(1, number))):
+            first = prefix(own, common, similarity) ^ np.uint64((number - 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            keys.append(first.view(np.int64))
+            slots.append(np.full(len(first), len(sizes), np.int32))
+            at.append(np.arange(len(first), dtype=np.int32))
+            sizes.append(len(own))
+            # the lowest bits say which part it is, so the bitmap takes the ones above
+            bits.append(parity(own >> np.uint64(number.bit_length() - 1)))
+    return np.concatenate(keys), np.concatenate(slots), np.concatenate(at), np.array(sizes, np.int32), bits
+
+
 def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     """The shingles that occur in two or more of a bounded sample of texts, sorted; at most ``COMMON``."""
 
@@ -222,17 +250,17 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
 
 def sketches(text: Column, common: np.ndarray, shingle: int = 5, similarity: float = 0.8) -> Column:
-    """A struct of the set's hash and size, the fingerprint, the band keys, the prefix and the parity bitmap."""
+    """A struct of the set's hash and size, the fingerprint, the band keys, and what ``parts`` gives."""
 
-    @F.pandas_udf("node long, size int, fp long, bands array<long>, prefix array<long>, bits array<long>")
+    @F.pandas_udf("node long, size int, fp long, bands array<long>, keys array<long>, slots array<int>, at array<int>, sizes array<int>, bits array<array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hashes = shingle_hashes((t or "").encode(), shingle)
             own = np.unique(hashes)
             ids = np.array([xxhash.xxh64_intdigest(own.tobytes(), 42), majority(hashes)], np.uint64).view(np.int64)
-            rows.append((ids[0], len(own), ids[1], sketch(own), prefix(own, common, similarity).view(np.int64), parity(own)))
-        return pd.DataFrame(rows, columns=["node", "size", "fp", "bands", "prefix", "bits"])
+            rows.append((ids[0], len(own), ids[1], sketch(own), *parts(own, common, similarity)))
+        return pd.DataFrame(rows, columns=["node", "size", "fp", "bands", "keys", "slots", "at", "sizes", "bits"])
 
     return of(text)
 
@@ -289,18 +317,20 @@ def _cheap_pairs(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def _open_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b): every pair of sets in different groups that may be similar enough; and the tables behind it.
 
-    Two such sets share a value of their prefixes, differ in size by no more than the similarity allows,
-    have values enough from the first shared one on, and parity bitmaps that differ in no more bits than the sets
+    Some part of two such sets (``parts``) is as similar, so there they share a value of its prefixes, the parts differ in size by no more than the
+    similarity allows, have values enough from the first shared one on, and parity bitmaps that differ in no more bits than the parts
     may in values. Keys of one group make no pair; crowded keys are salted.
     """
-    shared, many = repeated(nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")), "sketch-prefix")
-    grouped = stored(shared.drop("n").join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "at"), "sketch-grouped")
+    row = F.arrays_zip("keys", "slots", "at")
+    shared, many = repeated(nodes.select("node", F.explode(row).alias("r")).select("node", F.col("r.keys").alias("key"), F.col("r.slots").alias("slot"), F.col("r.at").alias("at")), "sketch-prefix")
+    grouped = stored(shared.drop("n").join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), "slot", "at"), "sketch-grouped")
     mixed_keys = stored(grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "sketch-open-keys")
-    mixed = stored(grouped.join(mixed_keys, "key").join(nodes.select("node", "bits"), "node"), "sketch-open")
+    of_slot = nodes.select("node", F.posexplode(F.arrays_zip("sizes", "bits")).alias("slot", "p")).select("node", "slot", F.col("p.sizes").alias("size"), F.col("p.bits").alias("bits"))
+    mixed = stored(grouped.join(mixed_keys, "key").join(of_slot, ["node", "slot"]).select("key", "n", "node", "root", "size", "at", "bits"), "sketch-open")
     discard(shared, many, grouped, mixed_keys)
-    parts = F.ceil(F.col("n") / CROWD).cast("int")
-    a = mixed.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("at").alias("ia"), F.col("bits").alias("ba"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("pa"))
-    b = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("at").alias("ib"), F.col("bits").alias("bb"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("pb"))
+    salts = F.ceil(F.col("n") / CROWD).cast("int")
+    a = mixed.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("at").alias("ia"), F.col("bits").alias("ba"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("pa"))
+    b = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("at").alias("ib"), F.col("bits").alias("bb"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("pb"))
     sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
     differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(PARITY // 64)), F.lit(0))
@@ -320,7 +350,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     common = common_shingles(docs, text_col, shingle)
     made = stored(docs.select(F.col(id_col).alias("id"), sketches(F.col(text_col), common, shingle, similarity).alias("s")).select("id", "s.*"), "sketch")
-    first = [F.first(c).alias(c) for c in ("size", "fp", "bands", "prefix", "bits")]
+    first = [F.first(c).alias(c) for c in ("size", "fp", "bands", "keys", "slots", "at", "sizes", "bits")]
     nodes = stored(made.groupBy("node").agg(F.min("id").alias("least"), *first), "sketch-nodes")
     rows = stored(made.select("id", "node"), "sketch-ids")
     discard(made)
