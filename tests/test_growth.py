@@ -61,3 +61,24 @@ def test_reach_of_more_starts_than_a_block(spark):
     starts = spark.range(n).selectExpr("cast(id as string) key")
     got = {(int(r.start), int(r.key), r.hops) for r in V.reachable(starts, edges, 2).collect()}
     assert got == {(i, (i + h) % n, h) for i in range(n) for h in (1, 2)}
+
+
+def test_paths_move_new_nodes_not_ways(spark, dealt):
+    from tidemark.operators import traverse as V
+
+    pairs, edges, starts = _dense(spark)
+    got, moved = dealt(lambda: {(r.start, r.key): [x.seq * 2 + x.up for x in r.path] for r in V.network(starts, edges, 2).collect()})
+    ways = {}
+    for i, (a, b) in enumerate(pairs):
+        ways[a, b] = min(ways.get((a, b), 1 << 60), 2 * i)
+        ways[b, a] = min(ways.get((b, a), 1 << 60), 2 * i + 1)
+    near = {}
+    for (a, b), c in ways.items():
+        near.setdefault(a, {})[b] = c
+    want = {}
+    for s, own in near.items():
+        want |= {(f"n{s}", f"n{b}"): [c] for b, c in own.items()}
+        for b in set(near) - set(own) - {s}:
+            if two := [[c, near[a][b]] for a, c in own.items() if b in near[a]]:
+                want[f"n{s}", f"n{b}"] = min(two)
+    assert got == want and moved < 25 * len(pairs), (moved, len(pairs))
