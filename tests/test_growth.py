@@ -82,3 +82,37 @@ def test_paths_move_new_nodes_not_ways(spark, dealt):
             if two := [[c, near[a][b]] for a, c in own.items() if b in near[a]]:
                 want[f"n{s}", f"n{b}"] = min(two)
     assert got == want and moved < 25 * len(pairs), (moved, len(pairs))
+
+
+def test_names_with_a_common_word_do_not_all_meet(spark):
+    from tidemark.operators import resolution as R
+
+    q = spark.range(0, 1500, 20).selectExpr("cast(id as string) key", "'customer ' || lpad(cast(id as string), 9, '0') name")
+    r = spark.range(1500).selectExpr("'w' || id key", "'customer ' || lpad(cast(id as string), 9, '0') || ' ii' name")
+    met = R.blocked_pairs(q, r, 0.6)
+    assert met.count() == 75
+    every = q.selectExpr("key query", "name qname").crossJoin(r.selectExpr("key record", "name"))
+    want = {(x.query, x.record) for x in every.where("query < '2'").collect() if _score(x.qname, x.name) >= 0.6}
+    assert {(x.query, x.record) for x in R.best_name(met, 0.6).collect() if x["query"] < "2"} == want and want
+
+
+def _score(a, b):
+    from difflib import SequenceMatcher
+
+    x, y = set(a.split()), set(b.split())
+    return round(0.5 * len(x & y) / len(x | y) + 0.5 * SequenceMatcher(None, a, b).ratio(), 4)
+
+
+def test_blocking_of_names_of_many_lengths_loses_no_pair(spark):
+    import random
+
+    from tidemark.operators import resolution as R
+
+    rand = random.Random(8)
+    words = ["a", "bo", "common", "extraordinary", "iii", "x" * 25, "smith", "smyth"]
+    rows = sorted({" ".join(rand.choice(words) for _ in range(rand.randint(1, 5))) for _ in range(150)}) + ["", "bo bo bo bo bo bo"]
+    t = spark.createDataFrame([(f"k{i}", n) for i, n in enumerate(rows)], "key string, name string")
+    every = t.selectExpr("key query", "name qname").crossJoin(t.selectExpr("key record", "name"))
+    for floor, orgs in ((0.55, False), (0.6, False), (0.9, False), (0.8, True)):
+        want = {tuple(x) for x in R.best_name(every, floor, orgs).select("query", "record", "score").collect()}
+        assert {tuple(x) for x in R.best_name(R.blocked_pairs(t, t, floor, orgs), floor, orgs).select("query", "record", "score").collect()} == want and want
