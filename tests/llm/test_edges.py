@@ -655,3 +655,24 @@ def test_language_made_of_copies_is_learned(spark):
     other = spark.createDataFrame([(f"the cat and the dog are in the house number {i} of that street", "en") for i in range(60)], "text string, lang string")
     model = langid.fit(copies.unionByName(other))
     assert model.langs == ("en", "it") and model.contents[1].count(b"gatto") == 3
+
+
+def test_topics_and_their_shares_are_of_all_texts(spark, monkeypatch):
+    """Also where the sample to begin with is too small to know the shares."""
+    import pyarrow as pa
+
+    from tidemark.llm import topics
+
+    monkeypatch.setattr(topics, "SAMPLE", 12)
+    words = ["sea ship sail wave port", "court law judge claim appeal", "bread milk oven flour salt"]
+    rows = [(" ".join(rng.split()[(i * 7 + j * j) % 5] for j in range(25 + i % 9)), "en") for k, rng in enumerate(words) for i in range((30, 90, 240)[k])]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = topics.fit(df, ["en"])
+    total = {}
+    for r in df.select(topics.features(F.col("text"), F.col("lang"), model).alias("f")).collect():
+        total[r.f.topic] = total.get(r.f.topic, 0) + r.f.tokens
+    n = sum(total.values())
+    assert np.allclose([total.get(f"en/{i}", 0) / n for i in range(len(model.shares["en"]))], model.shares["en"])
+    x = np.stack([topics.unit(topics.counts(pa.array([t], pa.string()))[0])[0] for t, _ in rows])
+    own = topics.nearest(x, model.centres["en"])
+    assert all(np.abs(x[own == i].mean(0) - c).max() < 1e-3 for i, c in enumerate(model.centres["en"]))

@@ -1,8 +1,9 @@
 """Topics of documents: clusters of hashed word counts, found by k-means within each language.
 
-``fit`` takes a bounded sample (at most ``SAMPLE`` different texts of each language, chosen by a hash of the text, whole
-texts), turns it into vectors of ``DIMS`` numbers in Spark tasks, and clusters these vectors. A topic
-is ``language/number``, number 0 being the largest in the sample; a language that isn't named shares ``(rest)``.
+``fit`` turns all texts into vectors of ``DIMS`` numbers, stores these, and clusters them by rounds of k-means over all rows; a round is one
+Spark job of which only sums by topic reach the driver. They are sums of whole numbers, so neither order nor partitions matter. Only the places where the rounds begin come from
+a bounded sample (at most ``SAMPLE`` different texts of each language, chosen by a hash of the text). A topic
+is ``language/number``, number 0 being the largest by words; a language that isn't named shares ``(rest)``. Shares are those of all words.
 ``features`` assigns whole texts: words are split and coded by Arrow, each different word is hashed once, and numpy
 adds up the counts.
 
@@ -13,6 +14,7 @@ that language. Equal texts of one language get equal topics. An empty table give
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import discard, stored
+
 DIMS, DEPTH, SAMPLE, ROUNDS, LEAST = 256, 2, 1000, 25, 0.05
 #: Shorter texts teach nothing, unless a language has no others.
 MIN_WORDS = 20
@@ -80,38 +84,89 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Centres of each language's topics and the share of the sample's words that each topic has."""
+    """Centres of each language's topics and the share of the language's words that each topic has, both of all texts."""
 
     centres: dict[str, np.ndarray]
     shares: dict[str, np.ndarray]
 
 
+#: Units of the whole numbers that rounds add up, and the distance within which a round leaves all centres when they are done.
+UNIT, STILL = float(1 << 30), 1e-4
+
+
+def _totals(vectors: DataFrame, centres: dict[str, np.ndarray], least: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each language: sums of the unit vectors nearest to each centre, their number (both of texts of ``least`` words or more), and the words of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {k: np.zeros((len(c), DIMS + 2), np.int64) for k, c in centres.items()}
+        for b in batches:
+            langs = np.array(b.column(0).to_pylist(), object)
+            full = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS)
+            for k, c in centres.items():
+                mine = full[langs == k]
+                if not len(mine):
+                    continue
+                x, words = unit(mine), mine.sum(1)
+                own, long = nearest(x, c), words >= least
+                whole = np.rint(x * UNIT).astype(np.int64)
+                for i in range(len(c)):
+                    found[k][i, :DIMS] += whole[(own == i) & long].sum(0)
+                    found[k][i, DIMS] += ((own == i) & long).sum()
+                    found[k][i, DIMS + 1] += words[own == i].sum()
+        rows = [(k, i, v) for k, t in found.items() for i, v in enumerate(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tolist() for r in rows], pa.list_(pa.int64()))], ["lang", "topic", "sums"])
+
+    parts = vectors.mapInArrow(run, "lang string, topic int, sums array<bigint>").select("lang", "topic", F.posexplode("sums").alias("at", "n"))
+    out = {k: np.zeros((len(c), DIMS + 2), np.int64) for k, c in centres.items()}
+    for r in parts.where("n <> 0").groupBy("lang", "topic", "at").agg(F.sum("n").alias("n")).collect():
+        out[r["lang"]][r["topic"], r["at"]] = r["n"]
+    return {k: (t[:, :DIMS] / UNIT, t[:, DIMS], t[:, DIMS + 1]) for k, t in out.items()}
+
+
 def fit(docs: DataFrame, langs: list[str], text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model for these languages; at most ``SAMPLE`` vectors of each come to the driver."""
+    """A model of all texts of these languages."""
 
     @F.pandas_udf("array<int>")
     def vector(texts: pd.Series) -> pd.Series:
         return pd.Series(list(counts(pa.array(texts, pa.string()))[0].astype(np.int32)), dtype=object)
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isin(langs) & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    spread = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    found = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"), F.min(spread).alias("least")).collect()
+    vectors = stored(rows.select("lang", vector("text").alias("v"), F.xxhash64("text").alias("h")), "topic-vectors")
+    spread = F.pmod(F.xxhash64("h", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    words = F.aggregate("v", F.lit(0).cast("bigint"), lambda n, x: n + x)
+    found = vectors.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"), F.min(spread).alias("least"), F.max(words).alias("most")).collect()
     if not found:
+        discard(vectors)
         return Model({}, {})
-    # four times what is needed of the different texts, and one at least
+    # the places to begin: four times what is needed of the different texts, and one at least
     share = F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(max(r["least"], 4.0 * SAMPLE / r["texts"])))))
-    some = rows.where(spread <= share[F.col("lang")]).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    some = vectors.where(spread <= share[F.col("lang")]).groupBy("lang", "h").agg(F.min("v").alias("v"))
     some = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE)
-    sample = some.select("lang", "k", vector("text").alias("v")).toPandas().sort_values(["lang", "k"])
-    centres, shares = {}, {}
+    sample = some.select("lang", "k", "v").toPandas().sort_values(["lang", "k"])
+    centres = {}
     for lang, own in sample.groupby("lang"):
         full = np.stack(own["v"].to_numpy())
         long = full.sum(1) >= MIN_WORDS
         full = full[long] if long.any() else full
-        x = unit(full)
-        centres[lang] = cluster(x, full.sum(1))
-        words = np.bincount(nearest(x, centres[lang]), full.sum(1), len(centres[lang]))
-        shares[lang] = words / words.sum()
+        centres[lang] = cluster(unit(full), full.sum(1))
+    least = {r["lang"]: MIN_WORDS if r["most"] >= MIN_WORDS else 0 for r in found}
+    shares, open_, rounds = {}, dict(centres), 0
+    while open_:
+        got = {}
+        for floor in {least[k] for k in open_}:
+            got |= _totals(vectors, {k: c for k, c in open_.items() if least[k] == floor}, floor)
+        rounds += 1
+        for k, (sums, n, words_of) in got.items():
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], open_[k])
+            part = words_of / max(words_of.sum(), 1)
+            if rounds < ROUNDS and np.abs(new - open_[k]).max() > STILL:
+                open_[k] = new
+            elif part.min() < LEAST and len(part) > 1:
+                open_[k] = np.delete(open_[k], part.argmin(), 0)
+            else:
+                order = np.argsort(-part, kind="stable")
+                centres[k], shares[k] = open_.pop(k)[order], part[order]
+    discard(vectors)
     return Model(centres, shares)
 
 
