@@ -116,3 +116,22 @@ def test_blocking_of_names_of_many_lengths_loses_no_pair(spark):
     for floor, orgs in ((0.55, False), (0.6, False), (0.9, False), (0.8, True)):
         want = {tuple(x) for x in R.best_name(every, floor, orgs).select("query", "record", "score").collect()}
         assert {tuple(x) for x in R.best_name(R.blocked_pairs(t, t, floor, orgs), floor, orgs).select("query", "record", "score").collect()} == want and want
+
+
+def test_vectors_leave_a_block_as_the_best_only(spark):
+    """300 queries by 500 rows in one cell: k rows of each query leave each of its blocks, in place of 150,000 pairs; equal scores by key."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import vectors as Vec
+
+    v = np.random.default_rng(4).normal(size=(500, 6))
+    v[7::50] = v[7]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "cell int, key long, unit array<double>")
+    held = Vec._blocks(rows, "key", "unit", 200, ("keys", "v")).withColumn("key", F.get("keys", F.lit(0)))
+    asked = rows.where("key < 300").select("cell", F.col("key").alias("query"), F.col("unit").alias("q"))
+    out = Vec._best(asked, held, 4).collect()
+    assert held.count() == 3 and len(out) == 300 * 3 * 4
+    got = sorted((-r.score, r.key) for r in out if r["query"] == 7)[:4]
+    assert got == [(-1.0, 7), (-1.0, 57), (-1.0, 107), (-1.0, 157)]
