@@ -118,6 +118,14 @@ def test_blocking_of_names_of_many_lengths_loses_no_pair(spark):
         assert {tuple(x) for x in R.best_name(R.blocked_pairs(t, t, floor, orgs), floor, orgs).select("query", "record", "score").collect()} == want and want
 
 
+def test_organisations_of_unlike_lengths_meet_by_their_core(spark):
+    from tidemark.operators import resolution as R
+
+    q = spark.createDataFrame([("a", "n1 works")], "key string, name string")
+    r = spark.createDataFrame([("b", "n1 works inc")], "key string, name string")
+    assert [(x.query, x.record) for x in R.blocked_pairs(q, r, 0.97, True).collect()] == [("a", "b")]
+
+
 def test_vectors_leave_a_block_as_the_best_only(spark):
     """300 queries by 500 rows in one cell: k rows of each query leave each of its blocks, in place of 150,000 pairs; equal scores by key."""
     import numpy as np
