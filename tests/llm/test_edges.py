@@ -676,3 +676,15 @@ def test_topics_and_their_shares_are_of_all_texts(spark, monkeypatch):
     x = np.stack([topics.unit(topics.counts(pa.array([t], pa.string()))[0])[0] for t, _ in rows])
     own = topics.nearest(x, model.centres["en"])
     assert all(np.abs(x[own == i].mean(0) - c).max() < 1e-3 for i, c in enumerate(model.centres["en"]))
+
+
+def test_topics_begin_from_all_texts(spark, monkeypatch):
+    """The number of topics and their centres hang on no sample and on no order."""
+    from tidemark.llm import topics
+
+    words = ["sea ship sail wave port", "court law judge claim appeal", "bread milk oven flour salt"]
+    rows = [(" ".join(words[k].split()[(i * 7 + j * j) % 5] for j in range(20)) + f" n{i}", "en") for k in range(3) for i in range(200)]
+    model = topics.fit(spark.createDataFrame(rows, "text string, lang string").repartition(7), ["en"])
+    monkeypatch.setattr(topics, "SAMPLE", 1)
+    again = topics.fit(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(3), ["en"])
+    assert len(model.shares["en"]) >= 3 and np.array_equal(model.shares["en"], again.shares["en"]) and np.array_equal(model.centres["en"], again.centres["en"])

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import topics
+from .common import stored
 
 REST = "(rest)"
 ROUNDS, TOLERANCE = 200, 1e-9
@@ -125,11 +126,16 @@ def document_targets(model: topics.Model) -> dict[str, dict[str, float]]:
     return {"source": SOURCES, "lang": LANGS, "topic": by_topic}
 
 
-def documents(docs: DataFrame) -> tuple[DataFrame, dict, dict[str, Column], Column]:
-    """Documents with a struct column for topics, and targets, values and tokens for ``mix`` and ``sample``."""
-    model = topics.fit(docs, list(LANGS))
-    own = "_features"
+def documents(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict, dict[str, Column], Column]:
+    """Documents (all their columns, or ``columns``) with a struct column for topics, and targets, values and tokens for ``mix`` and ``sample``.
+
+    Texts are split into words once: rows are stored with their vectors, of which topics are learned and assigned.
+    """
+    own, columns = "_features", list(columns or docs.columns)
     while own in docs.columns:
         own += "_"
-    marked = docs.withColumn(own, topics.features(F.col("text"), F.col("lang"), model))
-    return marked, document_targets(model), {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(own)["topic"]}, F.col(own)["tokens"]
+    held = stored(docs.withColumn(own, topics.vector(F.col("text"))).select(*columns, own), "topic-vectors")
+    v, tokens = F.col(own)["v"], F.col(own)["tokens"]
+    model = topics.learn(held.select("lang", v.alias("v"), tokens.alias("tokens")), list(LANGS))
+    marked = held.withColumn(own, F.struct(topics.topic(v, tokens, F.col("lang"), model).alias("topic"), tokens.alias("tokens")))
+    return marked, document_targets(model), {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(own)["topic"]}, tokens
