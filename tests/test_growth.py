@@ -143,3 +143,46 @@ def test_vectors_leave_a_block_as_the_best_only(spark):
     assert held.count() == 3 and len(out) == 300 * 3 * 4
     got = sorted((-r.score, r.key) for r in out if r["query"] == 7)[:4]
     assert got == [(-1.0, 7), (-1.0, 57), (-1.0, 107), (-1.0, 157)]
+
+
+def test_cosines_of_a_large_group_are_work_of_many_tasks(spark, monkeypatch):
+    """Blocks of one group are keys of their own; zero and null vectors, and queries and rows of more than a block, by a plain cosine."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import vectors as Vec
+
+    monkeypatch.setattr(Vec, "ASKED", 7)
+    monkeypatch.setattr(Vec, "HELD", 20)
+    monkeypatch.setattr(Vec, "SENT", 50)
+    v = np.random.default_rng(9).normal(size=(120, 5))
+    v[3] = 0
+    rows = [(i, x.tolist(), None if i == 7 else int(i > 100)) for i, x in enumerate(v)] + [(120, None, 0), (121, [1.0, None, 0.0, 0.0, 0.0], 0)]
+    t = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    asked, held = t.where("id % 3 = 0").select("label", F.col("id").alias("query"), F.col("v").alias("q")), t.select("label", F.col("id").alias("key"), "v")
+    got = {(r.query, r.key): r.cosine for r in Vec.cosines(asked, held, "label").collect()}
+    norm = np.linalg.norm(v, axis=1)
+    want = {(i, j): None if max(i, j) >= 120 else float(v[i] @ v[j] / (norm[i] * norm[j])) if norm[i] * norm[j] else 0.0 for i, _, a in rows[::3] for j, _, b in rows if a == b and a is not None}
+    assert set(got) == set(want) and all((got[k] is None) == (x is None) and (x is None or abs(got[k] - x) < 2e-6) for k, x in want.items())
+
+
+def test_companies_of_a_hub_are_dealt(spark, monkeypatch):
+    from tidemark.operators import pathways as P
+
+    monkeypatch.setattr(P, "DEALT", 10)
+    rows = [(f"c{i}", "hub") for i in range(90)] + [("c1", "b"), ("c2", "b"), ("c3", "lone"), ("c2", "b")]
+    out = P.proxy_links(spark.createDataFrame(rows, "source_key string, target_key string"))
+    got = [(r.company, r.other, r.via) for r in out.collect()]
+    hubs = {}
+    for a, h in rows:
+        hubs.setdefault(h, set()).add(a)
+    assert len(got) == len(set(got)) and set(got) == {(a, b, h) for h, own in hubs.items() for a in own for b in own if a != b}
+
+
+def test_embeddings_move_a_row_for_each_text_not_its_words(spark, dealt):
+    from tidemark.operators import retrieval as Ret
+
+    df = spark.range(60).selectExpr("id % 50 doc", "concat_ws(' ', transform(sequence(1, 200), i -> concat('w', i * (id + 1)))) text")
+    got, moved = dealt(lambda: Ret.embed_sparse(df).collect())
+    assert moved <= 60 and len({r.doc for r in got}) == 50
+    assert all(abs(sum(r.weight**2 for r in got if r.doc == d) - 1) < 1e-9 for d in (0, 20))
