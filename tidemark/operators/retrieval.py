@@ -8,6 +8,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +30,65 @@ def lexical(docs: DataFrame, query: str) -> DataFrame:
     return docs.select("doc", (hits / max(1, len(words))).alias("lexical"))
 
 
+def _number(word: str) -> int:
+    return int.from_bytes(sha256(word.encode()).digest()[:8], "big")
+
+
+#: Bytes that words are made of; all others part them.
+_WORD = np.full(256, 32, np.uint8)
+_WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = [*b"abcdefghijklmnopqrstuvwxyz0123456789"]
+#: Numbers of a matrix that a task holds at once.
+_HELD = 1 << 21
+
+
+def _signed(texts: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, number) of lower-case texts: signs of their words added up; each different word is hashed once."""
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])
+    _, edges, data = texts.buffers()
+    plain = _WORD[np.frombuffer(data, np.uint8)] if data is not None and data.size else np.zeros(0, np.uint8)
+    parts = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), edges, pa.py_buffer(plain)))
+    words = parts.flatten().dictionary_encode()
+    names = words.dictionary.to_pylist()
+    sign = np.array([0 if not w else 1 if _number(f"sign:{w}") % 2 == 0 else -1 for w in names], np.int64)
+    bucket = np.array([_number(w) % dims for w in names], np.int64)
+    code = words.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    sums = np.bincount(row * dims + bucket[code], sign[code], len(texts) * dims) if len(code) else np.zeros(0)
+    at = np.flatnonzero(sums)
+    return at // dims, at % dims, sums[at].astype(np.int64)
+
+
 def embed_sparse(docs: DataFrame, dims: int = DIMS) -> DataFrame:
     """(doc, bucket, weight): sign-hashed bag of words of length 1 in ``dims`` buckets (SIM-07). Zero vectors have no rows.
 
     The bucket is the first eight bytes of the word's SHA-256, as a number, modulo ``dims``; the sign the parity of the same number for ``sign:word``.
+    Tasks add up the words of each text, so that one short row of a text is moved to the others of its document, not its words.
     """
-    w = docs.select("doc", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w"))
-    n = w.groupBy("doc", "w").agg(F.count("*").alias("n"))
-    byte = lambda x: F.conv(F.substring(F.sha2(x, 256), 15, 2), 16, 10).cast("int")
-    # 256 divides 2^64, so one byte says it all there
-    bucket = byte(F.col("w")) if dims == 256 else (F.conv(F.substring(F.sha2("w", 256), 1, 16), 16, 10).cast("decimal(20,0)") % dims).cast("int")
-    sign = F.when(byte(F.concat(F.lit("sign:"), "w")) % 2 == 0, 1).otherwise(-1)
-    v = n.select("doc", bucket.alias("bucket"), (sign * F.col("n")).alias("x")).groupBy("doc", "bucket").agg(F.sum("x").alias("x")).where("x <> 0")
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc")))
-    return v.select("doc", "bucket", (F.col("x") / norm).alias("weight"))
+    kind = docs.schema["doc"].dataType.simpleString()
+    lists = lambda size, values, t: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values, t))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _HELD // dims)
+        for whole in batches:
+            for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                row, bucket, x = _signed(b.column(1), dims)
+                size = np.bincount(row, minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), lists(size, bucket, pa.int32()), lists(size, x, pa.int64())], ["doc", "b", "x"])
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _HELD // dims)
+        for whole in batches:
+            for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+                at = row * dims + b.column(1).flatten().to_numpy(zero_copy_only=False)
+                x = np.bincount(at, b.column(2).flatten().to_numpy(zero_copy_only=False), b.num_rows * dims).reshape(-1, dims)
+                norm = np.sqrt((x * x).sum(1))
+                row, bucket = np.nonzero(x)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(x[row, bucket] / norm[row])], ["doc", "bucket", "weight"])
+
+    short = docs.select("doc", F.lower("text").alias("text")).mapInArrow(add, f"doc {kind}, b array<int>, x array<bigint>").where(F.size("b") > 0)
+    one = short.groupBy("doc").agg(F.collect_list(F.struct("b", "x")).alias("r")).select("doc", F.flatten("r.b").alias("b"), F.flatten("r.x").alias("x"))
+    return one.mapInArrow(scale, f"doc {kind}, bucket int, weight double")
 
 
 class HashEmbedder:
@@ -53,10 +99,9 @@ class HashEmbedder:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
-        number = lambda w: int.from_bytes(sha256(w.encode()).digest()[:8], "big")
         for row, text in zip(out, texts):
             for w in re.findall("[a-z0-9]+", text.lower()):
-                row[number(w) % self.dims] += 1 if number(f"sign:{w}") % 2 == 0 else -1
+                row[_number(w) % self.dims] += 1 if _number(f"sign:{w}") % 2 == 0 else -1
         norm = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, norm, out=out, where=norm > 0)
 
