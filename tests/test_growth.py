@@ -186,3 +186,40 @@ def test_embeddings_move_a_row_for_each_text_not_its_words(spark, dealt):
     got, moved = dealt(lambda: Ret.embed_sparse(df).collect())
     assert moved <= 60 and len({r.doc for r in got}) == 50
     assert all(abs(sum(r.weight**2 for r in got if r.doc == d) - 1) < 1e-9 for d in (0, 20))
+
+
+def test_peers_move_pairs_not_pairs_by_term(spark, dealt):
+    from tidemark.operators import pathways as P
+
+    exposed = [(f"t{t}" if t else None, f"c{c}") for c in range(20) for t in range(40) if (c + t) % 3]
+    refs = [(f"c{a}", f"c{b}", a * 30 + b, f"s{a}-{b}") for a in range(25) for b in range(25) if a != b]
+    e, r = spark.createDataFrame(exposed * 2, "term string, company string"), spark.createDataFrame(refs + [(a, b, n + 9000, "late") for a, b, n, _ in refs], "source_key string, target_key string, seq long, source string")
+    out, moved = dealt(lambda: P.network_peers(e, r).collect())
+    have = set(exposed)
+    want = {(t, a, b, s) for a, b, _, s in refs for t in {t for t, c in exposed if c == b} if t is None or (t, a) not in have}
+    assert len(out) == len(want) and {(x.term, x.company, x.via, x.source) for x in out} == want
+    assert moved < 10 * len(refs), (moved, len(refs))
+
+
+def test_a_sentence_is_cut_into_words_once(spark):
+    from tidemark.functions import text as T
+    from pyspark.sql import functions as F
+
+    rows = [("It is the year of our lord.", True), ("is 1 2 3 4 5 6 7.", False), ("Ünïts wèré shipped to all of them…", True), ("Él é ü ö ä ß is", False), ("one two three four five six", False), ("we have talked to five men 12 (3)", True), ("", False), (None, None)]
+    df = spark.createDataFrame([r[:1] for r in rows], "s string").select("s", T.is_disclosure(F.col("s"), ["is", "was"]).alias("x"))
+    assert {r.s: bool(r.x) for r in df.collect()} == {s: bool(w) for s, w in rows}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract_all(") == 2
+
+
+def test_texts_give_only_the_grams_of_items(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import alerts as A
+
+    rows = spark.createDataFrame([(1, "x😀yz and a very long text about nothing"), (2, "é😀y"), (3, None), (4, ""), (5, "no")], "doc long, text string")
+    items = spark.createDataFrame([("😀yz",), ("é😀",), ("no",), ("about noth",), ("",)], "v string")
+    marks = A._marks(spark.createDataFrame([("😀yz",), ("é😀",)], "gram string"))
+    got = {r.doc: sorted(r.g) for r in rows.select("doc", A._grams(F.col("text"), [2, 3], marks).alias("g")).collect()}
+    assert got == {1: ["😀yz"], 2: ["é😀"], 3: [], 4: [], 5: []}
+    assert sorted((r.doc, r.v) for r in A.containing(rows, F.col("text"), items).collect()) == [(1, "about noth"), (1, "no"), (1, "😀yz"), (2, "é😀"), (5, "no")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,18 +16,76 @@ from ..sources.scratch import stored
 GRAM = 3
 
 
-def _grams(text: Column, sizes: list[int]) -> Column:
-    """The distinct runs of so many signs in a text, found in one pass for each size."""
-    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    return F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
+#: Places of a table of marks, and signs that a task cuts at once.
+SLOTS, _RUN = 1 << 20, 1 << 20
+
+
+def _code(gram: str) -> int:
+    return sum((ord(c) + 1) << 21 * i for i, c in enumerate(gram))
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+
+def _cut(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of all runs of ``n`` signs; a code holds three signs of 21 bits."""
+    signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    m = max(0, len(signs) - n + 1)
+    code = sum((signs[i : i + m] << 21 * i for i in range(n)), np.zeros(m, np.int64))
+    same = row[:m] == row[n - 1 : n - 1 + m]
+    return row[:m][same], code[same]
+
+
+def _marks(grams: DataFrame) -> bytes:
+    """A table of ``SLOTS`` bits in which those of the hashes of ``gram`` are set; it is as large for any number of grams."""
+
+    @F.pandas_udf("int")
+    def slot(values: pd.Series) -> pd.Series:
+        return pd.Series(_slot(np.array([_code(v) for v in values], np.int64)).astype(np.int32))
+
+    bits = np.zeros(SLOTS, bool)
+    bits[[r[0] for r in grams.select(slot("gram")).distinct().collect()]] = True
+    return np.packbits(bits).tobytes()
+
+
+def _grams(text: Column, sizes: list[int], marks: bytes | None = None) -> Column:
+    """The distinct runs of so many signs in a text; with ``marks``, only those that are marked (and a few that share a mark)."""
+
+    @F.pandas_udf("array<string>")
+    def of(texts: pd.Series) -> pd.Series:
+        out = [[] for _ in range(len(texts))]
+        wanted = None if marks is None else np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+        texts = texts.fillna("").tolist()
+        starts = np.cumsum([0, *map(len, texts)])[:-1] // _RUN
+        cuts = np.unique(starts, return_index=True)[1].tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(texts)]):
+            for n in sizes:
+                row, code = _cut(texts[a:b], n)
+                if wanted is not None:
+                    kept = wanted[_slot(code)]
+                    row, code = row[kept], code[kept]
+                order = np.lexsort((code, row))
+                row, code = row[order], code[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+                row, (each, at) = row[new], np.unique(code[new], return_inverse=True)
+                names = ["".join(chr((c >> 21 * i & 0x1FFFFF) - 1) for i in range(n)) for c in each.tolist()]
+                for r, i in zip(row.tolist(), at.tolist()):
+                    out[a + r].append(names[i])
+        return pd.Series(out, dtype=object)
+
+    return of(text) if sizes else F.array().cast("array<string>")
 
 
 def gram_keys(rows: DataFrame, text: Column, items: DataFrame, sizes: list[int]) -> DataFrame:
     """``items`` (with ``v``) with ``key``, the gram of theirs that the fewest texts have. An item with a gram that no text has is in no text and goes."""
-    own = items.select("v").distinct().withColumn("gram", F.explode(F.when(F.length("v") < GRAM, F.array("v")).otherwise(_grams(F.col("v"), [GRAM]))))
+    long = F.explode(F.when(F.length("v") < GRAM, F.array("v")).otherwise(_grams(F.col("v"), [GRAM])))
+    own = stored(items.select("v").distinct().where("v <> ''").withColumn("gram", long), "item-grams")
     used = own.select("gram").distinct()
-    # grams that no item uses end at this join, in the task that made them as long as Spark finds the used ones small enough to send
-    often = rows.select(text.alias("_low")).select(F.explode(_grams(F.col("_low"), sizes)).alias("gram")).join(used, "gram").groupBy("gram").agg(F.count("*").alias("often"))
+    # grams that no item uses end in the task that reads the text but for those that share a mark, which end at this join
+    often = rows.select(text.alias("_low")).select(F.explode(_grams(F.col("_low"), sizes, _marks(used))).alias("gram")).join(used, "gram").groupBy("gram").agg(F.count("*").alias("often"))
     rarest = own.join(often, "gram", "left").groupBy("v").agg(F.min_by("gram", F.struct("often", "gram")).alias("key"), F.bool_and(F.col("often").isNotNull()).alias("all"))
     return items.join(rarest.where("all").select("v", "key"), "v")
 
@@ -38,7 +98,8 @@ def containing(rows: DataFrame, text: Column, items: DataFrame) -> DataFrame:
     """
     sizes = [r[0] for r in items.select(F.least(F.length("v"), F.lit(GRAM)).alias("n")).where("n > 0").distinct().collect()]
     keyed = stored(gram_keys(rows, text, items, sizes), "gram-keys")
-    found = rows.withColumn("_low", text).withColumn("key", F.explode(_grams(F.col("_low"), sizes)))
+    marks = _marks(keyed.select(F.col("key").alias("gram")).distinct())
+    found = rows.withColumn("_low", text).withColumn("key", F.explode(_grams(F.col("_low"), sizes, marks)))
     return found.join(keyed, "key").where(F.col("_low").contains(F.col("v"))).drop("_low", "key")
 
 
