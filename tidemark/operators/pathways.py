@@ -27,11 +27,17 @@ def footprint(subsidiaries: DataFrame) -> DataFrame:
 
 
 def network_peers(exposed: DataFrame, references: DataFrame, term: str = "term") -> DataFrame:
-    """(term, company, via): companies that mention an exposed one without being exposed; the first evidence of each pair (JON-04, JON-05)."""
-    e = exposed.select(term, "company").distinct()
-    pairs = references.join(e.select(term, F.col("company").alias("target_key")), "target_key")
-    fresh = pairs.join(e.select(term, F.col("company").alias("source_key")), [term, "source_key"], "left_anti")
-    return fresh.groupBy(term, F.col("source_key").alias("company"), F.col("target_key").alias("via")).agg(F.min_by("source", "seq").alias("source"))
+    """(term, company, via): companies that mention an exposed one without being exposed; the first evidence of each pair (JON-04, JON-05).
+
+    The first evidence of a pair is the same for all terms, so pairs are made one first and meet each company's list of terms; rows by term are made last and not moved.
+    """
+    terms = exposed.groupBy("company").agg(F.collect_set(term).alias("own"), F.max(F.col(term).isNull()).alias("none"))
+    terms = stored(terms.select("company", F.when(F.col("none"), F.concat("own", F.array(F.lit(None)))).otherwise(F.col("own")).alias("own")), "company-terms")
+    pairs = references.groupBy(F.col("source_key").alias("company"), F.col("target_key").alias("via")).agg(F.min_by("source", "seq").alias("source"))
+    met = pairs.join(terms.select(F.col("company").alias("via"), F.col("own").alias("theirs")), "via").join(terms, "company", "left")
+    # a term that is null equals none
+    fresh = F.when(F.col("own").isNull(), F.col("theirs")).otherwise(F.array_except("theirs", F.array_compact("own")))
+    return met.select(F.explode(fresh).alias(term), "company", "via", "source")
 
 
 def sector_matches(in_sector: DataFrame, term: Column) -> DataFrame:
