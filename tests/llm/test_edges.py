@@ -288,6 +288,30 @@ def test_bpe_states_are_bounded_within_a_match():
     assert list(small.stream(text)) == want and len(small.states) <= 302 and small.encode(b"hello") == large.encode(b"hello")
 
 
+def test_bpe_that_shares_memory_keeps_little(spark):
+    """A released worker holds few states and pieces and short portions of texts, with the same ids."""
+    from zlib import crc32
+
+    import public_tokenizers as p
+
+    from tidemark.llm import bpe
+
+    draw = random.Random(3)
+    words = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30000)) for _ in range(8)]
+    texts = spark.createDataFrame(list(enumerate([*words, "\n".join(words[:5]), None])), "doc_id long, text string").coalesce(1)
+
+    def held(made, ids):
+        return str(len(made.machine.states)), str(len(made.cache.known) + len(made.cache.older)), str(crc32(ids.tobytes()))
+
+    def run(release):
+        rows = bpe.encode(texts, p.path("byte_bpe_50k.tiktoken"), p.PATTERN, columns="states string, pieces string, ids string", of=held, release=release).collect()
+        return {r.id: (r.n_tokens, r.ids) for r in rows}, max(int(r.states) for r in rows), max(int(r.pieces) for r in rows)
+
+    ids, states, pieces = run(True)
+    assert states <= bpe.SMALL_STATES + 1 and pieces <= 2 * (bpe.SMALL_PIECES + bpe.SMALL_BYTES // 7 + 1)
+    assert ids == run(False)[0] and ids[9][0] == 0
+
+
 def test_url_siblings_from_bad_to_good_are_no_chain(spark):
     """20 siblings with 60 labels each whose good share rises from 0 to 95 %: poor ones are blocked, good ones stay."""
     from tidemark.llm import urlfilter

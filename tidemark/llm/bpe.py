@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, slices
+from .common import SLICE_BYTES, ranges, slices
 from .pieces import PieceCache, by_pattern
 
 
@@ -238,6 +238,9 @@ class Bpe(Vocabulary):
         return self.cache.ids(texts)
 
 
+#: What a worker that shares an executor's memory with other steps keeps and handles at once: states, pieces of each generation, bytes of text.
+SMALL_STATES, SMALL_PIECES, SMALL_BYTES = 50_000, 60_000, 512 << 10
+
 _MADE: dict[tuple, Vocabulary] = {}
 
 
@@ -268,7 +271,7 @@ Derived = Callable[[Vocabulary, np.ndarray], tuple]
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", columns: str | None = None, of: Derived | None = None, release: bool = False) -> DataFrame:
     """(id, n_tokens, ids) of every whole text; ids as little-endian unsigned 32-bit integers.
 
-    With ``release`` a worker forgets states and pieces when a partition ends, which leaves memory for other steps of the same job.
+    With ``release`` a worker keeps few states and pieces, takes short portions, and forgets all when a partition ends, which leaves memory for other steps of the same job.
 
     With ``columns`` (a DDL list of strings) and ``of``, its values for the ids of each row come instead of
     the ids, so that they need not leave the worker.
@@ -277,11 +280,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = bpe(ranks, pattern)
-        if not release:
+        if release:
+            made.machine.max_states, made.cache.half, made.cache.portion = SMALL_STATES, SMALL_PIECES, SMALL_BYTES
+        else:
             # alone in its worker, it may keep twice as many states and pieces
             made.machine.max_states, made.cache.half = 200_000, 200_000
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SMALL_BYTES if release else SLICE_BYTES):
                 ids, counts = made.encode(part.column(1))
                 ends = np.cumsum(counts).tolist()
                 runs = [ids[b - n : b] for b, n in zip(ends, counts.tolist())]

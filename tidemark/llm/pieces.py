@@ -139,8 +139,8 @@ class PieceCache:
     pieces of texts. Where texts may be cut at safe places (``parts``), long ones never lie open at once.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, cut=byte_level, limit: int = 240_000):
-        self.encode, self.dtype, self.cut, self.parts = encode, np.dtype(dtype), cut, cut is byte_level
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, cut=byte_level, limit: int = 240_000, portion: int = PORTION_BYTES):
+        self.encode, self.dtype, self.cut, self.parts, self.portion = encode, np.dtype(dtype), cut, cut is byte_level, portion
         self.half, self.known, self.older = limit // 2, {}, {}
 
     def lookup(self, pieces: list[str]) -> list[bytes]:
@@ -182,7 +182,7 @@ class PieceCache:
         texts = pc.fill_null(texts, "")
         whole = np.zeros(len(texts), bool) if whole is None else whole
         parts, sizes = [np.zeros(0, self.dtype)], np.zeros(len(texts), np.int64)
-        for numbers, own in portions(texts, whole if self.parts else np.ones(len(texts), bool)):
+        for numbers, own in portions(texts, whole if self.parts else np.ones(len(texts), bool), self.portion):
             ids, n = self._ids(own, whole[numbers])
             parts.append(ids)
             sizes[numbers] += n
