@@ -223,3 +223,24 @@ def test_texts_give_only_the_grams_of_items(spark):
     got = {r.doc: sorted(r.g) for r in rows.select("doc", A._grams(F.col("text"), [2, 3], marks).alias("g")).collect()}
     assert got == {1: ["😀yz"], 2: ["é😀"], 3: [], 4: [], 5: []}
     assert sorted((r.doc, r.v) for r in A.containing(rows, F.col("text"), items).collect()) == [(1, "about noth"), (1, "no"), (1, "😀yz"), (2, "é😀"), (5, "no")]
+
+
+def test_exposure_moves_holdings_not_holdings_times_terms(spark, dealt):
+    """Companies whose sets of terms all differ, one term that is null, and one company without terms."""
+    from tidemark.operators import pathways as P
+
+    links = [(None if t == 7 else f"t{t}", f"c{c}") for c in range(40) for t in range(150) if t != c]
+    held = [(f"f{f}", f"c{(f * 7 + k) % 41}", float(f + k)) for f in range(60) for k in range(20)]
+    got, moved = dealt(lambda: P.portfolio_exposure(spark.createDataFrame(held, "fund string, company string, value double"), spark.createDataFrame(links, "term string, company string")).collect())
+    terms = {}
+    for t, c in links:
+        terms.setdefault(c, []).append(t)
+    want = {}
+    for f, c, v in held:
+        for t in terms.get(c, []):
+            n, s = want.get((f, t), (0, 0))
+            want[f, t] = n + 1, s + v
+    assert {(r.fund, r.term): (r.n_exposed, r.exposed_value) for r in got} == want and len(got) == len(want)
+    assert {(r.fund, r.n_holdings, r.total_value) for r in got} == {(f"f{f}", 20, float(20 * f + 190)) for f in range(60)}
+    # rows by fund and term are 9,000, and made of 176,000; links move four times
+    assert moved < 10 * (len(held) + len(links) // 2), moved

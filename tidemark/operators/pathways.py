@@ -6,7 +6,7 @@ so nothing here is broadcast by hand.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
@@ -86,19 +86,39 @@ def company_classes(links: DataFrame) -> DataFrame:
     return size.join(least, ["size", "h1", "h2"]).select("company", "class")
 
 
+#: Terms numbered by one task, holdings whose exposure one task adds up, terms that are sent to all tasks at most.
+NUMBERED, ADDED, SENT = 4096, 20_000, 100_000
+
+
+def numbered_terms(links: DataFrame) -> DataFrame:
+    """(term, word, bit): each distinct term as a bit of a 64-bit word; terms are dealt by hash and numbered within their part, so words are full."""
+    terms = stored(links.select("term").distinct(), "exposed-terms")
+    part = F.pmod(F.xxhash64("term"), F.lit(terms.count() // NUMBERED + 1))
+    n = F.row_number().over(Window.partitionBy("part").orderBy("term")) - 1
+    return stored(terms.withColumn("part", part).select("term", (F.shiftleft("part", 32) + F.floor(n / 64)).alias("word"), (n % 64).cast("int").alias("bit")), "exposed-bits")
+
+
 def portfolio_exposure(held: DataFrame, exposed: DataFrame) -> DataFrame:
     """(fund, term, n_exposed, exposed_value, n_holdings, total_value) for all funds and terms (JON-09, SET-04).
 
-    The totals are one aggregate over the holdings. For the exposed part holdings are summed by fund and class of companies first
-    (``company_classes``), and these sums meet the terms of each class: rows grow with holdings, not with holdings times terms, where companies share their terms.
+    Holdings are summed by fund and class of companies first (``company_classes``). Each class has its terms as words of bits (``numbered_terms``), which meet
+    these sums before they are dealt by fund; rows by fund and term are made after that and added up where they are, so what moves grows with holdings, not with holdings times terms.
     """
-    total = held.groupBy("fund").agg(F.count("*").alias("n_holdings"), F.sum("value").alias("total_value"))
     links = stored(exposed.select("term", "company").distinct(), "exposed-links")
     classes = stored(company_classes(links), "exposed-classes")
-    sums = held.join(classes, "company").groupBy("fund", "class").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    terms = links.join(classes.select(F.col("class").alias("company")).distinct(), "company").select("term", F.col("company").alias("class"))
-    part = sums.join(terms, "class").groupBy("fund", "term").agg(F.sum("n").alias("n_exposed"), F.sum("v").alias("exposed_value"))
-    return part.join(total, "fund")
+    # a company without terms has no class, and counts in the totals only
+    sums = stored(held.join(classes, "company", "left").groupBy("fund", "class").agg(F.count("*").alias("n"), F.sum("value").alias("v")), "exposed-sums")
+    total = sums.groupBy("fund").agg(F.sum("n").alias("n_holdings"), F.sum("v").alias("total_value"))
+    bits = numbered_terms(links)
+    small = F.broadcast(bits) if bits.count() <= SENT else bits
+    of_class = links.join(classes.select(F.col("class").alias("company")).distinct(), "company").join(small.withColumnRenamed("term", "t"), F.col("term").eqNullSafe(F.col("t")))
+    words = of_class.groupBy(F.col("company").alias("class"), "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    words = stored(words.groupBy("class").agg(F.collect_list(F.struct("word", "bits")).alias("words")), "exposed-words")
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), sums.count() // ADDED)
+    dealt = sums.join(words, "class").select("fund", "n", "v", "words").repartition(parts, "fund").join(total, "fund")
+    each = dealt.select("fund", "n_holdings", "total_value", "n", "v", F.explode("words").alias("w")).select("*", F.explode(F.array(*map(F.lit, range(64)))).alias("bit"))
+    part = each.where("shiftright(w.bits, bit) & 1 = 1").groupBy("fund", "n_holdings", "total_value", F.col("w.word").alias("word"), "bit").agg(F.sum("n").alias("n_exposed"), F.sum("v").alias("exposed_value"))
+    return part.join(small, ["word", "bit"]).select("fund", "term", "n_exposed", "exposed_value", "n_holdings", "total_value")
 
 
 def exposed_holdings(held: DataFrame, exposed: DataFrame) -> DataFrame:
