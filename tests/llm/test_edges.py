@@ -53,6 +53,73 @@ def test_token_ids(spark, docs, empty):
     assert ti.roundtrip(empty, p.path("byte_bpe_50k.json"), path(spark), 2).count() == 0
 
 
+def test_a_worker_asks_the_library_once_for_a_piece(monkeypatch):
+    """250,000 words in two rounds of small texts: the second finds all of them known, and its ids are the same."""
+    import public_tokenizers as p
+    import pyarrow as pa
+
+    from tidemark.llm import token_ids as ti
+
+    monkeypatch.setattr(ti, "_CACHES", {})
+    cache, _ = ti._tokenizer_cache(p.path("byte_bpe_50k.json"), False)
+    asked, encode = [], cache.encode
+    cache.encode = lambda new: asked.append(len(new)) or encode(new)
+    signs = np.array(list("abcdefghij"))
+    texts = ["".join(" q" + "".join(signs[[i // 10**k % 10 for k in range(6)]]) for i in range(a, a + 5000)) for a in range(0, 250_000, 5000)]
+    once = [cache.ids(pa.array([t]))[0].tobytes() for t in texts]
+    assert sum(asked) == 250_000
+    assert [cache.ids(pa.array([t]))[0].tobytes() for t in texts] == once and sum(asked) == 250_000
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_cut_pieces_are_the_librarys(monkeypatch, special_as_text):
+    """Every code point of the basic plane and of pictures, alone, doubled, after a space and between letters, and odd pieces among them: the library's ids, by calls for many pieces."""
+    import public_tokenizers as p
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import token_ids as ti
+    from tidemark.llm.pieces import one_class
+
+    tok = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = special_as_text
+    monkeypatch.setattr(ti, "_CACHES", {})
+    cache, added = ti._tokenizer_cache(p.path("byte_bpe_50k.json"), special_as_text)
+    assert added == ([] if special_as_text else ["<|endoftext|>"])
+    signs = [chr(c) for c in (*range(0x10000), *range(0x1F000, 0x20000)) if not 0xD800 <= c < 0xE000]
+    odd = ["don't", "''s", "'s's", "a" * 64, "b" * 65, "1" * 64, "é" * 64, "!?" * 40, "<|endoftext|>", " <|endoftext|>", "<|", "|>", "\n", "\r\n", " \n", "  ", "   x", "\x00\x01", "ab12", "12ab", "😀😀", "𝒜𝒜", "日本語"]
+    new = [*odd, *signs, *(s + s for s in signs), *(" " + s for s in signs), *(f"a{s}b" for s in signs)]
+    assert one_class(["a", " a", "12", " !?", "é日", "😀"]).all()
+    assert not one_class(["", " ", "  ", "  a", "a b", "a1", "a!", "'s", "\n", " \n", "𝒜", "c" * 65]).any()
+    want = [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+    assert [np.frombuffer(b, cache.dtype).tolist() for b in cache.encode(new)] == want
+    ids, counts = cache.ids(pa.array(new), np.array([any(t in s for t in added) for s in new]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_packed_codes_are_the_plain_bits():
+    from tidemark.llm.token_ids import STEP, Code, code_lengths
+
+    r = np.random.default_rng(3)
+    for n, size in ((1, 1), (2, 64), (2, 128), (300, 5000), (60_000, 9001)):
+        lengths = code_lengths(1 + (r.pareto(0.5, n) * 3).clip(0, 1e9).astype(np.int64))
+        ids, code = r.integers(0, n, size), Code(lengths)
+        order = np.lexsort((np.arange(n), lengths))
+        plain, at, last = {}, 0, 0
+        for i in order.tolist():  # codes of one length follow one another
+            at <<= int(lengths[i]) - last
+            last = int(lengths[i])
+            plain[i] = f"{at:0{last}b}"
+            at += 1
+        words = [plain[i] for i in ids.tolist()]
+        bits = "".join(words)
+        data, offsets = code.pack(ids)
+        assert data == int(bits + "0" * (-len(bits) % 8), 2).to_bytes((len(bits) + 7) // 8)
+        ends = np.cumsum([len(w) for w in words])
+        assert offsets.tolist() == [0, *ends[:-1].tolist()][::STEP]
+        assert (code.unpack(data, offsets, size) == ids).all()
+
+
 def test_bpe(spark, docs, empty):
     import public_tokenizers as p
     import tiktoken

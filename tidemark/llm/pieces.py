@@ -95,6 +95,39 @@ def byte_level(texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray
     return _array(data, offsets), counts
 
 
+@cache
+def _alphabet() -> np.ndarray:
+    """The sign of every byte in the vocabularies of byte-level tokenizers; line feeds stay, as they part pieces."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = np.zeros(256, np.uint32)
+    table[same] = same
+    rest = np.flatnonzero(table == 0)
+    table[rest] = np.arange(256, 256 + len(rest))
+    table[10] = 10
+    return table
+
+
+def spelled(raw: np.ndarray) -> str:
+    """Bytes, with a line feed between pieces, in the signs of byte-level vocabularies."""
+    return _alphabet()[raw].tobytes().decode("utf-32-le")
+
+
+def one_class(pieces: list[str]) -> np.ndarray:
+    """Which pieces of at most KEEP code points are one match of BYTE_LEVEL for certain: letters, numbers or signs alone, or after a space."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    code = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+    fit = (size > 0) & (size <= KEEP)
+    if not len(code):
+        return fit
+    kind = classes()[np.minimum(code, LAST)]
+    ends = np.cumsum(size)
+    begins = np.minimum(ends - size, len(code) - 1)
+    last = kind[ends - 1]
+    odd = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])
+    inner = begins + ((code[begins] == 32) & (size > 1))
+    return fit & (last < SPACE) & (odd[ends - 1] == odd[np.minimum(inner, ends - 1)])
+
+
 def by_pattern(pattern: str) -> Callable[[pa.Array, np.ndarray], tuple[pa.Array, np.ndarray]]:
     """The same for any pattern (``whole`` isn't heeded)."""
     if pattern == BYTE_LEVEL:

@@ -20,6 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,14 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import discard, slices, stored
-from .pieces import KEEP, PieceCache, byte_level, uncut
+from .pieces import PieceCache, byte_level, one_class, spelled, uncut
 
 MAX_LENGTH = 20
 BLOCK_IDS = 1 << 18
 STEP = 128
+#: The pieces that a Python worker keeps, and those that the library gets at once.
+PIECES = 600_000
+RUN = 1024
 _HEAD = struct.Struct("<4sIIIIII")
 _NO_ID = -(1 << 63)
 
@@ -42,63 +46,61 @@ _CACHES: dict[tuple, tuple[PieceCache, list[str]]] = {}
 
 
 def _tokenizer_cache(path: str, special_as_text: bool) -> tuple[PieceCache, list[str]]:
-    """The pieces of one tokenizer file, and the strings that it cuts out before all else; unknown pieces go through the library as one long text."""
+    """The pieces of one tokenizer file, and the strings that it cuts out before all else; unknown pieces go through the library many at a time."""
     if (path, special_as_text) not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = special_as_text
         size = tok.get_vocab_size()
         dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        opens = np.zeros(size, bool)
+        covers = np.zeros(size, np.int64)
         for piece, i in tok.get_vocab().items():
-            opens[i] = piece.startswith("Ġ")
+            covers[i] = len(piece)
         made = json.loads(tok.to_str())
         plain = made["pre_tokenizer"] or {}
         level = made["normalizer"] is None and plain.get("type") == "ByteLevel" and plain.get("use_regex") and not plain.get("add_prefix_space")
         added = [t.content for t in tok.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
 
-        line = tok.encode("\n", add_special_tokens=False).ids
-        breaks = np.zeros(size, bool)
-        breaks[line[:1]] = len(line) == 1
-
-        def joined(new: list[str], chosen: list[int], sign: str, begins: np.ndarray, out: list[bytes]) -> list[int]:
-            """Encodes pieces as one text, ``sign`` before each; gives back those whose ids can't be told apart."""
-            left, skip, width = [], len(sign), dtype.itemsize
-            for at in range(0, len(chosen), 512):
-                run = chosen[at : at + 512]
-                ids = np.array(tok.encode_batch_fast([sign + sign.join([new[i] for i in run])], add_special_tokens=False)[0].ids, dtype)
-                starts = np.flatnonzero(begins[ids])
-                if len(starts) != len(run) or starts[0]:
-                    left += run
-                    continue
-                data = ids.tobytes()
-                cuts = [*(starts * width).tolist(), len(data)]
-                for i, a, b in zip(run, cuts, cuts[1:]):
-                    out[i] = data[a + skip * width : b]
-            return left
+        batched = level and made["model"]["type"] == "BPE" and not any(made["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        # strings of the library's own that may stand inside letters, numbers or signs
+        inside = [t for t, fits in zip(added, one_class(added)) if fits or t == " "]
+        # the same model over pieces that are cut and spelled already
+        model = Tokenizer(tok.model)
+        model.pre_tokenizer = CharDelimiterSplit("\n")
+        width = dtype.itemsize
+
+        def singly(run: list[str]) -> list[bytes]:
+            return [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(run, add_special_tokens=False)]
+
+        def together(run: list[str]) -> list[bytes]:
+            """One call for many pieces; a vocabulary's strings have a sign for each byte, so their lengths tell where a piece ends."""
+            raw = np.frombuffer("\n".join(run).encode(), np.uint8)
+            ids = np.array(model.encode_batch_fast([spelled(raw)], add_special_tokens=False)[0].ids, dtype)
+            ends = np.append(np.flatnonzero(raw == 10), len(raw)) - np.arange(len(run))
+            covered = np.concatenate([[0], np.cumsum(covers[ids])])
+            cuts = np.searchsorted(covered, ends, "right") - 1
+            if cuts[-1] != len(ids) or (covered[cuts] != ends).any():
+                return singly(run)
+            data, at = ids.tobytes(), [0, *(cuts * width).tolist()]
+            return [data[a:b] for a, b in zip(at, at[1:])]
 
         def encode(new: list[str]) -> list[bytes]:
-            out: list[bytes] = [b""] * len(new)
-            spaced, solid, alone = [], [], []
-            for i, p in enumerate(new):
-                words = p.split(None, 1) if level and len(p) <= KEEP else ()
-                if len(words) == 1 and words[0] == p:
-                    solid.append(i)
-                elif len(words) == 1 and p[0] == " " and words[0] == p[1:]:
-                    spaced.append(i)
-                else:
-                    alone.append(i)
-            alone += joined(new, spaced, "", opens, out)
-            alone += joined(new, solid, "\n", breaks, out)
-            for at in range(0, len(alone), 512):
-                run = alone[at : at + 512]
-                for i, e in zip(run, tok.encode_batch_fast([new[i] for i in run], add_special_tokens=False)):
-                    out[i] = np.array(e.ids, dtype).tobytes()
-            return out
-
-        _CACHES[path, special_as_text] = PieceCache(encode, dtype.str, byte_level if level else uncut), added
+            fit = one_class(new) if batched else np.zeros(len(new), bool)
+            for token in inside:
+                fit &= np.fromiter((token not in p for p in new), bool, len(new))
+            out = []
+            for own, way, size in ((fit, together, RUN), (~fit, singly, 512)):
+                chosen = new if own.all() else list(compress(new, own.tolist()))
+                out += [e for at in range(0, len(chosen), size) for e in way(chosen[at : at + size])]
+            if fit.all() or not fit.any():
+                return out
+            order = np.argsort(np.argsort(~fit, kind="stable"), kind="stable")
+            return [out[i] for i in order.tolist()]
+
+        _CACHES[path, special_as_text] = PieceCache(encode, dtype.str, byte_level if level else uncut, PIECES), added
     return _CACHES[path, special_as_text]
 
 
@@ -183,19 +185,20 @@ class Code:
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = np.asarray(lengths, np.int64)
+        if len(self.lengths) > 1 << 27:
+            raise ValueError("ids don't fit 27 bits")
         used = np.flatnonzero(self.lengths)
         used = used[np.argsort(self.lengths[used], kind="stable")]
         self.bits = max(1, int(self.lengths.max(initial=1)))
         sizes = self.lengths[used]
         spans = np.left_shift(1, self.bits - sizes)
         begins = np.cumsum(spans) - spans
+        # codes stand at the upper end of 64 bits; an entry of the table is a symbol and, in its lowest five bits, the length
         self.codes = np.zeros(len(self.lengths), np.uint64)
-        self.codes[used] = begins >> (self.bits - sizes)
-        self.symbol = np.zeros(1 << self.bits, np.uint32)
-        self.size = np.ones(1 << self.bits, np.int64)
+        self.codes[used] = begins.astype(np.uint64) << np.uint64(64 - self.bits)
+        self.table = np.ones(1 << self.bits, np.uint32)
         filled = int(spans.sum())
-        self.symbol[:filled] = np.repeat(used, spans)
-        self.size[:filled] = np.repeat(sizes, spans)
+        self.table[:filled] = np.repeat(used << 5 | sizes, spans)
 
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The codes of ``ids`` one after another, and the bit offset of every STEP-th."""
@@ -205,14 +208,16 @@ class Code:
         ends = np.cumsum(sizes)
         begins = ends - sizes
         total = int(ends[-1]) if len(ids) else 0
-        words = np.zeros(total // 32 + 2, np.uint32)
+        words = np.zeros(total // 64 + 2, np.uint64)
         if len(ids):
-            at, inside = begins >> 5, begins & 31
-            value = self.codes[ids] << (64 - inside - sizes).astype(np.uint64)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-            words[at[cut]] |= np.bitwise_or.reduceat((value >> np.uint64(32)).astype(np.uint32), cut)
-            words[at[cut] + 1] |= np.bitwise_or.reduceat((value & np.uint64(0xFFFFFFFF)).astype(np.uint32), cut)
-        return words.astype(">u4").tobytes()[: (total + 7) // 8], begins[::STEP].astype("<u4")
+            at, inside = begins >> 6, (begins & 63).astype(np.uint64)
+            value = self.codes[ids]
+            cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+            words[at[cut]] = np.bitwise_or.reduceat(value >> inside, cut)
+            # at most one code goes over the end of each word
+            over = np.flatnonzero((ends - 1) >> 6 != at)
+            words[at[over] + 1] |= value[over] << (np.uint64(64) - inside[over])
+        return words.astype(">u8").tobytes()[: (total + 7) // 8], begins[::STEP].astype("<u4")
 
     def unpack(self, data: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """``n`` ids, decoded from all bit offsets in step."""
@@ -222,9 +227,9 @@ class Code:
         out = np.empty((STEP, len(at)), np.uint32)
         for k in range(STEP):
             key = (word[at >> 3] >> (shift - (at & 7)).astype(np.uint32)) & mask
-            out[k] = self.symbol[key]
-            at = at + self.size[key]
-        return out.T.reshape(-1)[:n]
+            out[k] = self.table[key]
+            at += out[k] & 31
+        return (out >> 5).T.reshape(-1)[:n]
 
 
 def frame(code: Code, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
