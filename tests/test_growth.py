@@ -84,6 +84,45 @@ def test_paths_move_new_nodes_not_ways(spark, dealt):
     assert got == want and moved < 25 * len(pairs), (moved, len(pairs))
 
 
+def test_paths_move_an_edge_twice_and_then_lists(spark, dealt):
+    """Every edge once to each of its ends; then rows are nodes of a block, not edges of a block and level."""
+    from tidemark.operators import traverse as V
+
+    pairs, edges, starts = _dense(spark, 120)
+    got, moved = dealt(lambda: V.network(starts, edges, 2, paths=False).count())
+    assert got == 120 * 119 and moved < 2 * len(pairs) + 6 * got, (moved, len(pairs), got)
+
+
+def test_paths_over_parts_and_blocks_are_those_of_one_queue(spark, monkeypatch):
+    """Neighbours in several parts, starts in several blocks; parallel edges, loops, nulls, and names that are empty or not ASCII."""
+    import random
+
+    from tidemark.operators import traverse as V
+
+    monkeypatch.setattr(V, "SPAN", 7)
+    monkeypatch.setattr(V, "BLOCK", 3)
+    r = random.Random(3)
+    names = ["", "é", "長い名前", *(f"n{i}" for i in range(27))]
+    pairs = [(r.choice(names), r.choice(names)) for _ in range(70)]
+    edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)] + [(None, "n1", 900), ("n1", None, 901)], "source_key string, target_key string, seq long")
+    starts = [*names[:5], *names[9:21], "nobody"]
+    got = V.network(spark.createDataFrame([(s,) for s in [*starts, None]], "key string"), edges, 3).collect()
+    want = {}
+    for s in starts:
+        seen, level = {s: ()}, [s]
+        for _ in range(3):
+            new = []
+            for at in level:
+                for i, (a, b) in enumerate(pairs):
+                    for to, up in [(b, 0)] * (a == at) + [(a, 1)] * (b == at):
+                        if to not in seen:
+                            seen[to] = (*seen[at], 2 * i + up)
+                            new.append(to)
+            level = new
+        want |= {(s, k): list(p) for k, p in seen.items() if p}
+    assert len(got) == len(want) and {(x.start, x.key): [y.seq * 2 + y.up for y in x.path] for x in got} == want
+
+
 def test_names_with_a_common_word_do_not_all_meet(spark):
     from tidemark.operators import resolution as R
 
