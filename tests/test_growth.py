@@ -218,6 +218,19 @@ def test_companies_of_a_hub_are_dealt(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == {(a, b, h) for h, own in hubs.items() for a in own for b in own if a != b}
 
 
+def test_pairs_of_a_hub_are_made_in_many_tasks(spark, monkeypatch):
+    """Spark may join tasks of few bytes; these make many rows of them."""
+    from pyspark.sql import functions as F
+    from tidemark.operators import pathways as P
+
+    monkeypatch.setattr(P, "DEALT", 10)
+    monkeypatch.setattr(P, "PAIRS", 100, raising=False)
+    rows = spark.range(200).selectExpr("concat('c', id) source_key", "'hub' target_key").union(spark.createDataFrame([("c1", None), ("c2", None)], "source_key string, target_key string"))
+    by = [r["count"] for r in P.proxy_links(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(by) == 200 * 199 and len(by) >= 10 and max(by) < 200 * 199 / 4, by
+    assert P.proxy_links(rows.limit(0)).count() == 0
+
+
 def test_embeddings_move_a_row_for_each_text_not_its_words(spark, dealt):
     from tidemark.operators import retrieval as Ret
 

@@ -182,21 +182,24 @@ def owners(edges: DataFrame, clearance: str, day: str | None = None) -> DataFram
     return own.agg(F.array_sort(F.collect_set(F.when(see, F.col("source_key")))).alias("owners"), F.count_if(~see).alias("withheld"))
 
 
-#: Companies of a hub that meet all others in one place.
-DEALT = 2000
+#: Companies of a hub that meet all others in one place; pairs in a task.
+DEALT, PAIRS = 1000, 1 << 24
 
 
 def proxy_links(edges: DataFrame) -> DataFrame:
     """(company, other, via): companies that share a leader or supplier (JON-29). Pairs of distinct companies, each once in both directions; their number is the square of a hub's companies, which ``proxy_groups`` avoids.
 
-    A hub's companies are dealt into parts of about ``DEALT``, and each part meets all others as a key of its own, so that a hub is the work of many tasks.
+    A hub's companies are dealt into lists of about ``DEALT``, and each list meets all others as a key of its own, so that a hub is the work of many tasks. Their number follows the pairs, as few
+    bytes make many rows here and Spark counts bytes.
     """
     e = stored(edges.select(F.col("source_key").alias("company"), F.col("target_key").alias("via")).distinct(), "proxy-edges")
-    sized = e.join(e.groupBy("via").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts")), "via")
-    own = sized.select("via", F.pmod(F.xxhash64("company"), "parts").cast("int").alias("part"), "company")
-    all_ = sized.select("via", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("company").alias("other"))
-    # few bytes that make many rows: both sides move, or the few files of the edges would do all the work
-    return own.hint("shuffle_hash").join(all_, ["via", "part"]).where("company <> other").select("via", "company", "other")
+    n = e.groupBy("via").agg(F.count("*").alias("n"))
+    pairs = n.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+    tasks = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, int(pairs // PAIRS) + 1))
+    sized = e.join(n.select("via", F.ceil(F.col("n") / DEALT).cast("int").alias("parts")), "via")
+    own = sized.select("via", F.pmod(F.xxhash64("company"), "parts").cast("int").alias("part"), "company").repartition(tasks, "via", "part").groupBy("via", "part").agg(F.collect_list("company").alias("companies"))
+    all_ = sized.select("via", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("company").alias("other")).repartition(tasks, "via", "part")
+    return own.hint("shuffle_hash").join(all_, ["via", "part"]).select("via", F.explode("companies").alias("company"), "other").where("company <> other")
 
 
 def proxy_groups(edges: DataFrame) -> DataFrame:
